@@ -1,4 +1,4 @@
 """Importing this module fills the catalogue."""
 
-from oreline.plans import quality_queries, relational_queries, table_queries  # noqa: F401
+from oreline.plans import mining_queries, quality_queries, relational_queries, table_queries  # noqa: F401
 from oreline.plans.catalog import QUERIES, TWINS  # noqa: F401

@@ -36,7 +36,7 @@ def analyze_quality(t):
 @query(
     "quality_summary",
     f"""WITH c AS (SELECT name, count(*) - count(value) AS nulls FROM {HOLED_LONG} GROUP BY 1),
-        d AS (SELECT count(*) AS n FROM {HOLED} GROUP BY ALL)
+        d AS (SELECT count(*) AS n FROM {HOLED} GROUP BY l_orderkey, l_quantity, l_returnflag, discount, tax)
         SELECT (SELECT sum(n)::BIGINT FROM d) AS rows, (SELECT sum(n - 1)::BIGINT FROM d) AS duplicates, sum(nulls)::BIGINT AS total_nulls,
                (count_if(nulls > 0) + CASE WHEN (SELECT sum(n - 1) FROM d) > 0 THEN 1 ELSE 0 END)::BIGINT AS issues FROM c""",
 )
