@@ -70,6 +70,14 @@ def bucket(key: Column, buckets: int, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(keyed), 1, 8), 16, 10).cast("bigint") % F.lit(buckets)
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Pearson r over rows where both are present, 0 without variance (``corr`` fails there in ANSI mode)."""
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    r = F.nanvl(F.try_divide(F.covar_pop(x, y), spread), F.lit(0.0))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(r, F.lit(0.0))))
+
+
 def ordered_struct(order: list[str]) -> Column:
     return F.struct(*[F.col(o) for o in order])
 

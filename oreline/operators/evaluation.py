@@ -182,7 +182,7 @@ def cost_threshold(df: DataFrame, y: str, p: str, fp_cost: float = 100, fn_cost:
 # --- several labels at once -----------------------------------------------------------------------
 
 
-def multilabel_report(df: DataFrame, labels: list[str], predictions: list[str]) -> DataFrame:
+def _label_scores(df: DataFrame, labels: list[str], predictions: list[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(a).alias("name"), F.col(a).alias("y"), F.col(b).alias("p")) for a, b in zip(labels, predictions)])
     long = df.select(F.inline(pairs))
     c = long.groupBy("name").agg(
@@ -192,7 +192,13 @@ def multilabel_report(df: DataFrame, labels: list[str], predictions: list[str])
     precision = F.coalesce(F.try_divide(F.col("tp"), F.col("said")), F.lit(0.0))
     recall = F.coalesce(F.try_divide(F.col("tp"), F.col("support")), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * F.col("tp"), F.col("support") + F.col("said")), F.lit(0.0))
-    return c.select("name", "support", F.round(precision, 4).alias("precision"), F.round(recall, 4).alias("recall"), F.round(f1, 4).alias("f1"))
+    return c.select("name", "support", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
+
+
+def multilabel_report(df: DataFrame, labels: list[str], predictions: list[str]) -> DataFrame:
+    """Precision, recall and F1 of every label."""
+    out = _label_scores(df, labels, predictions)
+    return out.withColumns({c: F.round(c, 4) for c in ("precision", "recall", "f1")})
 
 
 def multilabel_metrics(df: DataFrame, labels: list[str], predictions: list[str]) -> DataFrame:
@@ -201,7 +207,7 @@ def multilabel_metrics(df: DataFrame, labels: list[str], predictions: list[str])
     total = lambda cs: sum((c.cast("int") for c in cs), F.lit(0))
     wrong = total([y != p for y, p in zip(ys, ps)])
     both, either = total([y & p for y, p in zip(ys, ps)]), total([y | p for y, p in zip(ys, ps)])
-    macro = multilabel_report(df, labels, predictions).agg(F.avg("f1")).scalar()
+    macro = _label_scores(df, labels, predictions).agg(F.avg("f1")).scalar()
     return df.agg(
         F.round(F.avg(wrong / len(labels)), 4).alias("hamming_loss"),
         F.round(F.avg(F.coalesce(F.try_divide(both, either), F.lit(1.0))), 4).alias("jaccard"),

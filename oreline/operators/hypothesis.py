@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from oreline.functions.core import is_missing, ladder, number, single
+from oreline.functions.core import is_missing, ladder, number, pearson, single
 from oreline.functions.tails import chi2_p, f_p, t_p
 from oreline.operators.aggregates import crosstab
 from oreline.operators.quality import strength
@@ -102,7 +102,7 @@ def correlation_test(df: DataFrame, a: str, b: str, alpha: float = 0.05) -> Data
     both = df.select(number(df, a).alias("x"), number(df, b).alias("y")).dropna()
     one = both.agg(
         F.count(F.lit(1)).alias("n"),
-        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(F.nanvl(F.corr("x", "y"), F.lit(0.0)), F.lit(0.0)))).alias("r"),
+        pearson(F.col("x"), F.col("y")).alias("r"),
     ).filter("n >= 4")
     exact = F.abs("r") >= 1 - 1e-12
     t = F.when(~exact, F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))

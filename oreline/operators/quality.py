@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from oreline.functions.core import (
-    as_list, is_missing, is_numeric, ladder, number, number_in, numeric_names, present, single,
+    as_list, is_missing, is_numeric, ladder, number, number_in, numeric_names, pearson, present, single,
 )
 from oreline.functions.ordered import element_at_rank, running_sums
 from oreline.operators.joins import count_duplicates
@@ -294,8 +294,7 @@ def correlation_matrix(df: DataFrame, columns=None, threshold: float = 0.8, plac
     cells = []
     for i, a in enumerate(names):
         for b in names[i + 1:]:
-            r = F.coalesce(F.nanvl(F.corr(x[a], x[b]), F.lit(0.0)), F.lit(0.0))
-            cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(r, places).alias("r")))
+            cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(pearson(x[a], x[b]), places).alias("r")))
     long = df.agg(F.array(*cells).alias("_p")).select(F.inline("_p"))
     return long.select("a", "b", "r", (F.abs("r") >= threshold).alias("high"), (F.abs("r") >= 0.9).alias("risk"))
 
@@ -306,8 +305,7 @@ def strength(r: Column) -> Column:
 
 def bivariate(df: DataFrame, a: str, b: str) -> DataFrame:
     both = df.select(number(df, a).alias("x"), number(df, b).alias("y")).dropna()
-    r = F.coalesce(F.nanvl(F.corr("x", "y"), F.lit(0.0)), F.lit(0.0))
-    return both.agg(F.count(F.lit(1)).alias("n"), F.round(r, 4).alias("r")).withColumns(
+    return both.agg(F.count(F.lit(1)).alias("n"), F.round(pearson(F.col("x"), F.col("y")), 4).alias("r")).withColumns(
         {"strength": strength(F.col("r")), "direction": ladder([(F.col("r") > 0, "positive"), (F.col("r") < 0, "negative")], "none")}
     )
 
@@ -335,7 +333,7 @@ def detect_leakage(df: DataFrame, target: str, task: str, columns=None) -> DataF
         y = number(df, target)
         tests = [
             F.struct(F.lit(n).alias("feature"),
-                     F.when(F.count_if(number(df, n).isNotNull() & y.isNotNull()) > 5, F.abs(F.corr(number(df, n), y))).alias("abs_r"))
+                     F.when(F.count_if(number(df, n).isNotNull() & y.isNotNull()) > 5, F.abs(pearson(number(df, n), y))).alias("abs_r"))
             for n in numbers
         ]
         if tests:

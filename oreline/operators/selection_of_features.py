@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
-from oreline.functions.core import is_numeric
+from oreline.functions.core import is_numeric, pearson
 from oreline.operators.clustering import vectors
 from oreline.operators.features import bin_width
 from oreline.operators.hypothesis import anova_oneway, chi2_independence
 from oreline.operators.aggregates import crosstab
 from oreline.operators.learning import encode, estimator
+from oreline.session import stage
 
 
 def mutual_information(df: DataFrame, a: str, b: str) -> float:
@@ -29,6 +29,7 @@ def select_features(df: DataFrame, target: str, task: str, columns: list[str]) -
 
     Numbers are cut into ten bins for the contingency tables. The best 60 %, at least three, are selected.
     """
+    df = stage(df.select(*columns, target), "select")
     enc = encode(df, target, task, columns)
     ready = enc.labelled(df).select("features", "label")
     model = estimator("forest", task, len(enc.classes)).fit(ready)
@@ -49,7 +50,7 @@ def select_features(df: DataFrame, target: str, task: str, columns: list[str]) -
             test = chi2_independence(binned.withColumn("_t", F.col(target)), "_bin", "_t").first()
             first, second = (test.statistic if test else 0.0), mutual_information(binned, "_bin", target)
         elif c in numbers:
-            r = df.agg(F.corr(c, target)).first()[0] or 0.0
+            r = df.agg(pearson(F.col(c).cast("double"), F.col(target).cast("double"))).first()[0]
             n = df.count()
             first, second = abs(r), (r * r * (n - 2) / (1 - r * r) if abs(r) < 1 else float("inf"))
         else:
