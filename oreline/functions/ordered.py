@@ -126,17 +126,78 @@ def with_history(
     )
 
 
-def element_at_rank(df: DataFrame, value: str, ranks: dict[str, Column], by=None) -> DataFrame:
+SMALL = 100_000_000
+MOST_GROUPS = 10_000
+ACCURACY = 10_000
+
+
+def element_at_rank(
+    df: DataFrame, value: str, ranks: dict[str, Column], by=None, near: dict[str, float] | None = None, small: int = SMALL
+) -> DataFrame:
     """Exact order statistics: for each name the smallest value whose running count exceeds the 0-based rank.
 
-    ``ranks`` are expressions over ``_n``, the number of present values of the group. Works on the distinct
+    ``ranks`` are expressions over ``_n``, the number of present values of the group. The work is on distinct
     values with their counts, so equal values never pile up in one task.
+
+    Where ``near`` gives the share of the way each rank lies at, a large table is not sorted as a whole: a
+    quantile sketch with a proven error fences every rank in, values below the fences are only counted, and
+    just the few values between fences are shuffled. Counts show whether a fence holds its rank; if one does
+    not, the whole table is used.
     """
     by = as_list(by)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    present = df.filter(F.col(value).isNotNull()).select(*by, value)
+    if near is not None and set(near) >= set(ranks):
+        sizes = present.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        seen = sizes.agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("g")).first()
+        if (seen.n or 0) > small and seen.g <= MOST_GROUPS:
+            found = _fenced(present, value, ranks, by, near)
+            if found is not None:
+                return found
+    counted = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     summed = running_sums(counted, [value], {"_upto": "_c"}, by)
     totals = summed.groupBy(*by).agg(F.max("_upto").alias("_n"))
     joined = summed.join(totals, by) if by else summed.withColumn("_n", totals.scalar())
     return joined.groupBy(*by).agg(
         *[F.min(F.when(F.col("_upto") > rank, F.col(value))).alias(n) for n, rank in ranks.items()]
     )
+
+
+def _fenced(present: DataFrame, value: str, ranks: dict[str, Column], by: list[str], near: dict[str, float]):
+    """Order statistics between sketch fences, or None when a fence misses its rank."""
+    names = list(ranks)
+    width = 4 / ACCURACY
+    at = sorted({min(1.0, max(0.0, near[n] + side * width)) for n in names for side in (-1, 1)})
+    place = {(i, e): at.index(min(1.0, max(0.0, near[n] + side * width))) for i, n in enumerate(names) for e, side in (("lo", -1), ("hi", 1))}
+    sketch = present.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(value, at, ACCURACY).alias("_q"))
+    fences = sketch.select(*by, "_n", *[F.col("_q")[j].alias(f"_{e}{i}") for (i, e), j in place.items()])
+    fences = stage(fences, "fences")  # at most MOST_GROUPS rows
+    x = F.col(value)
+    rows = _beside(present, fences, by)
+    inside = [(x >= F.col(f"_lo{i}")) & (x <= F.col(f"_hi{i}")) for i in range(len(names))]
+    below = rows.groupBy(*by).agg(
+        F.max("_n").alias("_n"), *[F.count_if(x < F.col(f"_lo{i}")).alias(f"_b{i}") for i in range(len(names))],
+        *[F.count_if(c).alias(f"_in{i}") for i, c in enumerate(inside)],
+    )
+    below = stage(below, "below")
+    ok = F.lit(True)
+    for i, n in enumerate(names):
+        ok = ok & (F.col(f"_b{i}") <= ranks[n]) & (ranks[n] < F.col(f"_b{i}") + F.col(f"_in{i}"))
+    if below.filter(~ok).limit(1).count():
+        return None
+    marks = F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(inside)])
+    few = rows.select(*by, value, F.explode(F.array_compact(marks)).alias("_which")).groupBy(*by, "_which", value).agg(F.count(F.lit(1)).alias("_c"))
+    summed = running_sums(few, [value], {"_upto": "_c"}, [*by, "_which"])
+    joined = _beside(summed, below, by)
+    cells = [
+        F.min(F.when((F.col("_which") == i) & (F.col("_upto") + F.col(f"_b{i}") > ranks[n]), F.col(value))).alias(n)
+        for i, n in enumerate(names)
+    ]
+    return joined.groupBy(*by).agg(*cells)
+
+
+def _beside(df: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
+    """Columns of a table of at most MOST_GROUPS rows beside the rows of its group."""
+    if by:
+        return df.join(F.broadcast(small), by)
+    one = small.select(F.struct("*").alias("_s")).scalar()
+    return df.withColumn("_s", one).select(*df.columns, "_s.*")

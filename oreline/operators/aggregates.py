@@ -63,7 +63,7 @@ def central(df: DataFrame, name: str, by=None) -> DataFrame:
         F.sum("_c").alias("n"),
     )
     middle = element_at_rank(
-        df, name, {"_lo": F.floor((F.col("_n") - 1) / 2), "_hi": F.floor(F.col("_n") / 2)}, by
+        df, name, {"_lo": F.floor((F.col("_n") - 1) / 2), "_hi": F.floor(F.col("_n") / 2)}, by, {"_lo": 0.5, "_hi": 0.5}
     ).withColumn("median", (F.col("_lo") + F.col("_hi")) / 2).drop("_lo", "_hi")
     if by:
         return basics.join(middle, by)
@@ -77,10 +77,12 @@ def spread(df: DataFrame, name: str, by=None) -> DataFrame:
     )
 
 
-def order_statistic(df: DataFrame, name: str, shares: dict[str, float], by=None) -> DataFrame:
-    """The element at ``floor(share * n)`` of the sorted values."""
+def order_statistic(df: DataFrame, name: str, shares: dict[str, float], by=None, exact: bool = True) -> DataFrame:
+    """The element at ``floor(share * n)`` of the sorted values, or a sketch's element near it."""
+    if not exact:
+        return df.groupBy(*as_list(by)).agg(*[F.percentile_approx(name, p, 10_000).alias(n) for n, p in shares.items()])
     ranks = {n: F.least(F.floor(F.lit(p) * F.col("_n")), F.col("_n") - 1) for n, p in shares.items()}
-    return element_at_rank(df, name, ranks, by)
+    return element_at_rank(df, name, ranks, by, shares)
 
 
 def histogram(df: DataFrame, name: str, bins: int = 12) -> DataFrame:

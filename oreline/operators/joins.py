@@ -16,7 +16,7 @@ def first_per_key(df: DataFrame, keys, order) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.dropDuplicates(keys)
-    first = F.min_by(F.struct(*rest), F.struct(*[F.coalesce(F.col(o).isNotNull(), F.lit(False)) for o in order], *order))
+    first = F.min_by(F.struct(*rest), F.struct(*order) if len(order) > 1 else F.col(order[0]))
     return df.groupBy(*keys).agg(first.alias("_first")).select(*keys, "_first.*").select(*df.columns)
 
 

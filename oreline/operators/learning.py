@@ -16,11 +16,10 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import PolynomialExpansion, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from oreline.functions.core import as_list, bucket, is_numeric, number, present
 from oreline.operators import evaluation as ev
-from oreline.operators.features import top_categories
 from oreline.operators.neighbours import knn_join
 from oreline.session import stage
 
@@ -81,6 +80,28 @@ def id_like(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for i, c in enumerate(named) if row[f"u{i}"] >= 0.5 * row["_n"]]
 
 
+CLASSES, MOST_CLASSES = "the classes of the target", 1_000
+
+
+def frequent_values(df: DataFrame, columns: list[str], top: int, target: str | None) -> dict[str, list[str]]:
+    """The ``top`` most frequent values of each text column and all classes of the target, in one job."""
+    cells = {c: present(df, c).cast("string") for c in columns}
+    if target is not None:
+        cells[CLASSES] = present(df, target).cast("string")
+    if not cells:
+        return {}
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), c.alias("value")) for n, c in cells.items()])
+    long = df.select(F.explode(pairs).alias("_p")).select("_p.*").filter("value IS NOT NULL")
+    counts = long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+    best = Window.partitionBy("name").orderBy(F.desc("n"), "value")
+    ranked = counts.withColumn("_rn", F.row_number().over(best))
+    wanted = ranked.filter(F.col("_rn") <= F.when(F.col("name") == CLASSES, MOST_CLASSES + 1).otherwise(top))
+    out: dict[str, list[str]] = {}
+    for r in wanted.orderBy("name", "_rn").collect():
+        out.setdefault(r["name"], []).append(r["value"])
+    return out
+
+
 def encode(df: DataFrame, target: str, task: str, columns=None, top: int = 15, scale: bool = True) -> Encoding:
     """Fit the features of ``df``.
 
@@ -91,19 +112,16 @@ def encode(df: DataFrame, target: str, task: str, columns=None, top: int = 15, s
     wanted = as_list(columns) or [c for c in df.columns if c != target]
     dropped = id_like(df, wanted) if not columns else []
     kept = [c for c in wanted if c not in dropped] or wanted
+    values = frequent_values(df, [c for c in kept if not is_numeric(df, c)], top, target if task == "classification" else None)
+    classes = sorted(values.pop(CLASSES, []))
+    if task == "classification" and not 2 <= len(classes) <= MOST_CLASSES:
+        raise ValueError(f"the target needs between two and {MOST_CLASSES} classes")
     cells: list[tuple[str, str, str]] = []  # (feature name, column, SQL)
     for c in kept:
         if is_numeric(df, c):
             cells.append((c, c, f"coalesce(nanvl(cast({_quoted(c)} as double), 0D), 0D)"))
-        else:
-            for v in top_categories(df, c, top):
-                cells.append((f"{c}={v}", c, f"(case when cast({_quoted(c)} as string) = {_text(v)} then 1D else 0D end)"))
-    classes: list[str] = []
-    if task == "classification":
-        distinct = df.select(present(df, target).cast("string").alias("v")).filter("v IS NOT NULL").distinct()
-        classes = [r.v for r in distinct.orderBy("v").collect()]
-        if len(classes) < 2:
-            raise ValueError("the target needs at least two classes")
+        for v in values.get(c, []):
+            cells.append((f"{c}={v}", c, f"(case when cast({_quoted(c)} as string) = {_text(v)} then 1D else 0D end)"))
     sql = [s for _, _, s in cells]
     if scale:
         stats = df.agg(*[f(F.expr(s)).alias(f"{n}{i}") for i, s in enumerate(sql) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()

@@ -222,17 +222,23 @@ def feedback_accuracy(logs: DataFrame, model: str, correct: Column, status: Colu
     )
 
 
-def run_history(runs: DataFrame) -> DataFrame:
-    """Counts and durations per status of ``(status, duration_ms, node_logs array<struct<node,status,rows_in,rows_out,duration_ms>>)``."""
-    return runs.groupBy("status").agg(
+def unnest_logs(runs: DataFrame) -> DataFrame:
+    """Log rows ``(run_id, node, status, rows_in, rows_out, duration_ms)`` of runs that keep them as an array."""
+    return runs.select("run_id", F.inline("node_logs"))
+
+
+def run_history(runs: DataFrame, logs: DataFrame) -> DataFrame:
+    """Counts, durations and rows per status of ``(run_id, status, duration_ms)``."""
+    rows = logs.groupBy("run_id").agg(F.sum("rows_out").alias("_out"))
+    return runs.join(rows, "run_id", "left").groupBy("status").agg(
         F.count(F.lit(1)).alias("runs"), F.round(F.avg("duration_ms"), 2).alias("avg_duration_ms"),
-        F.sum(F.aggregate("node_logs", F.lit(0).cast("bigint"), lambda s, x: s + x["rows_out"])).alias("rows_out"),
+        F.coalesce(F.sum("_out"), F.lit(0)).alias("rows_out"),
     )
 
 
-def node_history(runs: DataFrame) -> DataFrame:
+def node_history(logs: DataFrame) -> DataFrame:
     """Runs, failures and rows per node."""
-    return runs.select(F.explode("node_logs").alias("l")).groupBy(F.col("l.node").alias("node")).agg(
-        F.count(F.lit(1)).alias("runs"), F.count_if(F.col("l.status") == "failed").alias("failed"), F.sum("l.rows_in").alias("rows_in"),
-        F.sum("l.rows_out").alias("rows_out"), F.round(F.avg("l.duration_ms"), 2).alias("avg_duration_ms"),
+    return logs.groupBy("node").agg(
+        F.count(F.lit(1)).alias("runs"), F.count_if(F.col("status") == "failed").alias("failed"), F.sum("rows_in").alias("rows_in"),
+        F.sum("rows_out").alias("rows_out"), F.round(F.avg("duration_ms"), 2).alias("avg_duration_ms"),
     )

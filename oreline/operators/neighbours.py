@@ -22,7 +22,7 @@ from oreline.functions.core import as_list, dtype, number
 from oreline.operators.selection import top_k_per_group
 from oreline.session import stage
 
-PIVOTS = 64
+MOST_PIVOTS = 512
 BLOCK = 2048
 
 
@@ -56,7 +56,7 @@ def _between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def knn_join(
     queries: DataFrame, train: DataFrame, key: str, columns, k: int = 5, skip_same_key: bool = False,
-    pivots: int = PIVOTS, block: int = BLOCK, train_key: str | None = None,
+    pivots: int | None = None, block: int = BLOCK, train_key: str | None = None,
 ) -> DataFrame:
     """``(query_id, neighbour_id, squared_distance, rank)``: the k nearest training rows of each query.
 
@@ -69,6 +69,8 @@ def knn_join(
     # of identical points only the first few ids can ever be among the nearest
     t = stage(top_k_per_group(t, "v", [F.asc("id")], wanted, "_same").drop("_same"), "knn")
     q = stage(q, "knn-q")
+    # more rows, more and smaller cells; the pivots stay few enough to sit in every task
+    pivots = pivots or min(MOST_PIVOTS, max(16, math.isqrt(t.count())))
     heads = t.orderBy(F.xxhash64("v"), "id").limit(pivots).select("v").collect()
     if not heads:
         raise ValueError("no training rows")
@@ -105,7 +107,7 @@ def knn_join(
     chunks = {c: max(1, math.ceil(load.get(c, 0) / block)) for c in blocks}
 
     def parts(of: dict[int, int]) -> Column:
-        return F.element_at(F.create_map(*[F.lit(x) for kv in of.items() for x in kv]), F.col("cell"))
+        return F.array(*[F.lit(of.get(c, 1)) for c in range(len(centers))])[F.col("cell")]
 
     last = lambda c: F.sequence(F.lit(0), c - 1)
     right = placed.withColumn("block", F.pmod(F.xxhash64("id"), parts(blocks)).cast("int")).withColumn(

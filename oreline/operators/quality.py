@@ -46,7 +46,8 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float], by=None) -> D
     for n, p in shares.items():
         at = F.lit(p) * (F.col("_n") - 1)
         ranks[f"_lo_{n}"], ranks[f"_hi_{n}"] = F.floor(at), F.ceil(at)
-    found = element_at_rank(df, value, ranks, by)
+    near = {f"{side}{n}": p for n, p in shares.items() for side in ("_lo_", "_hi_")}
+    found = element_at_rank(df, value, ranks, by, near)
     sizes = df.groupBy(*by).agg(F.count(value).alias("_n"))
     joined = found.join(sizes, by) if by else found.withColumn("_n", sizes.scalar())
     cells = []
@@ -60,9 +61,14 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float], by=None) -> D
 # --- report ---------------------------------------------------------------------------------------
 
 
-def analyze_quality(df: DataFrame, declared: dict[str, str] | None = None) -> DataFrame:
-    """Per column: missing, distinct, and values that contradict a declared numeric type."""
+def analyze_quality(df: DataFrame, declared: dict[str, str] | None = None, exact: bool = True) -> DataFrame:
+    """Per column: missing, distinct, and values that contradict a declared numeric type.
+
+    Exact distinct counts shuffle the distinct cells; ``exact=False`` counts them by sketch in one pass.
+    """
     numeric = set(numeric_names(df)) | {n for n, k in (declared or {}).items() if k == "numeric"}
+    if not exact:
+        return _sketched_quality(df, numeric)
     counts = long_texts(df).groupBy("name", "value").agg(F.count(F.lit(1)).alias("c"))
     is_num = F.col("name").isin(*numeric) if numeric else F.lit(False)
     odd = is_num & F.col("value").isNotNull() & number_in(F.col("value")).isNull()
@@ -75,6 +81,21 @@ def analyze_quality(df: DataFrame, declared: dict[str, str] | None = None) -> Da
     ).withColumn("null_pct", F.round(100.0 * F.col("nulls") / F.col("rows"), 1))
 
 
+def _sketched_quality(df: DataFrame, numeric: set[str]) -> DataFrame:
+    cells = []
+    for n in df.columns:
+        x = present(df, n).cast("string")
+        odd = x.isNotNull() & number_in(x).isNull() if n in numeric else F.lit(False)
+        cells.append(
+            F.struct(
+                F.lit(n).alias("name"), F.lit(n in numeric).alias("is_numeric"), F.count(F.lit(1)).alias("rows"),
+                F.count_if(x.isNull()).alias("nulls"), F.approx_count_distinct(x).alias("unique_count"), F.count_if(odd).alias("type_mismatch"),
+            )
+        )
+    out = df.agg(F.array(*cells).alias("_c")).select(F.inline("_c"))
+    return out.withColumn("null_pct", F.round(100.0 * F.col("nulls") / F.col("rows"), 1))
+
+
 def quality_summary(df: DataFrame, declared: dict[str, str] | None = None) -> DataFrame:
     """Rows, duplicates, missing cells and the number of issues of the whole table."""
     columns = analyze_quality(df, declared).agg(

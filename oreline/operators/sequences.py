@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from oreline.functions.core import as_list, is_missing, single
+from oreline.functions.core import as_list, is_missing
 from oreline.functions.ordered import positions
+from oreline.session import stage
 
 SALTS = 16
 
@@ -19,62 +20,62 @@ def build_sequences(df: DataFrame, group: str, item: str, order) -> DataFrame:
 
 def _events(df: DataFrame, group: str, item: str, order) -> DataFrame:
     clean = df.filter(~is_missing(df, group) & ~is_missing(df, item))
-    return clean.select(
-        F.col(group).alias("grp"), F.col(item).cast("string").alias("item"), F.struct(*as_list(order)).alias("at")
-    )
+    order = as_list(order)
+    at = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    return clean.select(F.col(group).alias("grp"), F.col(item).cast("string").alias("item"), at.alias("at"))
+
+
+def _spans(events: DataFrame) -> DataFrame:
+    """First and last place and number of each item in each sequence: the one pass over the events.
+
+    Written once, as all that follows (sizes, frequent items, pairs) reads it again and it is much smaller.
+    """
+    spans = events.groupBy("grp", "item").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n"))
+    return stage(spans, "spans")
 
 
-def _sizes(events: DataFrame) -> DataFrame:
-    return events.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+def _sizes(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("grp").agg(F.sum("n").alias("n")).filter("n >= 2")
 
 
-def _least_count(events: DataFrame, min_support: float) -> Column:
+def _least_count(spans: DataFrame, min_support: float) -> Column:
     """``max(2, ceil(min_support * sequences))``; with fewer than three sequences nothing is frequent."""
-    n = _sizes(events).agg(F.count(F.lit(1))).scalar()
+    n = _sizes(spans).agg(F.count(F.lit(1))).scalar()
     return F.when(n >= 3, F.greatest(F.lit(2), F.ceil(F.lit(min_support) * n)))
 
 
-def _ends(events: DataFrame, least: Column) -> DataFrame:
-    """First and last place of each frequent item in each sequence.
+def _frequent(spans: DataFrame, least: Column) -> DataFrame:
+    """Spans of frequent items only.
 
     An item that is rare by itself cannot be in a frequent pattern, so dropping it changes no result;
     it bounds how many rows one sequence can have here.
     """
-    ends = events.groupBy("grp", "item").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    often = ends.groupBy("item").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= least).select("item")
-    return ends.join(often, "item")
+    often = spans.groupBy("item").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= least).select("item")
+    return spans.join(often, "item")
 
 
-def _counted(found: DataFrame, keys: list[str], events: DataFrame, least: Column) -> DataFrame:
-    n = _sizes(events).agg(F.count(F.lit(1))).scalar()
+def _counted(found: DataFrame, keys: list[str], spans: DataFrame, least: Column) -> DataFrame:
+    n = _sizes(spans).agg(F.count(F.lit(1))).scalar()
     counts = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") >= least)
     return counts.withColumn("support", F.round(F.col("count") / n, 4))
 
 
-def _pair_places(ends: DataFrame) -> DataFrame:
-    a = ends.select("grp", F.col("item").alias("a"), "first")
-    b = ends.select("grp", F.col("item").alias("b"), "last")
+def _pair_places(spans: DataFrame) -> DataFrame:
+    a = spans.select("grp", F.col("item").alias("a"), "first")
+    b = spans.select("grp", F.col("item").alias("b"), "last")
     return a.join(b, "grp").filter(F.col("first") < F.col("last"))
 
 
-def sequence_pairs(df: DataFrame, group: str, item: str, order, min_support: float = 0.05) -> DataFrame:
-    """``a`` somewhere before ``b``: the first ``a`` lies before the last ``b``."""
-    events = _events(df, group, item, order)
-    least = _least_count(events, min_support)
-    return _counted(_pair_places(_ends(events, least)), ["a", "b"], events, least)
-
+def _pairs(spans: DataFrame, min_support: float) -> DataFrame:
+    least = _least_count(spans, min_support)
+    return _counted(_pair_places(_frequent(spans, least)), ["a", "b"], spans, least)
 
-def sequence_triples(df: DataFrame, group: str, item: str, order, min_support: float = 0.05) -> DataFrame:
-    """``a``, then ``b``, then ``c``: the first ``b`` after the first ``a`` lies before the last ``c``.
 
-    Only frequent pairs are extended. The occurrences of a long sequence are spread over salts, each met by
-    a copy of that sequence's (few) first places, and reduced to one place per (sequence, a, b).
-    """
-    events = _events(df, group, item, order)
-    least = _least_count(events, min_support)
-    ends = _ends(events, least)
-    pairs = _counted(_pair_places(ends), ["a", "b"], events, least).select("a", "b")
-    firsts = ends.select("grp", F.col("item").alias("a"), "first").withColumn(
+def _triples(events: DataFrame, spans: DataFrame, min_support: float) -> DataFrame:
+    least = _least_count(spans, min_support)
+    kept = _frequent(spans, least)
+    pairs = stage(_pairs(spans, min_support).select("a", "b"), "pairs")
+    firsts = kept.select("grp", F.col("item").alias("a"), "first").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     )
     spots = events.select("grp", F.col("item").alias("b"), "at").withColumn(
@@ -84,26 +85,41 @@ def sequence_triples(df: DataFrame, group: str, item: str, order, min_support: f
         spots.join(firsts, ["grp", "_salt"]).filter(F.col("at") > F.col("first"))
         .groupBy("grp", "a", "b").agg(F.min("at").alias("at")).join(pairs, ["a", "b"])
     )
-    lasts = ends.select("grp", F.col("item").alias("c"), "last")
+    lasts = kept.select("grp", F.col("item").alias("c"), "last")
     grown = after.join(lasts, "grp").filter(F.col("at") < F.col("last"))
     tails = pairs.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    return _counted(grown.join(tails, ["b", "c"]), ["a", "b", "c"], events, least)
+    return _counted(grown.join(tails, ["b", "c"]), ["a", "b", "c"], spans, least)
+
+
+def sequence_pairs(df: DataFrame, group: str, item: str, order, min_support: float = 0.05) -> DataFrame:
+    """``a`` somewhere before ``b``: the first ``a`` lies before the last ``b``."""
+    return _pairs(_spans(_events(df, group, item, order)), min_support)
+
+
+def sequence_triples(df: DataFrame, group: str, item: str, order, min_support: float = 0.05) -> DataFrame:
+    """``a``, then ``b``, then ``c``: the first ``b`` after the first ``a`` lies before the last ``c``.
+
+    Only frequent pairs are extended. The occurrences of a long sequence are spread over salts, each met by
+    a copy of that sequence's (few) first places, and reduced to one place per (sequence, a, b).
+    """
+    events = _events(df, group, item, order)
+    return _triples(events, _spans(events), min_support)
 
 
 def top_patterns(df: DataFrame, group: str, item: str, order, min_support: float = 0.05, k: int = 40) -> DataFrame:
     arrow = " → "
-    two = sequence_pairs(df, group, item, order, min_support).select(
-        F.concat_ws(arrow, "a", "b").alias("pattern"), F.lit(2).alias("size"), "count", "support"
-    )
-    three = sequence_triples(df, group, item, order, min_support).select(
+    events = _events(df, group, item, order)
+    spans = _spans(events)
+    two = _pairs(spans, min_support).select(F.concat_ws(arrow, "a", "b").alias("pattern"), F.lit(2).alias("size"), "count", "support")
+    three = _triples(events, spans, min_support).select(
         F.concat_ws(arrow, "a", "b", "c").alias("pattern"), F.lit(3).alias("size"), "count", "support"
     )
     return two.unionByName(three).orderBy(F.desc("support"), "size", "pattern").limit(k)
 
 
 def sequence_summary(df: DataFrame, group: str, item: str, order, min_support: float = 0.05) -> DataFrame:
-    events = _events(df, group, item, order)
-    return _sizes(events).agg(
+    sizes = _events(df, group, item, order).groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    return sizes.agg(
         F.count(F.lit(1)).alias("sequences"), F.round(F.avg("n"), 2).alias("avg_length"),
         F.greatest(F.lit(2), F.ceil(F.lit(min_support) * F.count(F.lit(1)))).cast("bigint").alias("min_count"),
     )

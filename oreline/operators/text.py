@@ -39,17 +39,19 @@ def _composed(text: pd.Series) -> pd.Series:
 
 
 def composed(df: DataFrame, text: str) -> DataFrame:
-    """Letters followed by combining marks become one letter; only rows that have such marks pass through Python."""
-    marked = F.coalesce(F.col(text).rlike(r"\p{M}"), F.lit(False))
-    return df.filter(~marked).unionByName(df.filter(marked).withColumn(text, _composed(text)))
+    """Letters followed by combining marks become one letter.
+
+    Only texts that have such marks travel to Python; for all others a NULL does, and the text stays in the JVM.
+    """
+    marked = F.when(F.col(text).rlike(r"\p{M}"), F.col(text))
+    return df.withColumn(text, F.coalesce(_composed(marked), F.col(text)))
 
 
 def word_list(text: Column, stopwords: list[str] | None = None) -> Column:
-    """Lower-case words of at least three letters or digits, no stopwords, not digits alone."""
+    """Lower-case runs of at least three letters or digits, no stopwords, not digits alone."""
     stop = STOPWORDS_PT + STOPWORDS_EN if stopwords is None else stopwords
-    plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]", " ")
-    keep = lambda w: (F.length(w) >= 3) & ~w.isin(*stop) & ~w.rlike(r"^\d+$")
-    return F.filter(F.split(plain, r"\s+"), keep)
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0))
+    return F.filter(words, lambda w: ~w.isin(*stop) & ~w.rlike(r"^\d+$"))
 
 
 def tokenize(df: DataFrame, text: str, name: str = "tokens", stopwords=None, compose: bool = True) -> DataFrame:
@@ -61,15 +63,16 @@ def tokenize(df: DataFrame, text: str, name: str = "tokens", stopwords=None, com
 
 
 def term_counts(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """Occurrences and documents per term in one shuffle that is combined before it moves."""
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    marks = F.concat(
-        F.transform(tokens, lambda w: F.struct(w.alias("term"), one.alias("tf"), zero.alias("df"))),
-        F.transform(F.array_distinct(tokens), lambda w: F.struct(w.alias("term"), zero.alias("tf"), one.alias("df"))),
-    )
-    return docs.select(F.explode(marks).alias("_m")).groupBy("_m.term").agg(
-        F.sum("_m.tf").alias("tf"), F.sum("_m.df").alias("df")
-    )
+    """Occurrences and documents per term in one shuffle that is combined before it moves.
+
+    The words of a row are sorted, so the first of equal ones can stand for the document. The outer form of
+    explode keeps the optimizer from adding a filter on the array, which would split every text twice.
+    """
+    rows = docs.select(F.sort_array(tokens).alias("_w"))
+    before = F.concat(F.array(F.lit("")), F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))))
+    marks = F.zip_with("_w", before, lambda w, b: F.struct(w.alias("term"), (w != b).cast("bigint").alias("first")))
+    words = rows.select(F.explode_outer(marks).alias("_m")).filter(F.col("_m.term").isNotNull())
+    return words.groupBy("_m.term").agg(F.count(F.lit(1)).alias("tf"), F.sum("_m.first").alias("df"))
 
 
 def tfidf(docs: DataFrame, tokens: str = "tokens") -> DataFrame:

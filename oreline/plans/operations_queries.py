@@ -189,34 +189,31 @@ def feedback(t):
     return mo.feedback_accuracy(t.events, "event_type", v >= 5, status)
 
 
-def order_runs(t):
-    """An order is a run, its lines are the nodes."""
-    node = F.struct(
-        F.col("l_returnflag").alias("node"), F.when(F.col("l_tax") > 0.06, "failed").otherwise("success").alias("status"),
+def line_logs(t):
+    """An order is a run, its lines are the log of the nodes."""
+    return t.lineitem.select(
+        F.col("l_orderkey").alias("run_id"), F.col("l_returnflag").alias("node"), F.when(F.col("l_tax") > 0.06, "failed").otherwise("success").alias("status"),
         F.col("l_quantity").cast("bigint").alias("rows_in"), F.floor(F.col("l_quantity") / 2).alias("rows_out"), F.col("l_extendedprice").alias("duration_ms"),
     )
-    lines = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(node).alias("node_logs"))
-    return t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(
-        F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("duration_ms"), "node_logs"
-    )
 
 
 @query(
     "run_history",
-    """SELECT o_orderstatus AS status, count(*) AS runs, round(avg(o_totalprice), 2) AS avg_duration_ms, sum(r)::BIGINT AS rows_out FROM orders
-       JOIN (SELECT l_orderkey, sum(floor(l_quantity / 2)) AS r FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey GROUP BY 1""",
+    """SELECT o_orderstatus AS status, count(*) AS runs, round(avg(o_totalprice), 2) AS avg_duration_ms, coalesce(sum(r), 0)::BIGINT AS rows_out FROM orders
+       LEFT JOIN (SELECT l_orderkey, sum(floor(l_quantity / 2)) AS r FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey GROUP BY 1""",
 )
 def run_history(t):
-    return mo.run_history(order_runs(t))
+    runs = t.orders.select(F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("duration_ms"))
+    return mo.run_history(runs, line_logs(t))
 
 
 @query(
     "node_history",
     """SELECT l_returnflag AS node, count(*) AS runs, count_if(l_tax > 0.06)::BIGINT AS failed, sum(l_quantity)::BIGINT AS rows_in, sum(floor(l_quantity / 2))::BIGINT AS rows_out,
-              round(avg(l_extendedprice), 2) AS avg_duration_ms FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1""",
+              round(avg(l_extendedprice), 2) AS avg_duration_ms FROM lineitem GROUP BY 1""",
 )
 def node_history(t):
-    return mo.node_history(order_runs(t))
+    return mo.node_history(line_logs(t))
 
 
 # --- survival: days from a user's first event to the first purchase ---------------------------------

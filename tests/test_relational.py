@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oreline.functions.core import bucket, number_in
-from oreline.functions.ordered import element_at_rank, forward_filled, positions, running_sums, with_history
+from oreline.functions.ordered import _fenced, element_at_rank, forward_filled, positions, running_sums, with_history
 from oreline.operators import aggregates as ag, joins as jn, selection as sl, windows as wn
 
 
@@ -126,3 +126,16 @@ def test_class_balance(spark):
     df = spark.createDataFrame([("a",)] * 90 + [("b",)] * 10, "y string")
     r = {x.label: x for x in ag.class_balance(df, "y").collect()}
     assert r["a"].ratio == 9.0 and r["b"].minority_pct == 10.0 and r["a"].severity == "moderate" and r["a"].imbalanced
+
+
+@pytest.mark.parametrize("by", [None, "g"])
+def test_fenced_order_statistics(spark, by):
+    """The large-table way, forced on a small table with ties, against sorting in Python."""
+    data = [("a" if i % 3 else "b", float((i * 7919) % 5003) if i % 5 else 42.0) for i in range(30_000)]
+    df = spark.createDataFrame(data, "g string, v double")
+    near = {"q1": 0.25, "q2": 0.5, "last": 1.0}
+    ranks = {"q1": F.floor(F.col("_n") / 4), "q2": F.floor(F.col("_n") / 2), "last": F.col("_n") - 1}
+    assert _fenced(df, "v", ranks, [by] if by else [], near) is not None
+    for r in element_at_rank(df, "v", ranks, by, near, small=0).collect():
+        v = sorted(x for g, x in data if by is None or g == r.g)
+        assert (r.q1, r.q2, r.last) == (v[len(v) // 4], v[len(v) // 2], v[-1])
