@@ -21,24 +21,20 @@ def runs(df: DataFrame, order: list[str], by: list[str]) -> DataFrame:
     return stage(laid, "runs")
 
 
-def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & left[n].eqNullSafe(right[n])
-    return cond
+def with_carry(laid: DataFrame, by: list[str], carried: dict[str, Column], totals: dict[str, Column] | None = None) -> DataFrame:
+    """Join each row to what the earlier runs of its group add up to, and to totals of the whole group.
 
-
-def with_carry(laid: DataFrame, by: list[str], carried: list[Column], names: list[str]) -> DataFrame:
-    """Join each row to what the earlier runs of its group add up to.
-
-    ``carried`` are aggregates of one run; sums of them over earlier runs arrive as ``names``.
+    Both come from one table with a row per (group, run), so the groups' sizes need no join on the group alone.
     """
-    per_run = laid.groupBy(*by, RUN).agg(*[c.alias(n) for c, n in zip(carried, names)])
+    totals = totals or {}
+    per_run = laid.groupBy(*by, RUN).agg(*[c.alias(n) for n, c in {**carried, **totals}.items()])
     earlier = Window.partitionBy(*by).orderBy(RUN).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
     carry = per_run.select(
         *[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)],
         F.col(RUN).alias("_krun"),
-        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in names],
+        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in carried],
+        *[F.sum(n).over(whole).alias(n) for n in totals],
     )
     cond = laid[RUN] == carry["_krun"]
     for i, b in enumerate(by):
@@ -47,20 +43,21 @@ def with_carry(laid: DataFrame, by: list[str], carried: list[Column], names: lis
 
 
 def running_sums(
-    df: DataFrame, order: str | list[str], sums: dict[str, str], by: str | list[str] | None = None
+    df: DataFrame, order: str | list[str], sums: dict[str, str], by: str | list[str] | None = None,
+    totals: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums: ``sums`` maps a new column to the column it sums. ``order`` must be total."""
-    order, by = as_list(order), as_list(by)
+    """Add inclusive running sums: ``sums`` maps a new column to the column it sums. ``order`` must be total.
+
+    ``totals`` maps further new columns to columns summed over the whole group.
+    """
+    order, by, totals = as_list(order), as_list(by), totals or {}
     laid = runs(df, order, by)
-    names = [f"_carry_{n}" for n in sums]
-    tied = with_carry(laid, by, [F.sum(c) for c in sums.values()], names)
+    tied = with_carry(laid, by, {f"_carry_{n}": F.sum(c) for n, c in sums.items()}, {n: F.sum(c) for n, c in totals.items()})
     inside = Window.partitionBy(*by, RUN).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return tied.select(
         *df.columns,
-        *[
-            (F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(k)).alias(n)
-            for (n, c), k in zip(sums.items(), names)
-        ],
+        *[(F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_carry_{n}")).alias(n) for n, c in sums.items()],
+        *totals,
     )
 
 
@@ -70,7 +67,7 @@ def positions(
     """Number the rows of each group from 0 in ``order`` (which must be total)."""
     order, by = as_list(order), as_list(by)
     laid = runs(df, order, by)
-    tied = with_carry(laid, by, [F.count(F.lit(1))], ["_before"])
+    tied = with_carry(laid, by, {"_before": F.count(F.lit(1))})
     inside = Window.partitionBy(*by, RUN).orderBy(*order)
     return tied.select(*df.columns, (F.row_number().over(inside) - 1 + F.col("_before")).alias(name))
 
@@ -154,10 +151,8 @@ def element_at_rank(
             if found is not None:
                 return found
     counted = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    summed = running_sums(counted, [value], {"_upto": "_c"}, by)
-    totals = summed.groupBy(*by).agg(F.max("_upto").alias("_n"))
-    joined = summed.join(totals, by) if by else summed.withColumn("_n", totals.scalar())
-    return joined.groupBy(*by).agg(
+    summed = running_sums(counted, [value], {"_upto": "_c"}, by, {"_n": "_c"})
+    return summed.groupBy(*by).agg(
         *[F.min(F.when(F.col("_upto") > rank, F.col(value))).alias(n) for n, rank in ranks.items()]
     )
 

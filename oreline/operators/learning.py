@@ -95,7 +95,8 @@ def frequent_values(df: DataFrame, columns: list[str], top: int, target: str | N
     counts = long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
     best = Window.partitionBy("name").orderBy(F.desc("n"), "value")
     ranked = counts.withColumn("_rn", F.row_number().over(best))
-    wanted = ranked.filter(F.col("_rn") <= F.when(F.col("name") == CLASSES, MOST_CLASSES + 1).otherwise(top))
+    few = ranked.filter(F.col("_rn") <= max(top, MOST_CLASSES + 1))  # a constant, so tasks cut their part before the shuffle
+    wanted = few.filter(F.col("_rn") <= F.when(F.col("name") == CLASSES, MOST_CLASSES + 1).otherwise(top))
     out: dict[str, list[str]] = {}
     for r in wanted.orderBy("name", "_rn").collect():
         out.setdefault(r["name"], []).append(r["value"])
@@ -171,8 +172,8 @@ def estimator(kind: str, task: str, classes: int = 2, features: int = 1, **p) ->
         "logistic": lambda: LogisticRegression(regParam=p.get("lambda", 0.0001), maxIter=p.get("epochs", 100)),
         "tree": lambda: DecisionTreeClassifier(maxDepth=p.get("max_depth", 10), minInstancesPerNode=p.get("min_leaf", 2), seed=7),
         "forest": lambda: RandomForestClassifier(numTrees=p.get("n_trees", 12), maxDepth=p.get("max_depth", 9), featureSubsetStrategy="all", seed=7),
-        "boosting": lambda: boost if classes == 2 else OneVsRest(classifier=boost),
-        "svm": lambda: svc if classes == 2 else OneVsRest(classifier=svc),
+        "boosting": lambda: boost if classes == 2 else OneVsRest(classifier=boost, parallelism=min(classes, 8)),
+        "svm": lambda: svc if classes == 2 else OneVsRest(classifier=svc, parallelism=min(classes, 8)),
         "bayes": lambda: NaiveBayes(modelType="gaussian"),
         "mlp": lambda: MultilayerPerceptronClassifier(layers=[features, max(4, features), classes], seed=7, maxIter=60),
     }

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from oreline.functions.core import as_list, is_numeric, ladder, single
 from oreline.functions.ordered import running_sums
 from oreline.functions.tails import chi2_p, normal_p
 from oreline.operators.quality import long_numbers, long_texts
+from oreline.session import stage
 
 DRIFTED, IMPACT = 0.15, (0.4, 0.15)
 BINS = 100
@@ -37,15 +40,15 @@ def drift_numbers(baseline: DataFrame, batch: DataFrame, columns: list[str]) ->
     """
     cells = _marked(baseline, batch, columns, long_numbers)
     counts = cells.groupBy("name", "value").agg(F.count_if(F.col("_side") == 0).alias("a"), F.count_if(F.col("_side") == 1).alias("b"))
-    upto = running_sums(counts, ["value"], {"ca": "a", "cb": "b"}, ["name"])
+    upto = running_sums(counts, ["value"], {"ca": "a", "cb": "b"}, ["name"], {"na": "a", "nb": "b"})
     side = lambda s, c="value": F.when(F.col("_side") == s, F.col(c))
     base = cells.groupBy("name").agg(
         F.count(side(0)).alias("n_base"), F.count(side(1)).alias("n_batch"),
         F.avg(side(0)).alias("original_mean"), F.avg(side(1)).alias("batch_mean"),
         F.stddev_samp(side(0)).alias("original_std"), F.stddev_samp(side(1)).alias("batch_std"),
     )
-    gaps = upto.join(base.select("name", "n_base", "n_batch"), "name").groupBy("name").agg(
-        F.max(F.abs(F.try_divide(F.col("ca"), F.col("n_base")) - F.try_divide(F.col("cb"), F.col("n_batch")))).alias("_d")
+    gaps = upto.groupBy("name").agg(
+        F.max(F.abs(F.try_divide(F.col("ca"), F.col("na")) - F.try_divide(F.col("cb"), F.col("nb")))).alias("_d")
     )
     return base.join(gaps, "name").select(
         F.col("name").alias("column"), F.round("_d", 4).alias("drift_score"), F.lit("KS").alias("method"),
@@ -120,20 +123,55 @@ def psi(baseline: DataFrame, batch: DataFrame, columns: list[str], bins: int = 1
     return both.join(sizes, "name").groupBy(F.col("name").alias("column")).agg(F.round(F.sum((pb - pa) * F.ln(pb / pa)), 4).alias("psi"))
 
 
-def drift_timeline(baseline: DataFrame, batch: DataFrame, columns: list[str], period: Column, bins: int = BINS) -> DataFrame:
-    """Mean score per period: the largest gap of the distribution functions at the baseline's bin edges."""
+@dataclass
+class BaselineSummary:
+    """What batches are compared with: bin edges, counts per bin, means and deviations. Its size is columns times bins."""
+
+    edges: dict[str, tuple[float, float]]
+    counts: DataFrame
+    moments: DataFrame
+    bins: int
+
+
+def summarize_baseline(baseline: DataFrame, columns: list[str], bins: int = BINS) -> BaselineSummary:
     edges = _bins(baseline, columns, bins)
-    a = _binned(baseline, edges, bins).groupBy("name", "bin").agg(F.count(F.lit(1)).alias("a"))
-    b = _binned(batch.withColumn("period", period), edges, bins, ["period"]).groupBy("period", "name", "bin").agg(F.count(F.lit(1)).alias("b"))
-    slots = b.select("period", "name").distinct().withColumn(
-        "bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint")))
+    counts = _binned(baseline, edges, bins).groupBy("name", "bin").agg(F.count(F.lit(1)).alias("a"))
+    moments = long_numbers(baseline, columns).groupBy("name").agg(
+        F.avg("value").alias("original_mean"), F.stddev_samp("value").alias("original_std")
     )
-    grid = slots.join(a, ["name", "bin"], "left").join(b, ["period", "name", "bin"], "left").fillna(0, ["a", "b"])
+    return BaselineSummary(edges, stage(counts, "baseline"), stage(moments, "moments"), bins)
+
+
+def binned_drift(summary: BaselineSummary, batch: DataFrame, period: Column | None = None, psi_bins: int = 10) -> DataFrame:
+    """Per column (and period): the largest gap of the distribution functions at the baseline's bin edges, the
+    stability index over coarser bins, and the batch's mean. The baseline itself is not read again."""
+    bins = summary.bins
+    rows = batch.withColumn("period", period if period is not None else F.lit("all"))
+    b = _binned(rows, summary.edges, bins, ["period"]).groupBy("period", "name", "bin").agg(F.count(F.lit(1)).alias("b"), F.sum("value").alias("v"))
+    slots = b.select("period", "name").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))))
+    grid = slots.join(summary.counts, ["name", "bin"], "left").join(b, ["period", "name", "bin"], "left").fillna(0, ["a", "b"])
     spec = Window.partitionBy("period", "name").orderBy("bin")  # one row per bin
     whole = Window.partitionBy("period", "name")
-    gap = F.abs(F.sum("a").over(spec) / F.sum("a").over(whole) - F.sum("b").over(spec) / F.sum("b").over(whole))
-    per_column = grid.withColumn("_g", gap).groupBy("period", "name").agg(F.max("_g").alias("_d"))
-    return per_column.groupBy("period").agg(F.round(F.avg("_d"), 4).alias("drift_score"))
+    shares = grid.withColumns({"_a": F.col("a") / F.sum("a").over(whole), "_b": F.col("b") / F.sum("b").over(whole)})
+    gaps = shares.withColumn("_gap", F.abs(F.sum("_a").over(spec) - F.sum("_b").over(spec)))
+    coarse = gaps.groupBy("period", "name", F.floor(F.col("bin") * psi_bins / bins).alias("_c")).agg(
+        F.max("_gap").alias("_gap"), F.sum("_a").alias("_a"), F.sum("_b").alias("_b"), F.sum("v").alias("_v"), F.sum("b").alias("_n")
+    )
+    pa, pb = F.greatest("_a", F.lit(0.0001)), F.greatest("_b", F.lit(0.0001))
+    out = coarse.groupBy("period", "name").agg(
+        F.round(F.max("_gap"), 4).alias("drift_score"), F.round(F.sum((pb - pa) * F.ln(pb / pa)), 4).alias("psi"),
+        F.round(F.sum("_v") / F.sum("_n"), 3).alias("batch_mean"), F.sum("_n").alias("n"),
+    )
+    return out.join(summary.moments, "name").select(
+        F.col("name").alias("column"), "period", "n", "drift_score", "psi", F.round("original_mean", 3).alias("original_mean"), "batch_mean",
+        (F.col("drift_score") > DRIFTED).alias("drifted"), impact(F.col("drift_score")).alias("impact"),
+    )
+
+
+def drift_timeline(baseline: DataFrame, batch: DataFrame, columns: list[str], period: Column, bins: int = BINS) -> DataFrame:
+    """Mean score of the columns per period."""
+    found = binned_drift(summarize_baseline(baseline, columns, bins), batch, period)
+    return found.groupBy("period").agg(F.round(F.avg("drift_score"), 4).alias("drift_score"))
 
 
 def retrain_trigger(summary: DataFrame, accuracy_before: Column, accuracy_now: Column) -> DataFrame:

@@ -403,10 +403,10 @@ def threshold_accuracy(cells: DataFrame) -> DataFrame:
     counted = cells.join(F.broadcast(sizes), "name").groupBy("name", "value").agg(
         F.count_if(F.col("_y") == F.col("c1")).alias("pos"), F.count_if(F.col("_y") == F.col("c0")).alias("neg")
     )
-    summed = running_sums(counted, ["value"], {"lp": "pos", "ln": "neg"}, ["name"])
-    totals = summed.groupBy("name").agg(F.max("lp").alias("P"), F.max("ln").alias("N"), F.max("value").alias("last"))
+    summed = running_sums(counted, ["value"], {"lp": "pos", "ln": "neg"}, ["name"], {"P": "pos", "N": "neg"})
     right = F.greatest(F.col("ln") + F.col("P") - F.col("lp"), F.col("lp") + F.col("N") - F.col("ln")) / (F.col("P") + F.col("N"))
-    return summed.join(F.broadcast(totals), "name").filter(F.col("value") < F.col("last")).groupBy("name").agg(
+    # the last value has everything on its left, which is no threshold
+    return summed.filter(F.col("lp") + F.col("ln") < F.col("P") + F.col("N")).groupBy("name").agg(
         F.max(right).alias("threshold_accuracy")
     )
 

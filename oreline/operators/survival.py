@@ -17,9 +17,7 @@ def kaplan_meier(df: DataFrame, time: str, event: str, by=None) -> DataFrame:
     t = df.groupBy(*by, F.col(time).alias("time")).agg(
         F.count_if(F.col(event) == 1).alias("events"), F.count_if(F.col(event) != 1).alias("censored")
     ).withColumn("_gone", F.col("events") + F.col("censored"))
-    upto = running_sums(t, ["time"], {"_left": "_gone"}, by)
-    sizes = t.groupBy(*by).agg(F.sum("_gone").alias("_n"))
-    sized = upto.join(sizes, by) if by else upto.withColumn("_n", sizes.scalar())
+    sized = running_sums(t, ["time"], {"_left": "_gone"}, by, {"_n": "_gone"})
     risk = sized.withColumn("at_risk", F.col("_n") - F.col("_left") + F.col("_gone"))
     stays = 1 - F.col("events") / F.col("at_risk")
     logs = risk.withColumns({"_ln": F.when(stays > 0, F.ln(F.when(stays > 0, stays))).otherwise(0.0), "_zero": (stays <= 0).cast("int")})
@@ -42,9 +40,8 @@ def log_rank(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
     t = df.groupBy(F.col(time).alias("time")).agg(
         F.count_if(dead).alias("d"), F.count_if(dead & first).alias("da"), F.count(F.lit(1)).alias("g"), F.count_if(first).alias("ga")
     )
-    upto = running_sums(t, ["time"], {"_g": "g", "_ga": "ga"})
-    n = single(t.agg(F.sum("g").alias("n"), F.sum("ga").alias("na")))
-    r = upto.withColumns({"n": n["n"] - F.col("_g") + F.col("g"), "na": n["na"] - F.col("_ga") + F.col("ga")})
+    upto = running_sums(t, ["time"], {"_g": "g", "_ga": "ga"}, None, {"_n": "g", "_na": "ga"})
+    r = upto.withColumns({"n": F.col("_n") - F.col("_g") + F.col("g"), "na": F.col("_na") - F.col("_ga") + F.col("ga")})
     share = F.col("na") / F.col("n")
     var = F.when(F.col("n") > 1, F.col("d") * share * (1 - share) * (F.col("n") - F.col("d")) / F.when(F.col("n") > 1, F.col("n") - 1)).otherwise(0.0)
     s = r.agg(F.sum("da").alias("observed"), F.sum(F.col("d") * share).alias("expected"), F.sum(var).alias("_v"))
@@ -80,9 +77,8 @@ def concordance(df: DataFrame, time: str, event: str, risk: str, bins: int = 200
     cells = df.groupBy(F.col(time).alias("time"), at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(event) == 1).alias("e"))
     steps = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin")
     grid = cells.select("time").distinct().select("time", steps).join(cells, ["time", "bin"], "left").fillna(0, ["n", "e"])
-    upto = running_sums(grid, ["time"], {"_upto": "n"}, ["bin"])
-    totals = cells.groupBy("bin").agg(F.sum("n").alias("_all"))
-    later = upto.join(totals, "bin", "left").withColumn("later", F.coalesce("_all", F.lit(0)) - F.col("_upto"))
+    upto = running_sums(grid, ["time"], {"_upto": "n"}, ["bin"], {"_all": "n"})
+    later = upto.withColumn("later", F.col("_all") - F.col("_upto"))
     spec = Window.partitionBy("time").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # one row per step
     seen = later.withColumns({"_below": F.coalesce(F.sum("later").over(spec), F.lit(0)), "_every": F.sum("later").over(Window.partitionBy("time"))})
     won = F.col("e") * (F.col("_below") + F.col("later") / 2)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from oreline.functions.core import as_list
 from oreline.operators.learning import Fitted
-from oreline.operators.monitoring import drift_report, psi
+from oreline.operators.monitoring import binned_drift, summarize_baseline
 from oreline.session import scratch_path
 
 
@@ -86,17 +86,13 @@ def run_updates(stream: DataFrame, keys, path: str | None = None, checkpoint: st
 
 
 def run_drift(stream: DataFrame, baseline: DataFrame, columns: list[str], path: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Compare every micro-batch with the baseline; one report per batch."""
+    """Compare every micro-batch with the baseline; one report per batch. The baseline is summarised once."""
     spark = stream.sparkSession
     path = path or scratch_path(spark, "drift")
+    summary = summarize_baseline(baseline, columns)
 
     def compare(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
-            return
-        batch = batch.persist()
-        numbers = psi(baseline, batch, columns)
-        drift_report(baseline, batch, columns).join(numbers, "column", "left").write.mode("overwrite").parquet(f"{path}/batch={number}")
-        batch.unpersist()
+        binned_drift(summary, batch).drop("period").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     q = (
         stream.writeStream.foreachBatch(compare).option("checkpointLocation", checkpoint or scratch_path(spark, "stream-state"))
