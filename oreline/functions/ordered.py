@@ -3,6 +3,9 @@
 Rows are range-partitioned by (group, order) and stored once with the number of their range ("run").
 Each run is then handled on its own and the runs of a group are tied together through a small carry
 table with one row per (group, run). A group that holds a third of the data is spread over many runs.
+
+Where a count shows that no group has more than ``PLAIN_ROWS`` rows, an ordinary window does the same with
+one shuffle and nothing written.
 """
 
 from __future__ import annotations
@@ -13,6 +16,13 @@ from oreline.functions.core import as_list
 from oreline.session import stage
 
 RUN = "_run"
+PLAIN_ROWS = 500_000
+
+
+def groups_are_small(df: DataFrame, by: list[str]) -> bool:
+    """Whether one task can hold any group; the count is combined map-side."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    return (sizes.agg(F.max("_n")).first()[0] or 0) <= PLAIN_ROWS
 
 
 def runs(df: DataFrame, order: list[str], by: list[str]) -> DataFrame:
@@ -51,6 +61,13 @@ def running_sums(
     ``totals`` maps further new columns to columns summed over the whole group.
     """
     order, by, totals = as_list(order), as_list(by), totals or {}
+    if groups_are_small(df, by):
+        upto = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        whole = Window.partitionBy(*by)
+        return df.select(
+            *df.columns, *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(n) for n, c in sums.items()],
+            *[F.sum(c).over(whole).alias(n) for n, c in totals.items()],
+        )
     laid = runs(df, order, by)
     tied = with_carry(laid, by, {f"_carry_{n}": F.sum(c) for n, c in sums.items()}, {n: F.sum(c) for n, c in totals.items()})
     inside = Window.partitionBy(*by, RUN).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -66,6 +83,8 @@ def positions(
 ) -> DataFrame:
     """Number the rows of each group from 0 in ``order`` (which must be total)."""
     order, by = as_list(order), as_list(by)
+    if groups_are_small(df, by):
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint") - 1)
     laid = runs(df, order, by)
     tied = with_carry(laid, by, {"_before": F.count(F.lit(1))})
     inside = Window.partitionBy(*by, RUN).orderBy(*order)
@@ -76,6 +95,10 @@ def forward_filled(df: DataFrame, value: str, order: str | list[str], by=None, n
     """The last present value at or before each row."""
     order, by = as_list(order), as_list(by)
     name = name or value
+    keep = [c for c in df.columns if c != name]
+    if groups_are_small(df, by):
+        upto = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select(*keep, F.last(value, ignorenulls=True).over(upto).alias(name))
     laid = runs(df, order, by)
     per_run = laid.groupBy(*by, RUN).agg(
         F.max_by(F.struct(value), F.when(F.col(value).isNotNull(), F.struct(*order)))[value].alias("_last")
@@ -91,7 +114,6 @@ def forward_filled(df: DataFrame, value: str, order: str | list[str], by=None, n
         cond = cond & laid[b].eqNullSafe(carry[f"_k{i}"])
     inside = Window.partitionBy(*by, RUN).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     filled = F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_carried"))
-    keep = [c for c in df.columns if c != name]
     return laid.join(carry, cond, "left").select(*keep, filled.alias(name))
 
 

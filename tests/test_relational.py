@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from oreline.functions import ordered
 from oreline.functions.core import bucket, number_in
 from oreline.functions.ordered import _fenced, element_at_rank, forward_filled, positions, running_sums, with_history
 from oreline.operators import aggregates as ag, joins as jn, selection as sl, windows as wn
@@ -73,8 +74,11 @@ def test_distinct_and_duplicates(spark):
     assert jn.drop_duplicates(df).count() == 2
 
 
+@pytest.mark.parametrize("plain", [0, 10_000])
 @pytest.mark.parametrize("parts", [1, 7])
-def test_ordered_work_does_not_depend_on_partitions(spark, parts):
+def test_ordered_work_does_not_depend_on_partitions(spark, parts, plain, monkeypatch):
+    """Both ways: ranges with a carry table (any size) and ordinary windows (small groups)."""
+    monkeypatch.setattr(ordered, "PLAIN_ROWS", plain)
     data = [(i, "hot" if i % 3 else "cold", float(i * i % 17) if i % 4 else None) for i in range(500)]
     df = spark.createDataFrame(data, "i int, g string, v double").repartition(parts)
     want_pos, want_sum, want_fill, seen, acc, last = {}, {}, {}, {}, {}, {}
@@ -86,7 +90,10 @@ def test_ordered_work_does_not_depend_on_partitions(spark, parts):
         last[g] = v if v is not None else last.get(g)
         want_fill[i] = last[g]
     assert {r.i: r.position for r in positions(df, "i", "g").collect()} == want_pos
-    assert {r.i: r.s for r in running_sums(df, "i", {"s": "v"}, "g").collect()} == want_sum
+    summed = running_sums(df, "i", {"s": "v"}, "g", {"t": "v"}).collect()
+    assert {r.i: r.s for r in summed} == want_sum and all(r.t == acc[r.g] for r in summed)
+    alone = {r.i: (r.s, r.position) for r in positions(running_sums(df, "i", {"s": "v"}), "i").collect()}
+    assert alone[499] == (sum(acc.values()), 499)
     assert {r.i: r.v for r in forward_filled(df, "v", "i", "g").collect()} == want_fill
 
 
@@ -100,7 +107,9 @@ def test_history_crosses_chunks(spark):
         assert got[i] == (round(sum(part) / len(part), 9), v[i - 3] if i >= 3 else None)
 
 
-def test_element_at_rank(spark):
+@pytest.mark.parametrize("plain", [0, 10_000])
+def test_element_at_rank(spark, plain, monkeypatch):
+    monkeypatch.setattr(ordered, "PLAIN_ROWS", plain)
     df = spark.createDataFrame([(float(x),) for x in [5, 1, 1, 1, 9, 7]], "v double")
     out = element_at_rank(df, "v", {"a": F.lit(2), "b": F.lit(3), "c": F.col("_n") - 1}).first()
     assert (out.a, out.b, out.c) == (1.0, 5.0, 9.0)
