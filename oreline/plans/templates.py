@@ -57,7 +57,7 @@ def credit(target, key, numbers, texts):
 def text_classification(target, key, text):
     return [
         Step("tokens", "tokenizer", {"column": text}),
-        Step("size", "feature_engineering", {"formulas": {"size": f"log(1 + n_chars)"}}),
+        Step("size", "feature_engineering", {"formulas": {"size": "log(1 + n_chars)"}}),
         Step("train", "classification", {"target": target, "key": key, "models": ["logistic"], "columns": ["size", "n_chars"]}),
     ]
 
