@@ -443,7 +443,17 @@ def cluster_profile(t):
     return cl.cluster_profile(rows, "cluster", ["x"])
 
 
-@query("dbscan")
+@query(
+    "dbscan",
+    """WITH RECURSIVE p AS (SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_custkey <> b.c_custkey
+                            AND ((a.c_acctbal - b.c_acctbal) / 100) ^ 2 + (a.c_nationkey - b.c_nationkey) ^ 2 <= 1.44),
+       core AS (SELECT a AS id FROM p GROUP BY 1 HAVING count(*) >= 5), e AS (SELECT a, b FROM p WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+       r AS (SELECT id, id AS root FROM core UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+       c AS (SELECT id, min(root) AS root FROM r GROUP BY 1), n AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster FROM (SELECT DISTINCT root FROM c)),
+       l AS (SELECT id, cluster FROM c JOIN n USING (root))
+       SELECT c_custkey AS id, coalesce((SELECT cluster FROM l WHERE l.id = c_custkey), (SELECT min(cluster) FROM p JOIN l ON p.b = l.id WHERE p.a = c_custkey), -1)::BIGINT AS cluster
+       FROM customer""",
+)
 def dbscan(t):
     rows = t.customer.select("c_custkey", (F.col("c_acctbal") / 100).alias("x"), F.col("c_nationkey").cast("double").alias("y"))
     return cl.dbscan(rows, "c_custkey", ["x", "y"], 1.2, 5)
