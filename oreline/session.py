@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folders of local sessions without the setting, by application.
+_OWN: dict[str, str] = {}
+
 
 def local_session(app: str = "oreline", cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the bench; on a cluster pass your own session to the operators."""
@@ -26,16 +30,17 @@ def local_session(app: str = "oreline", cores: str = "*", partitions: int = 8, m
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a temporary folder of its own.
+    Only a session in a single process (``local`` or ``local[...]``) without the setting gets a folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="oreline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="oreline-")
+    return _OWN[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
