@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from oreline.llm.common import slices
+from oreline.llm.common import schema_with, slices
 
 #: Entries that a worker's tables of known answers hold. They only save time.
 MOST_KEPT = 800_000
@@ -245,7 +245,7 @@ def encode_documents(docs: DataFrame, shared, text: str = "text") -> DataFrame:
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(rows)))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(sizes), ids], names=[*keep, "n_tokens", "ids"])
 
-    schema = docs.select(*keep).schema.add("n_tokens", "bigint").add("ids", "array<int>")
+    schema = schema_with(docs.select(*keep), "n_tokens bigint, ids array<int>")
     return docs.select(*keep, text).mapInArrow(run, schema)
 
 
@@ -261,7 +261,7 @@ def decode_documents(encoded: DataFrame, shared, ids: str = "ids", text: str = "
                 texts = [codec.decode(x or []) for x in part.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, text])
 
-    return encoded.select(*keep, ids).mapInArrow(run, encoded.select(*keep).schema.add(text, "string"))
+    return encoded.select(*keep, ids).mapInArrow(run, schema_with(encoded.select(*keep), f"`{text}` string"))
 
 
 def digests(docs: DataFrame, shared, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -278,5 +278,5 @@ def digests(docs: DataFrame, shared, key: str = "doc_id", text: str = "text") ->
                 back.append(hashlib.sha256(codec.decode(np.frombuffer(packed, "<u4")).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column(key), pa.array(counts, pa.int64()), pa.array(ids), pa.array(back)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    schema = docs.select(key).schema.add("n_tokens", "bigint").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = schema_with(docs.select(key), "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     return docs.select(key, text).mapInArrow(run, schema)

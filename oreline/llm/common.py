@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 #: White space between words, as in every contract: blank and the control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,6 +16,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def schema_with(df: DataFrame, more: str) -> StructType:
+    """The schema of ``df`` and the columns of ``more``, such as ``n bigint, ids array<int>``."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
 def held_out(key: str = "doc_id") -> Column:
     """Whether crc32 of the id as text leaves no remainder modulo 5. A null id counts as an empty text, so it is held out."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % 5 == 0

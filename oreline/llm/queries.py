@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from oreline.llm.bpe import digests, share
 from oreline.llm.common import table
+from oreline.llm.dedup import near_duplicates
 from oreline.llm.mixing import mixed_sizes, mixing_sql
 from oreline.llm.sharding import extendible_shards, extendible_sql
 
@@ -28,7 +29,11 @@ def op5_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed_sizes(table(spark, folder, "documents")).drop("source")
 
 
+def op8_superminhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_extendible_shards, op4_bpe, op5_mix)
+    f.__name__: f for f in (op1_extendible_shards, op4_bpe, op5_mix, op8_superminhash)
 }
 TWINS: dict[str, str] = {"op1_extendible_shards": extendible_sql(SHARD_BYTES), "op5_mix": mixing_sql()}
