@@ -53,14 +53,16 @@ def split_pattern() -> str:
 
 def read_vocabulary(path: str) -> dict:
     """Tables of a byte-level vocabulary file of the tokenizers library, read on the driver; about 2 MB."""
-    with open(path, encoding="utf-8") as f:
-        whole = json.load(f)
+    with open(path, "rb") as f:
+        data = f.read()
+    whole = json.loads(data)
     letters, vocab = byte_letters(), whole["model"]["vocab"]
     spelt = {i: bytes(letters[c] for c in t) for t, i in vocab.items() if all(c in letters for c in t)}
     added = {t["content"]: t["id"] for t in whole["added_tokens"]}
     spelt |= {i: t.encode() for t, i in added.items()}
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in whole["model"]["merges"]]
     return {
+        "name": hashlib.sha256(data).hexdigest(),
         "tokens": [spelt[i] for i in range(max(spelt) + 1)],
         "merges": [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges],
         "added": added,
@@ -217,14 +219,16 @@ class Codec:
         return self.decode_bytes(np.asarray(tokens, np.int64)).decode("utf-8", "replace")
 
 
-_MADE: dict[int, Codec] = {}
+_MADE: dict[str, Codec] = {}
 
 
 def _codec(shared) -> Codec:
-    if shared.id not in _MADE:
+    """The codec of a worker, which keeps it for its next tasks."""
+    name = shared.value["name"]
+    if name not in _MADE:
         _MADE.clear()
-        _MADE[shared.id] = Codec(shared.value)
-    return _MADE[shared.id]
+        _MADE[name] = Codec(shared.value)
+    return _MADE[name]
 
 
 def share(spark: SparkSession, path: str):

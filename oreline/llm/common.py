@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -46,7 +47,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: in
     """Parts of the batches with about ``most_bytes`` of text, one row at least, and their texts (null: empty)."""
     for batch in batches:
         column = batch.column(text)
-        sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist() if batch.num_rows else []
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist() if batch.num_rows else []
         start, total = 0, 0
         for i, n in enumerate(sizes):
             if i > start and total + n > most_bytes:

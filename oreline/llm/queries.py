@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from oreline.llm.bpe import digests, share
-from oreline.llm.common import table
+from oreline.llm.common import held_out, table
 from oreline.llm.dedup import near_duplicates
+from oreline.llm.language import fit_language, predict_language
 from oreline.llm.mixing import mixed_sizes, mixing_sql
+from oreline.llm.quality import fit_quality, score_quality
 from oreline.llm.sharding import extendible_shards, extendible_sql
+from oreline.llm.toxicity import fit_toxicity, score_toxicity
 
 #: Bytes of text in a shard.
 SHARD_BYTES = 64 << 20
@@ -21,6 +24,12 @@ def op1_extendible_shards(spark: SparkSession, folder: str) -> DataFrame:
     return extendible_shards(table(spark, folder, "documents"), "doc_id", "text", SHARD_BYTES)
 
 
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = predict_language(docs.drop("lang"), fit_language(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return digests(table(spark, folder, "documents"), share(spark, public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -29,11 +38,26 @@ def op5_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed_sizes(table(spark, folder, "documents")).drop("source")
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = score_toxicity(docs, fit_toxicity(docs, table(spark, folder, "labels")))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
+
+
 def op8_superminhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = score_quality(docs, fit_quality(docs, table(spark, folder, "labels")))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
+#: The least score of a good document.
+GOOD = 0.3
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_extendible_shards, op4_bpe, op5_mix, op8_superminhash)
+    f.__name__: f for f in (op1_extendible_shards, op2_language, op4_bpe, op5_mix, op6_toxicity, op8_superminhash, op10_quality)
 }
 TWINS: dict[str, str] = {"op1_extendible_shards": extendible_sql(SHARD_BYTES), "op5_mix": mixing_sql()}
