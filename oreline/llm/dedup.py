@@ -161,7 +161,8 @@ def _sets(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
         for part, texts in slices(batches, "text", 1 << 20):
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], names=["id", "shingles"])
 
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
+    # The same plan at every size: ids grow with the corpus, so they are not sent to every task.
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids.hint("merge"), "id", "left_semi")
     return rows.mapInArrow(run, schema_with(rows.select("id"), "shingles binary"))
 
 
