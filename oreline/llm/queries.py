@@ -12,6 +12,7 @@ from oreline.llm.common import held_out, table
 from oreline.llm.dedup import near_duplicates
 from oreline.llm.language import fit_language, predict_language
 from oreline.llm.mixing import mixed_sizes, mixing_sql
+from oreline.llm.personal import fit_field, personal_digests
 from oreline.llm.quality import fit_quality, score_quality
 from oreline.llm.sharding import extendible_shards, extendible_sql
 from oreline.llm.toxicity import fit_toxicity, score_toxicity
@@ -30,6 +31,11 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op3_personal(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return personal_digests(docs, fit_field(docs))
+
+
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return digests(table(spark, folder, "documents"), share(spark, public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -58,6 +64,6 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 GOOD = 0.3
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_extendible_shards, op2_language, op4_bpe, op5_mix, op6_toxicity, op8_superminhash, op10_quality)
+    f.__name__: f for f in (op1_extendible_shards, op2_language, op3_personal, op4_bpe, op5_mix, op6_toxicity, op8_superminhash, op10_quality)
 }
 TWINS: dict[str, str] = {"op1_extendible_shards": extendible_sql(SHARD_BYTES), "op5_mix": mixing_sql()}
