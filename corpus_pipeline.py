@@ -5,14 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from oreline.llm.bpe import encode_documents, share
 from oreline.llm.common import table
+from oreline.llm.dedup import near_duplicates
 from oreline.llm.mixing import mixed_documents
+from oreline.llm.personal import fit_field, mask_personal
+from oreline.llm.quality import fit_quality, score_quality
+from oreline.llm.queries import GOOD
 from oreline.session import scratch_path
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted to ``labels``, takes for good; empty ones are scored like any other."""
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")), name="_good")
+    return scored.filter(F.col("_good") >= GOOD).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest id; of a repeated id, the row of the smallest text.
+
+    Documents without words are in no group and stay, and so do rows without an id.
+    """
+    kept = near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    found = docs.join(kept.hint("merge"), docs["doc_id"] == kept["_id"], "left_semi")
+    first = found.withColumn("_place", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).filter("_place = 1").select(*docs.columns)
+    return first.unionByName(docs.filter("doc_id is null"))
+
+
+def personal_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind and ``n_chars`` counted anew."""
+    return mask_personal(docs, fit_field(docs), length="n_chars")
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix to target weights takes them; a part of one where blocks take a part."""
     return mixed_documents(docs)
@@ -24,6 +50,9 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("personal", personal_stage),
     ("mixing", mix_stage),
     ("bpe", token_stage),
 ]

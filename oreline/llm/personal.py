@@ -8,7 +8,7 @@ data of these kinds and only serve as context): ``none, email, ip, card, phone``
 * a skip factor between tokens, however far apart, whose digits or letters are the same or nearly so.
 
 Weights are fitted to the base spans of a bounded sample by pseudo-likelihood, where each label is predicted from the
-token's features and the labels around it. In a document, loopy belief propagation passes messages along chain and skip edges until
+token's features and the labels around it. Tokens in matches that ran over their kind's length are left out of the fit. In a document, loopy belief propagation passes messages along chain and skip edges until
 beliefs settle; base labels are held fixed. Tokens whose belief in a kind is high enough become added spans of that kind.
 """
 
@@ -86,6 +86,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def swallowed(text: str) -> list[tuple[int, int]]:
+    """Matches that fail because they run over the most digits of their kind: what they hold is unknown, not clean."""
+    found = [m.span() for p, most in ((_CARD, 19), (_PHONE, 15)) for m in p.finditer(text) if len(_digits(m[0])) > most]
+    return sorted(found)
+
+
 def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
@@ -186,7 +192,10 @@ def fit_field(docs: DataFrame, key: str = "doc_id", text: str = "text", document
                 # Long tables of numbers count by their first thousand tokens in the fit, not in the labelling.
                 found = found[:1000]
                 links = edges(t, found)
-                yield pa.RecordBatch.from_arrays([pa.array([base_labels(found, base_spans(t))], pa.list_(pa.int32())), pa.array([token_features(t, found)], pa.list_(pa.list_(pa.int32()))), pa.array([[list(e) for e in links]], pa.list_(pa.list_(pa.int32())))], names=["labels", "features", "edges"])
+                labels = base_labels(found, base_spans(t))
+                unknown = base_labels(found, [(0, a, b) for a, b in swallowed(t)])
+                labels = [-1 if u and not y else y for y, u in zip(labels, unknown)]
+                yield pa.RecordBatch.from_arrays([pa.array([labels], pa.list_(pa.int32())), pa.array([token_features(t, found)], pa.list_(pa.list_(pa.int32()))), pa.array([[list(e) for e in links]], pa.list_(pa.list_(pa.int32())))], names=["labels", "features", "edges"])
 
     seen = drawn.mapInArrow(read, "labels array<int>, features array<array<int>>, edges array<array<int>>").collect()
     y, x, around = [], [], []
@@ -197,13 +206,15 @@ def fit_field(docs: DataFrame, key: str = "doc_id", text: str = "text", document
         for i, j, kind in r.edges:
             around += [(at + i, at + j, kind, 0), (at + j, at + i, kind, 1)]
     node, pair = np.zeros((BUCKETS, LABELS)), np.zeros((2, LABELS, LABELS))
-    if not y or not any(y):
+    if not any(label > 0 for label in y):
         node[:, 0] = 1.0
         return {"node": node, "pair": pair}
     y, x = np.array(y), np.array(x)
     around = np.array(around, int).reshape(-1, 4)
+    around = around[(y[around[:, 0]] >= 0) & (y[around[:, 1]] >= 0)]
     i, j, kind, back = around.T
-    target = np.eye(LABELS)[y]
+    known = y >= 0
+    target = np.eye(LABELS)[np.maximum(y, 0)]
     g_node, g_pair = np.full(node.shape, 1e-8), np.full(pair.shape, 1e-8)
     sides = [(k, back_, (kind == k) & (back == back_)) for k in (0, 1) for back_ in (0, 1)]
     for _ in range(rounds):
@@ -211,7 +222,7 @@ def fit_field(docs: DataFrame, key: str = "doc_id", text: str = "text", document
         for k, later, on in sides:
             np.add.at(logits, i[on], (pair[k] if later else pair[k].T)[y[j[on]]])
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        err = p / p.sum(axis=1, keepdims=True) - target
+        err = (p / p.sum(axis=1, keepdims=True) - target) * known[:, None]
         grad, grad_pair = np.zeros_like(node), np.zeros_like(pair)
         np.add.at(grad, x.ravel(), np.repeat(err, x.shape[1], axis=0))
         for k, later, on in sides:
