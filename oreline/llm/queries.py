@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from oreline.llm.bpe import digests, share
 from oreline.llm.common import held_out, table
 from oreline.llm.dedup import near_duplicates
+from oreline.llm.embeddings import near_vectors
+from oreline.llm.fingerprint import edited_fingerprints
 from oreline.llm.language import fit_language, predict_language
 from oreline.llm.mixing import mixed_sizes, mixing_sql
 from oreline.llm.personal import fit_field, personal_digests
@@ -50,10 +52,18 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
 
 
+def op7_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return edited_fingerprints(table(spark, folder, "documents"))
+
+
 def op8_superminhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op9_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings"))
+
+
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = score_quality(docs, fit_quality(docs, table(spark, folder, "labels")))
@@ -64,6 +74,6 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 GOOD = 0.3
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_extendible_shards, op2_language, op3_personal, op4_bpe, op5_mix, op6_toxicity, op8_superminhash, op10_quality)
+    f.__name__: f for f in (op1_extendible_shards, op2_language, op3_personal, op4_bpe, op5_mix, op6_toxicity, op7_order_minhash, op8_superminhash, op9_embeddings, op10_quality)
 }
 TWINS: dict[str, str] = {"op1_extendible_shards": extendible_sql(SHARD_BYTES), "op5_mix": mixing_sql()}
