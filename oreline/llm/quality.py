@@ -1,12 +1,15 @@
 """Quality by compression: a text is good if a dictionary of good texts packs it better than one of bad texts.
 
-Two Zstandard dictionaries are trained on pieces of labelled texts. Every piece of a text is packed with both; the difference
-of the packed sizes over their sum, and how well the text packs at all, go through a logistic fit on other labelled texts.
+Two Zstandard dictionaries are trained on labelled texts with their words shuffled, so that they hold habits of writing and not
+passages, which good and bad texts may share. Every piece of a text is packed with both; the difference of the packed
+sizes over their sum, and how well the text packs at all, go through a logistic fit on other labelled texts.
 """
 
 from __future__ import annotations
 
 import math
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +22,9 @@ from oreline.llm.common import held_out, labelled_sample, logistic, schema_with,
 #: Bytes of a piece, so that a dictionary counts throughout a long text.
 PIECE = 2048
 LEVEL = 3
+#: Bytes of a sample for a dictionary.
+SAMPLE = 512
+WORDS = re.compile(r"\S+\s*").findall
 
 
 def _pieces(text: str) -> list[bytes]:
@@ -26,10 +32,18 @@ def _pieces(text: str) -> list[bytes]:
     return [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
 
 
+def _shuffled(text: str, most: int) -> list[bytes]:
+    """At most ``most`` pieces of a whole text with its words in an order drawn from its checksum."""
+    words = WORDS(text)
+    order = np.random.RandomState(zlib.crc32(text.encode())).permutation(len(words))
+    data = "".join([words[i] for i in order]).encode()
+    return [data[i : i + SAMPLE] for i in range(0, len(data), SAMPLE)][:most]
+
+
 def _dictionary(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary, or the samples themselves where they are too few to train on."""
     try:
-        return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=64, d=6, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
@@ -55,10 +69,10 @@ class Packer:
         return d, r, d * d, r * r, d * r
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", per_class: int = 4000, pieces: int = 2000, dictionary_bytes: int = 112_640) -> dict:
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", per_class: int = 4000, pieces: int = 6000, per_text: int = 3, dictionary_bytes: int = 112_640) -> dict:
     """Dictionaries and weights from at most ``per_class`` labelled documents of each class, learning rows only.
 
-    Half of them give the dictionaries (``pieces`` different pieces of each class), the other half the logistic fit. The share of
+    Half of them give the dictionaries (``pieces`` different samples of each class, ``per_text`` of a text), the other half the logistic fit. The share of
     the classes is counted over all labels. Without both classes every score is the share of label 1.
     """
     sample = labelled_sample(labels, label, per_class, key)
@@ -69,7 +83,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", key:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            found = [(y, p) for y, t in zip(part.column("y").to_pylist(), texts) for p in _pieces(t)]
+            found = [(y, p) for y, t in zip(part.column("y").to_pylist(), texts) for p in _shuffled(t, per_text)]
             yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in found], pa.int32()), pa.array([p for _, p in found], pa.binary())], names=["y", "piece"])
 
     each = rows.filter(for_pieces).select("y", "text").mapInArrow(cut, "y int, piece binary")
