@@ -58,16 +58,36 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: in
             yield batch.slice(start), [t or "" for t in column.slice(start).to_pylist()]
 
 
-def logistic(features, y, l2: float = 1e-3, rounds: int = 60):
-    """Weights and bias (last) of a logistic fit by Newton steps; ``features`` is a small dense matrix."""
+def logistic(features, y, l2: float = 1e-2, rounds: int = 100):
+    """Weights and bias (last) of a ridge logistic fit by Newton steps that are halved until they help.
+
+    Columns are scaled to unit spread for the fit, so that the ridge treats them alike; the bias is free of it.
+    """
     import numpy as np
 
-    x = np.column_stack([np.asarray(features, float), np.ones(len(y))])
-    y, w = np.asarray(y, float), np.zeros(x.shape[1])
+    x, y = np.asarray(features, float).reshape(len(y), -1), np.asarray(y, float)
+    mean, spread = x.mean(axis=0), x.std(axis=0)
+    spread[spread == 0] = 1.0
+    x = np.column_stack([(x - mean) / spread, np.ones(len(y))])
+    ridge = np.full(x.shape[1], l2)
+    ridge[-1] = 1e-9
+
+    def loss(w):
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + (ridge * w * w).sum() / 2)
+
+    w = np.zeros(x.shape[1])
+    now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + l2 * np.eye(len(w)), x.T @ (p - y) + l2 * w)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
+        size = 1.0
+        while (then := loss(w - size * step)) > now and size > 1e-8:
+            size /= 2
+        w -= size * step
+        done, now = now - then < 1e-10 * (1 + abs(now)), min(now, then)
+        if done:
             break
+    w[:-1] /= spread
+    w[-1] -= w[:-1] @ mean
     return w
