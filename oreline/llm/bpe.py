@@ -191,7 +191,7 @@ class Codec:
                     joined.append(" ".join(run))
                     run = [w]
             words = [*joined, " ".join(run)]
-        out = [self._unit(words[0])]
+        out = [self._unit(words[0])] if words[0] else []
         known, unit_of = self.known_units.young, self._unit
         for w in words[1:]:
             w = " " + w

@@ -61,7 +61,8 @@ def plan_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     rows = units.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("_hash", hash60(name)).withColumn("shard", F.col("_hash") % shards)
     # Quotas: one row per shard and source.
-    votes = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * F.col("stream") / block_words).otherwise(F.lit(0.0))
+    blocks = F.ceil(F.col("stream") / block_words).cast("bigint")
+    votes = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * blocks).otherwise(F.lit(0.0))
     streams = rows.groupBy("shard", "place", "source_size", "target").agg(F.sum(F.col("size") * F.col("copies")).cast("bigint").alias("stream")).withColumn("votes", votes)
     shard = W.partitionBy("shard")
     some = streams.filter("votes > 0").withColumn("_all", F.sum(F.floor(F.col("votes") * 1048576)).over(shard) / 1048576.0).withColumn("_n", F.count(F.lit(1)).over(shard))
@@ -73,7 +74,6 @@ def plan_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     asked = some.withColumn("k", F.explode(F.sequence(F.col("_sure") + 1, most_won)))
     best = F.row_number().over(shard.orderBy((F.col("votes") / (2 * F.col("k") - 1)).desc(), "place", "k"))
     won = asked.withColumn("_best", best).groupBy("shard", "place").agg((F.max("_sure") + F.count(F.when(F.col("_best") <= F.col("_open"), 1))).alias("quota"))
-    blocks = F.ceil(F.col("stream") / block_words).cast("bigint")
     start = hash60(F.concat(F.lit(seed), F.lit("/"), F.col("shard").cast("string"), F.lit("/"), F.col("place").cast("string")))
     cuts = streams.join(won, ["shard", "place"], "left").select("shard", "place", F.greatest(blocks, F.lit(1)).alias("_blocks"), F.coalesce("quota", F.lit(0)).alias("quota"))
     cuts = cuts.withColumn("quota", F.least("quota", most * F.col("_blocks"))).select("shard", "place", "_blocks", F.floor(F.col("quota") / F.col("_blocks")).cast("bigint").alias("_rounds"), (F.col("quota") % F.col("_blocks")).alias("_extra"), (start % F.col("_blocks")).alias("_start"))
@@ -146,7 +146,7 @@ rows AS (SELECT u.*, place, source_size, whole_size, target, {h(f"'{seed}:' || c
    FROM units u JOIN targets t ON u.source IS NOT DISTINCT FROM t.source),
 dealt AS (SELECT *, hash % greatest(1, ceil(whole_size / {shard_words}.0)::BIGINT) AS shard FROM rows),
 streams AS (SELECT shard, place, sum(size * copies)::BIGINT AS stream,
-   CASE WHEN source_size > 0 THEN target / source_size * sum(size * copies)::BIGINT / {block_words} ELSE 0.0 END AS votes
+   CASE WHEN source_size > 0 THEN target / source_size * ((sum(size * copies)::BIGINT + {block_words - 1}) // {block_words}) ELSE 0.0 END AS votes
    FROM dealt GROUP BY shard, place, source_size, target),
 summed AS (SELECT *, sum(floor(votes * 1048576)::BIGINT) OVER (PARTITION BY shard) / 1048576.0 AS whole, count(*) OVER (PARTITION BY shard) AS n FROM streams WHERE votes > 0),
 asked AS (SELECT *, round(whole::DOUBLE)::BIGINT AS seats FROM summed),
