@@ -302,7 +302,8 @@ def personal_digests(docs: DataFrame, model: dict, key: str = "doc_id", text: st
     """Per row: the number of base spans of each kind, SHA-256 of the base spans as text, and all spans as text."""
     spelt = lambda c: F.array_join(F.transform(c, lambda s: F.concat(F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1), F.lit(":"), s["start"], F.lit(":"), s["end"])), ",")
     rows = find_personal(docs, model, key, text)
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("bigint").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("bigint")
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return rows.select(key, *counts, F.sha2(spelt("base"), 256).alias("base_sha256"), spelt("spans").alias("spans"))
 
 
