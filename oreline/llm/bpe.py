@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from oreline.llm.common import schema_with, slices
 
 #: Entries that a worker's tables of known answers hold. They only save time.
-MOST_KEPT = 800_000
+MOST_KEPT = 300_000
 
 
 def byte_letters() -> dict[str, int]:
