@@ -127,7 +127,8 @@ def fit_language(docs: DataFrame, label: str = "lang", key: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("r"), pa.array([p for p, _ in both], pa.list_(pa.int64())), pa.array([v for _, v in both], pa.list_(pa.float64()))], names=["lang", "r", "places", "values"])
 
     # A repeated id with several texts gives a row for each; one of them is enough.
-    chosen = rows.join(ids, ["id", "lang"]).groupBy("lang", "r").agg(F.min("text").alias("text"))
+    # The ids are fewer than the weights, which every task gets too, so they are sent to the texts and not the texts to them.
+    chosen = rows.join(F.broadcast(ids), ["id", "lang"]).groupBy("lang", "r").agg(F.min("text").alias("text"))
     sample = chosen.mapInArrow(vectors, "lang string, r int, places array<bigint>, values array<double>").collect()
     sample.sort(key=lambda r: (r.lang, r.r))
     names = sorted({r.lang for r in sample})
