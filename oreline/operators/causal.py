@@ -138,10 +138,10 @@ def propensity_histogram(df: DataFrame, treatment: str, p: str = "propensity", b
 def calibrate(df: DataFrame, y: str, p: str, method: str = "platt", name: str = "calibrated") -> DataFrame:
     """Platt (logistic on the score) or isotonic calibration.
 
-    Isotonic is fitted on at most one weighted point per hundred-thousandth of the score.
+    Isotonic is fitted on one weighted point per distinct score.
     """
     if method == "isotonic":
-        points = df.select(F.round(F.col(p), 5).alias("features"), (F.col(y) == 1).cast("double").alias("_y")).groupBy("features").agg(
+        points = df.select(F.col(p).cast("double").alias("features"), (F.col(y) == 1).cast("double").alias("_y")).groupBy("features").agg(
             F.avg("_y").alias("label"), F.count(F.lit(1)).cast("double").alias("weight")
         )
         model = IsotonicRegression(weightCol="weight", predictionCol=name).fit(points)

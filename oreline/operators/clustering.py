@@ -24,9 +24,9 @@ from oreline.session import stage
 def vectors(df: DataFrame, columns=None, scale: bool = True, name: str = "features") -> DataFrame:
     """Add one ML vector of the columns, scaled to zero mean and unit deviation."""
     columns = as_list(columns) or numeric_names(df)
-    raw = df.withColumn("_raw", array_to_vector(vector_of(df, columns))).filter(
-        F.col("_raw").isNotNull() & ~F.exists(vector_of(df, columns), lambda x: x.isNull() | F.isnan(x))
-    )
+    # A vector is only made of rows that have all numbers; one made first and filtered later fails on the others.
+    whole = F.forall(vector_of(df, columns), lambda x: x.isNotNull() & ~F.isnan(x))
+    raw = df.withColumn("_raw", F.when(whole, array_to_vector(F.when(whole, F.transform(vector_of(df, columns), lambda x: F.coalesce(x, F.lit(0.0))))))).filter(whole)
     if not scale:
         return raw.withColumnRenamed("_raw", name)
     scaler = StandardScaler(inputCol="_raw", outputCol=name, withMean=True, withStd=True).fit(raw)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from oreline.functions.core import as_list, bucket, dtype, is_missing, number, present, single
@@ -58,7 +60,7 @@ def top_categories(df: DataFrame, column: str, k: int) -> list[str]:
 
 def one_hot(df: DataFrame, column: str, top: int = 10) -> DataFrame:
     """``column=value`` flags for the most frequent values; all others are all-zero."""
-    value = F.col(column).cast("string")
+    value = present(df, column).cast("string")
     return df.withColumns(
         {f"{column}={c}": F.when(value == c, 1).otherwise(0) for c in top_categories(df, column, top)}
     )
@@ -72,7 +74,7 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
 
 def label_encode(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
     codes = label_codes(df, column)
-    return df.join(codes, F.col(column) == F.col("_category"), "left").select(
+    return df.join(codes, present(df, column) == F.col("_category"), "left").select(
         *df.columns, F.col("_code").alias(name or f"{column}_cod")
     )
 
@@ -277,7 +279,7 @@ def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     sizes = df.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
     whole = single(sizes.agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k")))
     weights = sizes.select("_l", (whole["n"] / (whole["k"] * F.col("_n"))).alias(name))
-    return df.join(weights, F.col(label) == F.col("_l")).drop("_l")
+    return df.join(weights, F.col(label).eqNullSafe(F.col("_l")), "left").drop("_l")
 
 
 def smote(df: DataFrame, label: str, key: str, columns: list[str], k: int = 5) -> DataFrame:
@@ -287,14 +289,16 @@ def smote(df: DataFrame, label: str, key: str, columns: list[str], k: int = 5) -
     """
     from oreline.operators.neighbours import knn_join
 
-    sizes = _class_sizes(df, label)
-    top = max(sizes.values())
     base = df.select(key, label, *[number(df, c).alias(c) for c in columns])
+    # Rows that lack a number or a label stay, but have no neighbours.
+    whole = F.col(label).isNotNull() & reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in columns])
+    sizes = {c: n for c, n in _class_sizes(base.filter(whole), label).items()}
     made = base.withColumn("synthetic", F.lit(False))
+    top = max(sizes.values(), default=0)
     for c, n in sizes.items():
         if n == top or n <= 1:
             continue
-        small = base.filter(F.col(label) == c)
+        small = base.filter(whole & (F.col(label) == c))
         pairs = knn_join(small, small, key, columns, k, skip_same_key=True)
         whole, extra = divmod(top - n, n)
         lucky = bucket(F.col("query_id"), 1_000_000, 13) < int(1_000_000 * extra / n)

@@ -17,8 +17,9 @@ from pyspark.ml.feature import PolynomialExpansion, SQLTransformer, VectorAssemb
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType
 
-from oreline.functions.core import as_list, bucket, is_numeric, number, present
+from oreline.functions.core import as_list, bucket, dtype, is_numeric, number, present
 from oreline.operators import evaluation as ev
 from oreline.operators.neighbours import knn_join
 from oreline.session import stage
@@ -80,7 +81,7 @@ def id_like(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for i, c in enumerate(named) if row[f"u{i}"] >= 0.5 * row["_n"]]
 
 
-CLASSES, MOST_CLASSES = "the classes of the target", 1_000
+CLASSES = "the classes of the target"
 
 
 def frequent_values(df: DataFrame, columns: list[str], top: int, target: str | None) -> dict[str, list[str]]:
@@ -95,8 +96,7 @@ def frequent_values(df: DataFrame, columns: list[str], top: int, target: str | N
     counts = long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
     best = Window.partitionBy("name").orderBy(F.desc("n"), "value")
     ranked = counts.withColumn("_rn", F.row_number().over(best))
-    few = ranked.filter(F.col("_rn") <= max(top, MOST_CLASSES + 1))  # a constant, so tasks cut their part before the shuffle
-    wanted = few.filter(F.col("_rn") <= F.when(F.col("name") == CLASSES, MOST_CLASSES + 1).otherwise(top))
+    wanted = ranked.filter((F.col("_rn") <= top) | (F.col("name") == CLASSES))  # a model has a column per class anyway
     out: dict[str, list[str]] = {}
     for r in wanted.orderBy("name", "_rn").collect():
         out.setdefault(r["name"], []).append(r["value"])
@@ -115,14 +115,14 @@ def encode(df: DataFrame, target: str, task: str, columns=None, top: int = 15, s
     kept = [c for c in wanted if c not in dropped] or wanted
     values = frequent_values(df, [c for c in kept if not is_numeric(df, c)], top, target if task == "classification" else None)
     classes = sorted(values.pop(CLASSES, []))
-    if task == "classification" and not 2 <= len(classes) <= MOST_CLASSES:
-        raise ValueError(f"the target needs between two and {MOST_CLASSES} classes")
+    if task == "classification" and len(classes) < 2:
+        raise ValueError("the target needs two classes or more")
     cells: list[tuple[str, str, str]] = []  # (feature name, column, SQL)
     for c in kept:
         if is_numeric(df, c):
             cells.append((c, c, f"coalesce(nanvl(cast({_quoted(c)} as double), 0D), 0D)"))
         for v in values.get(c, []):
-            cells.append((f"{c}={v}", c, f"(case when cast({_quoted(c)} as string) = {_text(v)} then 1D else 0D end)"))
+            cells.append((f"{c}={v}", c, f"(case when {'trim(' if isinstance(dtype(df, c), StringType) else '('}cast({_quoted(c)} as string)) = {_text(v)} then 1D else 0D end)"))
     sql = [s for _, _, s in cells]
     if scale:
         stats = df.agg(*[f(F.expr(s)).alias(f"{n}{i}") for i, s in enumerate(sql) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()

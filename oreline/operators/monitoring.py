@@ -13,7 +13,6 @@ from oreline.operators.quality import long_numbers, long_texts
 from oreline.session import stage
 
 DRIFTED, IMPACT = 0.15, (0.4, 0.15)
-BINS = 100
 
 
 def impact(score: Column) -> Column:
@@ -105,10 +104,7 @@ def _bins(baseline: DataFrame, columns: list[str], bins: int) -> dict[str, tuple
 
 
 def _binned(df: DataFrame, edges: dict, bins: int, keep=()) -> DataFrame:
-    lo = F.create_map(*[F.lit(x) for n, (a, _) in edges.items() for x in (n, a)])
-    step = F.create_map(*[F.lit(x) for n, (_, s) in edges.items() for x in (n, s)])
-    at = F.floor((F.col("value") - lo[F.col("name")]) / step[F.col("name")])
-    return long_numbers(df, list(edges), list(keep)).withColumn("bin", F.least(F.greatest(at, F.lit(0)), F.lit(bins - 1)))
+    return long_numbers(df, list(edges), list(keep)).withColumn("bin", _bin(edges, bins))
 
 
 def psi(baseline: DataFrame, batch: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
@@ -125,52 +121,96 @@ def psi(baseline: DataFrame, batch: DataFrame, columns: list[str], bins: int = 1
 
 @dataclass
 class BaselineSummary:
-    """What batches are compared with: bin edges, counts per bin, means and deviations. Its size is columns times bins."""
+    """What batches are compared with: counts per distinct value, bins of the stability index, and means."""
 
+    numbers: list[str]
+    texts: list[str]
+    values: DataFrame | None
     edges: dict[str, tuple[float, float]]
-    counts: DataFrame
-    moments: DataFrame
-    bins: int
+    bins: DataFrame | None
+    moments: DataFrame | None
+    text_counts: DataFrame | None
 
 
-def summarize_baseline(baseline: DataFrame, columns: list[str], bins: int = BINS) -> BaselineSummary:
-    edges = _bins(baseline, columns, bins)
-    counts = _binned(baseline, edges, bins).groupBy("name", "bin").agg(F.count(F.lit(1)).alias("a"))
-    moments = long_numbers(baseline, columns).groupBy("name").agg(
-        F.avg("value").alias("original_mean"), F.stddev_samp("value").alias("original_std")
+def summarize_baseline(baseline: DataFrame, columns: list[str], psi_bins: int = 10) -> BaselineSummary:
+    """Read the baseline once for its distinct values; all else comes from those."""
+    numbers = [c for c in columns if is_numeric(baseline, c)]
+    texts = [c for c in columns if c not in numbers]
+    values = binned = moments = words = None
+    edges: dict[str, tuple[float, float]] = {}
+    if numbers:
+        values = stage(long_numbers(baseline, numbers).groupBy("name", "value").agg(F.count(F.lit(1)).alias("a")), "baseline")
+        ends = values.groupBy("name").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).collect()  # a row per column
+        edges = {r["name"]: (r.lo, ((r.hi - r.lo) / psi_bins) or 1.0) for r in ends}
+        mean = F.sum(F.col("value") * F.col("a")) / F.sum("a")
+        moments = stage(values.groupBy("name").agg(mean.alias("original_mean"), F.sum("a").alias("na")), "moments")
+        if edges:
+            binned = stage(values.withColumn("bin", _bin(edges, psi_bins)).groupBy("name", "bin").agg(F.sum("a").alias("a")), "bins")
+    if texts:
+        words = stage(long_texts(baseline, texts).filter("value IS NOT NULL").groupBy("name", "value").agg(F.count(F.lit(1)).alias("a")), "texts")
+    return BaselineSummary(numbers, texts, values, edges, binned, moments, words)
+
+
+def _bin(edges: dict, bins: int) -> Column:
+    lo = F.create_map(*[F.lit(x) for n, (a, _) in edges.items() for x in (n, a)])
+    step = F.create_map(*[F.lit(x) for n, (_, s) in edges.items() for x in (n, s)])
+    at = F.floor((F.col("value") - lo[F.col("name")]) / step[F.col("name")])
+    return F.least(F.greatest(at, F.lit(0)), F.lit(bins - 1)).cast("bigint")
+
+
+def _number_drift(summary: BaselineSummary, rows: DataFrame, psi_bins: int) -> DataFrame:
+    """The gap between two distribution functions is largest just before or at one of the batch's values: between these
+    the batch's function stands still, while the baseline's only grows."""
+    b = stage(long_numbers(rows, summary.numbers, ["period"]).groupBy("period", "name", "value").agg(F.count(F.lit(1)).alias("b")), "batch")
+    both = summary.values.select("name", "value", "a", F.lit(0).alias("_seen")).union(b.select("name", "value", F.lit(0).cast("bigint"), F.lit(1)).distinct())
+    both = both.groupBy("name", "value").agg(F.sum("a").alias("a"), F.max("_seen").alias("_seen"))
+    base = running_sums(both, ["value"], {"ca": "a"}, ["name"], {"na": "a"}).filter("_seen = 1").select("name", "value", "a", "ca", "na")
+    upto = running_sums(b, ["value"], {"cb": "b"}, ["period", "name"], {"nb": "b"}).join(base, ["name", "value"])
+    share = lambda c, n: F.try_divide(F.col(c), F.col(n))
+    gap = F.greatest(F.abs(share("ca", "na") - share("cb", "nb")), F.abs(F.try_divide(F.col("ca") - F.col("a"), F.col("na")) - F.try_divide(F.col("cb") - F.col("b"), F.col("nb"))))
+    gaps = upto.groupBy("period", "name").agg(F.max(gap).alias("_gap"), F.sum("b").alias("n"), (F.sum(F.col("value") * F.col("b")) / F.sum("b")).alias("batch_mean"))
+    if not summary.edges:  # a baseline without any number
+        none = F.lit(None).cast("double")
+        return gaps.select(F.col("name").alias("column"), "period", "n", none.alias("drift_score"), none.alias("psi"), none.alias("original_mean"), F.round("batch_mean", 3).alias("batch_mean"))
+    binned = b.filter(F.col("name").isin(*summary.edges)).withColumn("bin", _bin(summary.edges, psi_bins)).groupBy("period", "name", "bin").agg(F.sum("b").alias("b"))
+    slots = gaps.select("period", "name").withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(psi_bins - 1).cast("bigint"))))
+    grid = slots.join(summary.bins, ["name", "bin"], "left").join(binned, ["period", "name", "bin"], "left").join(summary.moments.select("name", "na"), "name").join(gaps.select("period", "name", "n"), ["period", "name"])
+    pa = F.greatest(F.coalesce("a", F.lit(0)) / F.col("na"), F.lit(0.0001))
+    pb = F.greatest(F.coalesce("b", F.lit(0)) / F.col("n"), F.lit(0.0001))
+    psi = grid.groupBy("period", "name").agg(F.sum((pb - pa) * F.ln(pb / pa)).alias("psi"))
+    return gaps.join(psi, ["period", "name"], "left").join(summary.moments.drop("na"), "name", "left").select(
+        F.col("name").alias("column"), "period", "n", F.round("_gap", 4).alias("drift_score"), F.round("psi", 4).alias("psi"), F.round("original_mean", 3).alias("original_mean"), F.round("batch_mean", 3).alias("batch_mean"),
     )
-    return BaselineSummary(edges, stage(counts, "baseline"), stage(moments, "moments"), bins)
 
 
-def binned_drift(summary: BaselineSummary, batch: DataFrame, period: Column | None = None, psi_bins: int = 10) -> DataFrame:
-    """Per column (and period): the largest gap of the distribution functions at the baseline's bin edges, the
-    stability index over coarser bins, and the batch's mean. The baseline itself is not read again."""
-    bins = summary.bins
-    rows = batch.withColumn("period", period if period is not None else F.lit("all"))
-    b = _binned(rows, summary.edges, bins, ["period"]).groupBy("period", "name", "bin").agg(F.count(F.lit(1)).alias("b"), F.sum("value").alias("v"))
-    slots = b.select("period", "name").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))))
-    grid = slots.join(summary.counts, ["name", "bin"], "left").join(b, ["period", "name", "bin"], "left").fillna(0, ["a", "b"])
-    spec = Window.partitionBy("period", "name").orderBy("bin")  # one row per bin
-    whole = Window.partitionBy("period", "name")
-    shares = grid.withColumns({"_a": F.col("a") / F.sum("a").over(whole), "_b": F.col("b") / F.sum("b").over(whole)})
-    gaps = shares.withColumn("_gap", F.abs(F.sum("_a").over(spec) - F.sum("_b").over(spec)))
-    coarse = gaps.groupBy("period", "name", F.floor(F.col("bin") * psi_bins / bins).alias("_c")).agg(
-        F.max("_gap").alias("_gap"), F.sum("_a").alias("_a"), F.sum("_b").alias("_b"), F.sum("v").alias("_v"), F.sum("b").alias("_n")
-    )
-    pa, pb = F.greatest("_a", F.lit(0.0001)), F.greatest("_b", F.lit(0.0001))
-    out = coarse.groupBy("period", "name").agg(
-        F.round(F.max("_gap"), 4).alias("drift_score"), F.round(F.sum((pb - pa) * F.ln(pb / pa)), 4).alias("psi"),
-        F.round(F.sum("_v") / F.sum("_n"), 3).alias("batch_mean"), F.sum("_n").alias("n"),
-    )
-    return out.join(summary.moments, "name").select(
-        F.col("name").alias("column"), "period", "n", "drift_score", "psi", F.round("original_mean", 3).alias("original_mean"), "batch_mean",
-        (F.col("drift_score") > DRIFTED).alias("drifted"), impact(F.col("drift_score")).alias("impact"),
+def _text_drift(summary: BaselineSummary, rows: DataFrame) -> DataFrame:
+    """Half the sum of the differences of the shares."""
+    b = long_texts(rows, summary.texts, ["period"]).filter("value IS NOT NULL").groupBy("period", "name", "value").agg(F.count(F.lit(1)).alias("b"))
+    b = stage(b, "batch-texts")
+    n = b.groupBy("period", "name").agg(F.sum("b").alias("n"))
+    na = summary.text_counts.groupBy("name").agg(F.sum("a").alias("na"))
+    # Values that the batch lacks add the rest of the baseline's share, so they need not be joined.
+    met = b.join(n, ["period", "name"]).join(summary.text_counts, ["name", "value"], "left").join(na, "name")
+    pa, pb = F.coalesce("a", F.lit(0)) / F.col("na"), F.col("b") / F.col("n")
+    score = (F.sum(F.abs(pa - pb)) + 1 - F.sum(pa)) / 2
+    none = F.lit(None).cast("double")
+    return met.groupBy("period", "name").agg(F.max("n").alias("n"), F.round(score, 4).alias("drift_score")).select(
+        F.col("name").alias("column"), "period", "n", "drift_score", none.alias("psi"), none.alias("original_mean"), none.alias("batch_mean")
     )
 
 
-def drift_timeline(baseline: DataFrame, batch: DataFrame, columns: list[str], period: Column, bins: int = BINS) -> DataFrame:
+def batch_drift(summary: BaselineSummary, batch: DataFrame, period: Column | None = None, psi_bins: int = 10) -> DataFrame:
+    """Per column (and period): the exact drift score, for numbers also the stability index over equal-width bins of the
+    baseline and the means. The baseline itself is not read again."""
+    rows = batch.withColumn("period", period if period is not None else F.lit("all"))
+    parts = ([_number_drift(summary, rows, psi_bins)] if summary.numbers else []) + ([_text_drift(summary, rows)] if summary.texts else [])
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return out.withColumns({"drifted": F.col("drift_score") > DRIFTED, "impact": impact(F.col("drift_score"))})
+
+
+def drift_timeline(baseline: DataFrame, batch: DataFrame, columns: list[str], period: Column) -> DataFrame:
     """Mean score of the columns per period."""
-    found = binned_drift(summarize_baseline(baseline, columns, bins), batch, period)
+    found = batch_drift(summarize_baseline(baseline, columns), batch, period)
     return found.groupBy("period").agg(F.round(F.avg("drift_score"), 4).alias("drift_score"))
 
 

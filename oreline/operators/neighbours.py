@@ -64,8 +64,10 @@ def knn_join(
     """
     train_key = train_key or key
     wanted = k + 1 if skip_same_key else k
-    t = train.select(F.col(train_key).alias("id"), vector_of(train, columns).alias("v")).filter("v IS NOT NULL")
+    t = train.select(F.col(train_key).alias("id"), vector_of(train, columns).alias("v"))
+    t = t.filter("v IS NOT NULL AND forall(v, x -> x IS NOT NULL AND NOT isnan(x))")
     q = queries.select(F.col(key).alias("query_id"), vector_of(queries, columns).alias("v"))
+    q = q.filter("v IS NOT NULL AND forall(v, x -> x IS NOT NULL AND NOT isnan(x))")  # no coordinates, no neighbours
     # of identical points only the first few ids can ever be among the nearest
     t = stage(top_k_per_group(t, "v", [F.asc("id")], wanted, "_same").drop("_same"), "knn")
     q = stage(q, "knn-q")

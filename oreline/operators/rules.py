@@ -9,8 +9,8 @@ from oreline.functions.core import is_missing, ladder, present, single, text_nam
 from oreline.operators.quality import analyze_quality
 
 
-def to_transactions(df: DataFrame, columns=None, most: int = 15) -> DataFrame:
-    """One row, one transaction: items ``column=value`` of up to ``most`` text columns."""
+def to_transactions(df: DataFrame, columns=None, most: int | None = None) -> DataFrame:
+    """One row, one transaction: items ``column=value`` of all text columns, or of the first ``most``."""
     names = (columns or text_names(df))[:most]
     items = [F.when(~is_missing(df, c), F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in names]
     return df.select(F.array_compact(F.array(*items)).alias("items"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from oreline.functions.core import number, number_in, single
+from oreline.functions.core import number, number_in, present, single
 from oreline.functions.formula import formula
 
 MATH = {
@@ -89,6 +89,6 @@ def palette_index(df: DataFrame, category: str, colors: int, name: str = "color"
     from oreline.operators.features import label_codes
 
     codes = label_codes(df, category)
-    return df.join(codes, F.col(category) == F.col("_category"), "left").select(
+    return df.join(codes, present(df, category) == F.col("_category"), "left").select(
         *df.columns, F.pmod(F.col("_code"), F.lit(colors)).alias(name)
     )

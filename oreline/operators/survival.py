@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import AFTSurvivalRegression
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from oreline.functions.core import as_list, single
-from oreline.functions.ordered import running_sums
+from oreline.functions.ordered import positions, running_sums
 from oreline.functions.tails import chi2_p
+from oreline.session import stage
 
 
 def kaplan_meier(df: DataFrame, time: str, event: str, by=None) -> DataFrame:
@@ -65,21 +66,29 @@ def aft_regression(df: DataFrame, time: str, event: str, columns: list[str]) ->
     )
 
 
-def concordance(df: DataFrame, time: str, event: str, risk: str, bins: int = 200) -> DataFrame:
-    """C-index: of the pairs whose order is known, the share in which the higher risk fails first.
+def concordance(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
+    """C-index: of the pairs whose order is known, the share in which the higher risk fails first; equal risks count half.
 
-    Risks are read in ``bins`` equal steps (pairs inside one step count half), so all pairs are counted
-    from a table of times by steps instead of being made.
+    Exact, without making pairs. Distinct risks are numbered. A number is lower than another one if, at the first bit where
+    they differ, it has a 0 and the other one a 1. So for each bit and each common prefix, the later rows with a 0 are
+    counted for the failures with a 1 by running sums over time; two more levels count equal risks and all later rows.
+    Rows without time or risk are left out.
     """
-    edge = single(df.agg(F.min(risk).alias("lo"), F.max(risk).alias("hi")))
-    step = F.when(edge["hi"] > edge["lo"], (edge["hi"] - edge["lo"]) / bins).otherwise(F.lit(1.0))
-    at = F.least(F.floor((F.col(risk) - edge["lo"]) / step), F.lit(bins - 1))
-    cells = df.groupBy(F.col(time).alias("time"), at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(event) == 1).alias("e"))
-    steps = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin")
-    grid = cells.select("time").distinct().select("time", steps).join(cells, ["time", "bin"], "left").fillna(0, ["n", "e"])
-    upto = running_sums(grid, ["time"], {"_upto": "n"}, ["bin"], {"_all": "n"})
-    later = upto.withColumn("later", F.col("_all") - F.col("_upto"))
-    spec = Window.partitionBy("time").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # one row per step
-    seen = later.withColumns({"_below": F.coalesce(F.sum("later").over(spec), F.lit(0)), "_every": F.sum("later").over(Window.partitionBy("time"))})
-    won = F.col("e") * (F.col("_below") + F.col("later") / 2)
-    return seen.agg(F.try_divide(F.sum(won), F.sum(F.col("e") * F.col("_every").cast("double"))).alias("c_index"))
+    rows = df.filter(F.col(time).isNotNull() & F.col(risk).isNotNull()).groupBy(F.col(time).alias("time"), F.col(risk).alias("risk")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(event) == 1).alias("e")
+    )
+    cells = stage(rows, "risks")
+    placed = positions(cells.select("risk").distinct(), "risk", None, "rank")
+    cells = cells.join(placed, "risk")
+    bits = max(1, int(placed.agg(F.max("rank")).first()[0] or 0).bit_length())
+    bit = lambda b: F.shiftright("rank", b) % 2
+    zero = F.lit(0).cast("bigint")
+    levels = [F.struct(F.lit(b).alias("level"), F.shiftright("rank", b + 1).alias("prefix"), F.when(bit(b) == 0, F.col("n")).otherwise(zero).alias("lower"), F.when(bit(b) == 1, F.col("e")).otherwise(zero).alias("fails")) for b in range(bits)]
+    levels.append(F.struct(F.lit(-1).alias("level"), F.col("rank").alias("prefix"), F.col("n").alias("lower"), F.col("e").alias("fails")))
+    levels.append(F.struct(F.lit(-2).alias("level"), zero.alias("prefix"), F.col("n").alias("lower"), F.col("e").alias("fails")))
+    deep = cells.select("time", F.explode(F.array(*levels)).alias("_l")).select("time", "_l.*")
+    sums = deep.groupBy("level", "prefix", "time").agg(F.sum("lower").alias("lower"), F.sum("fails").alias("fails"))
+    upto = running_sums(sums, ["time"], {"_upto": "lower"}, ["level", "prefix"], {"_all": "lower"})
+    met = F.col("fails") * (F.col("_all") - F.col("_upto")).cast("double")
+    won = F.sum(F.when(F.col("level") >= 0, met).when(F.col("level") == -1, met / 2).otherwise(0.0))
+    return upto.agg(F.try_divide(won, F.sum(F.when(F.col("level") == -2, met).otherwise(0.0))).alias("c_index"))

@@ -41,9 +41,10 @@ def _composed(text: pd.Series) -> pd.Series:
 def composed(df: DataFrame, text: str) -> DataFrame:
     """Letters followed by combining marks become one letter.
 
-    Only texts that have such marks travel to Python; for all others a NULL does, and the text stays in the JVM.
+    Only texts with letters beyond Latin-1, which alone can combine, travel to Python; for all others a NULL does, and the
+    text stays in the JVM.
     """
-    marked = F.when(F.col(text).rlike(r"\p{M}"), F.col(text))
+    marked = F.when(F.col(text).rlike(r"[^\x{00}-\x{FF}]"), F.col(text))
     return df.withColumn(text, F.coalesce(_composed(marked), F.col(text)))
 
 

@@ -68,17 +68,21 @@ def psi(t):
 
 @query(
     "drift_timeline",
-    """WITH e AS (SELECT min(l_quantity) AS lo, (max(l_quantity) - min(l_quantity)) / 100 AS s FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'),
-       r AS (SELECT CASE WHEN l_shipdate < TIMESTAMP '1998-01-01' THEN 'base' ELSE strftime(l_shipdate, '%Y') END AS period,
-                    least(greatest(floor((l_quantity - lo) / s), 0), 99)::BIGINT AS bin FROM lineitem, e),
-       p AS (SELECT DISTINCT period FROM r WHERE period <> 'base'), g AS (SELECT period, bin FROM p, (SELECT unnest(range(100)) AS bin)),
-       c AS (SELECT g.period, g.bin, (SELECT count(*) FROM r WHERE r.period = 'base' AND r.bin = g.bin) AS a, (SELECT count(*) FROM r WHERE r.period = g.period AND r.bin = g.bin) AS b FROM g),
-       f AS (SELECT period, sum(a) OVER w / sum(a) OVER (PARTITION BY period) AS fa, sum(b) OVER w / sum(b) OVER (PARTITION BY period) AS fb FROM c WINDOW w AS (PARTITION BY period ORDER BY bin))
-       SELECT period, round(max(abs(fa - fb)), 4) AS drift_score FROM f GROUP BY 1""",
+    """WITH l AS (SELECT CASE WHEN l_shipdate < TIMESTAMP '1998-01-01' THEN 'base' ELSE strftime(l_shipdate, '%Y') END AS period, l_quantity,
+                    l_extendedprice * CASE WHEN l_quantity = 7 THEN 1000 ELSE 1 END AS price FROM lineitem),
+       r AS (SELECT period, 'q' AS name, l_quantity::DOUBLE AS v FROM l UNION ALL SELECT period, 'p', price FROM l),
+       p AS (SELECT DISTINCT period FROM r WHERE period <> 'base'),
+       c AS (SELECT p.period, name, v, count_if(r.period = 'base') AS a, count_if(r.period = p.period) AS b FROM p, r GROUP BY 1, 2, 3),
+       f AS (SELECT period, name, sum(a) OVER w / sum(a) OVER g AS fa, sum(b) OVER w / sum(b) OVER g AS fb FROM c
+             WINDOW w AS (PARTITION BY period, name ORDER BY v), g AS (PARTITION BY period, name)),
+       d AS (SELECT period, name, round(max(abs(fa - fb)), 4) AS d FROM f GROUP BY 1, 2)
+       SELECT period, round(avg(d), 4) AS drift_score FROM d GROUP BY 1""",
 )
 def drift_timeline(t):
-    base, batch = sides(t)
-    return mo.drift_timeline(base, batch, ["l_quantity"], F.date_format("l_shipdate", "yyyy"))
+    """One column has outliers, which steps of equal width could not tell from the rest."""
+    price = F.col("l_extendedprice") * F.when(F.col("l_quantity") == 7, 1000).otherwise(1)
+    base, batch = (x.withColumn("price", price) for x in sides(t))
+    return mo.drift_timeline(base, batch, ["l_quantity", "price"], F.date_format("l_shipdate", "yyyy"))
 
 
 @query(
@@ -265,12 +269,12 @@ def aft(t):
 
 @query(
     "concordance",
-    f"""WITH d AS (SELECT user_id, days, died, user_id % 7 AS risk FROM {DUR})
+    f"""WITH d AS (SELECT user_id, days, died, user_id * 7919 % 1009 + CASE WHEN user_id % 97 = 0 THEN 1000000 ELSE 0 END AS risk FROM {DUR})
         SELECT round(sum(CASE WHEN a.risk > b.risk THEN 1 WHEN a.risk = b.risk THEN 0.5 ELSE 0 END) / count(*)::DOUBLE, 6) AS c_index
         FROM d a JOIN d b ON a.died = 1 AND a.days < b.days""",
 )
 def concordance(t):
-    rows = durations(t).withColumn("risk", F.col("user_id") % 7)
+    rows = durations(t).withColumn("risk", F.col("user_id") * 7919 % 1009 + F.when(F.col("user_id") % 97 == 0, 1_000_000).otherwise(0))
     return su.concordance(rows, "days", "died", "risk").withColumn("c_index", F.round("c_index", 6))
 
 
@@ -441,12 +445,18 @@ def steps(t):
     return run_steps(t.orders, chain).log.select("step", "status", "rows_in", "rows_out")
 
 
-def _template(name: str, source, *args):
-    @query(f"template_{name}")
+def _template(name: str, source, *args, sql: str | None = None):
+    """What the last step of a ready list gives; vectors are left out, lists and numbers are written out."""
+
+    @query(f"template_{name}", sql)
     def run(t):
         made = TEMPLATES[name](*args)
         chain, edges = made if isinstance(made, tuple) else (made, None)
-        return run_steps(source(t), chain, edges).log.select("step", "type", "status", "rows_in", "rows_out", "added", "removed")
+        done = run_steps(source(t), chain, edges)
+        if chain[-1].id not in done.outputs:
+            raise RuntimeError(f"template {name}: {done.log.filter('error is not null').collect()}")
+        out = done.outputs[chain[-1].id]
+        return out.select(*[c for c, kind in out.dtypes if kind != "vector"])
 
 
 PART_NUMBERS = ["p_size", "p_retailprice"]
@@ -505,14 +515,14 @@ def stream_feedback(t):
     "stream_sessions",
     """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
        s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
-       r AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 1 HOUR AS b, count(*) AS n FROM s GROUP BY user_id, k)
-       SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS start, strftime(b, '%Y-%m-%d %H:%M:%S') AS "end", n FROM r
+       r AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 1 HOUR AS b, count(*) AS n, string_agg(event_type, ' ' ORDER BY ts, event_id) AS items FROM s GROUP BY user_id, k)
+       SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS start, strftime(b, '%Y-%m-%d %H:%M:%S') AS "end", n, items FROM r
        WHERE b <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
 )
 def stream_sessions(t):
-    out = jobs.run_available(jobs.sessions(arriving(t), "ts", "user_id"))
+    out = jobs.run_available(jobs.sessions(arriving(t), "ts", "user_id", "event_type", "event_id"))
     text = "yyyy-MM-dd HH:mm:ss"
-    return out.select("user_id", F.date_format("start", text).alias("start"), F.date_format("end", text).alias("end"), "n")
+    return out.select("user_id", F.date_format("start", text).alias("start"), F.date_format("end", text).alias("end"), "n", F.array_join("items", " ").alias("items"))
 
 
 @query("stream_score")
@@ -524,14 +534,18 @@ def stream_score(t):
 
 @query(
     "stream_drift",
-    """WITH e AS (SELECT min(value) AS lo, (max(value) - min(value)) / 100 AS s, avg(value) AS m FROM events WHERE ts < TIMESTAMP '2024-01-10'),
-       r AS (SELECT least(greatest(floor((value - lo) / s), 0), 99)::BIGINT AS bin, ts < TIMESTAMP '2024-01-10' AS base FROM events, e),
-       c AS (SELECT g.bin, (SELECT count(*) FROM r WHERE r.base AND r.bin = g.bin) AS a, (SELECT count(*) FROM r WHERE r.bin = g.bin) AS b FROM (SELECT unnest(range(100)) AS bin) g),
-       f AS (SELECT bin, a / sum(a) OVER () AS pa, b / sum(b) OVER () AS pb FROM c),
-       d AS (SELECT max(abs(fa - fb)) AS d FROM (SELECT sum(pa) OVER (ORDER BY bin) AS fa, sum(pb) OVER (ORDER BY bin) AS fb FROM f)),
-       k AS (SELECT greatest(sum(pa), 0.0001) AS pa, greatest(sum(pb), 0.0001) AS pb FROM f GROUP BY bin // 10)
-       SELECT 'value' AS column, (SELECT count(*) FROM events) AS n, round((SELECT d FROM d), 4) AS drift_score, round((SELECT sum((pb - pa) * ln(pb / pa)) FROM k), 4) AS psi,
-              round((SELECT m FROM e), 3) AS original_mean, round((SELECT avg(value) FROM events), 3) AS batch_mean, false AS drifted, 'low' AS impact""",
+    """WITH r AS (SELECT value AS v, event_type AS k, ts < TIMESTAMP '2024-01-10' AS base FROM events),
+       e AS (SELECT min(v) AS lo, (max(v) - min(v)) / 10 AS s, avg(v) AS m FROM r WHERE base),
+       c AS (SELECT v, count_if(base) AS a, count(*) AS b FROM r WHERE v IS NOT NULL GROUP BY 1),
+       d AS (SELECT max(abs(fa - fb)) AS d FROM (SELECT sum(a) OVER (ORDER BY v) / sum(a) OVER () AS fa, sum(b) OVER (ORDER BY v) / sum(b) OVER () AS fb FROM c)),
+       s AS (SELECT unnest(range(10)) AS bin), x AS (SELECT least(greatest(floor((v - lo) / s), 0), 9)::BIGINT AS bin, base FROM r, e WHERE v IS NOT NULL),
+       p AS (SELECT greatest((SELECT count_if(base) FROM x WHERE x.bin = s.bin) / (SELECT count_if(base) FROM x), 0.0001) AS pa,
+                    greatest((SELECT count(*) FROM x WHERE x.bin = s.bin) / (SELECT count(*) FROM x), 0.0001) AS pb FROM s),
+       t AS (SELECT k, count_if(base) / (SELECT count_if(base) FROM r WHERE k IS NOT NULL) AS pa, count(*) / (SELECT count(*) FROM r WHERE k IS NOT NULL) AS pb FROM r WHERE k IS NOT NULL GROUP BY 1),
+       o AS (SELECT 'value' AS column, (SELECT count(v) FROM r) AS n, round((SELECT d FROM d), 4) AS drift_score, round((SELECT sum((pb - pa) * ln(pb / pa)) FROM p), 4) AS psi,
+                    round((SELECT m FROM e), 3) AS original_mean, round((SELECT avg(v) FROM r), 3) AS batch_mean
+             UNION ALL SELECT 'event_type', (SELECT count(k) FROM r), round((SELECT sum(abs(pa - pb)) / 2 FROM t), 4), NULL, NULL, NULL)
+       SELECT *, drift_score > 0.15 AS drifted, CASE WHEN drift_score > 0.4 THEN 'high' WHEN drift_score > 0.15 THEN 'medium' ELSE 'low' END AS impact FROM o""",
 )
 def stream_drift(t):
-    return jobs.run_drift(arriving(t), t.events.filter("ts < '2024-01-10'"), ["value"]).drop("batch")
+    return jobs.run_drift(arriving(t), t.events.filter("ts < '2024-01-10'"), ["value", "event_type"]).drop("batch")

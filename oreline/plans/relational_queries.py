@@ -649,7 +649,7 @@ def union(t):
        QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber) = 1""",
 )
 def dedup_first(t):
-    rows = t.lineitem.select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber").dropDuplicates()
+    rows = t.lineitem.select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
     return jn.drop_duplicates(rows, ["l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber"])
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from oreline.functions.core import numeric_names
 from oreline.operators import clustering as cl, evaluation as ev, explain as ex, features as fe, learning as ml, quality as dq, scalars as sc
 from oreline.operators import joins as jn, selection as sl, text as tx, windows as wn
+from oreline.session import stage
 from oreline.sources import tables as tb
 
 
@@ -134,49 +137,63 @@ class Run:
     log: DataFrame
 
 
+def _counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Evaluate ``df`` once: its rows are written to the shared folder and read from there. The files know their counts."""
+    kept = stage(df, "step")
+    return kept, kept.count()
+
+
+def _within(df: DataFrame, seconds: float | None, action: Callable):
+    """Run ``action``; its Spark jobs are cancelled after ``seconds``."""
+    if seconds is None:
+        return action()
+    context, group = df.sparkSession.sparkContext, f"step-{uuid.uuid4().hex}"
+    context.setJobGroup(group, "a step with a time limit", interruptOnCancel=True)
+    timer = threading.Timer(seconds, context.cancelJobGroup, [group])
+    timer.start()
+    try:
+        return action()
+    finally:
+        timer.cancel()
+        for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            context.setLocalProperty(name, None)
+
+
 def run_steps(df: DataFrame, steps: list[Step], edges: list[tuple[str, str]] | None = None, timeout: float | None = None) -> Run:
     """Run the steps in dependency order (in list order without edges), stopping at the first failure.
 
-    A step takes the output of the step before it, steps without one take ``df``. The steps only extend
-    Spark plans; all row counts come from one job at the end. The log has a row per step: status, rows in
-    and out, columns added and removed, seconds, error.
+    A step takes the output of the step before it, steps without one take ``df``. Every step is run when its turn comes, once:
+    its output is written to the shared folder, where the steps after it read it, so what fails while rows are made fails
+    the step that makes them. The log has a row per step: status (``success``, ``failed``, ``timeout`` if the time for all
+    steps ran out in it, ``skipped``), rows in and out, columns added and removed, seconds, error.
     """
     by_id = {s.id: s for s in steps}
     edges = edges if edges is not None else list(zip([s.id for s in steps], [s.id for s in steps][1:]))
     before: dict[str, list[str]] = {s.id: [] for s in steps}
     for a, b in edges:
         before[b].append(a)
-    started, stopped = time.time(), None
+    started, stopped = time.time(), False
     outputs: dict[str, DataFrame] = {}
+    counts: dict[str | None, int] = {}
     rows = []
     for name in TopologicalSorter(before).static_order():
-        step, source = by_id[name], df
-        if timeout is not None and time.time() - started > timeout:
-            stopped = stopped or "timeout"
-        if stopped or any(p not in outputs for p in before[name]):
-            rows.append((name, step.type, "skipped", None, [], [], 0.0, None))
+        step, parent = by_id[name], before[name][0] if before[name] else None
+        left = None if timeout is None else timeout - (time.time() - started)
+        if stopped or left is not None and left <= 0 or any(p not in outputs for p in before[name]):
+            rows.append((name, step.type, "skipped", None, None, [], [], 0.0, None))
             continue
-        if before[name]:
-            source = outputs[before[name][0]]
-        t0 = time.time()
+        source, t0 = df if parent is None else outputs[parent], time.time()
+        if parent is None and None not in counts:
+            counts[None] = df.count()
         try:
-            out = OPERATORS[step.type](source, **step.config)
-            outputs[name] = out
+            out, n = _within(df, left, lambda: _counted(OPERATORS[step.type](source, **step.config)))
+            outputs[name], counts[name] = out, n
             added = [c for c in out.columns if c not in source.columns]
             gone = [c for c in source.columns if c not in out.columns]
-            rows.append((name, step.type, "success", before[name][0] if before[name] else None, added, gone, round(time.time() - t0, 3), None))
+            rows.append((name, step.type, "success", counts[parent], n, added, gone, round(time.time() - t0, 3), None))
         except Exception as e:
-            stopped = "failed"
-            rows.append((name, step.type, "failed", before[name][0] if before[name] else None, [], [], round(time.time() - t0, 3), str(e)[:500]))
-    spark = df.sparkSession
-    log = spark.createDataFrame(
-        rows, "step string, type string, status string, input string, added array<string>, removed array<string>, seconds double, error string"
-    )
-    counts = df.agg(F.count(F.lit(1)).alias("rows")).withColumn("_id", F.lit(""))
-    for name, out in outputs.items():
-        counts = counts.unionByName(out.agg(F.count(F.lit(1)).alias("rows")).withColumn("_id", F.lit(name)))
-    ins = counts.select(F.col("_id").alias("_in"), F.col("rows").alias("rows_in"))
-    outs = counts.select(F.col("_id").alias("_out"), F.col("rows").alias("rows_out"))
-    ran = F.when(F.col("status") != "skipped", F.coalesce("input", F.lit("")))
-    full = log.join(ins, ran == F.col("_in"), "left").join(outs, F.col("step") == F.col("_out"), "left")
-    return Run(outputs, full.select("step", "type", "status", "rows_in", "rows_out", "added", "removed", "seconds", "error"))
+            stopped = True
+            late = left is not None and time.time() - t0 >= left
+            rows.append((name, step.type, "timeout" if late else "failed", counts[parent], None, [], [], round(time.time() - t0, 3), str(e)[:500]))
+    kind = "step string, type string, status string, rows_in bigint, rows_out bigint, added array<string>, removed array<string>, seconds double, error string"
+    return Run(outputs, df.sparkSession.createDataFrame(rows, kind))

@@ -9,13 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from oreline.functions.core import as_list
 from oreline.operators.learning import Fitted
-from oreline.operators.monitoring import binned_drift, summarize_baseline
+from oreline.operators.monitoring import batch_drift, summarize_baseline
 from oreline.session import scratch_path
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, ts: str) -> DataFrame:
-    """The Parquet files of a folder whose names match, as they arrive; watermarks need a zoned timestamp."""
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    """The Parquet files of the table ``name`` as they arrive; watermarks need a zoned timestamp.
+
+    A table is a folder of part files, which is watched, or the files in ``folder`` that match ``name``.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    is_folder = files.exists(path) and files.getFileStatus(path).isDirectory()
+    reader = spark.readStream.schema(schema)
+    raw = reader.parquet(f"{folder}/{name}") if is_folder else reader.option("pathGlobFilter", name).parquet(folder)
     return raw.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
@@ -39,11 +46,15 @@ def feedback_accuracy(stream: DataFrame, ts: str, model: Column, correct: Column
     ).select(F.col("w.start").alias("start"), "model", "n", "accuracy")
 
 
-def sessions(stream: DataFrame, ts: str, user: str, gap: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Events per user cut where nothing happened for ``gap``; a session is emitted once it is closed."""
+def sessions(stream: DataFrame, ts: str, user: str, item: str, key: str, gap: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """The sequence of items per user, cut where nothing happened for ``gap``; a session is emitted once it is closed.
+
+    Items stand in order of time, then of ``key``.
+    """
+    seen = F.transform(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(key).alias("k"), F.col(item).alias("i")))), lambda e: e["i"])
     return stream.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), F.col(user)).agg(
-        F.count(F.lit(1)).alias("n")
-    ).select(user, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+        F.count(F.lit(1)).alias("n"), seen.alias("items")
+    ).select(user, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "items")
 
 
 def score_stream(fitted: Fitted, stream: DataFrame) -> DataFrame:
@@ -81,6 +92,7 @@ def run_updates(stream: DataFrame, keys, path: str | None = None, checkpoint: st
         .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-state")).trigger(availableNow=True).start()
     )
     q.awaitTermination()
+    put(spark.createDataFrame([], stream.schema), -1)  # so that there is a table even if nothing came
     seen = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
     return seen.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
 
@@ -90,13 +102,15 @@ def run_drift(stream: DataFrame, baseline: DataFrame, columns: list[str], path:
     spark = stream.sparkSession
     path = path or scratch_path(spark, "drift")
     summary = summarize_baseline(baseline, columns)
+    kind = batch_drift(summary, baseline.limit(0)).drop("period").schema
 
     def compare(batch: DataFrame, number: int) -> None:
-        binned_drift(summary, batch).drop("period").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch_drift(summary, batch).drop("period").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     q = (
         stream.writeStream.foreachBatch(compare).option("checkpointLocation", checkpoint or scratch_path(spark, "stream-state"))
         .trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    return spark.read.parquet(path)
+    spark.createDataFrame([], kind).write.mode("overwrite").parquet(f"{path}/batch=-1")
+    return spark.read.schema(T.StructType([*kind.fields, T.StructField("batch", T.LongType())])).parquet(path)
