@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from oreline.llm.common import held_out, labelled_sample, logistic, schema_with, slices
+from oreline.session import stage
 
 WORDS = re.compile(r"[^\W\d_]+").findall
 EULER = 0.5772156649015329
@@ -114,11 +115,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", key:
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in seen)], names=["word", "clean", "toxic"])
 
     half = rows.filter(for_words).select("y", "text")
-    words = half.mapInArrow(count, "word string, clean bigint, toxic bigint").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).cache()
+    words = stage(half.mapInArrow(count, "word string, clean bigint, toxic bigint").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxic-words")
     whole = words.filter("word = ''").first()
     model = {"share": share}
     if whole is None or not whole.clean or not whole.toxic:
-        words.unpersist()
         return model
     # The prior: as many more documents of every word, dealt to the classes as all documents are.
     part = whole.toxic / (whole.toxic + whole.clean)
@@ -126,7 +126,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", key:
     score = F.log(odds("toxic", whole.toxic, part) / odds("clean", whole.clean, 1 - part)) - drift
     scored = words.filter("word != ''").select("word", score.alias("s"))
     lexicon = {r.word: r.s for r in scored.filter("s > 0").orderBy(F.desc("s"), "word").limit(most_words).collect()}
-    words.unpersist()
     shared = docs.sparkSession.sparkContext.broadcast((lexicon, drift))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,9 +140,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", key:
                 sizes.append(n)
                 sums.append(np.exp(np.outer(_TRIED, [s for _, s in positive])).sum(axis=1) + (n - len(positive)) * np.exp(-_TRIED * drift))
                 scores.append([s for *_, s in found])
-            yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(best, pa.float64()), pa.array(sizes, pa.int64()), pa.array([list(x) for x in sums], pa.list_(pa.float64())), pa.array(scores, pa.list_(pa.float64()))], names=["y", "best", "n", "sums", "scores"])
+            yield pa.RecordBatch.from_arrays([part.column("draw"), part.column("y"), pa.array(best, pa.float64()), pa.array(sizes, pa.int64()), pa.array([list(x) for x in sums], pa.list_(pa.float64())), pa.array(scores, pa.list_(pa.float64()))], names=["draw", "y", "best", "n", "sums", "scores"])
 
-    other = rows.filter(~for_words).orderBy(F.md5(F.col(key).cast("string"))).limit(2 * per_class).select("y", "text").mapInArrow(measure, "y int, best double, n bigint, sums array<double>, scores array<double>")
+    # Measured where the texts are; a repeated id can't make the sample larger than its bound.
+    measured = rows.filter(~for_words).select(F.md5(F.col(key).cast("string")).alias("draw"), "y", "text").mapInArrow(measure, "draw string, y int, best double, n bigint, sums array<double>, scores array<double>")
+    other = stage(measured.orderBy("draw").limit(2 * per_class), "toxic-sample")
     per_size = F.array(*[F.sum(F.col("sums")[i]) for i in range(len(_TRIED))])
     sums = other.filter("y = 0").agg(per_size.alias("sums"), F.sum("n").alias("n")).first()
     if not sums.n:
