@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 import random
 import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes,
@@ -24,8 +27,9 @@ from oreline.operators import evaluation as ev
 from oreline.operators.neighbours import knn_join
 from oreline.session import stage
 
-# Column names that are read as identifiers.
-ID_NAME = r"^id$|_id$|^.{0,14}id$|codigo|código|cpf|cnpj|uuid|guid|matric"
+# Parts of a column's name that mark an identifier, and the longest name that ``id`` at its end marks.
+ID_PARTS = ("codigo", "código", "cpf", "cnpj", "uuid", "guid", "matric")
+LONGEST_ID_NAME = 16
 CLASSIFIERS = ["logistic", "tree", "forest", "boosting", "svm", "knn", "bayes"]
 REGRESSORS = ["linear", "ridge", "lasso", "tree", "forest", "boosting", "knn"]
 
@@ -70,11 +74,21 @@ def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def named_like_id(column: str) -> bool:
+    """Whether a name reads like that of an identifier."""
+    name = column.lower().strip()
+    if name == "id" or name.endswith("_id"):
+        return True
+    if name.endswith("id") and len(name) <= LONGEST_ID_NAME:
+        return True
+    return any(part in name for part in ID_PARTS)
+
+
 def id_like(df: DataFrame, columns: list[str]) -> list[str]:
     """Columns named like an identifier whose values are at least half distinct."""
     import re
 
-    named = [c for c in columns if re.search(ID_NAME, c.lower().strip())]
+    named = [c for c in columns if named_like_id(c)]
     if not named:
         return []
     row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.countDistinct(c).alias(f"u{i}") for i, c in enumerate(named)]).first()
@@ -140,6 +154,8 @@ def encode(df: DataFrame, target: str, task: str, columns=None, top: int = 15, s
 def model_kind(name: str, task: str) -> str:
     """The model a free name stands for: the first keyword found in it decides."""
     s = (name or "").lower()
+    # Keywords of model names. "gradient", "xgb", "neural", "nearest" and the accented spellings are additions, and
+    # "tree" stands after the names that may hold it.
     for words, kind in (
         (("random", "forest", "floresta"), "forest"), (("boosting", "gradient", "xgb"), "boosting"),
         (("svm", "svr", "vector"), "svm"), (("ridge",), "ridge"), (("lasso",), "lasso"), (("elastic",), "elasticnet"),
@@ -242,6 +258,16 @@ def _predicted(kind: str, task: str, enc: Encoding, train: DataFrame, test: Data
     return out.select(key, "label", "prediction")
 
 
+#: Fits that run at the same time; each is a chain of Spark jobs of its own.
+AT_ONCE = 4
+
+
+def together(jobs: list[Callable[[], object]], at_once: int = AT_ONCE) -> list:
+    """The results of independent fits, a few at a time, in the order given."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+
+
 def train_leaderboard(
     df: DataFrame, target: str, task: str, key: str, models=None, train_percent: int = 80, columns=None, seed: int = 0
 ) -> DataFrame:
@@ -253,14 +279,16 @@ def train_leaderboard(
     split = bucket(F.col(key), 100, seed) < train_percent
     ready = stage(enc.labelled(df).select(key, "label", "features", split.alias("is_train")), "split")
     train, test = ready.filter("is_train").drop("is_train"), ready.filter("NOT is_train").drop("is_train")
-    boards = []
     names = models or (CLASSIFIERS if task == "classification" else REGRESSORS)
-    for name in names:
+
+    def board(name: str) -> dict:
         started = time.time()
         out = _predicted(model_kind(name, task) if name not in (CLASSIFIERS + REGRESSORS) else name, task, enc, train, test, key)
         measure = ev.class_metrics if task == "classification" else ev.reg_metrics
         row = measure(out, "label", "prediction").first().asDict()  # one row of metrics
-        boards.append({"model": name, **row, "training_time": round(time.time() - started, 2)})
+        return {"model": name, **row, "training_time": round(time.time() - started, 2)}
+
+    boards = together([partial(board, name) for name in names])
     best = "f1" if task == "classification" else "r2"
     boards.sort(key=lambda r: (-r[best], r["model"]))
     return df.sparkSession.createDataFrame([{"rank": i + 1, **r} for i, r in enumerate(boards)])
@@ -270,12 +298,12 @@ def folds(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     return df.withColumn("fold", bucket(F.col(key), k, seed + 1))
 
 
-def _cv(ready: DataFrame, enc: Encoding, kind: str, task: str, key: str, k: int, **p) -> DataFrame:
-    parts = []
-    for f in range(k):
+def _cv(ready: DataFrame, enc: Encoding, kind: str, task: str, key: str, k: int, at_once: int = AT_ONCE, **p) -> DataFrame:
+    def fold(f: int) -> DataFrame:
         train, test = ready.filter(F.col("fold") != f).drop("fold"), ready.filter(F.col("fold") == f).drop("fold")
-        parts.append(_predicted(kind, task, enc, train, test, key, **p).withColumn("fold", F.lit(f)))
-    every = reduce(lambda a, b: a.unionByName(b), parts)
+        return _predicted(kind, task, enc, train, test, key, **p).withColumn("fold", F.lit(f))
+
+    every = reduce(lambda a, b: a.unionByName(b), together([partial(fold, f) for f in range(k)], at_once))
     measure = ev.class_metrics if task == "classification" else ev.reg_metrics
     return measure(every, "label", "prediction", "fold")
 
@@ -335,10 +363,12 @@ def hyper_search(df: DataFrame, target: str, task: str, key: str, name: str, tri
         }
         tried.setdefault(json.dumps(p, sort_keys=True), p)
     metric = "f1" if task == "classification" else "r2"
-    rows = []
-    for i, (text, p) in enumerate(tried.items()):
-        s = _cv(ready, enc, kind, task, key, k, **p).agg(F.avg(metric).alias("m"), F.stddev_pop(metric).alias("s")).first()
-        rows.append((i + 1, text, round(s.m, 4), round(s.s, 4)))
+
+    def trial(i: int, text: str, p: dict) -> tuple:
+        s = _cv(ready, enc, kind, task, key, k, at_once=1, **p).agg(F.avg(metric).alias("m"), F.stddev_pop(metric).alias("s")).first()
+        return i + 1, text, round(s.m, 4), round(s.s, 4)
+
+    rows = together([partial(trial, i, text, p) for i, (text, p) in enumerate(tried.items())])
     rows.sort(key=lambda r: (-r[2], r[0]))
     return df.sparkSession.createDataFrame(
         [(rank + 1, *r) for rank, r in enumerate(rows)], "rank bigint, trial bigint, params string, score double, cv_std double"
@@ -364,8 +394,13 @@ def predict_with_probability(fitted: Fitted, df: DataFrame) -> DataFrame:
     )
 
 
-def retrain_with_feedback(df: DataFrame, corrections: DataFrame, target: str, task: str, name: str = "", columns=None) -> Fitted:
-    """Fit again with the corrected rows (same columns, target as corrected by the user) added."""
+def retrain_with_feedback(df: DataFrame, corrections: DataFrame, target: str, task: str, name: str = "", columns=None, key: str | None = None) -> Fitted:
+    """Fit again with the corrected rows (same columns, target as corrected by the user).
+
+    With ``key`` a correction takes the place of the row it corrects; without, it is one more row.
+    """
+    if key is not None:
+        df = df.join(corrections.select(key).distinct(), key, "left_anti")
     return fit(df.unionByName(corrections, allowMissingColumns=True), target, task, name, columns)
 
 

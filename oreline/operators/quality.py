@@ -331,8 +331,11 @@ def bivariate(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def scatter_points(df: DataFrame, a: str, b: str, n: int = 200) -> DataFrame:
-    return df.select(number(df, a).alias("x"), number(df, b).alias("y")).dropna().limit(n)
+def scatter_points(df: DataFrame, a: str, b: str, key, n: int = 200) -> DataFrame:
+    """``n`` of the points, those of smallest MD5 of their key, so the same under any layout."""
+    hashed = F.md5(F.concat_ws("~", *[F.col(k).cast("string") for k in as_list(key)]))
+    points = df.select(number(df, a).alias("x"), number(df, b).alias("y"), hashed.alias("_h")).dropna(subset=["x", "y"])
+    return points.orderBy("_h").limit(n).select("x", "y")
 
 
 def detect_leakage(df: DataFrame, target: str, task: str, columns=None) -> DataFrame:

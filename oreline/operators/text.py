@@ -11,26 +11,33 @@ from pyspark.sql.types import StringType
 from oreline.functions.core import single
 from oreline.operators.aggregates import histogram
 
-# Words left out of every count. Words of one or two letters never count, so none is listed.
+# Words left out of every count, in Portuguese and English.
 STOPWORDS_PT = (
-    "dos das nos nas uma uns umas para por com sem que aos como mas mais menos não sim ser ter foi são está estão "
-    "seu sua seus suas meu minha este esta isso isto aquele aquela entre sobre até depois antes quando onde porque "
-    "muito muita pouco todo toda todos todas lhe nós eles elas ele ela você vocês nem também pela pelo num numa dele dela"
-).split()
+    "a", "o", "e", "é", "de", "do", "da", "dos", "das", "em", "no", "na", "nos", "nas", "um", "uma", "uns", "umas", "para",
+    "por", "com", "sem", "que", "se", "os", "as", "ao", "aos", "à", "às", "ou", "como", "mas", "mais", "menos", "já", "não",
+    "sim", "ser", "ter", "foi", "são", "está", "estão", "seu", "sua", "seus", "suas", "meu", "minha", "este", "esta", "isso",
+    "isto", "aquele", "aquela", "entre", "sobre", "até", "depois", "antes", "quando", "onde", "porque", "muito", "muita",
+    "pouco", "todo", "toda", "todos", "todas", "me", "te", "lhe", "nós", "eles", "elas", "ele", "ela", "eu", "tu", "você",
+    "vocês", "nem", "também", "só", "pela", "pelo", "num", "numa", "dele", "dela",
+)
 STOPWORDS_EN = (
-    "the and but for with without are was were been being this that these those its from down out than then too very "
-    "can will just not yes you she they them his her their our about into over after before more most some any all "
-    "each does did has have had your"
-).split()
+    "the", "a", "an", "and", "or", "but", "of", "to", "in", "on", "at", "for", "with", "without", "is", "are", "was", "were",
+    "be", "been", "being", "this", "that", "these", "those", "it", "its", "as", "by", "from", "up", "down", "out", "so", "than",
+    "then", "too", "very", "can", "will", "just", "not", "no", "yes", "i", "you", "he", "she", "we", "they", "them", "his",
+    "her", "their", "my", "your", "our", "if", "about", "into", "over", "after", "before", "more", "most", "some", "any", "all",
+    "each", "do", "does", "did", "has", "have", "had",
+)
 # Words with a good and a bad tone.
 POSITIVE = (
-    "bom ótimo otimo excelente maravilhoso adorei gostei recomendo perfeito incrível incrivel satisfeito rápido rapido "
-    "eficiente positivo feliz good great excellent awesome love happy best wonderful perfect fast nice"
-).split()
+    "bom", "ótimo", "otimo", "excelente", "maravilhoso", "adorei", "gostei", "recomendo", "perfeito", "incrível", "incrivel",
+    "satisfeito", "rápido", "rapido", "eficiente", "positivo", "feliz", "good", "great", "excellent", "awesome", "love",
+    "happy", "best", "wonderful", "perfect", "fast", "nice",
+)
 NEGATIVE = (
-    "ruim péssimo pessimo horrível horrivel odiei detestei lento caro problema defeito insatisfeito negativo triste "
-    "terrível terrivel bad terrible awful hate worst slow expensive problem broken sad poor"
-).split()
+    "ruim", "péssimo", "pessimo", "horrível", "horrivel", "odiei", "detestei", "lento", "caro", "problema", "defeito",
+    "insatisfeito", "negativo", "triste", "terrível", "terrivel", "bad", "terrible", "awful", "hate", "worst", "slow",
+    "expensive", "problem", "broken", "sad", "poor",
+)
 
 
 @F.pandas_udf(StringType())

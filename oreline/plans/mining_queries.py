@@ -132,7 +132,7 @@ def length_histogram(t):
     return tx.length_histogram(docs(t)).withColumn("start", F.round("start", 4))
 
 
-GOOD, BAD = (", ".join(f"'{w}'" for w in ws) for ws in (tx.POSITIVE + ["und", "ing"], tx.NEGATIVE + ["der", "les"]))
+GOOD, BAD = (", ".join(f"'{w}'" for w in ws) for ws in ([*tx.POSITIVE, "und", "ing"], [*tx.NEGATIVE, "der", "les"]))
 MOOD = f"""(SELECT doc_id, len(list_filter(tokens, lambda w: w IN ({GOOD})))::INT AS p, len(list_filter(tokens, lambda w: w IN ({BAD})))::INT AS n FROM {TOKENS})"""
 
 
@@ -141,7 +141,7 @@ MOOD = f"""(SELECT doc_id, len(list_filter(tokens, lambda w: w IN ({GOOD})))::IN
     f"""SELECT doc_id, p AS n_positive, n AS n_negative, CASE WHEN p > n THEN 'positive' WHEN n > p THEN 'negative' ELSE 'neutral' END AS sentiment FROM {MOOD}""",
 )
 def lexicon_sentiment(t):
-    return tx.sentiment(docs(t), positive=tx.POSITIVE + ["und", "ing"], negative=tx.NEGATIVE + ["der", "les"]).select(
+    return tx.sentiment(docs(t), positive=[*tx.POSITIVE, "und", "ing"], negative=[*tx.NEGATIVE, "der", "les"]).select(
         "doc_id", "n_positive", "n_negative", "sentiment"
     )
 
@@ -152,7 +152,7 @@ def lexicon_sentiment(t):
                round(100.0::DOUBLE * count_if(p > n) / count(*), 1) AS positive_pct, round(100.0::DOUBLE * count_if(n > p) / count(*), 1) AS negative_pct FROM {MOOD}""",
 )
 def sentiment_summary(t):
-    return tx.sentiment_summary(docs(t), positive=tx.POSITIVE + ["und", "ing"], negative=tx.NEGATIVE + ["der", "les"])
+    return tx.sentiment_summary(docs(t), positive=[*tx.POSITIVE, "und", "ing"], negative=[*tx.NEGATIVE, "der", "les"])
 
 
 # --- sequences ------------------------------------------------------------------------------------

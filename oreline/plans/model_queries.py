@@ -252,7 +252,7 @@ def leaderboard_classification(t):
 
 @query("leaderboard_regression")
 def leaderboard_regression(t):
-    return ml.train_leaderboard(priced(t), "l_extendedprice", "regression", "line", ["linear", "ridge", "lasso", "tree", "forest", "boosting"], columns=NUMBERS)
+    return ml.train_leaderboard(priced(t), "l_extendedprice", "regression", "line", columns=NUMBERS)
 
 
 @query("leaderboard_more_models")
@@ -273,7 +273,7 @@ def knn_regression(t):
 
 @query("automl")
 def automl(t):
-    return ml.automl(rated(t), "quality", "classification", "doc_id", DOC, 3, ["tree", "bayes"])
+    return ml.automl(rated(t), "quality", "classification", "doc_id", DOC)
 
 
 @query("cross_validate")
@@ -283,7 +283,7 @@ def cross_validate(t):
 
 @query("hyper_search")
 def hyper_search(t):
-    return ml.hyper_search(rated(t), "quality", "classification", "doc_id", "tree", 4, 3, DOC)
+    return ml.hyper_search(rated(t), "quality", "classification", "doc_id", "tree", columns=DOC)
 
 
 @query("batch_score")
@@ -302,7 +302,7 @@ def predict_probability(t):
 def retrain(t):
     rows = rated(t)
     fixed = rows.filter("toxic = 1").withColumn("quality", F.lit(0))
-    return ml.batch_score(ml.retrain_with_feedback(rows, fixed, "quality", "classification", "tree", DOC), rows)
+    return ml.batch_score(ml.retrain_with_feedback(rows, fixed, "quality", "classification", "tree", DOC, "doc_id"), rows)
 
 
 @query("save_load_model")

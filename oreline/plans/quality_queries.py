@@ -244,9 +244,12 @@ def bivariate(t):
     return dq.bivariate(t.lineitem, "l_quantity", "l_extendedprice")
 
 
-@query("scatter_points")
+@query(
+    "scatter_points",
+    "SELECT l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE AS y FROM lineitem ORDER BY md5(l_orderkey || '~' || l_linenumber) LIMIT 200",
+)
 def scatter(t):
-    return dq.scatter_points(t.lineitem, "l_quantity", "l_extendedprice")
+    return dq.scatter_points(t.lineitem, "l_quantity", "l_extendedprice", ["l_orderkey", "l_linenumber"])
 
 
 @query(

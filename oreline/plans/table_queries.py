@@ -83,9 +83,9 @@ def records(t):
     return tb.records_from_json(t.events.select("event_id", "event_type", "props"), "props", "k bigint")
 
 
-@query("head_sample")
+@query("head_sample", "SELECT * FROM customer ORDER BY c_custkey LIMIT 5")
 def head_sample(t):
-    return tb.head_sample(t.customer, 5)
+    return tb.head_sample(t.customer, "c_custkey", 5)
 
 
 @query(

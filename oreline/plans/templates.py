@@ -80,8 +80,8 @@ def series(value, order, by):
 
 def tuning(target, key, numbers, texts, model="tree"):
     return [
-        Step("check", "cross_validation", {"target": target, "task": "classification", "key": key, "model": model, "k": 3, "columns": [*numbers, *texts]}),
-        Step("search", "tuning", {"target": target, "task": "classification", "key": key, "model": model, "trials": 3, "k": 2, "columns": [*numbers, *texts]}),
+        Step("check", "cross_validation", {"target": target, "task": "classification", "key": key, "model": model, "columns": [*numbers, *texts]}),
+        Step("search", "tuning", {"target": target, "task": "classification", "key": key, "model": model, "columns": [*numbers, *texts]}),
     ], []  # both read the source
 
 

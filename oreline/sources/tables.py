@@ -180,8 +180,9 @@ def write_json(df: DataFrame, path: str, columns=None) -> None:
 # --- samples --------------------------------------------------------------------------------------
 
 
-def head_sample(df: DataFrame, n: int = 5) -> DataFrame:
-    return df.limit(n)
+def head_sample(df: DataFrame, order, n: int = 5) -> DataFrame:
+    """The first rows by ``order``."""
+    return df.orderBy(*as_list(order)).limit(n)
 
 
 def bounded_sample(df: DataFrame, order, max_rows: int = 1000, max_bytes: int = 600_000, at_least: int = 50) -> DataFrame:
