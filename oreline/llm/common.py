@@ -32,6 +32,19 @@ def hash60(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
+def smallest(df: DataFrame, draw: str, n: int) -> DataFrame:
+    """The ``n`` rows of smallest ``draw``, a 60-bit hash in a column of its own.
+
+    Different draws are counted first, and only those under a threshold that lets a little more than ``n`` through are sorted, so the last
+    task reads about ``1.2 n`` rows and not ``n`` from every partition. Rows of equal draw count as one: any of them stands for all.
+    """
+    total = df.agg(F.approx_count_distinct(draw, 0.01)).first()[0]  # a sketch of fixed size, good to a few hundredths
+    if total > 2 * n + 200:
+        df = df.filter(F.col(draw) < int(2**60 * (1.2 * n + 100) / total))
+    rest = [c for c in df.columns if c != draw]
+    return df.groupBy(draw).agg(*[F.min(c).alias(c) for c in rest]).orderBy(draw).limit(n).select(*df.columns)
+
+
 def labelled_sample(labels: DataFrame, label: str, per_class: int, key: str = "doc_id") -> DataFrame:
     """At most ``per_class`` learning ids of each of the labels 0 and 1: ``(key, y)``, those of smallest MD5.
 
@@ -39,8 +52,8 @@ def labelled_sample(labels: DataFrame, label: str, per_class: int, key: str = "d
     """
     rows = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(key)).select(key, F.col(label).cast("int").alias("y"))
     ids = rows.groupBy(key).agg(F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most").drop("most")
-    draw = F.md5(F.col(key).cast("string"))
-    return ids.filter("y = 0").orderBy(draw).limit(per_class).union(ids.filter("y = 1").orderBy(draw).limit(per_class))
+    ids = ids.withColumn("_draw", hash60(F.col(key).cast("string")))
+    return smallest(ids.filter("y = 0"), "_draw", per_class).union(smallest(ids.filter("y = 1"), "_draw", per_class)).drop("_draw")
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from oreline.llm.common import schema_with, slices
+from oreline.llm.common import hash60, schema_with, slices, smallest
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
@@ -182,8 +182,9 @@ def fit_field(docs: DataFrame, key: str = "doc_id", text: str = "text", document
 
     ``node``: features x labels; ``pair``: edge type x label x label. Nothing to learn from gives weights that add no span.
     """
-    rows = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    drawn = rows.orderBy(F.md5(F.concat(F.coalesce("k", F.lit("")), F.lit("|"), F.md5("text")))).limit(documents).select("text")
+    name = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), F.md5(text))
+    rows = docs.filter(F.col(text).rlike("[0-9@]")).select(hash60(name).alias("draw"), F.col(text).alias("text"))
+    drawn = smallest(rows, "draw", documents).select("text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in slices(batches):

@@ -236,3 +236,13 @@ def test_mask(spark):
 def test_queries_are_registered_once():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
     assert toxicity.terms("abcdef") == ["abcdef", "abcd*", "abcde*"]
+
+
+def test_smallest_draws(spark):
+    from oreline.llm.common import hash60, smallest
+
+    rows = spark.range(5000).select(hash60(F.col("id").cast("string")).alias("draw"), "id")
+    every = sorted(map(tuple, rows.collect()))
+    for n in (5, 300, 4000, 9000):
+        assert sorted(map(tuple, smallest(rows.unionByName(rows), "draw", n).collect())) == every[:n]
+    assert smallest(rows.limit(0), "draw", 5).count() == 0
