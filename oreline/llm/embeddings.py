@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import FloatType
 
 from oreline.llm.common import schema_with
 from oreline.llm.components import connected_components
@@ -37,15 +38,15 @@ def sign_codes(vectors: np.ndarray, bits: int, tables: int, seed: int = 7) -> np
     return (signs * (1 << np.arange(bits))).sum(axis=2).astype(np.uint32)
 
 
-def linked_blocks(a: pd.DataFrame, b: pd.DataFrame | None, table: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def linked_blocks(a: pd.DataFrame, b: pd.DataFrame | None, table: int, least: float, kinds: tuple[str, str] = ("f8", "u4")) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights linked to each member of both blocks, and the place of the smallest member each is joined with.
 
-    ``b`` is None for a block against itself. Members are in order of their ids, ``a``'s before ``b``'s.
+    ``kinds``: how vectors and codes are stored. ``b`` is None for a block against itself. Members are in order of their ids, ``a``'s before ``b``'s.
     """
     both = a if b is None else pd.concat([a, b], ignore_index=True)
     order = np.argsort(both["rep"].to_numpy(), kind="stable")
-    x = np.frombuffer(b"".join(both["vector"]), np.float64).reshape(len(both), -1)
-    codes = np.frombuffer(b"".join(both["codes"]), np.uint32).reshape(len(both), -1)[:, :table]
+    x = np.frombuffer(b"".join(both["vector"]), kinds[0]).reshape(len(both), -1).astype(np.float64)
+    codes = np.frombuffer(b"".join(both["codes"]), kinds[1]).reshape(len(both), -1)[:, :table]
     size = np.sqrt((x * x).sum(axis=1))
     n = len(a)
     left, right = (slice(0, n), slice(0, n)) if b is None else (slice(0, n), slice(n, len(both)))
@@ -82,6 +83,9 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     some = rows.filter("v is not null")
     classes = stage(some.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w")).withColumn("h", F.xxhash64("v")), "vector-classes")
     bits, tables = plan_tables(classes.count(), least)
+    # Components that came as floats travel as floats; comparing is in double precision all the same.
+    is_float = isinstance(df.schema[vector].dataType.elementType, FloatType)
+    kinds = ("<f4" if is_float else "<f8", "<u2" if bits <= 16 else "<u4")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +102,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
                     buckets = (np.int64(d) << 48) + (np.arange(tables, dtype=np.int64) << 32)[None, :] + codes
                     take = pa.array(np.repeat(which, tables))
                     repeat = lambda values: pa.array(values, pa.binary()).take(pa.array(np.repeat(np.arange(len(which)), tables)))
-                    yield pa.RecordBatch.from_arrays([part.column("rep").take(take), part.column("h").take(take), part.column("w").take(take), pa.array(buckets.ravel()), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(which))), repeat([r.tobytes() for r in x]), repeat([r.tobytes() for r in codes])], names=["rep", "h", "w", "bucket", "t", "vector", "codes"])
+                    yield pa.RecordBatch.from_arrays([part.column("rep").take(take), part.column("h").take(take), part.column("w").take(take), pa.array(buckets.ravel()), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(which))), repeat([r.tobytes() for r in x.astype(kinds[0])]), repeat([r.tobytes() for r in codes.astype(kinds[1])])], names=["rep", "h", "w", "bucket", "t", "vector", "codes"])
 
     dealt = classes.select("v", "rep", "h", "w").mapInArrow(deal, schema_with(classes.select("rep", "h", "w"), "bucket bigint, t int, vector binary, codes binary"))
     counts = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("g", F.ceil(F.col("n") / BLOCK).cast("int"))
@@ -112,7 +116,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
         both = a if b is None else pd.concat([a, b], ignore_index=True)
         if not len(a) or b is not None and not len(b):
             return pd.DataFrame({"rep": [], "h": [], "n": [], "joined": []})
-        _, sums, joined = linked_blocks(a, b, t, least)
+        _, sums, joined = linked_blocks(a, b, t, least, kinds)
         out = pd.DataFrame({"rep": both["rep"], "h": both["h"], "n": sums, "joined": both["rep"].to_numpy()[joined]})
         return out[(out["n"] > 0) | (out["rep"] != out["joined"])]
 

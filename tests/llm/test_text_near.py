@@ -121,7 +121,9 @@ def test_vectors_by_brute_force(spark, monkeypatch):
     x += [x[0]] * 40 + [x[0] * 3.0, -x[0], np.zeros(24), np.full(24, np.nan), np.full(24, np.inf)]
     rows = [(i * 2, [float(np.float32(v)) for v in e]) for i, e in enumerate(x)]
     rows += [(2001, None), (2002, []), (2003, [1.0, None] + [0.0] * 22), (2004, [1.0, 2.0]), (2005, [2.0, 4.0]), (None, rows[0][1])]
-    found = {r.vec_id: r for r in near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()}
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    found = {r.vec_id: r for r in near_vectors(df).collect()}
+    assert found == {r.vec_id: r for r in near_vectors(df.selectExpr("vec_id", "cast(embedding as array<double>) as embedding")).collect()}
     good = [(i, np.array(e)) for i, e in rows if i is not None and e and None not in e and np.isfinite(e).all() and np.any(e)]
     linked = [(i, j) for k, (i, a) in enumerate(good) for j, b in good[:k] if len(a) == len(b) and a @ b / np.sqrt(a @ a) / np.sqrt(b @ b) >= 0.95]
     expected = groups({i for i, _ in rows if i is not None}, linked)
