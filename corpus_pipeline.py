@@ -40,8 +40,8 @@ def personal_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix to target weights takes them; a part of one where blocks take a part."""
-    return mixed_documents(docs)
+    """Documents as often as the mix to target weights takes them, with ``n_chars`` counted anew; at most one cut per source and shard."""
+    return mixed_documents(docs, length="n_chars")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,9 @@ Documents are dealt to shards by hash. In a shard, the documents of a source in
 ``votes / (2 k - 1)``, where a source's votes are its target's part of the stream, in blocks. A quota of ``q`` blocks from a
 stream of ``n`` takes each block ``q div n`` times and ``q mod n`` of them, spread evenly from a seeded start, once more.
 Every step is a sum by key or a window over one stream of a shard or one row per source, so nothing grows with the corpus.
+
+``mixed_sizes`` counts words of single blocks, as its SQL twin does. ``mixed_documents`` gives texts to learn from, so it takes what its
+sources owe beyond whole rounds as whole documents: the first ones in hashed order, of which only the last may be cut.
 """
 
 from __future__ import annotations
@@ -47,23 +50,22 @@ def _up_to(x: Column, block: int) -> Column:
     return F.col("_rounds") * x + block * chosen(j) + (x - j * block) * (chosen(j + 1) - chosen(j))
 
 
-def plan_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: str = "mix", shard_words: int = 4 << 20, block_words: int = 16, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """What the mix takes: one row per different ``(key, source, size)``, with its number of ``copies`` and the cut of its stream.
-
-    Columns: ``key, source, size, copies, source_size, target, _offset, _blocks, _rounds, _extra, _start``. Nulls are values of
-    their own in ``key`` and ``source``; a null text has size 0.
-    """
+def _dealt(docs: DataFrame, key: str, source: str, text: str, seed: str, shard_words: int, weights, most: int) -> tuple[DataFrame, DataFrame]:
+    """One row per different ``(key, source, size)`` with its target and shard, and the targets of the sources."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
     units = stage(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size.alias("size")).groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("copies")), "mix-units")
     targets = stage(source_targets(units, copies="copies", weights=weights, most=most), "mix-targets")
     name = F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("key").cast("string"), F.lit("null")))
     shards = F.greatest(F.lit(1), F.ceil(F.col("whole_size") / shard_words)).cast("bigint")
     rows = units.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumn("_hash", hash60(name)).withColumn("shard", F.col("_hash") % shards)
-    # Quotas: one row per shard and source.
+    return rows.withColumn("_hash", hash60(name)).withColumn("shard", F.col("_hash") % shards), targets
+
+
+def _cuts(streams: DataFrame, seed: str, block_words: int, most: int) -> DataFrame:
+    """``(shard, place, _blocks, _rounds, _extra, _start)`` of ``streams(shard, place, source_size, target, stream)``."""
     blocks = F.ceil(F.col("stream") / block_words).cast("bigint")
     votes = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * blocks).otherwise(F.lit(0.0))
-    streams = rows.groupBy("shard", "place", "source_size", "target").agg(F.sum(F.col("size") * F.col("copies")).cast("bigint").alias("stream")).withColumn("votes", votes)
+    streams = streams.withColumn("votes", votes)
     shard = W.partitionBy("shard")
     some = streams.filter("votes > 0").withColumn("_all", F.sum(F.floor(F.col("votes") * 1048576)).over(shard) / 1048576.0).withColumn("_n", F.count(F.lit(1)).over(shard))
     some = some.withColumn("_seats", F.round(F.col("_all")).cast("bigint"))
@@ -76,11 +78,30 @@ def plan_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     won = asked.withColumn("_best", best).groupBy("shard", "place").agg((F.max("_sure") + F.count(F.when(F.col("_best") <= F.col("_open"), 1))).alias("quota"))
     start = hash60(F.concat(F.lit(seed), F.lit("/"), F.col("shard").cast("string"), F.lit("/"), F.col("place").cast("string")))
     cuts = streams.join(won, ["shard", "place"], "left").select("shard", "place", F.greatest(blocks, F.lit(1)).alias("_blocks"), F.coalesce("quota", F.lit(0)).alias("quota"))
-    cuts = cuts.withColumn("quota", F.least("quota", most * F.col("_blocks"))).select("shard", "place", "_blocks", F.floor(F.col("quota") / F.col("_blocks")).cast("bigint").alias("_rounds"), (F.col("quota") % F.col("_blocks")).alias("_extra"), (start % F.col("_blocks")).alias("_start"))
-    rows = rows.join(cuts, ["shard", "place"])
+    cuts = cuts.withColumn("quota", F.least("quota", most * F.col("_blocks")))
+    return cuts.select("shard", "place", "_blocks", F.floor(F.col("quota") / F.col("_blocks")).cast("bigint").alias("_rounds"), (F.col("quota") % F.col("_blocks")).alias("_extra"), (start % F.col("_blocks")).alias("_start"))
+
+
+def _with_offsets(rows: DataFrame) -> DataFrame:
+    """``_offset``: words before a row in the stream of its shard and source."""
     order = W.partitionBy("shard", "place").orderBy("_hash", "key", "size")
     amount = F.col("size") * F.col("copies")
-    rows = rows.withColumn("_offset", (F.sum(amount).over(order.rowsBetween(W.unboundedPreceding, 0)) - amount).cast("bigint"))
+    return rows.withColumn("_offset", (F.sum(amount).over(order.rowsBetween(W.unboundedPreceding, 0)) - amount).cast("bigint"))
+
+
+def _streams(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy("shard", "place", *by).agg(F.sum(F.col("size") * F.col("copies")).cast("bigint").alias("stream"))
+
+
+def plan_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: str = "mix", shard_words: int = 4 << 20, block_words: int = 16, weights=WEIGHTS, most: int = MOST) -> DataFrame:
+    """What the mix takes: one row per different ``(key, source, size)``, with its number of ``copies`` and the cut of its stream.
+
+    Columns: ``key, source, size, copies, source_size, target, _offset, _blocks, _rounds, _extra, _start``. Nulls are values of
+    their own in ``key`` and ``source``; a null text has size 0.
+    """
+    rows, _ = _dealt(docs, key, source, text, seed, shard_words, weights, most)
+    cuts = _cuts(_streams(rows, "source_size", "target"), seed, block_words, most)
+    rows = _with_offsets(rows.join(cuts, ["shard", "place"]))
     return rows.select("key", "source", "size", "copies", "source_size", "target", "_offset", "_blocks", "_rounds", "_extra", "_start")
 
 
@@ -93,32 +114,45 @@ def mixed_sizes(docs: DataFrame, key: str = "doc_id", source: str = "source", te
     return rows.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", taken.alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", block_words: int = 16, most: int = MOST, **options) -> DataFrame:
-    """The mix itself: rows of ``docs`` with as many words as ``taken`` says, all columns kept.
+def plan_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: str = "mix", shard_words: int = 4 << 20, block_words: int = 16, weights=WEIGHTS, most: int = MOST) -> DataFrame:
+    """What the mix of documents takes: ``key, source, size, copies, _offset, _rounds, _words``, a row per different ``(key, source, size)``.
+
+    Every source takes each of its words ``_rounds`` times and the first ``_words`` words of its stream once more.
+    """
+    rows, _ = _dealt(docs, key, source, text, seed, shard_words, weights, most)
+    cuts = _cuts(_streams(rows, "source_size", "target"), seed, block_words, most)
+    # Of the last, shorter block only its own words count, if it is among the chosen ones.
+    cuts = cuts.join(_streams(rows), ["shard", "place"])
+    short = F.when(F.col("_start") < F.col("_extra"), F.col("_blocks") * block_words - F.col("stream")).otherwise(F.lit(0))
+    cuts = cuts.select("shard", "place", "_rounds", (F.col("_extra") * block_words - short).cast("bigint").alias("_words"))
+    return _with_offsets(rows.join(cuts, ["shard", "place"])).select("key", "source", "size", "copies", "_offset", "_rounds", "_words")
+
+
+def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", block_words: int = 16, most: int = MOST, length: str | None = None, **options) -> DataFrame:
+    """The mix itself: rows of ``docs``, all columns kept, with as many words of each source as ``plan_documents`` says.
 
-    A document comes as often as whole rounds take it, and once more with the words of the blocks chosen beyond, if any. Such a
-    part starts at its first word and keeps the white space between its words. Documents without words are not taken.
+    A document comes as often as whole rounds take it, and once more if it is among the first of its stream in hashed order, where the
+    last one is cut after as many words as are still owed; white space between words is kept. Documents without words are not
+    taken. ``length`` names a column that gets the new number of code points.
     """
-    plan = plan_mix(docs, key, source, text, block_words=block_words, most=most, **options)
+    plan = plan_documents(docs, key, source, text, block_words=block_words, most=most, **options)
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
     kept = docs.columns
     rows = docs.select(F.struct(*kept).alias("_row"), F.col(key).alias("_k"), F.col(source).alias("_s"), F.col(text).alias("_t"), size.alias("_n")).filter("_n > 0")
-    cut = plan.withColumnsRenamed({"key": "_key", "source": "_source", "size": "_size", "copies": "_copies"}).drop("source_size", "target")
+    cut = plan.withColumnsRenamed({"key": "_key", "source": "_source", "size": "_size", "copies": "_copies"})
     rows = rows.join(cut, F.col("_k").eqNullSafe(F.col("_key")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
     # Only where a key comes again are its rows numbered.
     once, again = rows.filter("_copies = 1").withColumn("_copy", F.lit(0).cast("bigint")), rows.filter("_copies > 1")
     again = again.withColumn("_copy", F.row_number().over(W.partitionBy("_key", "_source", "_size").orderBy(F.xxhash64("_t"))).cast("bigint") - 1)
-    rows = once.unionByName(again).withColumn("_begin", F.col("_offset") + F.col("_copy") * F.col("_size"))
+    rows = once.unionByName(again).withColumn("_part", F.col("_words") - F.col("_offset") - F.col("_copy") * F.col("_size"))
     words = F.regexp_extract_all(F.col("_t"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    block = lambda i: F.floor((F.col("_begin") + i) / F.lit(block_words)).cast("bigint")
-    chosen = lambda b: F.floor((b * F.col("_extra") + F.col("_start")).cast("double") / F.col("_blocks"))
-    part = F.array_join(F.filter(words, lambda w, i: chosen(block(i) + 1) > chosen(block(i))), "")
-    first, last = block(F.lit(0)), block(F.col("_n") - 1)
-    some = chosen(last + 1) > chosen(first)
-    whole = F.array_repeat(F.col("_t"), F.col("_rounds").cast("int"))
-    texts = F.when(some, F.concat(whole, F.array(part))).otherwise(whole)
+    part = F.array_join(F.slice(words, F.lit(1), F.col("_part").cast("int")), "")
+    times = (F.col("_rounds") + F.when(F.col("_part") >= F.col("_n"), 1).otherwise(0)).cast("int")
+    whole = F.array_repeat(F.col("_t"), times)
+    texts = F.when((F.col("_part") > 0) & (F.col("_part") < F.col("_n")), F.concat(whole, F.array(part))).otherwise(whole)
     rows = rows.withColumn("_t", F.explode(texts))
-    return rows.select(*[F.col("_t").alias(c) if c == text else F.col("_row")[c].alias(c) for c in kept])
+    out = rows.select(*[F.col("_t").alias(c) if c == text else F.col("_row")[c].alias(c) for c in kept])
+    return out.withColumn(length, F.length(text).cast(docs.schema[length].dataType)) if length else out
 
 
 def mixing_sql(seed: str = "mix", shard_words: int = 4 << 20, block_words: int = 16) -> str:

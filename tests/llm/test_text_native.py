@@ -118,6 +118,16 @@ def test_mix_takes_near_targets_and_reruns_agree(spark):
     assert any((r.doc_id, r.text) in whole for r in mix.collect())
 
 
+def test_mix_takes_whole_documents(spark):
+    """Beyond whole rounds, documents are taken whole but for one of each source; before, parts had holes of 16 words."""
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(150 + i % 90)), None, f"s{i % 6}", 0) for i in range(300)]
+    text = {r[0]: r[1] for r in rows}
+    mix = mixed_documents(spark.createDataFrame(rows, SCHEMA), length="n_chars").collect()
+    cut = [r for r in mix if r.text != text[r.doc_id]]
+    assert len(cut) <= 6 and len({r.source for r in cut}) == len(cut) < 0.05 * len(mix)
+    assert all(text[r.doc_id].startswith(r.text.strip()) for r in cut) and all(r.n_chars == len(r.text) for r in mix)
+
+
 def test_mix_of_nothing(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert mixed_sizes(docs).count() == 0 and mixed_documents(docs).count() == 0
