@@ -40,7 +40,7 @@ def personal_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix to target weights takes them, with ``n_chars`` counted anew; at most one cut per source and shard."""
+    """Documents as often as the mix to target weights takes them, with ``n_chars`` counted anew; at most one cut per source."""
     return mixed_documents(docs, length="n_chars")
 
 

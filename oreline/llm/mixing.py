@@ -7,7 +7,8 @@ stream of ``n`` takes each block ``q div n`` times and ``q mod n`` of them, spre
 Every step is a sum by key or a window over one stream of a shard or one row per source, so nothing grows with the corpus.
 
 ``mixed_sizes`` counts words of single blocks, as its SQL twin does. ``mixed_documents`` gives texts to learn from, so it takes what its
-sources owe beyond whole rounds as whole documents: the first ones in hashed order, of which only the last may be cut.
+sources owe beyond whole rounds as whole documents: the first ones in hashed order, of which only the last may be cut. There, blocks are
+apportioned once over all shards, so that a source of few words per shard comes as near to its target as any other.
 """
 
 from __future__ import annotations
@@ -117,21 +118,25 @@ def mixed_sizes(docs: DataFrame, key: str = "doc_id", source: str = "source", te
 def plan_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: str = "mix", shard_words: int = 4 << 20, block_words: int = 16, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """What the mix of documents takes: ``key, source, size, copies, _offset, _rounds, _words``, a row per different ``(key, source, size)``.
 
-    Every source takes each of its words ``_rounds`` times and the first ``_words`` words of its stream once more.
+    Every source takes each of its words ``_rounds`` times and the first ``_words`` words of its streams, shard after shard, once
+    more. Blocks are apportioned once over all shards; running sums per source carry what it owes from shard to shard.
     """
-    rows, _ = _dealt(docs, key, source, text, seed, shard_words, weights, most)
-    cuts = _cuts(_streams(rows, "source_size", "target"), seed, block_words, most)
+    rows, targets = _dealt(docs, key, source, text, seed, shard_words, weights, most)
+    cuts = _cuts(targets.select(F.lit(0).alias("shard"), "place", "source_size", "target", F.col("source_size").alias("stream")), seed, block_words, most)
     # Of the last, shorter block only its own words count, if it is among the chosen ones.
-    cuts = cuts.join(_streams(rows), ["shard", "place"])
-    short = F.when(F.col("_start") < F.col("_extra"), F.col("_blocks") * block_words - F.col("stream")).otherwise(F.lit(0))
-    cuts = cuts.select("shard", "place", "_rounds", (F.col("_extra") * block_words - short).cast("bigint").alias("_words"))
-    return _with_offsets(rows.join(cuts, ["shard", "place"])).select("key", "source", "size", "copies", "_offset", "_rounds", "_words")
+    cuts = cuts.join(targets.select("place", "source_size"), "place")
+    short = F.when(F.col("_start") < F.col("_extra"), F.col("_blocks") * block_words - F.col("source_size")).otherwise(F.lit(0))
+    cuts = cuts.select("place", "_rounds", (F.col("_extra") * block_words - short).cast("bigint").alias("_words"))
+    before = F.sum("stream").over(W.partitionBy("place").orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
+    streams = _streams(rows).withColumn("_before", F.coalesce(before, F.lit(0)).cast("bigint")).drop("stream").join(cuts, "place")
+    rows = _with_offsets(rows.join(streams, ["shard", "place"]))
+    return rows.select("key", "source", "size", "copies", (F.col("_before") + F.col("_offset")).alias("_offset"), "_rounds", "_words")
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", block_words: int = 16, most: int = MOST, length: str | None = None, **options) -> DataFrame:
     """The mix itself: rows of ``docs``, all columns kept, with as many words of each source as ``plan_documents`` says.
 
-    A document comes as often as whole rounds take it, and once more if it is among the first of its stream in hashed order, where the
+    A document comes as often as whole rounds take it, and once more if it is among the first of its source in hashed order, where the
     last one is cut after as many words as are still owed; white space between words is kept. Documents without words are not
     taken. ``length`` names a column that gets the new number of code points.
     """

@@ -128,6 +128,19 @@ def test_mix_takes_whole_documents(spark):
     assert all(text[r.doc_id].startswith(r.text.strip()) for r in cut) and all(r.n_chars == len(r.text) for r in mix)
 
 
+@pytest.mark.parametrize("shard_words", [30, 700, 4 << 20])
+def test_mix_of_thin_sources_in_many_shards(spark, shard_words):
+    """A source of about one short document per shard gets its target; before, all streams were rounded the same way."""
+    text = lambda i, n: " ".join(f"d{i}w{j}" for j in range(n))
+    rows = [(i, text(i, 400), None, "ab"[i % 2], 0) for i in range(12)] + [(100 + i, text(i, 10), None, "c", 0) for i in range(240)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    target = {r.source: r.target for r in mixed_sizes(docs).collect()}
+    got = dict.fromkeys(target, 0)
+    for r in mixed_documents(docs, shard_words=shard_words).collect():
+        got[r.source] += len(r.text.split())
+    assert target["c"] == 900 and all(abs(got[s] - t) < 16 for s, t in target.items())
+
+
 def test_mix_of_nothing(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert mixed_sizes(docs).count() == 0 and mixed_documents(docs).count() == 0
