@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from oreline.llm.bpe import encode_documents, share
 from oreline.llm.common import table
@@ -14,7 +14,7 @@ from oreline.llm.mixing import mixed_documents
 from oreline.llm.personal import fit_field, mask_personal
 from oreline.llm.quality import fit_quality, score_quality
 from oreline.llm.queries import GOOD
-from oreline.session import scratch_path
+from oreline.session import scratch_path, stage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,14 +24,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id; of a repeated id, the row of the smallest text.
+    """One row of each group of near copies, that of the smallest id and then of the smallest MD5 of its text, whatever other rows share its id.
 
-    Documents without words are in no group and stay, and so do rows without an id.
+    Rows get keys of their own, written once, so unlike rows with one id are unlike documents. Documents without words are in
+    no group and stay, and so do rows without an id.
     """
-    kept = near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    found = docs.join(kept.hint("merge"), docs["doc_id"] == kept["_id"], "left_semi")
-    first = found.withColumn("_place", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).filter("_place = 1").select(*docs.columns)
-    return first.unionByName(docs.filter("doc_id is null"))
+    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed-rows")
+    found = near_duplicates(rows.filter("doc_id is not null"), "_row").select(F.col("_row").alias("_key"), "component_id")
+    named = found.join(rows.select("_row", "doc_id", F.md5("text").alias("_text")), F.col("_key") == F.col("_row"))
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_text", "_row"))["_row"].alias("_key")).select("_key")
+    kept = rows.join(first.hint("merge"), rows["_row"] == first["_key"], "left_semi")
+    return kept.unionByName(rows.filter("doc_id is null")).select(*docs.columns)
 
 
 def personal_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

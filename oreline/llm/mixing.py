@@ -51,12 +51,16 @@ def _up_to(x: Column, block: int) -> Column:
     return F.col("_rounds") * x + block * chosen(j) + (x - j * block) * (chosen(j + 1) - chosen(j))
 
 
-def _dealt(docs: DataFrame, key: str, source: str, text: str, seed: str, shard_words: int, weights, most: int) -> tuple[DataFrame, DataFrame]:
-    """One row per different ``(key, source, size)`` with its target and shard, and the targets of the sources."""
+def _dealt(docs: DataFrame, key: str, source: str, text: str, seed: str, shard_words: int, weights, most: int, by_text: bool = False) -> tuple[DataFrame, DataFrame]:
+    """One row per different ``(key, source, size)`` with its target and shard, and the targets of the sources.
+
+    ``by_text`` tells rows apart by a hash of the text too, in ``_text``, and deals by it, so that the rows of one id go to all shards.
+    """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
-    units = stage(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size.alias("size")).groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("copies")), "mix-units")
+    more = {"_text": F.xxhash64(text)} if by_text else {}
+    units = stage(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size.alias("size"), *[c.alias(n) for n, c in more.items()]).groupBy("key", "source", "size", *more).agg(F.count(F.lit(1)).alias("copies")), "mix-units")
     targets = stage(source_targets(units, copies="copies", weights=weights, most=most), "mix-targets")
-    name = F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("key").cast("string"), F.lit("null")))
+    name = F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("key").cast("string"), F.lit("null")), *[c for n in more for c in (F.lit(":"), F.col(n).cast("string"))])
     shards = F.greatest(F.lit(1), F.ceil(F.col("whole_size") / shard_words)).cast("bigint")
     rows = units.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     return rows.withColumn("_hash", hash60(name)).withColumn("shard", F.col("_hash") % shards), targets
@@ -83,9 +87,9 @@ def _cuts(streams: DataFrame, seed: str, block_words: int, most: int) -> DataFra
     return cuts.select("shard", "place", "_blocks", F.floor(F.col("quota") / F.col("_blocks")).cast("bigint").alias("_rounds"), (F.col("quota") % F.col("_blocks")).alias("_extra"), (start % F.col("_blocks")).alias("_start"))
 
 
-def _with_offsets(rows: DataFrame) -> DataFrame:
+def _with_offsets(rows: DataFrame, *last: str) -> DataFrame:
     """``_offset``: words before a row in the stream of its shard and source."""
-    order = W.partitionBy("shard", "place").orderBy("_hash", "key", "size")
+    order = W.partitionBy("shard", "place").orderBy("_hash", "key", "size", *last)
     amount = F.col("size") * F.col("copies")
     return rows.withColumn("_offset", (F.sum(amount).over(order.rowsBetween(W.unboundedPreceding, 0)) - amount).cast("bigint"))
 
@@ -116,12 +120,14 @@ def mixed_sizes(docs: DataFrame, key: str = "doc_id", source: str = "source", te
 
 
 def plan_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: str = "mix", shard_words: int = 4 << 20, block_words: int = 16, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """What the mix of documents takes: ``key, source, size, copies, _offset, _rounds, _words``, a row per different ``(key, source, size)``.
+    """What the mix of documents takes: ``key, source, size, _text, copies, _offset, _rounds, _words``, a row per different first four.
+
+    ``_text`` is a hash of the text, so an id that many rows share is dealt to all shards.
 
     Every source takes each of its words ``_rounds`` times and the first ``_words`` words of its streams, shard after shard, once
     more. Blocks are apportioned once over all shards; running sums per source carry what it owes from shard to shard.
     """
-    rows, targets = _dealt(docs, key, source, text, seed, shard_words, weights, most)
+    rows, targets = _dealt(docs, key, source, text, seed, shard_words, weights, most, by_text=True)
     cuts = _cuts(targets.select(F.lit(0).alias("shard"), "place", "source_size", "target", F.col("source_size").alias("stream")), seed, block_words, most)
     # Of the last, shorter block only its own words count, if it is among the chosen ones.
     cuts = cuts.join(targets.select("place", "source_size"), "place")
@@ -129,8 +135,8 @@ def plan_documents(docs: DataFrame, key: str = "doc_id", source: str = "source",
     cuts = cuts.select("place", "_rounds", (F.col("_extra") * block_words - short).cast("bigint").alias("_words"))
     before = F.sum("stream").over(W.partitionBy("place").orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
     streams = _streams(rows).withColumn("_before", F.coalesce(before, F.lit(0)).cast("bigint")).drop("stream").join(cuts, "place")
-    rows = _with_offsets(rows.join(streams, ["shard", "place"]))
-    return rows.select("key", "source", "size", "copies", (F.col("_before") + F.col("_offset")).alias("_offset"), "_rounds", "_words")
+    rows = _with_offsets(rows.join(streams, ["shard", "place"]), "_text")
+    return rows.select("key", "source", "size", "_text", "copies", (F.col("_before") + F.col("_offset")).alias("_offset"), "_rounds", "_words")
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", block_words: int = 16, most: int = MOST, length: str | None = None, **options) -> DataFrame:
@@ -143,12 +149,12 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source"
     plan = plan_documents(docs, key, source, text, block_words=block_words, most=most, **options)
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
     kept = docs.columns
-    rows = docs.select(F.struct(*kept).alias("_row"), F.col(key).alias("_k"), F.col(source).alias("_s"), F.col(text).alias("_t"), size.alias("_n")).filter("_n > 0")
+    rows = docs.select(F.struct(*kept).alias("_row"), F.col(key).alias("_k"), F.col(source).alias("_s"), F.col(text).alias("_t"), F.xxhash64(text).alias("_h"), size.alias("_n")).filter("_n > 0")
     cut = plan.withColumnsRenamed({"key": "_key", "source": "_source", "size": "_size", "copies": "_copies"})
-    rows = rows.join(cut, F.col("_k").eqNullSafe(F.col("_key")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
-    # Only where a key comes again are its rows numbered.
+    rows = rows.join(cut, F.col("_k").eqNullSafe(F.col("_key")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")) & (F.col("_h") == F.col("_text")))
+    # Only where a key comes again with its text are its rows numbered.
     once, again = rows.filter("_copies = 1").withColumn("_copy", F.lit(0).cast("bigint")), rows.filter("_copies > 1")
-    again = again.withColumn("_copy", F.row_number().over(W.partitionBy("_key", "_source", "_size").orderBy(F.xxhash64("_t"))).cast("bigint") - 1)
+    again = again.withColumn("_copy", F.row_number().over(W.partitionBy("_key", "_source", "_size", "_text").orderBy(F.xxhash64("_t"))).cast("bigint") - 1)
     rows = once.unionByName(again).withColumn("_part", F.col("_words") - F.col("_offset") - F.col("_copy") * F.col("_size"))
     words = F.regexp_extract_all(F.col("_t"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     part = F.array_join(F.slice(words, F.lit(1), F.col("_part").cast("int")), "")

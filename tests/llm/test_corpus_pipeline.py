@@ -49,6 +49,15 @@ def test_one_of_each_group_stays(planted):
     assert planted[2].groupBy("doc_id").count().filter("count > 1").count() == 0 and (None in before) == (None in after)
 
 
+def test_rows_that_share_an_id_stay(spark):
+    """Unlike texts of one id all stay; before, only the smallest one did, and a shared id chained its copies' groups."""
+    text = lambda k, n=40: " ".join(f"t{k}w{j}" for j in range(n))
+    rows = [(7, text(k)) for k in range(5)] + [(7, text(0)), (7, None), (7, ""), (8, text(1) + " more"), (9, text(2)), (3, text(3)), (None, text(4)), (None, text(6))]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    found = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, FOLDER).collect()), key=str)
+    assert found == sorted([(7, text(k)) for k in (0, 1, 2, 4)] + [(7, None), (7, ""), (3, text(3)), (None, text(4)), (None, text(6))], key=str)
+
+
 def test_personal_data_is_gone(planted):
     texts = [r.text for r in planted[3].collect() if r.text]
     assert not any("me.too@example.org" in t for t in texts) and planted[3].count() == planted[2].count()
