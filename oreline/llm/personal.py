@@ -3,7 +3,7 @@
 Plain patterns give base spans. The field labels the tokens of a document that hold a digit or an ``@`` (the others can't be personal
 data of these kinds and only serve as context): ``none, email, ip, card, phone``. Its factors are
 
-* a token's shape, length, edge signs and neighbours' shapes,
+* a token's shape, length, edge signs, borders and neighbours' shapes,
 * a chain factor between tokens that stand side by side,
 * a skip factor between tokens, however far apart, whose digits or letters are the same or nearly so.
 
@@ -40,6 +40,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _TOKEN = re.compile(r"[0-9@]")
+#: Signs of a token: letters, digits and what the kinds use, but not the letters of scripts without blanks.
+_PART = re.compile(r"(?:(?![\u0e00-\u109f\u1780-\u17ff\u3005-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])[\w.%+@()-])+")
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&"
 
 
@@ -96,39 +98,49 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
 
-def tokens(text: str) -> list[tuple[int, int, str, str]]:
-    """Tokens with a digit or ``@``: ``(start, end, word before, word after)``, without signs at their edges."""
-    out, done = [], 0
+def tokens(text: str, spans: list[tuple[int, int, int]] = ()) -> list[tuple[int, int, str, str]]:
+    """Tokens with a digit or ``@``: ``(start, end, word before, word after)``, without signs at their edges.
+
+    Runs are cut at blanks, at signs that no kind uses and at letters of scripts without blanks, and where one of ``spans`` starts or ends.
+    """
+    cuts = sorted({x for _, a, b in spans for x in (a, b)})
+    places, done = [], 0
     for m in _TOKEN.finditer(text):
         at = m.start()
         if at < done:
             continue
         start = at
-        while start > done and not text[start - 1].isspace():
+        while start > done and _PART.match(text[start - 1]):
             start -= 1
-        end = at
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        done = end
-        before = text[max(0, start - 24) : start].split()
-        after = text[end : end + 24].split()
-        a, b = start, end
-        while a < at and text[a] in _EDGE:
-            a += 1
-        while b > at + 1 and text[b - 1] in _EDGE and text[b - 1] != ")":
-            b -= 1
-        if text[b - 1] == ")" and "(" not in text[start:b]:
-            b -= 1
-        if "(" in text[start:a]:
-            a = start + text[start:a].rindex("(")
+        end = done = _PART.match(text, at).end()
+        inner = cuts[bisect_right(cuts, start) : bisect_left(cuts, end)]
+        for start, end in zip([start, *inner], [*inner, end]):
+            digit = _TOKEN.search(text, start, end)
+            if not digit:
+                continue
+            a, b, at = start, end, digit.start()
+            while a < at and text[a] in _EDGE:
+                a += 1
+            while b > at + 1 and text[b - 1] in _EDGE and text[b - 1] != ")":
+                b -= 1
+            if text[b - 1] == ")" and "(" not in text[start:b]:
+                b -= 1
+            if "(" in text[start:a]:
+                a = start + text[start:a].rindex("(")
+            places.append((a, b))
+    out = []
+    for i, (a, b) in enumerate(places):
+        # Between the tokens beside it, so that a long text is read twice at most.
+        before = text[places[i - 1][0] if i else 0 : a].rsplit(None, 1)
+        after = text[b : places[i + 1][1] if i + 1 < len(places) else len(text)].split(None, 1)
         out.append((a, b, before[-1] if before else "", after[0] if after else ""))
     return out
 
 
-def _shape(s: str, most: int = 24) -> str:
+def _shape(s: str) -> str:
     """Letters as ``a`` and digits as ``9``; runs of over two signs alike are shortened, with the length of digit runs kept."""
-    s = re.sub(r"[^\W\d_]+", "a", s[:200])
-    return re.sub(r"[0-9]+", lambda m: f"9{len(m[0])}" if len(m[0]) > 4 else "9" * len(m[0]), s)[:most]
+    s = re.sub(r"[^\W\d_]+", "a", s)
+    return re.sub(r"[0-9]+", lambda m: f"9{len(m[0])}" if len(m[0]) > 4 else "9" * len(m[0]), s)
 
 
 @lru_cache(200_000)
@@ -136,15 +148,21 @@ def _place(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode("utf-8", "replace"), digest_size=4).digest(), "little") % BUCKETS
 
 
+def _border(text: str, at: int) -> str:
+    """The sign at a token's border: a blank at blanks and ends, one letter for all letters."""
+    c = text[at : at + 1] if at >= 0 else ""
+    return " " if not c or c.isspace() else "a" if c.isalnum() else c
+
+
 def token_features(text: str, found: list[tuple[int, int, str, str]]) -> list[list[int]]:
     """Hashed features of each token."""
     shapes = [_shape(text[a:b]) for a, b, *_ in found]
     out = []
     for i, (a, b, before, after) in enumerate(found):
-        s, n = text[a:b], len(_digits(text[a : min(b, a + 200)]))
+        s, n = text[a:b], len(_digits(text[a:b]))
         left = shapes[i - 1] if i and a - found[i - 1][1] <= 1 else ""
         right = shapes[i + 1] if i + 1 < len(found) and found[i + 1][0] - b <= 1 else ""
-        names = [f"s={shapes[i]}", f"n={n if n < 20 else 20}", f"@={'@' in s}", f".={min(s.count('.'), 4)}", f"+={s[0] == '+'}", f"l={_shape(before, 8)}", f"r={_shape(after, 8)}", f"L={left}", f"R={right}", f"a={any(c.isalpha() for c in s[:200])}", f"luhn={13 <= n <= 19 and luhn(_digits(s))}", f"w={before.lower()[-8:]}"]
+        names = [f"s={shapes[i]}", f"n={n if n < 20 else 20}", f"@={'@' in s}", f".={min(s.count('.'), 4)}", f"+={s[0] == '+'}", f"l={_shape(before)[-8:]}", f"r={_shape(after)[:8]}", f"L={left}", f"R={right}", f"a={any(c.isalpha() for c in s)}", f"luhn={13 <= n <= 19 and luhn(_digits(s))}", f"w={before.lower()[-8:]}", f"b={_border(text, a - 1)}", f"e={_border(text, b)}"]
         out.append([_place(x) for x in names])
     return out
 
@@ -169,7 +187,7 @@ def edges(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int,
 
 
 def base_labels(found: list[tuple[int, int, str, str]], spans: list[tuple[int, int, int]]) -> list[int]:
-    """Label of each token by the base span that it lies in or touches, the first kind if several; 0 if there is none."""
+    """Label of each token by the base span that it shares signs with, the first kind if several; 0 if there is none."""
     out, starts, ends = [0] * len(found), [f[0] for f in found], [f[1] for f in found]
     for k, a, b in spans:
         for i in range(bisect_right(ends, a), bisect_left(starts, b)):
@@ -189,11 +207,12 @@ def fit_field(docs: DataFrame, key: str = "doc_id", text: str = "text", document
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in slices(batches):
             for t in texts:
-                found = tokens(t)
+                base = base_spans(t)
+                found = tokens(t, base)
                 # Long tables of numbers count by their first thousand tokens in the fit, not in the labelling.
                 found = found[:1000]
                 links = edges(t, found)
-                labels = base_labels(found, base_spans(t))
+                labels = base_labels(found, base)
                 unknown = base_labels(found, [(0, a, b) for a, b in swallowed(t)])
                 labels = [-1 if u and not y else y for y, u in zip(labels, unknown)]
                 yield pa.RecordBatch.from_arrays([pa.array([labels], pa.list_(pa.int32())), pa.array([token_features(t, found)], pa.list_(pa.list_(pa.int32()))), pa.array([[list(e) for e in links]], pa.list_(pa.list_(pa.int32())))], names=["labels", "features", "edges"])
@@ -263,9 +282,9 @@ def beliefs(node: np.ndarray, pair: np.ndarray, links: list[tuple[int, int, int]
 
 
 def find_spans(text: str, model: dict) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans and added spans of a whole text; added ones touch no base span."""
+    """Base spans and added spans of a whole text; added ones share no sign with a base span."""
     base = base_spans(text)
-    found = tokens(text)
+    found = tokens(text, base)
     fixed = base_labels(found, base)
     if not found or all(fixed):
         return base, []
@@ -277,7 +296,7 @@ def find_spans(text: str, model: dict) -> tuple[list[tuple[int, int, int]], list
         if fixed[at] or k < 0 or p[at, k + 1] < SURE:
             continue
         # Tokens of one number, side by side, make one span.
-        if added and added[-1][0] == k and k >= 2 and a - added[-1][2] <= 1 and at and not fixed[at - 1] and text[a] != "+" and len(_digits(text[added[-1][1] : b])) <= (19 if k == 2 else 15):
+        if added and added[-1][0] == k and k >= 2 and a - added[-1][2] <= 1 and text[added[-1][2] : a] in ("", " ", "-", ".", "(", ")") and at and not fixed[at - 1] and text[a] != "+" and len(_digits(text[added[-1][1] : b])) <= (19 if k == 2 else 15):
             added[-1] = (k, added[-1][1], b)
         else:
             added.append((k, a, b))

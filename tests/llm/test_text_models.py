@@ -207,6 +207,26 @@ def test_field_finds_what_the_patterns_swallow(spark):
     assert find_spans(clean, model) == ([], [])
 
 
+def test_tokens_of_runs_without_blanks():
+    """Runs are cut at signs that no kind uses and at base spans; before, a run was one token, held if any base span touched it."""
+    text = "x" * 300 + ',"1987",a.b@c.de;电话13800138000号，4539578763621486/77'
+    base = base_spans(text)
+    found = personal.tokens(text, base)
+    assert [text[a:b] for a, b, *_ in found] == ["1987", "a.b@c.de", "13800138000", "4539578763621486", "77"]
+    assert personal.base_labels(found, base) == [0, 1, 0, 3, 0]
+    assert [(a, b) for a, b, *_ in personal.tokens("1.2.3.4.555", [(1, 0, 7)])] == [(0, 7), (8, 11)]
+    far = personal.token_features("9" * 200 + "7", [(0, 201, "", "")]), personal.token_features("9" * 200 + "a", [(0, 201, "", "")])
+    assert far[0] != far[1]
+
+
+def test_field_reads_runs_without_blanks(spark):
+    """A swallowed pair of numbers after a base span of the same run is found and masked."""
+    model = fit_field(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    text = "a.b@c.de," + "field," * 50 + "+1 (555) 555-0142 4539578763621486,end"
+    base, added = find_spans(text, model)
+    assert len(base) == 1 and {(KINDS[k], text[a:b]) for k, a, b in added} == {("phone", "+1 (555) 555-0142"), ("card", "4539578763621486")}
+
+
 def test_beliefs_match_enumeration_on_a_tree():
     draw = np.random.RandomState(5)
     node, pair = draw.randn(4, 5), draw.randn(2, 5, 5)
