@@ -195,9 +195,26 @@ def base_labels(found: list[tuple[int, int, str, str]], spans: list[tuple[int, i
     return out
 
 
-def fit_field(docs: DataFrame, key: str = "doc_id", text: str = "text", documents: int = 4000, rounds: int = 40) -> dict:
+def spread(n: int, links: list[tuple[int, int, int]], most: int) -> list[int]:
+    """At most ``most`` of ``n`` tokens: some at even distances over the whole text, and with each up to three that it is linked with."""
+    if n <= most:
+        return list(range(n))
+    beside: dict[int, list[int]] = {}
+    for i, j, _ in links:
+        beside.setdefault(i, []).append(j)
+        beside.setdefault(j, []).append(i)
+    seeds = max(1, most // 4)
+    chosen = {k * n // seeds for k in range(seeds)}
+    # Far ones first: they are the repeats, of which a token has few.
+    more = {j for i in list(chosen) for j in sorted(beside.get(i, ()), key=lambda j: (-abs(j - i), j))[:3]}
+    return sorted(chosen | more)[:most]
+
+
+def fit_field(docs: DataFrame, key: str = "doc_id", text: str = "text", documents: int = 4000, rounds: int = 40, most_tokens: int = 1000) -> dict:
     """Weights of the field from at most ``documents`` documents with digits or ``@``, those of smallest MD5 of id and text.
 
+    Of a document with more than ``most_tokens`` tokens, so many that are spread over the whole text count, with the edges between them.
+
     ``node``: features x labels; ``pair``: edge type x label x label. Nothing to learn from gives weights that add no span.
     """
     name = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), F.md5(text))
@@ -209,13 +226,15 @@ def fit_field(docs: DataFrame, key: str = "doc_id", text: str = "text", document
             for t in texts:
                 base = base_spans(t)
                 found = tokens(t, base)
-                # Long tables of numbers count by their first thousand tokens in the fit, not in the labelling.
-                found = found[:1000]
                 links = edges(t, found)
+                few = spread(len(found), links, most_tokens)
                 labels = base_labels(found, base)
                 unknown = base_labels(found, [(0, a, b) for a, b in swallowed(t)])
                 labels = [-1 if u and not y else y for y, u in zip(labels, unknown)]
-                yield pa.RecordBatch.from_arrays([pa.array([labels], pa.list_(pa.int32())), pa.array([token_features(t, found)], pa.list_(pa.list_(pa.int32()))), pa.array([[list(e) for e in links]], pa.list_(pa.list_(pa.int32())))], names=["labels", "features", "edges"])
+                features, at = token_features(t, found), {i: k for k, i in enumerate(few)}
+                labels, features = [labels[i] for i in few], [features[i] for i in few]
+                links = [(at[i], at[j], kind) for i, j, kind in links if i in at and j in at]
+                yield pa.RecordBatch.from_arrays([pa.array([labels], pa.list_(pa.int32())), pa.array([features], pa.list_(pa.list_(pa.int32()))), pa.array([[list(e) for e in links]], pa.list_(pa.list_(pa.int32())))], names=["labels", "features", "edges"])
 
     seen = drawn.mapInArrow(read, "labels array<int>, features array<array<int>>, edges array<array<int>>").collect()
     y, x, around = [], [], []

@@ -227,6 +227,16 @@ def test_field_reads_runs_without_blanks(spark):
     assert len(base) == 1 and {(KINDS[k], text[a:b]) for k, a, b in added} == {("phone", "+1 (555) 555-0142"), ("card", "4539578763621486")}
 
 
+def test_fit_spreads_over_long_texts(spark):
+    """The field learns from the end of a long text too; before, only its first thousand tokens counted."""
+    links = [(i, i + 1, 0) for i in range(4999)] + [(3, 4997, 1)]
+    few = personal.spread(5000, links, 1000)
+    assert len(few) <= 1000 and few[-1] > 4900 and len({i // 500 for i in few}) == 10 and personal.spread(9, [], 10) == list(range(9))
+    assert {0, 3} <= set(personal.spread(5000, [(0, 3, 1)], 1000))
+    text = "7 " * 3000 + "a.b@c.de " * 1000
+    assert fit_field(spark.createDataFrame([(1, text)], "doc_id bigint, text string"))["pair"].any()
+
+
 def test_beliefs_match_enumeration_on_a_tree():
     draw = np.random.RandomState(5)
     node, pair = draw.randn(4, 5), draw.randn(2, 5, 5)
