@@ -31,10 +31,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed-rows")
     found = near_duplicates(rows.filter("doc_id is not null"), "_row").select(F.col("_row").alias("_key"), "component_id")
-    named = found.join(rows.select("_row", "doc_id", F.md5("text").alias("_text")), F.col("_key") == F.col("_row"))
-    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_text", "_row"))["_row"].alias("_key")).select("_key")
-    kept = rows.join(first.hint("merge"), rows["_row"] == first["_key"], "left_semi")
-    return kept.unionByName(rows.filter("doc_id is null")).select(*docs.columns)
+    copies = stage(found.filter("_key != component_id"), "copies")  # only groups of several rows go on
+    members = copies.union(copies.select("component_id", "component_id").distinct())
+    named = members.join(rows.select("_row", "doc_id", F.md5("text").alias("_text")), F.col("_key") == F.col("_row"))
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_text", "_row"))["_row"].alias("_first"))
+    later = members.join(first, F.col("_key") == F.col("_first"), "left_anti").select("_key")
+    return rows.join(later.hint("merge"), rows["_row"] == later["_key"], "left_anti").select(*docs.columns)
 
 
 def personal_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

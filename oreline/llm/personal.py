@@ -234,22 +234,26 @@ def fit_field(docs: DataFrame, key: str = "doc_id", text: str = "text", document
                 features, at = token_features(t, found), {i: k for k, i in enumerate(few)}
                 labels, features = [labels[i] for i in few], [features[i] for i in few]
                 links = [(at[i], at[j], kind) for i, j, kind in links if i in at and j in at]
-                yield pa.RecordBatch.from_arrays([pa.array([labels], pa.list_(pa.int32())), pa.array([features], pa.list_(pa.list_(pa.int32()))), pa.array([[list(e) for e in links]], pa.list_(pa.list_(pa.int32())))], names=["labels", "features", "edges"])
+                parts = [np.array(v, np.int32).tobytes() for v in (labels, features, links)]
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in parts], names=["labels", "features", "edges"])
 
-    seen = drawn.mapInArrow(read, "labels array<int>, features array<array<int>>, edges array<array<int>>").collect()
-    y, x, around = [], [], []
+    # As bytes: lists of numbers would take more of the driver's memory.
+    seen = drawn.mapInArrow(read, "labels binary, features binary, edges binary").collect()
+    y, x, around, at = [], [], [], 0
     for r in seen:
-        at = len(y)
-        y += r.labels
-        x += r.features
-        for i, j, kind in r.edges:
-            around += [(at + i, at + j, kind, 0), (at + j, at + i, kind, 1)]
+        labels, e = np.frombuffer(r.labels, np.int32), np.frombuffer(r.edges, np.int32).reshape(-1, 3)
+        i, j, kind, zero = at + e[:, 0], at + e[:, 1], e[:, 2], np.zeros(len(e), int)
+        y.append(labels)
+        if len(labels):
+            x.append(np.frombuffer(r.features, np.int32).reshape(len(labels), -1))
+        around += [np.column_stack([i, j, kind, zero]), np.column_stack([j, i, kind, zero + 1])]
+        at += len(labels)
+    y = np.concatenate(y) if y else np.zeros(0, int)
     node, pair = np.zeros((BUCKETS, LABELS)), np.zeros((2, LABELS, LABELS))
-    if not any(label > 0 for label in y):
+    if not (y > 0).any():
         node[:, 0] = 1.0
         return {"node": node, "pair": pair}
-    y, x = np.array(y), np.array(x)
-    around = np.array(around, int).reshape(-1, 4)
+    x, around = np.concatenate(x), np.concatenate(around)
     around = around[(y[around[:, 0]] >= 0) & (y[around[:, 1]] >= 0)]
     i, j, kind, back = around.T
     known = y >= 0
