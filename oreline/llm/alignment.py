@@ -12,23 +12,27 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 import tiktoken
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from oreline.llm.bpe import Codec, read_vocabulary
+from oreline.llm.bpe import AT_BLANK, Codec, Recent, read_vocabulary
 from oreline.llm.common import schema_with, slices
 from oreline.session import stage
 
 #: Bytes of text in a block, windows that a worker remembers, and tokens of a window that is worth remembering.
-BLOCK_BYTES, MOST_KEPT, LONG = 8 << 20, 400_000, 64
-#: Texts with such a run go through the linear encoder: the fast one may run out of stack in them.
-LONG_RUN = re.compile(r"\S{2000}|\s{2000}").search
+BLOCK_BYTES, MOST_KEPT, LONG = 3 << 20, 200_000, 64
+#: Longer words go through the linear encoder, as the fast one may run out of stack in them, and are not remembered.
+LONG_WORD = 1000
+#: A blank between two signs that are none. Neither side has tokens across its left end.
+BETWEEN = re.compile(r"(?<=\S) (?=\S)").split
 
 
 def read_vocabularies(byte_path: str, piece_path: str) -> dict:
@@ -68,6 +72,9 @@ class Aligner:
         self.b_bytes = [spelt(i) for i in range(self.pieces.get_piece_size())]
         self.a_size, self.b_size = (np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         self.a_marked, self.b_marked = (np.array([t[:1] == b" " for t in side]) for side in (self.a_bytes, self.b_bytes))
+        # No piece of B goes on beyond a sign into a space, so no merge crosses the left end of a blank between signs.
+        self.apart = not any("▁" in self.pieces.id_to_piece(i).lstrip("▁") for i in range(self.pieces.get_piece_size()))
+        self.words = Recent()
         self.forget()
 
     def forget(self) -> None:
@@ -76,18 +83,34 @@ class Aligner:
         self.spelt: list[str] = []
         self.groups = self.first = self.size = self.links = np.zeros(0, np.int64)
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of both sides; none where the text is empty or a side's bytes differ from a space and the text."""
-        none = np.zeros(0, np.int64)
+    def _learn(self, words: list[str]) -> None:
+        """Encode each word, with a space before it, on both sides; None where the bytes of a side are others."""
+        for word, b in zip(words, self.pieces.encode(words, num_threads=1)):
+            spaced = " " + word
+            a = self.fast.encode_ordinary(spaced) if self.fast and len(word) < LONG_WORD else np.frombuffer(self.codec._plain(spaced), "<u4").tolist()
+            data = spaced.encode()
+            fine = b"".join([self.a_bytes[i] for i in a]) == data == b"".join([self.b_bytes[i] for i in b])
+            self.words.put(word, (array("I", a).tobytes(), array("I", b).tobytes()) if fine else None)
+
+    def tokens(self, text: str) -> tuple[bytes, bytes]:
+        """Packed ids of both sides; none where the text is empty or a side's bytes differ from a space and the text.
+
+        Where the vocabulary allows it, words that were met lately are looked up: a blank between two other signs begins a token on both sides.
+        """
         if not text:
-            return none, none
-        spaced = " " + text
-        a = self.fast.encode_ordinary(spaced) if self.fast and not LONG_RUN(text) else np.frombuffer(self.codec._plain(spaced), "<u4").tolist()
-        b = self.pieces.encode(text, num_threads=1)
-        data = spaced.encode()
-        if b"".join([self.b_bytes[i] for i in b]) != data or b"".join([self.a_bytes[i] for i in a]) != data:
-            return none, none
-        return np.array(a, np.int64), np.array(b, np.int64)
+            return b"", b""
+        words = [text] if not self.apart else BETWEEN(text) if AT_BLANK(text) or text[0].isspace() or text[-1].isspace() else text.split(" ")
+        found = [self.words.get(w) or w for w in words]
+        missing = {w for w in found if w.__class__ is str}
+        if missing:
+            self._learn(list(missing))
+            found = [self.words.get(w) if w.__class__ is str else w for w in found]
+            for w in missing:
+                if len(w) >= LONG_WORD:
+                    self.words.young.pop(w, None)
+            if None in found:
+                return b"", b""
+        return b"".join([f[0] for f in found]), b"".join([f[1] for f in found])
 
     def windows(self, texts: list[str]) -> dict[str, np.ndarray]:
         """Figures of a block of texts and its windows.
@@ -95,8 +118,8 @@ class Aligner:
         ``n_a``, ``n_b`` and ``n_windows`` of each text; for all windows in order their place among the block's ``different`` ones; for these, their numbers.
         """
         pairs = [self.tokens(t) for t in texts]
-        n_a, n_b = (np.array([len(p[side]) for p in pairs], np.int64) for side in (0, 1))
-        a, b = (np.concatenate([p[side] for p in pairs]) for side in (0, 1))
+        n_a, n_b = (np.array([len(p[side]) // 4 for p in pairs], np.int64) for side in (0, 1))
+        a, b = (np.frombuffer(b"".join([p[side] for p in pairs]), "<u4").astype(np.int64) for side in (0, 1))
         if not len(a):
             none = np.zeros(0, np.int64)
             return {"n_a": n_a, "n_b": n_b, "n_windows": np.zeros(len(texts), np.int64), "place": none, "different": none}
@@ -248,18 +271,34 @@ def _block(aligner: Aligner, texts: list[str]) -> dict[str, list]:
     return {
         "n_a": found["n_a"], "n_b": found["n_b"], "n_groups": _sums(groups[refs] * times, ends), "n_links": _sums(sizes[refs] * times, ends),
         "sha": [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in spelt],
-        "ref_ends": ends, "refs": refs, "times": times, "win_ends": np.cumsum(sizes), "win_pairs": code_place, "pairs": codes, "totals": totals,
+        "packed": pack_lists([np.diff(ends, prepend=0), refs, times, sizes, code_place]), "pairs": codes, "totals": totals,
     }
 
 
+def pack_lists(lists: list[np.ndarray]) -> bytes:
+    """Lists of numbers below 2**31, byte planes apart so that they pack well."""
+    head = np.array([len(v) for v in lists], "<i4").tobytes()
+    planes = [np.ascontiguousarray(np.asarray(v).astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes() for v in lists]
+    return zstandard.compress(head + b"".join(planes))
+
+
+def unpack_lists(packed: bytes, lists: int) -> list[np.ndarray]:
+    data = zstandard.decompress(packed)
+    sizes, at, out = np.frombuffer(data[: 4 * lists], "<i4").tolist(), 4 * lists, []
+    for n in sizes:
+        planes = np.frombuffer(data[at : at + 4 * n], np.uint8).reshape(4, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view("<i4").astype(np.int64))
+        at += 4 * n
+    return out
+
+
 def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sums of the runs of ``values`` that end before ``ends``; runs may be empty."""
     running = np.concatenate([[0], np.cumsum(values)]).astype(np.int64)
-    return running[ends] - running[np.concatenate([[0], ends[:-1]]).astype(np.int64)]
+    return np.diff(running[ends], prepend=0)
 
 
-_LISTS = {"n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "sha": "string", "ref_ends": "int", "refs": "int", "times": "int", "win_ends": "int", "win_pairs": "int", "pairs": "bigint", "totals": "bigint"}
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+_LISTS = {"n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "sha": "string", "pairs": "bigint", "totals": "bigint"}
 
 
 def alignment_digests(docs: DataFrame, shared, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -270,15 +309,15 @@ def alignment_digests(docs: DataFrame, shared, key: str = "doc_id", text: str =
     for byte, have zeros and an empty digest. Repeated rows are rows of their own, and a null key is a key like any other.
     """
     kind = schema_with(docs.select(F.col(key).alias("keys")), "")
-    kind = f"block bigint, keys array<{kind.fields[0].dataType.simpleString()}>, " + ", ".join(f"{c} array<{t}>" for c, t in _LISTS.items())
+    kind = f"block bigint, keys array<{kind.fields[0].dataType.simpleString()}>, packed binary, " + ", ".join(f"{c} array<{t}>" for c, t in _LISTS.items())
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, first = _aligner(shared), TaskContext.get().partitionId() << 32
         for n, (part, texts) in enumerate(_gathered(slices(batches, "_text", BLOCK_BYTES))):
             block = _block(aligner, texts)
-            lists = [pa.array([block[c]], pa.list_(_ARROW[t])) for c, t in _LISTS.items()]
+            lists = [pa.array([block[c]], pa.list_(pa.string() if t == "string" else pa.int64())) for c, t in _LISTS.items()]
             keys = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), part)
-            yield pa.RecordBatch.from_arrays([pa.array([first + n], pa.int64()), keys, *lists], names=["block", "keys", *_LISTS])
+            yield pa.RecordBatch.from_arrays([pa.array([first + n], pa.int64()), keys, pa.array([block["packed"]], pa.binary()), *lists], names=["block", "keys", "packed", *_LISTS])
 
     blocks = stage(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(align, kind), "alignment-blocks")
     entries = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "totals")).alias("pos", "e")).select("block", "pos", F.col("e.pairs").alias("pair"), F.col("e.totals").alias("n"))
@@ -290,17 +329,18 @@ def alignment_digests(docs: DataFrame, shared, key: str = "doc_id", text: str =
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                row = {c: batch.column(c)[r].values for c in batch.schema.names if c != "block"}
-                array = {c: row[c].to_numpy(zero_copy_only=False) if row[c] is not None else np.zeros(0, np.int64) for c in ("ref_ends", "refs", "times", "win_ends", "win_pairs", "pos", "n", "best")}
-                count, best = np.zeros(len(array["pos"]), np.int64), np.zeros(len(array["pos"]), np.int64)
-                count[array["pos"]], best[array["pos"]] = array["n"], array["best"]
-                out = {}
-                for name, of in (("n_best", best), ("count_sum", count)):
-                    per_window = _sums(of[array["win_pairs"]], array["win_ends"]) if len(array["win_ends"]) else np.zeros(0, np.int64)
-                    out[name] = pa.array(_sums(per_window[array["refs"]] * array["times"], array["ref_ends"]))
-                yield pa.RecordBatch.from_arrays([row["keys"], row["n_a"], row["n_b"], row["n_groups"], row["n_links"], out["n_best"], out["count_sum"], row["sha"]], names=[key, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
-
-    joined = blocks.select("block", "keys", "n_a", "n_b", "n_groups", "n_links", "sha", "ref_ends", "refs", "times", "win_ends", "win_pairs").join(values, "block", "left")
+                row = {c: batch.column(c)[r].values for c in batch.schema.names if c not in ("block", "packed")}
+                pos, n, is_best = (row[c].to_numpy(zero_copy_only=False) if row[c] is not None else np.zeros(0, np.int64) for c in ("pos", "n", "best"))
+                per_text, refs, times, sizes, pairs = unpack_lists(batch.column("packed")[r].as_py(), 5)
+                out = []
+                for of in (is_best, n):
+                    value = np.zeros(len(pos), np.int64)
+                    value[pos] = of
+                    per_window = _sums(value[pairs], np.cumsum(sizes))
+                    out.append(pa.array(_sums(per_window[refs] * times, np.cumsum(per_text))))
+                yield pa.RecordBatch.from_arrays([row["keys"], row["n_a"], row["n_b"], row["n_groups"], row["n_links"], *out, row["sha"]], names=[key, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+
+    joined = blocks.drop("pairs", "totals").join(values, "block", "left")
     schema = schema_with(docs.select(key), "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string")
     return joined.mapInArrow(finish, schema)
 

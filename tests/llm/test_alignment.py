@@ -107,9 +107,11 @@ def test_blocks_windows_and_memory_dont_show(spark, sides, monkeypatch):
     whole = alignment._block(Aligner(tables), [t or "" for t in texts])
     assert [tuple(map(int, x)) for x in zip(whole["n_a"], whole["n_b"], whole["n_groups"], whole["n_links"])] == [e[:4] for e in expected]
     monkeypatch.setattr(alignment, "LONG", 0)
+    monkeypatch.setattr(alignment, "LONG_WORD", 3)
     monkeypatch.setattr(alignment, "MOST_KEPT", 0)
     monkeypatch.setattr(alignment, "_hashes", lambda ids, start, end, seed: (np.zeros(len(start), np.uint64), np.arange(len(ids)) - np.repeat(start, end - start)))
     alike = Aligner(tables)
+    alike.apart = False  # whole texts
     for at in range(0, len(texts), 7):
         part = alignment._block(alike, [t or "" for t in texts[at : at + 7]])
         assert part["sha"] == whole["sha"][at : at + 7]
@@ -132,3 +134,8 @@ def test_empty_table_nulls_and_clashing_columns(spark):
     assert alignment_digests(docs, shared).count() == 4
     aligned = align_documents(docs, shared)
     assert aligned.columns == ["doc_id", "block", "n_a", "groups"] and aligned.count() == 4
+
+
+def test_packed_lists():
+    lists = [np.array([0, 1, 2**31 - 1, 300]), np.zeros(0, np.int64), np.arange(70_000)]
+    assert all((a == b).all() for a, b in zip(alignment.unpack_lists(alignment.pack_lists(lists), 3), lists))
