@@ -23,12 +23,12 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from oreline.llm.bpe import AT_BLANK, Codec, Recent, read_vocabulary
+from oreline.llm.bpe import AT_BLANK, Codec, read_vocabulary
 from oreline.llm.common import schema_with, slices
 from oreline.session import stage
 
-#: Bytes of text in a block, windows that a worker remembers, and tokens of a window that is worth remembering.
-BLOCK_BYTES, MOST_KEPT, LONG = 3 << 20, 200_000, 64
+#: Bytes of text in a block, windows and words that a worker remembers, and tokens of a window that is worth remembering.
+BLOCK_BYTES, MOST_KEPT, LONG = 2 << 20, 150_000, 64
 #: Longer words go through the linear encoder, as the fast one may run out of stack in them, and are not remembered.
 LONG_WORD = 1000
 #: A blank between two signs that are none. Neither side has tokens across its left end.
@@ -59,7 +59,7 @@ class Aligner:
 
     def __init__(self, tables: dict):
         both = tables["bytes"]
-        self.codec = Codec(both)
+        self.tables, self.codec = both, None
         special = set(both["added"].values())
         self.a_bytes = both["tokens"]
         # The fast encoder merges in order of ids, so it serves where ids are in order of merges.
@@ -74,7 +74,7 @@ class Aligner:
         self.a_marked, self.b_marked = (np.array([t[:1] == b" " for t in side]) for side in (self.a_bytes, self.b_bytes))
         # No piece of B goes on beyond a sign into a space, so no merge crosses the left end of a blank between signs.
         self.apart = not any("▁" in self.pieces.id_to_piece(i).lstrip("▁") for i in range(self.pieces.get_piece_size()))
-        self.words = Recent()
+        self.words: tuple[dict, dict] = {}, {}
         self.forget()
 
     def forget(self) -> None:
@@ -83,41 +83,51 @@ class Aligner:
         self.spelt: list[str] = []
         self.groups = self.first = self.size = self.links = np.zeros(0, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode each word, with a space before it, on both sides; None where the bytes of a side are others."""
+    def _linear(self, spaced: str) -> list[int]:
+        """The linear encoder, whose tables are made when a long word asks for them."""
+        self.codec = self.codec or Codec(self.tables)
+        return np.frombuffer(self.codec._plain(spaced), "<u4").tolist()
+
+    def _learn(self, words: list[str]) -> list[tuple[bytes, bytes] | bool]:
+        """Packed ids of each word, with a space before it, on both sides; False where the bytes of a side are others."""
+        out = []
         for word, b in zip(words, self.pieces.encode(words, num_threads=1)):
             spaced = " " + word
-            a = self.fast.encode_ordinary(spaced) if self.fast and len(word) < LONG_WORD else np.frombuffer(self.codec._plain(spaced), "<u4").tolist()
-            data = spaced.encode()
-            fine = b"".join([self.a_bytes[i] for i in a]) == data == b"".join([self.b_bytes[i] for i in b])
-            self.words.put(word, (array("I", a).tobytes(), array("I", b).tobytes()) if fine else None)
-
-    def tokens(self, text: str) -> tuple[bytes, bytes]:
-        """Packed ids of both sides; none where the text is empty or a side's bytes differ from a space and the text.
+            a = self.fast.encode_ordinary(spaced) if self.fast and len(word) < LONG_WORD else self._linear(spaced)
+            fine = b"".join([self.a_bytes[i] for i in a]) == spaced.encode() == b"".join([self.b_bytes[i] for i in b])
+            out.append(fine and (array("I", a).tobytes(), array("I", b).tobytes()))
+        return out
 
-        Where the vocabulary allows it, words that were met lately are looked up: a blank between two other signs begins a token on both sides.
-        """
-        if not text:
-            return b"", b""
-        words = [text] if not self.apart else BETWEEN(text) if AT_BLANK(text) or text[0].isspace() or text[-1].isspace() else text.split(" ")
-        found = [self.words.get(w) or w for w in words]
-        missing = {w for w in found if w.__class__ is str}
-        if missing:
-            self._learn(list(missing))
-            found = [self.words.get(w) if w.__class__ is str else w for w in found]
-            for w in missing:
-                if len(w) >= LONG_WORD:
-                    self.words.young.pop(w, None)
-            if None in found:
-                return b"", b""
-        return b"".join([f[0] for f in found]), b"".join([f[1] for f in found])
+    def _words(self, text: str) -> list[str]:
+        """What is encoded by itself: a blank between two other signs begins a token on both sides, where the vocabulary allows it."""
+        if not self.apart:
+            return [text] if text else []
+        if AT_BLANK(text) or text[:1].isspace() or text[-1:].isspace():
+            return BETWEEN(text)
+        return text.split(" ") if text else []
+
+    def tokens(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Packed ids of both sides of each text; none where it is empty or a side's bytes differ from a space and the text."""
+        split = [self._words(t) for t in texts]
+        young, old = self.words
+        known = {w: young.get(w) or old.get(w) for w in set().union(*split)}
+        missing = [w for w, found in known.items() if found is None]
+        known.update(zip(missing, self._learn(missing)))
+        if len(young) > MOST_KEPT:  # the words met since then come in place of those before
+            self.words = young, old = {}, young
+        young.update((w, found) for w, found in known.items() if found and len(w) < LONG_WORD)
+        out = []
+        for words in split:
+            found = [known[w] for w in words]
+            out.append((b"", b"") if False in found else (b"".join([f[0] for f in found]), b"".join([f[1] for f in found])))
+        return out
 
     def windows(self, texts: list[str]) -> dict[str, np.ndarray]:
         """Figures of a block of texts and its windows.
 
         ``n_a``, ``n_b`` and ``n_windows`` of each text; for all windows in order their place among the block's ``different`` ones; for these, their numbers.
         """
-        pairs = [self.tokens(t) for t in texts]
+        pairs = self.tokens(texts)
         n_a, n_b = (np.array([len(p[side]) // 4 for p in pairs], np.int64) for side in (0, 1))
         a, b = (np.frombuffer(b"".join([p[side] for p in pairs]), "<u4").astype(np.int64) for side in (0, 1))
         if not len(a):
