@@ -28,7 +28,7 @@ from oreline.llm.common import schema_with, slices
 from oreline.session import stage
 
 #: Bytes of text in a block, windows and words that a worker remembers, and tokens of a window that is worth remembering.
-BLOCK_BYTES, MOST_KEPT, LONG = 2 << 20, 150_000, 64
+BLOCK_BYTES, MOST_KEPT, LONG = 1 << 20, 100_000, 64
 #: Longer words go through the linear encoder, as the fast one may run out of stack in them, and are not remembered.
 LONG_WORD = 1000
 #: A blank between two signs that are none. Neither side has tokens across its left end.
