@@ -171,3 +171,11 @@ def test_block_links_join_groups():
     sets = shingle_sets(["a b c d e f g h i j k l m n o p q r s t", "a b c d e f g h i j k l m n o p q r s t u", "q w e r t y"])
     part = pd.DataFrame({"id": [1, 2, 3], "grp": [1, 2, 3], "shingles": [s.tobytes() for s in sets]})
     assert dedup._joins_groups(part, part, 85) in ([(1, 2)], [(2, 1)])
+
+
+def test_cosine_just_at_the_limit_and_clashing_columns(spark):
+    """19 / 20 is the limit itself and links; a little less doesn't. Other columns may be called as the operator's own."""
+    rows = [(1, [1.0, 0.0, 0.0, 0.0, 0.0]), (2, [19.0, 5.0, 3.0, 2.0, 1.0]), (3, [-19.0, 5.0, 3.0, 2.0, 1.000001]), (4, [-1.0, 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "vec_id bigint, embedding array<double>, rep string, bucket int, t int")
+    found = sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(df).collect())
+    assert found == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4)]
