@@ -80,8 +80,8 @@ def label_encode(df: DataFrame, column: str, name: str | None = None) -> DataFra
 
 
 def ordinal_encode(df: DataFrame, column: str, order: list[str], name: str | None = None) -> DataFrame:
-    """Place of the value in the given order; a value outside it is NULL."""
-    place = F.array_position(F.array(*[F.lit(o) for o in order]), F.col(column).cast("string")) - 1
+    """Place of the value in the given order, blanks around either aside; a value outside it is NULL."""
+    place = F.array_position(F.array(*[F.lit(str(o).strip()) for o in order]), present(df, column).cast("string")) - 1
     return df.withColumn(name or f"{column}_ord", F.when(place >= 0, place))
 
 
@@ -94,16 +94,16 @@ def binary_encode(df: DataFrame, column: str) -> DataFrame:
 
 
 def target_encode(df: DataFrame, column: str, target: str, name: str | None = None) -> DataFrame:
-    """Mean of the target per category."""
-    means = df.groupBy(F.col(column).alias("_k")).agg(F.avg(number(df, target)).alias("_m"))
-    return df.join(means, F.col(column) == F.col("_k"), "left").select(*df.columns, F.col("_m").alias(name or f"{column}_te"))
+    """Mean of the target per category, blanks around it aside; NULL where the category is missing."""
+    means = df.groupBy(present(df, column).alias("_k")).agg(F.avg(number(df, target)).alias("_m"))
+    return df.join(means, present(df, column) == F.col("_k"), "left").select(*df.columns, F.col("_m").alias(name or f"{column}_te"))
 
 
 def frequency_encode(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
-    """Share of the rows that carry the value."""
-    counts = df.groupBy(F.col(column).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    """Share of the rows that carry the value, blanks around it aside; NULL where it is missing."""
+    counts = df.groupBy(present(df, column).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
     total = df.agg(F.count(F.lit(1))).scalar()
-    return df.join(counts, F.col(column) == F.col("_k"), "left").select(
+    return df.join(counts, present(df, column) == F.col("_k"), "left").select(
         *df.columns, (F.col("_n") / total).alias(name or f"{column}_freq")
     )
 
@@ -248,38 +248,34 @@ def temporal_split(df: DataFrame, order: list[str], train_percent: int = 80) ->
 # --- balancing ------------------------------------------------------------------------------------
 
 
-def _class_sizes(df: DataFrame, label: str) -> dict:
-    return {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row per class
+def _beside_class(df: DataFrame, label: str) -> DataFrame:
+    """``df`` with ``_n``, the rows of its class, and ``_least`` and ``_most`` of all classes; NULL labels are no class and get none."""
+    sizes = df.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
+    ends = single(sizes.agg(F.min("_n").alias("least"), F.max("_n").alias("most")))
+    sizes = sizes.select("_l", "_n", ends["least"].alias("_least"), ends["most"].alias("_most"))
+    return df.join(sizes, F.col(label) == F.col("_l"), "left").drop("_l")
 
 
 def random_over(df: DataFrame, label: str, key: str) -> DataFrame:
-    """Repeat rows until each class has the size of the largest; which rows get one extra copy is hashed."""
-    sizes = _class_sizes(df, label)
-    top = max(sizes.values())
-    copies = F.lit(1)
-    for c, n in sizes.items():
-        whole, extra = divmod(top, n)
-        lucky = bucket(F.col(key), 1_000_000, 7) < int(1_000_000 * extra / n)
-        copies = F.when(F.col(label) == c, F.lit(whole) + lucky.cast("int")).otherwise(copies)
-    return df.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    """Repeat rows until each class has the size of the largest; which rows get one extra copy is hashed. Rows without a label stay once."""
+    whole = F.floor(F.col("_most") / F.col("_n"))
+    lucky = bucket(F.col(key), 1_000_000, 7) < F.floor(1_000_000 * (F.col("_most") - whole * F.col("_n")) / F.col("_n"))
+    copies = F.coalesce(whole + lucky.cast("int"), F.lit(1)).cast("int")
+    return _beside_class(df, label).withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).select(*df.columns, "copy")
 
 
 def random_under(df: DataFrame, label: str, key: str) -> DataFrame:
-    """Thin every class to about the size of the smallest; a hash of the key decides."""
-    sizes = _class_sizes(df, label)
-    low = min(sizes.values())
-    keep = F.lit(False)
-    for c, n in sizes.items():
-        keep = keep | ((F.col(label) == c) & (bucket(F.col(key), 1_000_000, 11) < int(1_000_000 * low / n)))
-    return df.filter(keep)
+    """Thin every class to about the size of the smallest; a hash of the key decides. Rows without a label stay."""
+    keep = bucket(F.col(key), 1_000_000, 11) < F.floor(1_000_000 * F.col("_least") / F.col("_n"))
+    return _beside_class(df, label).filter(F.coalesce(keep, F.lit(True))).select(*df.columns)
 
 
 def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """``n / (classes * size of the class)``."""
-    sizes = df.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
+    """``n / (classes * size of the class)`` over the rows with a label; NULL for the others."""
+    sizes = df.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
     whole = single(sizes.agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k")))
     weights = sizes.select("_l", (whole["n"] / (whole["k"] * F.col("_n"))).alias(name))
-    return df.join(weights, F.col(label).eqNullSafe(F.col("_l")), "left").drop("_l")
+    return df.join(weights, F.col(label) == F.col("_l"), "left").drop("_l")
 
 
 def smote(df: DataFrame, label: str, key: str, columns: list[str], k: int = 5) -> DataFrame:
@@ -291,14 +287,14 @@ def smote(df: DataFrame, label: str, key: str, columns: list[str], k: int = 5) -
 
     base = df.select(key, label, *[number(df, c).alias(c) for c in columns])
     # Rows that lack a number or a label stay, but have no neighbours.
-    whole = F.col(label).isNotNull() & reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in columns])
-    sizes = {c: n for c, n in _class_sizes(base.filter(whole), label).items()}
+    usable = F.col(label).isNotNull() & reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in columns])
+    sizes = {r[0]: r[1] for r in base.filter(usable).groupBy(label).count().collect()}  # one row per class
     made = base.withColumn("synthetic", F.lit(False))
     top = max(sizes.values(), default=0)
     for c, n in sizes.items():
         if n == top or n <= 1:
             continue
-        small = base.filter(whole & (F.col(label) == c))
+        small = base.filter(usable & (F.col(label) == c))
         pairs = knn_join(small, small, key, columns, k, skip_same_key=True)
         whole, extra = divmod(top - n, n)
         lucky = bucket(F.col("query_id"), 1_000_000, 13) < int(1_000_000 * extra / n)

@@ -60,7 +60,7 @@ def knn_join(
 ) -> DataFrame:
     """``(query_id, neighbour_id, squared_distance, rank)``: the k nearest training rows of each query.
 
-    Exact; equal distances go to the smaller id.
+    Exact; equal distances go to the smaller id. Without training rows there are no neighbours.
     """
     train_key = train_key or key
     wanted = k + 1 if skip_same_key else k
@@ -75,7 +75,7 @@ def knn_join(
     pivots = pivots or min(MOST_PIVOTS, max(16, math.isqrt(t.count())))
     heads = t.orderBy(F.xxhash64("v"), "id").limit(pivots).select("v").collect()
     if not heads:
-        raise ValueError("no training rows")
+        return q.join(t, F.lit(False)).select("query_id", F.col("id").alias("neighbour_id"), F.lit(0.0).alias("squared_distance"), F.lit(0).alias("rank"))
     centers = np.unique(np.array([r.v for r in heads]), axis=0)
 
     home_type = StructType([StructField("cell", IntegerType()), StructField("away", DoubleType())])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from oreline.functions.core import as_list, is_missing
 from oreline.functions.ordered import positions
@@ -106,6 +106,69 @@ def sequence_triples(df: DataFrame, group: str, item: str, order, min_support: f
     return _triples(events, _spans(events), min_support)
 
 
+#: Places of an item in a sequence that one row holds.
+PLACES = 4096
+
+
+def _places(events: DataFrame) -> DataFrame:
+    """``(grp, item, before, last, places)``: runs of at most ``PLACES`` places of an item, in order, and the last place of the run before."""
+    numbered = positions(events, ["at"], ["grp", "item"], "_n").withColumn("_run", F.floor(F.col("_n") / PLACES))
+    cut = numbered.groupBy("grp", "item", "_run").agg(F.array_sort(F.collect_list("at")).alias("places"), F.max("at").alias("last"))
+    order = Window.partitionBy("grp", "item").orderBy("_run")  # a row for every PLACES events
+    return stage(cut.withColumn("before", F.lag("last").over(order)).select("grp", "item", "before", "last", "places"), "places")
+
+
+def sequence_patterns(df: DataFrame, group: str, item: str, order, min_support: float = 0.05, longest: int = 5) -> DataFrame:
+    """``(pattern, size, count, support)``: frequent patterns of 2 to ``longest`` items, each an array of items in their order.
+
+    Patterns grow by one item at a time. Of a sequence that holds a pattern only a pointer is kept, to the earliest place where the pattern is
+    complete; the next item's first place after it completes the longer one. A pattern grows only by pairs that are frequent themselves.
+    An item's places in a sequence lie in runs of bounded size, of which a pointer meets just one. ``order`` must be total.
+    """
+    if longest < 2:
+        raise ValueError("a pattern has two items at least")
+    events = _events(df, group, item, order)
+    spans = _spans(events)
+    least = _least_count(spans, min_support)
+    kept = stage(_frequent(spans, least), "frequent-spans")
+    often = kept.select("item").distinct()
+    places = _places(events.join(often, "item").select("grp", "item", "at"))
+    pairs = stage(_counted(_pair_places(kept), ["a", "b"], spans, least).select(F.col("a").alias("tail"), F.col("b").alias("item")), "frequent-pairs")
+    state = kept.select("grp", F.array("item").alias("pattern"), F.col("item").alias("tail"), F.col("first").alias("at"))
+    found = None
+    for size in range(2, longest + 1):
+        wanted = state.join(pairs, "tail").select("grp", "pattern", "item", "at")
+        met = wanted.join(places, ["grp", "item"]).filter((F.col("last") > F.col("at")) & (F.col("before").isNull() | (F.col("before") <= F.col("at"))))
+        grown = met.select(
+            "grp", F.array_append("pattern", F.col("item")).alias("pattern"), F.col("item").alias("tail"), F.col("places")[_first_after("places", "at")].alias("at")
+        )
+        grown = stage(grown, "grown")
+        counts = stage(_counted(grown, ["pattern"], spans, least).withColumn("size", F.lit(size)).select("pattern", "size", "count", "support"), "patterns")
+        found = counts if found is None else found.union(counts)
+        if size == longest or not counts.limit(1).count():
+            break
+        state = grown.join(counts.select("pattern"), "pattern").select("grp", "pattern", "tail", "at")
+    return found
+
+
+def _first_after(places: str, at: str) -> Column:
+    """The index of the first of the sorted ``places`` behind ``at``, by halving."""
+    bounds = F.struct(F.lit(0).alias("low"), F.size(places).alias("high"))
+    middle = lambda b: F.floor((b["low"] + b["high"]) / 2).cast("int")
+    behind = lambda b: F.get(F.col(places), middle(b)) > F.col(at)
+    halve = lambda b, _: F.when(
+        b["low"] < b["high"],
+        F.when(behind(b), F.struct(b["low"].alias("low"), middle(b).alias("high"))).otherwise(F.struct((middle(b) + 1).alias("low"), b["high"].alias("high"))),
+    ).otherwise(b)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(PLACES.bit_length())), bounds, halve, lambda b: b["low"])
+
+
+def top_pairs(df: DataFrame, group: str, item: str, order, min_support: float = 0.05, k: int = 15) -> DataFrame:
+    """The ``k`` pairs that most sequences hold; ties in order of their items."""
+    pairs = sequence_pairs(df, group, item, order, min_support)
+    return pairs.select(F.concat_ws(" → ", "a", "b").alias("pattern"), "count", "support").orderBy(F.desc("count"), "pattern").limit(k)
+
+
 def top_patterns(df: DataFrame, group: str, item: str, order, min_support: float = 0.05, k: int = 40) -> DataFrame:
     arrow = " → "
     events = _events(df, group, item, order)

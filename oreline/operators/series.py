@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from oreline.functions.core import ladder, number
+from oreline.functions.core import dtype, ladder, number
 from oreline.functions.ordered import positions, with_history
 from oreline.session import stage
 
@@ -125,47 +125,69 @@ def anomalies(parts: DataFrame) -> DataFrame:
 # --- Holt -----------------------------------------------------------------------------------------
 
 
-def _memory(alpha: float, beta: float) -> int:
-    """How many steps back the level and trend still depend on, to well below double precision."""
-    step = np.array([[1 - alpha, 1 - alpha], [-alpha * beta, beta * (1 - alpha) + 1 - beta]])
-    radius = max(abs(np.linalg.eigvals(step)))
-    if radius >= 1:
+def _steps(alpha: float, beta: float) -> tuple[np.ndarray, np.ndarray]:
+    """The recurrence of (level, trend) as an affine map: what it makes of the state before, and of the value."""
+    if not (0 < alpha < 1 and 0 < beta < 1):
         raise ValueError("alpha and beta must lie between 0 and 1")
-    return max(16, math.ceil(math.log(1e-22) / math.log(radius)))
+    return np.array([[1 - alpha, 1 - alpha], [-alpha * beta, beta * (1 - alpha) + 1 - beta]]), np.array([alpha, alpha * beta])
+
+
+def affine_scan(values: np.ndarray, turn: np.ndarray, push: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """All states of ``s = turn @ s + push * value`` from ``start`` on, one per value.
+
+    The maps are composed by doubling: after each round a state holds what twice as many values did to it.
+    """
+    states = np.concatenate([start[None, :], values[:, None] * push[None, :]])
+    power, reach = turn.copy(), 1
+    while reach < len(states):
+        states[reach:] = states[reach:] + states[:-reach] @ power.T
+        power, reach = power @ power, 2 * reach
+    return states[1:]
 
 
 def holt(s: DataFrame, alpha: float = 0.4, beta: float = 0.15, chunk: int = 8192) -> DataFrame:
     """One-step fit of level and trend with the state after every row.
 
-    The recurrence forgets its start geometrically, so a long series is cut into chunks that each warm up
-    on the rows before them; the state is the one a full run would reach.
+    The recurrence is an affine map, so a chunk of a series is one, too: chunks are summed up on their own, the states at their
+    starts follow from a row per chunk, and each chunk is then run from its start. Exact for any length, with no chunk twice.
     """
-    warm = _memory(alpha, beta)
-    chunk = max(chunk, 2 * warm)
-    home = F.floor(F.col("position") / chunk)
-    lends = F.pmod(F.col("position"), F.lit(chunk)) >= chunk - warm
-    rows = s.select("series", "position", "value", home.alias("home")).withColumn(
-        "chunk", F.explode(F.when(lends, F.array("home", F.col("home") + 1)).otherwise(F.array("home")))
-    )
-    rows = rows.withColumn("chunk", F.col("chunk").cast("bigint"))
+    turn, push = _steps(alpha, beta)
+    chunk = max(chunk, 2)
+    rows = s.select("series", "position", "value", F.floor(F.col("position") / chunk).cast("bigint").alias("chunk"))
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf.sort_values("position")["value"].to_numpy(dtype=float)
+        head = [v[0], v[1] - v[0] if len(v) > 1 else 0.0]
+        rest = v[1:] if pdf["chunk"].iat[0] == 0 else v  # the first value is a state, not a step
+        ends = affine_scan(rest, turn, push, np.zeros(2))[-1] if len(rest) else np.zeros(2)
+        return pd.DataFrame([(pdf["series"].iat[0], pdf["chunk"].iat[0], len(rest), *ends, *head)], columns=["series", "chunk", "n", "level", "slope", "first", "rise"])
+
+    kind = dtype(s, "series").simpleString()
+    sums = rows.groupBy("series", "chunk").applyInPandas(summed, f"series {kind}, chunk bigint, n bigint, level double, slope double, first double, rise double")
+
+    def starts(pdf: pd.DataFrame) -> pd.DataFrame:  # a row per chunk of a series
+        pdf = pdf.sort_values("chunk")
+        state, out = pdf[["first", "rise"]].to_numpy()[0], []
+        for n, end in zip(pdf["n"], pdf[["level", "slope"]].to_numpy()):
+            out.append(state)
+            state = np.linalg.matrix_power(turn, int(n)) @ state + end
+        return pd.DataFrame({"series": pdf["series"], "chunk": pdf["chunk"], "level0": [o[0] for o in out], "slope0": [o[1] for o in out]})
+
+    begun = sums.groupBy("series").applyInPandas(starts, f"series {kind}, chunk bigint, level0 double, slope0 double")
 
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("position")
-        v = pdf["value"].to_numpy()
-        level, tr = v[0], (v[1] - v[0] if len(v) > 1 else 0.0)
-        fit, levels, trends = [v[0]], [level], [tr]
-        for x in v[1:]:
-            before = level
-            level = alpha * x + (1 - alpha) * (level + tr)
-            tr = beta * (level - before) + (1 - beta) * tr
-            fit.append(before + tr)
-            levels.append(level)
-            trends.append(tr)
-        out = pdf.assign(fitted=fit, level=levels, slope=trends)
-        return out.loc[out["home"] == out["chunk"], ["series", "position", "value", "fitted", "level", "slope"]]
-
-    return rows.groupBy("series", "chunk").applyInPandas(
-        smooth, "series string, position bigint, value double, fitted double, level double, slope double"
+        v, start = pdf["value"].to_numpy(dtype=float), pdf[["level0", "slope0"]].to_numpy()[0]
+        if pdf["chunk"].iat[0] == 0:
+            states = np.concatenate([start[None, :], affine_scan(v[1:], turn, push, start)])
+            fit = np.concatenate([v[:1], states[:-1, 0] + states[1:, 1]])
+        else:
+            states = affine_scan(v, turn, push, start)
+            fit = np.concatenate([start[:1], states[:-1, 0]]) + states[:, 1]
+        return pdf[["series", "position", "value"]].assign(fitted=fit, level=states[:, 0], slope=states[:, 1])
+
+    return rows.join(begun, ["series", "chunk"]).groupBy("series", "chunk").applyInPandas(
+        smooth, f"series {kind}, position bigint, value double, fitted double, level double, slope double"
     )
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import AFTSurvivalRegression
 from pyspark.sql import DataFrame, functions as F
 
-from oreline.functions.core import as_list, single
+from oreline.functions.core import as_list, number, single
 from oreline.functions.ordered import positions, running_sums
 from oreline.functions.tails import chi2_p
 from oreline.session import stage
@@ -66,6 +70,87 @@ def aft_regression(df: DataFrame, time: str, event: str, columns: list[str]) ->
     )
 
 
+#: Ties of one time that a row takes on at once.
+TIES = 4096
+
+
+def _cox_sums(rows: DataFrame, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log partial likelihood with Efron's ties, its slope and its information at ``beta``; one row comes back.
+
+    Weights, weighted sums and weighted products are summed per time, then over all later times, so the work after the first
+    aggregate is on distinct times. The failures of one time leave its risk set one after the other, each taking an equal share.
+    """
+    k = len(beta)
+    x = [F.col(f"x{i}") for i in range(k)]
+    cells = [(i, j) for i in range(k) for j in range(i, k)]
+    eta = sum((c * float(b) for c, b in zip(x, beta)), F.lit(0.0))
+    w, fails = F.exp(eta), F.col("event") == 1
+    moments = {"w": w, **{f"w{i}": w * x[i] for i in range(k)}, **{f"w{i}_{j}": w * x[i] * x[j] for i, j in cells}}
+    each = rows.groupBy("time").agg(
+        F.count_if(fails).alias("d"), F.sum(F.when(fails, eta)).alias("eta"), *[F.sum(F.when(fails, x[i])).alias(f"x{i}") for i in range(k)],
+        *[F.sum(v).alias(f"s{n}") for n, v in moments.items()], *[F.sum(F.when(fails, v)).alias(f"f{n}") for n, v in moments.items()],
+    )
+    later = running_sums(each.withColumn("_back", -F.col("time")), ["_back"], {f"r{n}": f"s{n}" for n in moments}).filter("d > 0")
+    tied = later.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("d") - 1, F.lit(TIES).cast("bigint"))))
+    tied = tied.repartition("time", "_from").withColumn("_nth", F.explode(F.sequence("_from", F.least(F.col("d"), F.col("_from") + TIES) - 1)))
+    left = {n: F.col(f"r{n}") - F.col("_nth") / F.col("d") * F.col(f"f{n}") for n in moments}
+    first = F.when(F.col("_nth") == 0, 1.0).otherwise(0.0)
+    out = tied.agg(
+        F.sum(first * F.col("eta") - F.ln(left["w"])),
+        *[F.sum(first * F.col(f"x{i}") - left[f"w{i}"] / left["w"]) for i in range(k)],
+        *[F.sum(left[f"w{i}_{j}"] / left["w"] - left[f"w{i}"] * left[f"w{j}"] / (left["w"] * left["w"])) for i, j in cells],
+    ).first()
+    values = [float("nan") if v is None else float(v) for v in out]
+    information = np.zeros((k, k))
+    for (i, j), v in zip(cells, values[1 + k :]):
+        information[i, j] = information[j, i] = v
+    return values[0], np.array(values[1 : 1 + k]), information
+
+
+def cox_regression(df: DataFrame, time: str, event: str, columns: list[str], confidence: float = 0.95, rounds: int = 30) -> DataFrame:
+    """Proportional hazards: per feature ``coefficient, std_error, z, p_value, hazard_ratio, lower, upper``.
+
+    Newton steps on the partial likelihood with Efron's ties, halved until they help; each is one pass over the rows and one over the
+    distinct times. Rows that lack the time or a feature are left out; what is not 1 in ``event`` is censored. A feature that doesn't
+    vary has NULLs. Without failures, or with features that determine each other, a ``ValueError`` says so.
+    """
+    rows = df.select(number(df, time).alias("time"), F.col(event).cast("int").alias("event"), *[number(df, c).alias(f"x{i}") for i, c in enumerate(columns)]).dropna(subset=["time", *[f"x{i}" for i in range(len(columns))]])
+    about = rows.agg(F.count_if(F.col("event") == 1), *[f(f"x{i}") for i in range(len(columns)) for f in (F.avg, F.stddev_pop)]).first()
+    if not about[0]:
+        raise ValueError("no failures")
+    varies = [i for i in range(len(columns)) if about[2 + 2 * i] and about[2 + 2 * i] > 0]
+    spread = np.array([about[2 + 2 * i] for i in varies])
+    rows = stage(rows.select("time", "event", *[((F.col(f"x{i}") - about[1 + 2 * i]) / about[2 + 2 * i]).alias(f"x{n}") for n, i in enumerate(varies)]), "cox")
+    beta = np.zeros(len(varies))
+    now, slope, information = _cox_sums(rows, beta)
+    for _ in range(rounds if len(varies) else 0):
+        try:
+            step = np.linalg.solve(information, slope)
+        except np.linalg.LinAlgError as e:
+            raise ValueError("features determine each other") from e
+        size = 1.0
+        while True:
+            then = _cox_sums(rows, beta + size * step)
+            if then[0] >= now - 1e-12 * abs(now) or size < 1e-6:
+                break
+            size /= 2
+        beta, done = beta + size * step, abs(then[0] - now) <= 1e-12 * (1 + abs(now)) and np.abs(size * step).max() < 1e-8
+        now, slope, information = then
+        if done:
+            break
+    errors = np.sqrt(np.diag(np.linalg.inv(information))) if len(varies) else np.zeros(0)
+    reach = NormalDist().inv_cdf(0.5 + confidence / 2)
+    found = {columns[i]: (float(b / s), float(e / s)) for i, b, e, s in zip(varies, beta, errors, spread)}
+    out = []
+    for c in columns:
+        if c not in found:
+            out.append((c, *[None] * 7))
+            continue
+        b, e = found[c]
+        out.append((c, b, e, b / e, math.erfc(abs(b / e) / math.sqrt(2)), math.exp(b), math.exp(b - reach * e), math.exp(b + reach * e)))
+    return df.sparkSession.createDataFrame(out, "feature string, coefficient double, std_error double, z double, p_value double, hazard_ratio double, lower double, upper double")
+
+
 def concordance(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
     """C-index: of the pairs whose order is known, the share in which the higher risk fails first; equal risks count half.
 

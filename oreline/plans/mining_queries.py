@@ -185,6 +185,27 @@ def sequence_triples(t):
     return sq.sequence_triples(t.events, "user_id", "event_type", ["ts", "event_id"])
 
 
+def longer_sql(longest: int) -> str:
+    """Patterns of every size: earliest complete place per sequence, one more item at a time."""
+    grown = ["g1 AS (SELECT user_id, [item] AS pattern, min(position) AS place FROM s GROUP BY 1, 2)"]
+    for n in range(2, longest + 1):
+        grown.append(f"""g{n} AS (SELECT g.user_id, list_append(pattern, item) AS pattern, min(position) AS place FROM g{n - 1} g JOIN s ON g.user_id = s.user_id AND position > place GROUP BY 1, 2
+          QUALIFY count(*) OVER (PARTITION BY list_append(pattern, item)) >= (SELECT * FROM l))""")
+    sizes = " UNION ALL ".join(f"SELECT pattern, {n}::INT AS size, count(*) AS count, round(count(*) / (SELECT * FROM q), 4) AS support FROM g{n} GROUP BY 1" for n in range(2, longest + 1))
+    return f"WITH s AS {SEQ}, l AS {LEAST}, q AS {NSEQ}, {', '.join(grown)} {sizes}"
+
+
+@query("sequence_patterns", f"SELECT array_to_string(pattern, ' → ') AS pattern, size, count, support FROM ({longer_sql(4)})")
+def sequence_patterns(t):
+    found = sq.sequence_patterns(t.events, "user_id", "event_type", ["ts", "event_id"], longest=4)
+    return found.withColumn("pattern", F.array_join("pattern", " → "))
+
+
+@query("top_pairs", f"SELECT a || ' → ' || b AS pattern, count, support FROM {PAIRS} ORDER BY count DESC, pattern LIMIT 15")
+def top_pairs(t):
+    return sq.top_pairs(t.events, "user_id", "event_type", ["ts", "event_id"])
+
+
 @query(
     "top_patterns",
     f"""SELECT pattern, size::INT AS size, count, support FROM (SELECT a || ' → ' || b AS pattern, 2 AS size, count, support FROM {PAIRS} UNION ALL

@@ -267,6 +267,39 @@ def aft(t):
     return su.aft_regression(durations(t), "days", "died", ["v", "k"])
 
 
+def cox_sql(rounds: int = 9) -> str:
+    """Newton steps for two features, spelt out; ties as Efron has them."""
+    steps = [
+        f"""WITH raw AS (SELECT d.days, d.died, e.v, e.k FROM {DUR} d JOIN (SELECT user_id, avg(value) AS v, count(*)::DOUBLE AS k FROM events GROUP BY 1) e USING (user_id) WHERE e.v IS NOT NULL),
+        m AS (SELECT avg(v) AS mv, stddev_pop(v) AS sv, avg(k) AS mk, stddev_pop(k) AS sk FROM raw),
+        x AS (SELECT days, died = 1 AS died, (v - mv) / sv AS a, (k - mk) / sk AS b FROM raw, m),
+        b0 AS (SELECT 0::DOUBLE AS p, 0::DOUBLE AS q, 0::DOUBLE AS i11, 0::DOUBLE AS i12, 0::DOUBLE AS i22)"""
+    ]
+    names = {"w": "w", "a": "w * a", "b": "w * b", "aa": "w * a * a", "ab": "w * a * b", "bb": "w * b * b"}
+    for n in range(1, rounds + 1):
+        sums = ", ".join(f"sum({v}) AS s{k}, coalesce(sum({v}) FILTER (died), 0) AS f{k}" for k, v in names.items())
+        over = ", ".join(f"sum(s{k}) OVER (ORDER BY days DESC) AS r{k}, f{k}" for k in names)
+        left = ", ".join(f"r{k} - l / d * f{k} AS {k}" for k in names)
+        steps.append(
+            f"""t{n} AS (SELECT days, count_if(died) AS d, coalesce(sum(a) FILTER (died), 0) AS xa, coalesce(sum(b) FILTER (died), 0) AS xb, {sums}
+              FROM (SELECT x.*, exp(p * a + q * b) AS w FROM x, b{n - 1}) GROUP BY 1),
+            r{n} AS (SELECT days, d, xa, xb, {over} FROM t{n}),
+            l{n} AS (SELECT l, xa, xb, {left} FROM (SELECT *, unnest(range(d::BIGINT)) AS l FROM r{n} WHERE d > 0)),
+            u{n} AS (SELECT sum(CASE WHEN l = 0 THEN xa ELSE 0 END - a / w) AS ua, sum(CASE WHEN l = 0 THEN xb ELSE 0 END - b / w) AS ub,
+              sum(aa / w - (a / w) ^ 2) AS i11, sum(ab / w - a * b / w ^ 2) AS i12, sum(bb / w - (b / w) ^ 2) AS i22 FROM l{n}),
+            b{n} AS (SELECT p + (u.i22 * ua - u.i12 * ub) / (u.i11 * u.i22 - u.i12 ^ 2) AS p, q + (u.i11 * ub - u.i12 * ua) / (u.i11 * u.i22 - u.i12 ^ 2) AS q, u.i11, u.i12, u.i22 FROM u{n} u, b{n - 1})"""
+        )
+    steps[-1] += f""", o AS (SELECT 'v' AS feature, p / sv AS c, sqrt(i22 / (i11 * i22 - i12 ^ 2)) / sv AS e FROM b{rounds}, m UNION ALL SELECT 'k', q / sk, sqrt(i11 / (i11 * i22 - i12 ^ 2)) / sk FROM b{rounds}, m)
+        SELECT feature, round(c, 6) AS coefficient, round(e, 6) AS std_error, round(exp(c), 6) AS hazard_ratio, round(exp(c - 1.959963984540054 * e), 6) AS lower, round(exp(c + 1.959963984540054 * e), 6) AS upper FROM o"""
+    return ", ".join(steps)
+
+
+@query("cox_regression", cox_sql())
+def cox(t):
+    found = su.cox_regression(durations(t), "days", "died", ["v", "k"])
+    return found.select("feature", *[F.round(c, 6).alias(c) for c in ("coefficient", "std_error", "hazard_ratio", "lower", "upper")])
+
+
 @query(
     "concordance",
     f"""WITH d AS (SELECT user_id, days, died, user_id * 7919 % 1009 + CASE WHEN user_id % 97 = 0 THEN 1000000 ELSE 0 END AS risk FROM {DUR})
@@ -445,6 +478,29 @@ def steps(t):
     return run_steps(t.orders, chain).log.select("step", "status", "rows_in", "rows_out")
 
 
+@query(
+    "run_step_graph",
+    """WITH big AS (SELECT * FROM orders WHERE o_totalprice > 200000), small AS (SELECT * FROM orders WHERE o_totalprice < 50000),
+            u AS (SELECT * FROM big UNION ALL SELECT * FROM small), f AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'),
+            g AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice) = 1)
+       SELECT o_custkey, u.o_orderkey, u.o_orderstatus, u.o_totalprice, g.o_totalprice AS cheapest FROM u JOIN g USING (o_custkey)""",
+)
+def step_graph(t):
+    chain = [
+        Step("big", "filter", {"condition": "o_totalprice > 200000"}),
+        Step("small", "filter", {"condition": "o_totalprice < 50000"}),
+        Step("both", "union"),
+        Step("done", "filter", {"condition": "o_orderstatus = 'F'"}),
+        Step("price", "select_columns", {"columns": ["o_custkey", "o_totalprice"]}),
+        Step("one", "deduplicate", {"columns": ["o_custkey"], "order": ["o_totalprice"]}),
+        Step("named", "rename", {"names": {"o_totalprice": "cheapest"}}),
+        Step("met", "join", {"on": "o_custkey"}),
+    ]
+    edges = [("big", "both"), ("small", "both"), ("done", "price"), ("price", "one"), ("one", "named"), ("both", "met"), ("named", "met")]
+    rows = t.orders.select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
+    return run_steps(rows, chain, edges).outputs["met"]
+
+
 def _template(name: str, source, *args, sql: str | None = None):
     """What the last step of a ready list gives; vectors are left out, lists and numbers are written out."""
 

@@ -6,10 +6,12 @@ import threading
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 from functools import reduce
 from graphlib import TopologicalSorter
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from oreline.functions.core import numeric_names
@@ -24,6 +26,7 @@ class Step:
     id: str
     type: str
     config: dict = field(default_factory=dict)
+    timeout: float | None = None
 
 
 def _impute(df: DataFrame, strategy: str = "mean", columns=None, value=None, order=None, by=None) -> DataFrame:
@@ -131,6 +134,19 @@ OPERATORS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+def _join(tables: list[DataFrame], on, how: str = "inner") -> DataFrame:
+    return reduce(lambda a, b: a.join(b, on, how), tables)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    """All rows; columns that a table lacks are NULL there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+#: Steps that take all tables before them, in the order of their edges.
+SEVERAL: dict[str, Callable[..., DataFrame]] = {"join": _join, "union": _union}
+
+
 @dataclass
 class Run:
     outputs: dict[str, DataFrame]
@@ -159,41 +175,61 @@ def _within(df: DataFrame, seconds: float | None, action: Callable):
             context.setLocalProperty(name, None)
 
 
-def run_steps(df: DataFrame, steps: list[Step], edges: list[tuple[str, str]] | None = None, timeout: float | None = None) -> Run:
-    """Run the steps in dependency order (in list order without edges), stopping at the first failure.
+def run_steps(df: DataFrame, steps: list[Step], edges: list[tuple[str, str]] | None = None, timeout: float | None = None, at_once: int = 4) -> Run:
+    """Run the steps in dependency order (in list order without edges); steps behind a failure are skipped, others go on.
 
-    A step takes the output of the step before it, steps without one take ``df``. Every step is run when its turn comes, once:
-    its output is written to the shared folder, where the steps after it read it, so what fails while rows are made fails
-    the step that makes them. The log has a row per step: status (``success``, ``failed``, ``timeout`` if the time for all
-    steps ran out in it, ``skipped``), rows in and out, columns added and removed, seconds, error.
+    A step takes the output of the step before it, steps without one take ``df``, ``join`` and ``union`` all tables that lead to them. Steps
+    that don't wait for each other run at the same time, ``at_once`` of them, each in a scheduler pool of its own. Every step is run once:
+    its output is written to the shared folder, where the steps after it read it, so what fails while rows are made fails the step
+    that makes them. A step may take ``Step.timeout`` seconds, all together ``timeout``. The log has a row per step, in dependency
+    order: status (``success``, ``failed``, ``timeout``, ``skipped``), rows in and out, columns added and removed, seconds, error.
     """
     by_id = {s.id: s for s in steps}
     edges = edges if edges is not None else list(zip([s.id for s in steps], [s.id for s in steps][1:]))
     before: dict[str, list[str]] = {s.id: [] for s in steps}
     for a, b in edges:
         before[b].append(a)
-    started, stopped = time.time(), False
-    outputs: dict[str, DataFrame] = {}
-    counts: dict[str | None, int] = {}
-    rows = []
-    for name in TopologicalSorter(before).static_order():
-        step, parent = by_id[name], before[name][0] if before[name] else None
-        left = None if timeout is None else timeout - (time.time() - started)
-        if stopped or left is not None and left <= 0 or any(p not in outputs for p in before[name]):
-            rows.append((name, step.type, "skipped", None, None, [], [], 0.0, None))
-            continue
-        source, t0 = df if parent is None else outputs[parent], time.time()
-        if parent is None and None not in counts:
-            counts[None] = df.count()
+    names = list(TopologicalSorter(before).static_order())
+    started, outputs, counts, rows = time.time(), {}, {}, {}
+    if any(not before[n] for n in names):
+        counts[None] = df.count()
+
+    def run(name: str) -> tuple:
+        step, parents = by_id[name], before[name] or [None]
+        limits = [x for x in (step.timeout, None if timeout is None else timeout - (time.time() - started)) if x is not None]
+        if any(p is not None and p not in outputs for p in parents) or limits and min(limits) <= 0:
+            return (name, step.type, "skipped", None, None, [], [], 0.0, None)
+        sources, t0 = [df if p is None else outputs[p] for p in parents], time.time()
+        columns, rows_in = list(dict.fromkeys(c for s in sources for c in s.columns)), sum(counts[p] for p in parents)
+        context = df.sparkSession.sparkContext
+        context.setLocalProperty("spark.scheduler.pool", f"step-{name}")
+
+        def make() -> DataFrame:
+            if step.type in SEVERAL:
+                return SEVERAL[step.type](sources, **step.config)
+            if len(sources) > 1:
+                raise ValueError(f"{step.type} takes one table, {len(sources)} lead to it")
+            return OPERATORS[step.type](sources[0], **step.config)
+
         try:
-            out, n = _within(df, left, lambda: _counted(OPERATORS[step.type](source, **step.config)))
-            outputs[name], counts[name] = out, n
-            added = [c for c in out.columns if c not in source.columns]
-            gone = [c for c in source.columns if c not in out.columns]
-            rows.append((name, step.type, "success", counts[parent], n, added, gone, round(time.time() - t0, 3), None))
+            out, n = _within(df, min(limits) if limits else None, lambda: _counted(make()))
         except Exception as e:
-            stopped = True
-            late = left is not None and time.time() - t0 >= left
-            rows.append((name, step.type, "timeout" if late else "failed", counts[parent], None, [], [], round(time.time() - t0, 3), str(e)[:500]))
+            late = limits and time.time() - t0 >= min(limits)
+            return (name, step.type, "timeout" if late else "failed", rows_in, None, [], [], round(time.time() - t0, 3), str(e)[:500])
+        finally:
+            context.setLocalProperty("spark.scheduler.pool", None)
+        outputs[name], counts[name] = out, n
+        return (name, step.type, "success", rows_in, n, [c for c in out.columns if c not in columns], [c for c in columns if c not in out.columns], round(time.time() - t0, 3), None)
+
+    order = TopologicalSorter(before)
+    order.prepare()
+    with ThreadPoolExecutor(at_once) as pool:
+        running: dict[Future, str] = {}
+        while order.is_active():
+            running |= {pool.submit(inheritable_thread_target(df.sparkSession)(run), name): name for name in order.get_ready()}
+            for future in wait(running, return_when=FIRST_COMPLETED).done:
+                name = running.pop(future)
+                rows[name] = future.result()
+                order.done(name)
     kind = "step string, type string, status string, rows_in bigint, rows_out bigint, added array<string>, removed array<string>, seconds double, error string"
-    return Run(outputs, df.sparkSession.createDataFrame(rows, kind))
+    return Run(outputs, df.sparkSession.createDataFrame([rows[n] for n in names], kind))
