@@ -124,6 +124,27 @@ def sentiment(docs: DataFrame, tokens: str = "tokens", positive=None, negative=N
     )
 
 
+#: The most bytes of a lexicon that is sent to every task.
+LEXICON_BYTES = 32 << 20
+
+
+def lexicon_sentiment(docs: DataFrame, lexicon: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
+    """As ``sentiment``, with a lexicon of one's own: a table ``(term, polarity)`` of any size.
+
+    A term's polarities are added up; above 0 it is good, below 0 bad, at 0 or NULL it counts for nothing. Distinct terms of a document meet
+    the lexicon, which is broadcast only if its measured size allows it. ``key`` names a document; rows that share it are one.
+    """
+    terms = lexicon.filter(F.col("term").isNotNull()).groupBy(F.lower(F.trim("term")).alias("_term")).agg(F.sum(F.col("polarity").cast("double")).alias("_p"))
+    terms = terms.filter("_p != 0").select("_term", (F.col("_p") > 0).alias("_good"))
+    size = terms.agg(F.sum(F.octet_length("_term") + 32)).first()[0] or 0
+    met = docs.select(F.col(key).alias("_key"), F.explode(tokens).alias("_term")).groupBy("_key", "_term").agg(F.count(F.lit(1)).alias("_n"))
+    met = met.join(F.broadcast(terms) if size <= LEXICON_BYTES else terms.hint("shuffle_merge"), "_term")
+    found = met.groupBy("_key").agg(F.sum(F.when(F.col("_good"), F.col("_n"))).alias("_g"), F.sum(F.when(~F.col("_good"), F.col("_n"))).alias("_b"))
+    good, bad = F.coalesce("_g", F.lit(0)).cast("int"), F.coalesce("_b", F.lit(0)).cast("int")
+    mood = F.when(good > bad, "positive").when(bad > good, "negative").otherwise("neutral")
+    return docs.join(found, F.col(key).eqNullSafe(F.col("_key")), "left").select(*docs.columns, good.alias("n_positive"), bad.alias("n_negative"), mood.alias("sentiment"))
+
+
 def sentiment_summary(docs: DataFrame, tokens: str = "tokens", positive=None, negative=None) -> DataFrame:
     mood = F.col("sentiment")
     n = F.count(F.lit(1))

@@ -146,6 +146,22 @@ def lexicon_sentiment(t):
     )
 
 
+@query(
+    "lexicon_table_sentiment",
+    """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents),
+            l AS (SELECT term, CASE WHEN count(*) % 2 = 0 THEN 1 ELSE -1 END AS p FROM w WHERE length(term) > 3 GROUP BY 1),
+            c AS (SELECT doc_id, count_if(p > 0) AS g, count_if(p < 0) AS b FROM w JOIN l USING (term) GROUP BY 1)
+       SELECT doc_id, coalesce(g, 0)::INT AS n_positive, coalesce(b, 0)::INT AS n_negative,
+              CASE WHEN coalesce(g, 0) > coalesce(b, 0) THEN 'positive' WHEN coalesce(b, 0) > coalesce(g, 0) THEN 'negative' ELSE 'neutral' END AS sentiment
+       FROM documents LEFT JOIN c USING (doc_id)""",
+)
+def lexicon_table(t):
+    words = t.documents.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("tokens"))
+    each = words.select(F.explode("tokens").alias("term")).filter("length(term) > 3").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    lexicon = each.select("term", F.when(F.col("n") % 2 == 0, 1).otherwise(-1).alias("polarity"))
+    return tx.lexicon_sentiment(words, lexicon, "doc_id").drop("tokens")
+
+
 @query(
     "sentiment_summary",
     f"""SELECT count_if(p > n)::BIGINT AS positive, count_if(n > p)::BIGINT AS negative, count_if(n = p)::BIGINT AS neutral,

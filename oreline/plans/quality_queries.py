@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from oreline.operators import features as fe, quality as dq
+from oreline.operators import features as fe, quality as dq, sketches as sk
 from oreline.plans.catalog import query
 
 
@@ -509,3 +509,29 @@ def random_over(t):
 )
 def random_under(t):
     return fe.random_under(t.labels.select("doc_id", "toxic"), "toxic", "doc_id")
+
+
+# --- profiles from sketches of parts -----------------------------------------------------------------
+
+SKETCHED = ["l_quantity", "l_extendedprice", "l_returnflag"]
+
+
+@query(
+    "sketched_profile",
+    """WITH l AS (SELECT 'l_quantity' AS name, l_quantity::VARCHAR AS v, l_quantity::DOUBLE AS x FROM lineitem UNION ALL SELECT 'l_extendedprice', l_extendedprice::VARCHAR, l_extendedprice FROM lineitem
+         UNION ALL SELECT 'l_returnflag', l_returnflag, NULL FROM lineitem)
+       SELECT name, count(*) AS n, count_if(v IS NULL)::BIGINT AS missing, min(x) AS min, max(x) AS max, round(avg(x), 6) AS mean,
+         count(DISTINCT v) AS distinct_values, quantile_disc(x, 0.5) AS median, true AS near FROM l GROUP BY 1""",
+)
+def sketched_profile(t):
+    """The profile from sketches by year of shipment, beside exact counts; ``near`` says that both are as close as the sketches promise."""
+    parts = sk.column_sketches(t.lineitem.select(*SKETCHED, F.year("l_shipdate").alias("year")), SKETCHED, "year")
+    found = sk.sketched_profile(parts).withColumnsRenamed({"distinct_values": "_d", "median": "_m"})
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("v"), (F.col(c).cast("double") if c != "l_returnflag" else F.lit(None).cast("double")).alias("x")) for c in SKETCHED]))
+    long = t.lineitem.select(cells.alias("c")).select("c.*").join(F.broadcast(found.select("name", "_m")), "name")
+    exact = long.groupBy("name").agg(
+        F.countDistinct("v").alias("distinct_values"), F.expr("percentile_disc(0.5) within group (order by x)").alias("median"),
+        F.avg(F.when(F.col("x") < F.col("_m"), 1.0).otherwise(0.0)).alias("_below"), F.avg(F.when(F.col("x") <= F.col("_m"), 1.0).otherwise(0.0)).alias("_upto"),
+    )
+    near = (F.abs(F.col("_d") / F.col("distinct_values") - 1) < 0.065) & (F.col("_m").isNull() | (F.col("_below") <= 0.51) & (F.col("_upto") >= 0.49))
+    return found.join(exact, "name").select("name", "n", "missing", "min", "max", F.round("mean", 6).alias("mean"), "distinct_values", "median", near.alias("near"))
