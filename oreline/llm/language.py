@@ -96,7 +96,8 @@ def fit_language(docs: DataFrame, label: str = "lang", key: str = "doc_id", text
     """Names, document frequencies, weights and temperature.
 
     Learning documents are those not held out with label and text. Frequencies cover all of them; the fit, at most
-    ``per_language`` of each language, those of smallest MD5 of the id. Without any, there are no names.
+    ``per_language`` different ids of each language, those of smallest MD5; an id with many rows counts once, by its smallest text, however
+    many rows it has. Without any, there are no names.
     """
     rows = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("id"), F.col(label).alias("lang"), F.col(text).alias("text"))
 
@@ -118,7 +119,7 @@ def fit_language(docs: DataFrame, label: str = "lang", key: str = "doc_id", text
     for place, n in count.items():
         idf[place] = math.log((1 + total) / (1 + n)) + 1
     draw = W.partitionBy("lang").orderBy(F.md5(F.col("id").cast("string")), "id")
-    ids = rows.select("id", "lang").withColumn("r", F.row_number().over(draw)).filter(F.col("r") <= per_language).select("id", "lang", "r")
+    ids = rows.select("id", "lang").distinct().withColumn("r", F.row_number().over(draw)).filter(F.col("r") <= per_language).select("id", "lang", "r")
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

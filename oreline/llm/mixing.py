@@ -1,14 +1,14 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal blocks of words.
 
-Documents are dealt to shards by hash. In a shard, the documents of a source in hashed order form a stream, cut into blocks of
-``block_words`` words. The blocks that the shard gives are apportioned to its sources by the highest quotients
-``votes / (2 k - 1)``, where a source's votes are its target's part of the stream, in blocks. A quota of ``q`` blocks from a
-stream of ``n`` takes each block ``q div n`` times and ``q mod n`` of them, spread evenly from a seeded start, once more.
-Every step is a sum by key or a window over one stream of a shard or one row per source, so nothing grows with the corpus.
+Documents are dealt to shards by hash. A source's documents, shard after shard and in hashed order, form a stream that is cut into blocks of
+``block_words`` words. The blocks of the mix are apportioned to the sources by the highest quotients ``votes / (2 k - 1)``, where a
+source's votes are its target in blocks. A quota of ``q`` blocks from a stream of ``n`` takes each block ``q div n`` times and ``q mod n`` of them,
+spread evenly from a seeded start, once more. So a shard's quota is the whole number of chosen blocks that begin in it (``shard_quotas``):
+what a source owes is carried from shard to shard, and a source of few words per shard comes as near to its target as any other.
+Every step is a sum by key, a window over one stream of a shard, or one over the shards of a source or one row per source.
 
 ``mixed_sizes`` counts words of single blocks, as its SQL twin does. ``mixed_documents`` gives texts to learn from, so it takes what its
-sources owe beyond whole rounds as whole documents: the first ones in hashed order, of which only the last may be cut. There, blocks are
-apportioned once over all shards, so that a source of few words per shard comes as near to its target as any other.
+sources owe beyond whole rounds as whole documents: the first ones in hashed order, of which only the last may be cut.
 """
 
 from __future__ import annotations
@@ -47,8 +47,7 @@ def source_targets(sizes: DataFrame, source: str = "source", size: str = "size",
 def _up_to(x: Column, block: int) -> Column:
     """Words taken from the first ``x`` words of a stream: whole rounds, then the blocks chosen once more."""
     j = F.floor(x / F.lit(block)).cast("bigint")
-    chosen = lambda k: F.floor((k * F.col("_extra") + F.col("_start")).cast("double") / F.col("_blocks"))
-    return F.col("_rounds") * x + block * chosen(j) + (x - j * block) * (chosen(j + 1) - chosen(j))
+    return F.col("_rounds") * x + block * _chosen(j) + (x - j * block) * (_chosen(j + 1) - _chosen(j))
 
 
 def _dealt(docs: DataFrame, key: str, source: str, text: str, seed: str, shard_words: int, weights, most: int, by_text: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -98,16 +97,36 @@ def _streams(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy("shard", "place", *by).agg(F.sum(F.col("size") * F.col("copies")).cast("bigint").alias("stream"))
 
 
+def _placed(rows: DataFrame, targets: DataFrame, seed: str, block_words: int, most: int, *last: str) -> DataFrame:
+    """``rows`` with their source's cut and, in ``_offset``, the words before them in its stream over all shards."""
+    cuts = _cuts(targets.select(F.lit(0).alias("shard"), "place", "source_size", "target", F.col("source_size").alias("stream")), seed, block_words, most).drop("shard")
+    before = F.sum("stream").over(W.partitionBy("place").orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
+    streams = _streams(rows).withColumn("_before", F.coalesce(before, F.lit(0)).cast("bigint")).join(cuts, "place")
+    placed = _with_offsets(rows.join(streams, ["shard", "place"]), *last)
+    return placed.withColumn("_offset", F.col("_before") + F.col("_offset"))
+
+
+def _chosen(k: Column) -> Column:
+    """How many of the first ``k`` blocks of a stream are taken once more."""
+    return F.floor((k * F.col("_extra") + F.col("_start")).cast("double") / F.col("_blocks"))
+
+
 def plan_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: str = "mix", shard_words: int = 4 << 20, block_words: int = 16, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """What the mix takes: one row per different ``(key, source, size)``, with its number of ``copies`` and the cut of its stream.
 
-    Columns: ``key, source, size, copies, source_size, target, _offset, _blocks, _rounds, _extra, _start``. Nulls are values of
+    Columns: ``key, source, size, copies, shard, source_size, target, _offset, _blocks, _rounds, _extra, _start``. Nulls are values of
     their own in ``key`` and ``source``; a null text has size 0.
     """
-    rows, _ = _dealt(docs, key, source, text, seed, shard_words, weights, most)
-    cuts = _cuts(_streams(rows, "source_size", "target"), seed, block_words, most)
-    rows = _with_offsets(rows.join(cuts, ["shard", "place"]))
-    return rows.select("key", "source", "size", "copies", "source_size", "target", "_offset", "_blocks", "_rounds", "_extra", "_start")
+    rows, targets = _dealt(docs, key, source, text, seed, shard_words, weights, most)
+    rows = _placed(rows, targets, seed, block_words, most)
+    return rows.select("key", "source", "size", "copies", "shard", "source_size", "target", "_offset", "_blocks", "_rounds", "_extra", "_start")
+
+
+def shard_quotas(plan: DataFrame, block_words: int = 16) -> DataFrame:
+    """``(source, shard, quota)``: the blocks that each shard gives of a source, whole rounds and chosen ones, of a plan of ``plan_mix``."""
+    ends = plan.groupBy("source", "shard").agg(F.min("_offset").alias("a"), F.max(F.col("_offset") + F.col("size") * F.col("copies")).alias("b"), *[F.first(c).alias(c) for c in ("_blocks", "_rounds", "_extra", "_start")])
+    first, last = (F.ceil(F.col(c) / block_words).cast("bigint") for c in "ab")  # blocks that begin in the shard
+    return ends.select("source", "shard", (F.col("_rounds") * (last - first) + _chosen(last) - _chosen(first)).cast("bigint").alias("quota"))
 
 
 def mixed_sizes(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", block_words: int = 16, **options) -> DataFrame:
@@ -128,15 +147,10 @@ def plan_documents(docs: DataFrame, key: str = "doc_id", source: str = "source",
     more. Blocks are apportioned once over all shards; running sums per source carry what it owes from shard to shard.
     """
     rows, targets = _dealt(docs, key, source, text, seed, shard_words, weights, most, by_text=True)
-    cuts = _cuts(targets.select(F.lit(0).alias("shard"), "place", "source_size", "target", F.col("source_size").alias("stream")), seed, block_words, most)
+    rows = _placed(rows, targets, seed, block_words, most, "_text")
     # Of the last, shorter block only its own words count, if it is among the chosen ones.
-    cuts = cuts.join(targets.select("place", "source_size"), "place")
     short = F.when(F.col("_start") < F.col("_extra"), F.col("_blocks") * block_words - F.col("source_size")).otherwise(F.lit(0))
-    cuts = cuts.select("place", "_rounds", (F.col("_extra") * block_words - short).cast("bigint").alias("_words"))
-    before = F.sum("stream").over(W.partitionBy("place").orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
-    streams = _streams(rows).withColumn("_before", F.coalesce(before, F.lit(0)).cast("bigint")).drop("stream").join(cuts, "place")
-    rows = _with_offsets(rows.join(streams, ["shard", "place"]), "_text")
-    return rows.select("key", "source", "size", "_text", "copies", (F.col("_before") + F.col("_offset")).alias("_offset"), "_rounds", "_words")
+    return rows.select("key", "source", "size", "_text", "copies", "_offset", "_rounds", (F.col("_extra") * block_words - short).cast("bigint").alias("_words"))
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", block_words: int = 16, most: int = MOST, length: str | None = None, **options) -> DataFrame:
@@ -190,9 +204,8 @@ targets AS (SELECT source, place, source_size, whole_size, least(({MOST} * sourc
 rows AS (SELECT u.*, place, source_size, whole_size, target, {h(f"'{seed}:' || coalesce(doc_id::VARCHAR, 'null')")} AS hash
    FROM units u JOIN targets t ON u.source IS NOT DISTINCT FROM t.source),
 dealt AS (SELECT *, hash % greatest(1, ceil(whole_size / {shard_words}.0)::BIGINT) AS shard FROM rows),
-streams AS (SELECT shard, place, sum(size * copies)::BIGINT AS stream,
-   CASE WHEN source_size > 0 THEN target / source_size * ((sum(size * copies)::BIGINT + {block_words - 1}) // {block_words}) ELSE 0.0 END AS votes
-   FROM dealt GROUP BY shard, place, source_size, target),
+streams AS (SELECT 0 AS shard, place, source_size AS stream,
+   CASE WHEN source_size > 0 THEN target / source_size * ((source_size + {block_words - 1}) // {block_words}) ELSE 0.0 END AS votes FROM targets),
 summed AS (SELECT *, sum(floor(votes * 1048576)::BIGINT) OVER (PARTITION BY shard) / 1048576.0 AS whole, count(*) OVER (PARTITION BY shard) AS n FROM streams WHERE votes > 0),
 asked AS (SELECT *, round(whole::DOUBLE)::BIGINT AS seats FROM summed),
 quotients AS (SELECT shard, place, seats, unnest(generate_series(1, ceil(votes * (seats + n / 2.0) / whole + 1.5)::BIGINT)) AS k, votes FROM asked),
@@ -202,7 +215,7 @@ cuts AS (SELECT s.shard, s.place, greatest(1, (stream + {block_words - 1}) // {b
 turns AS (SELECT shard, place, blocks, least(quota, {MOST} * blocks) // blocks AS rounds, least(quota, {MOST} * blocks) % blocks AS extra,
    {h(f"'{seed}/' || shard || '/' || place")} % blocks AS start FROM cuts),
 placed_rows AS (SELECT d.*, t.blocks, t.rounds, t.extra, t.start,
-   (sum(size * copies) OVER (PARTITION BY d.shard, d.place ORDER BY hash, doc_id, size ROWS UNBOUNDED PRECEDING) - size * copies)::BIGINT AS o
-   FROM dealt d JOIN turns t ON d.shard = t.shard AND d.place = t.place),
+   (sum(size * copies) OVER (PARTITION BY d.place ORDER BY d.shard, hash, doc_id, size ROWS UNBOUNDED PRECEDING) - size * copies)::BIGINT AS o
+   FROM dealt d JOIN turns t ON d.place = t.place),
 each AS (SELECT *, o + c * size AS a, o + c * size + size AS b FROM (SELECT *, unnest(generate_series(0, copies - 1)) AS c FROM placed_rows))
 SELECT doc_id, size, source_size, target, ({up_to('b')} - {up_to('a')})::BIGINT AS taken FROM each"""

@@ -55,6 +55,16 @@ def test_language_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows) and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_with_a_hot_id(spark):
+    """An id that a third of all rows share, of all languages, and that comes first in the sample, counts once for each language."""
+    docs = read(spark, "documents").select("doc_id", "text", "lang")
+    hot = docs.filter(~held_out()).orderBy(F.md5(F.col("doc_id").cast("string"))).first().doc_id
+    mixed = docs.withColumn("doc_id", F.when((F.xxhash64("text") % 3 == 0) & ~held_out(), F.lit(hot)).otherwise(F.col("doc_id")))
+    model = fit_language(mixed)
+    rows = predict_language(docs.filter(held_out() & F.col("lang").isNotNull()), model).collect()
+    assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows)
+
+
 def test_language_never_reads_labels_of_what_it_predicts(spark):
     docs = read(spark, "documents").limit(300)
     other = docs.withColumn("lang", F.when(held_out(), F.lit("xx")).otherwise(F.col("lang"))).withColumn("source", F.lit("s"))

@@ -2,8 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from oreline.llm.mixing import mixed_documents, mixed_sizes, mixing_sql, plan_mix, source_targets
+from oreline.llm.mixing import mixed_documents, mixed_sizes, mixing_sql, plan_mix, shard_quotas, source_targets
 from oreline.llm.sharding import extendible_shards, extendible_sql
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -141,6 +142,19 @@ def test_mix_of_thin_sources_in_many_shards(spark, shard_words):
     assert target["c"] == 900 and all(abs(got[s] - t) < 16 for s, t in target.items())
 
 
+@pytest.mark.parametrize("shard_words", [2000, 80, 4 << 20])
+def test_blocks_of_thin_sources_in_many_shards(spark, shard_words):
+    """Two hundred sources of forty short documents: every target is met to a block at 1, 40 and 1,000 shards, with whole quotas."""
+    rows = [(s * 40 + i, " ".join(f"w{j}" for j in range(10)), None, f"s{s:03}", 0) for s in range(200) for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mixed_sizes(docs, shard_words=shard_words).groupBy("source", "target").agg(F.sum("taken").alias("k"), F.max(F.col("taken") / F.col("size")).alias("most")).collect()
+    assert len(got) == 200 and all(abs(r.k - r.target) <= 16 and r.most <= 3 for r in got)
+    plan = plan_mix(docs, shard_words=shard_words)
+    whole = {r.source: r.q for r in plan.selectExpr("source", "_rounds * _blocks + _extra q").distinct().collect()}
+    quotas = shard_quotas(plan).groupBy("source").agg(F.sum("quota").alias("q")).collect()
+    assert {r.source: r.q for r in quotas} == whole
+
+
 def test_mix_of_nothing(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert mixed_sizes(docs).count() == 0 and mixed_documents(docs).count() == 0
