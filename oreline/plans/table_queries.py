@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from oreline.operators import scalars as sc
 from oreline.plans.catalog import query
 from oreline.session import scratch_path
-from oreline.sources import tables as tb
+from oreline.sources import batches as bt, tables as tb
 
 CUSTOMER = "SELECT c_custkey::DOUBLE AS c_custkey, c_name, c_nationkey::DOUBLE AS c_nationkey, c_acctbal, c_mktsegment FROM customer"
 
@@ -73,6 +73,22 @@ def append_rows(t):
     return t.spark.read.parquet(path)
 
 
+@query(
+    "page_batches",
+    """WITH a AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS _row_idx, s_suppkey AS id, s_name AS name FROM supplier),
+            b AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 + (SELECT count(*) FROM a) AS _row_idx, c_custkey AS id, c_name AS name FROM customer)
+       SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b) ORDER BY _row_idx LIMIT 120 OFFSET 50""",
+)
+def page_of_batches(t):
+    """A page over two batches, of which the first is appended twice."""
+    path = scratch_path(t.spark, "batches")
+    suppliers = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    bt.append_batch(suppliers, path, "id", "suppliers")
+    bt.append_batch(t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), path, "id", "customers")
+    bt.append_batch(suppliers, path, "id", "suppliers")
+    return bt.page_batches(t.spark, path, 50, 120)
+
+
 @query("page_rows", "SELECT o_orderkey AS _row_idx, o_totalprice FROM orders ORDER BY 1 LIMIT 500 OFFSET 1000")
 def page_rows(t):
     return tb.page_rows(t.orders.select(F.col("o_orderkey").alias("_row_idx"), "o_totalprice"), 1000, 500)
