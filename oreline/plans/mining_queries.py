@@ -533,3 +533,12 @@ def next_periods(t):
 )
 def forecast_bands(t):
     return ts.forecast(monthly(t), "linear_trend").drop("next_period")
+
+
+@query(
+    "significance_label",
+    """SELECT o_orderkey, CASE WHEN p < 0.001 THEN 'very high' WHEN p < 0.01 THEN 'high' WHEN p < 0.05 THEN 'significant' ELSE 'not significant' END AS label
+       FROM (SELECT o_orderkey, (o_orderkey % 2000) / 20000.0::DOUBLE AS p FROM orders)""",
+)
+def significance_label(t):
+    return t.orders.select("o_orderkey", hy.significance_label((F.col("o_orderkey") % 2000) / 20000.0).alias("label"))

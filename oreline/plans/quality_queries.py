@@ -440,9 +440,18 @@ def robust(t):
     return fe.scale_robust(t.customer, "c_acctbal").select("c_custkey", "c_acctbal_norm")
 
 
-@query("feature_spec")
+def _options_sql(column: str) -> str:
+    return f"""SELECT '{column}' AS name, NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::DOUBLE AS mean, string_agg(v, '|' ORDER BY n DESC, v) AS options
+       FROM (SELECT {column} AS v, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, v LIMIT 15)"""
+
+
+@query(
+    "feature_spec",
+    " UNION ALL ".join([f"SELECT '{c}' AS name, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}), 6) AS mean, NULL AS options FROM part" for c in ("p_size", "p_retailprice")] + [_options_sql(c) for c in ("p_brand", "p_type")]),
+)
 def feature_spec(t):
-    return fe.feature_spec(t.part, ["p_brand", "p_type", "p_size", "p_retailprice"])
+    found = fe.feature_spec(t.part, ["p_brand", "p_type", "p_size", "p_retailprice"])
+    return found.withColumns({"options": F.array_join("options", "|"), "mean": F.round("mean", 6)})
 
 
 @query("feature_registry", "SELECT 'brand_' || substr(p_brand, 7) AS name, 2::BIGINT AS version FROM part GROUP BY 1")
