@@ -301,7 +301,7 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, min_points:
     checked = undecided.join(left, ["a", "asub"]).join(right, ["b", "bsub"]).filter(near).select("a", "b").distinct()
     links = verdict.filter("sure").select("a", "b").unionByName(checked)
 
-    named = positions(core.select("cell").distinct(), "cell", None, "node")
+    named = positions(stage(core.select("cell").distinct(), "dbscan-core"), "cell", None, "node")
     named = stage(named, "dbscan-nodes")
     a, b = named.select(F.col("cell").alias("a"), F.col("node").alias("na")), named.select(F.col("cell").alias("b"), F.col("node").alias("nb"))
     e = links.join(a, "a").join(b, "b")
@@ -310,7 +310,7 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, min_points:
     rooted = core.join(roots, "cell")
     # clusters are numbered by their smallest id
     first = rooted.groupBy("root").agg(F.min("id").alias("_first"))
-    numbers = positions(first, "_first", None, "cluster").select("root", "cluster")
+    numbers = positions(stage(first, "dbscan-first"), "_first", None, "cluster").select("root", "cluster")
     inner = stage(rooted.join(numbers, "root").select("id", "v", "cell", "cluster"), "dbscan-inner")
     rest = thin.join(inner.select("id"), "id", "left_anti")
     touch = visits(rest, "t").join(salted(inner.select("id", "v", "cell", "cluster")), ["cell", "salt"]).filter(near)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from oreline.functions.core import as_list, single
 from oreline.functions.ordered import running_sums
+from oreline.session import stage
 
 THRESHOLDS = [i / 20 for i in range(21)]
 
@@ -114,7 +115,7 @@ def auc_exact(df: DataFrame, y: str, score: str, by=None) -> DataFrame:
     """Area over all distinct scores: the share of (positive, negative) pairs in the right order, ties half."""
     by = as_list(by)
     counts = df.groupBy(*by, F.col(score).alias("_s")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
-    upto = running_sums(counts, ["_s"], {"neg_upto": "neg"}, by)
+    upto = running_sums(stage(counts, "scores"), ["_s"], {"neg_upto": "neg"}, by)
     won = F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2)
     return upto.groupBy(*by).agg(F.try_divide(F.sum(won), F.sum("pos") * F.sum("neg").cast("double")).alias("auc"))
 

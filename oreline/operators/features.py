@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from oreline.functions.core import as_list, bucket, dtype, is_missing, number, present, single
 from oreline.functions.ordered import positions
 from oreline.operators.aggregates import order_statistic
+from oreline.session import stage
 
 
 # --- bins -----------------------------------------------------------------------------------------
@@ -69,7 +70,7 @@ def one_hot(df: DataFrame, column: str, top: int = 10) -> DataFrame:
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """Sorted distinct values numbered from 0."""
     categories = df.select(present(df, column).alias("_category")).filter(F.col("_category").isNotNull()).distinct()
-    return positions(categories, "_category", None, "_code")
+    return positions(stage(categories, "categories"), "_category", None, "_code")
 
 
 def label_encode(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
@@ -319,9 +320,8 @@ def smote(df: DataFrame, label: str, key: str, columns: list[str], k: int = 5) -
 def smoteenn(df: DataFrame, label: str, key: str, columns: list[str], k: int = 5, votes: int = 3) -> DataFrame:
     """SMOTE, then drop the rows that most of their nearest neighbours contradict."""
     from oreline.operators.neighbours import knn_join
-    from oreline.session import stage
 
-    grown = positions(smote(df, label, key, columns, k), [label, key, "synthetic", *columns], None, "_id")
+    grown = positions(stage(smote(df, label, key, columns, k), "smote-rows"), [label, key, "synthetic", *columns], None, "_id")
     grown = stage(grown, "smote")
     pairs = knn_join(grown, grown, "_id", columns, votes, skip_same_key=True)
     own = grown.select(F.col("_id").alias("query_id"), F.col(label).alias("_own"))

@@ -39,7 +39,7 @@ def drift_numbers(baseline: DataFrame, batch: DataFrame, columns: list[str]) ->
     """
     cells = _marked(baseline, batch, columns, long_numbers)
     counts = cells.groupBy("name", "value").agg(F.count_if(F.col("_side") == 0).alias("a"), F.count_if(F.col("_side") == 1).alias("b"))
-    upto = running_sums(counts, ["value"], {"ca": "a", "cb": "b"}, ["name"], {"na": "a", "nb": "b"})
+    upto = running_sums(stage(counts, "counts"), ["value"], {"ca": "a", "cb": "b"}, ["name"], {"na": "a", "nb": "b"})
     side = lambda s, c="value": F.when(F.col("_side") == s, F.col(c))
     base = cells.groupBy("name").agg(
         F.count(side(0)).alias("n_base"), F.count(side(1)).alias("n_batch"),
@@ -164,7 +164,7 @@ def _number_drift(summary: BaselineSummary, rows: DataFrame, psi_bins: int) -> D
     b = stage(long_numbers(rows, summary.numbers, ["period"]).groupBy("period", "name", "value").agg(F.count(F.lit(1)).alias("b")), "batch")
     both = summary.values.select("name", "value", "a", F.lit(0).alias("_seen")).union(b.select("name", "value", F.lit(0).cast("bigint"), F.lit(1)).distinct())
     both = both.groupBy("name", "value").agg(F.sum("a").alias("a"), F.max("_seen").alias("_seen"))
-    base = running_sums(both, ["value"], {"ca": "a"}, ["name"], {"na": "a"}).filter("_seen = 1").select("name", "value", "a", "ca", "na")
+    base = running_sums(stage(both, "both"), ["value"], {"ca": "a"}, ["name"], {"na": "a"}).filter("_seen = 1").select("name", "value", "a", "ca", "na")
     upto = running_sums(b, ["value"], {"cb": "b"}, ["period", "name"], {"nb": "b"}).join(base, ["name", "value"])
     share = lambda c, n: F.try_divide(F.col(c), F.col(n))
     gap = F.greatest(F.abs(share("ca", "na") - share("cb", "nb")), F.abs(F.try_divide(F.col("ca") - F.col("a"), F.col("na")) - F.try_divide(F.col("cb") - F.col("b"), F.col("nb"))))

@@ -16,6 +16,7 @@ from oreline.functions.core import (
 from oreline.functions.ordered import element_at_rank, running_sums
 from oreline.operators.joins import count_duplicates
 from oreline.operators.scalars import parse_number
+from oreline.session import stage
 
 
 # --- long forms -----------------------------------------------------------------------------------
@@ -40,14 +41,14 @@ def long_numbers(df: DataFrame, columns=None, keep=()) -> DataFrame:
 
 
 def quantiles(df: DataFrame, value: str, shares: dict[str, float], by=None) -> DataFrame:
-    """Exact interpolated quantiles from running counts of the distinct values."""
+    """Exact interpolated quantiles, of the whole or of few groups (one per column)."""
     by = as_list(by)
     ranks = {}
     for n, p in shares.items():
         at = F.lit(p) * (F.col("_n") - 1)
         ranks[f"_lo_{n}"], ranks[f"_hi_{n}"] = F.floor(at), F.ceil(at)
     near = {f"{side}{n}": p for n, p in shares.items() for side in ("_lo_", "_hi_")}
-    found = element_at_rank(df, value, ranks, by, near)
+    found = element_at_rank(df, value, ranks, by, near, few_groups=True)
     sizes = df.groupBy(*by).agg(F.count(value).alias("_n"))
     joined = found.join(sizes, by) if by else found.withColumn("_n", sizes.scalar())
     cells = []
@@ -406,7 +407,7 @@ def threshold_accuracy(cells: DataFrame) -> DataFrame:
     counted = cells.join(F.broadcast(sizes), "name").groupBy("name", "value").agg(
         F.count_if(F.col("_y") == F.col("c1")).alias("pos"), F.count_if(F.col("_y") == F.col("c0")).alias("neg")
     )
-    summed = running_sums(counted, ["value"], {"lp": "pos", "ln": "neg"}, ["name"], {"P": "pos", "N": "neg"})
+    summed = running_sums(stage(counted, "counted"), ["value"], {"lp": "pos", "ln": "neg"}, ["name"], {"P": "pos", "N": "neg"})
     right = F.greatest(F.col("ln") + F.col("P") - F.col("lp"), F.col("lp") + F.col("N") - F.col("ln")) / (F.col("P") + F.col("N"))
     # the last value has everything on its left, which is no threshold
     return summed.filter(F.col("lp") + F.col("ln") < F.col("P") + F.col("N")).groupBy("name").agg(

@@ -22,11 +22,11 @@ def kaplan_meier(df: DataFrame, time: str, event: str, by=None) -> DataFrame:
     t = df.groupBy(*by, F.col(time).alias("time")).agg(
         F.count_if(F.col(event) == 1).alias("events"), F.count_if(F.col(event) != 1).alias("censored")
     ).withColumn("_gone", F.col("events") + F.col("censored"))
-    sized = running_sums(t, ["time"], {"_left": "_gone"}, by, {"_n": "_gone"})
+    sized = running_sums(stage(t, "times"), ["time"], {"_left": "_gone"}, by, {"_n": "_gone"})
     risk = sized.withColumn("at_risk", F.col("_n") - F.col("_left") + F.col("_gone"))
     stays = 1 - F.col("events") / F.col("at_risk")
     logs = risk.withColumns({"_ln": F.when(stays > 0, F.ln(F.when(stays > 0, stays))).otherwise(0.0), "_zero": (stays <= 0).cast("int")})
-    out = running_sums(logs.drop("_left", "_n", "_gone"), ["time"], {"_sum": "_ln", "_dead": "_zero"}, by)
+    out = running_sums(stage(logs.drop("_left", "_n", "_gone"), "at-risk"), ["time"], {"_sum": "_ln", "_dead": "_zero"}, by)
     return out.select(
         *by, "time", "at_risk", "events", "censored", F.when(F.col("_dead") > 0, 0.0).otherwise(F.exp("_sum")).alias("survival")
     )
@@ -45,7 +45,7 @@ def log_rank(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
     t = df.groupBy(F.col(time).alias("time")).agg(
         F.count_if(dead).alias("d"), F.count_if(dead & first).alias("da"), F.count(F.lit(1)).alias("g"), F.count_if(first).alias("ga")
     )
-    upto = running_sums(t, ["time"], {"_g": "g", "_ga": "ga"}, None, {"_n": "g", "_na": "ga"})
+    upto = running_sums(stage(t, "times"), ["time"], {"_g": "g", "_ga": "ga"}, None, {"_n": "g", "_na": "ga"})
     r = upto.withColumns({"n": F.col("_n") - F.col("_g") + F.col("g"), "na": F.col("_na") - F.col("_ga") + F.col("ga")})
     share = F.col("na") / F.col("n")
     var = F.when(F.col("n") > 1, F.col("d") * share * (1 - share) * (F.col("n") - F.col("d")) / F.when(F.col("n") > 1, F.col("n") - 1)).otherwise(0.0)
@@ -90,7 +90,7 @@ def _cox_sums(rows: DataFrame, beta: np.ndarray) -> tuple[float, np.ndarray, np.
         F.count_if(fails).alias("d"), F.sum(F.when(fails, eta)).alias("eta"), *[F.sum(F.when(fails, x[i])).alias(f"x{i}") for i in range(k)],
         *[F.sum(v).alias(f"s{n}") for n, v in moments.items()], *[F.sum(F.when(fails, v)).alias(f"f{n}") for n, v in moments.items()],
     )
-    later = running_sums(each.withColumn("_back", -F.col("time")), ["_back"], {f"r{n}": f"s{n}" for n in moments}).filter("d > 0")
+    later = running_sums(stage(each.withColumn("_back", -F.col("time")), "risk-sets"), ["_back"], {f"r{n}": f"s{n}" for n in moments}).filter("d > 0")
     tied = later.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("d") - 1, F.lit(TIES).cast("bigint"))))
     tied = tied.repartition("time", "_from").withColumn("_nth", F.explode(F.sequence("_from", F.least(F.col("d"), F.col("_from") + TIES) - 1)))
     left = {n: F.col(f"r{n}") - F.col("_nth") / F.col("d") * F.col(f"f{n}") for n in moments}
@@ -163,7 +163,7 @@ def concordance(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(event) == 1).alias("e")
     )
     cells = stage(rows, "risks")
-    placed = positions(cells.select("risk").distinct(), "risk", None, "rank")
+    placed = stage(positions(cells.select("risk").distinct(), "risk", None, "rank"), "ranks")
     cells = cells.join(placed, "risk")
     bits = max(1, int(placed.agg(F.max("rank")).first()[0] or 0).bit_length())
     bit = lambda b: F.shiftright("rank", b) % 2
@@ -173,7 +173,7 @@ def concordance(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
     levels.append(F.struct(F.lit(-2).alias("level"), zero.alias("prefix"), F.col("n").alias("lower"), F.col("e").alias("fails")))
     deep = cells.select("time", F.explode(F.array(*levels)).alias("_l")).select("time", "_l.*")
     sums = deep.groupBy("level", "prefix", "time").agg(F.sum("lower").alias("lower"), F.sum("fails").alias("fails"))
-    upto = running_sums(sums, ["time"], {"_upto": "lower"}, ["level", "prefix"], {"_all": "lower"})
+    upto = running_sums(stage(sums, "levels"), ["time"], {"_upto": "lower"}, ["level", "prefix"], {"_all": "lower"})
     met = F.col("fails") * (F.col("_all") - F.col("_upto")).cast("double")
     won = F.sum(F.when(F.col("level") >= 0, met).when(F.col("level") == -1, met / 2).otherwise(0.0))
     return upto.agg(F.try_divide(won, F.sum(F.when(F.col("level") == -2, met).otherwise(0.0))).alias("c_index"))

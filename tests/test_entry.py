@@ -10,13 +10,3 @@ def test_catalogue():
     queries, twins = entry_module.queries(), entry_module.oracle_sql()
     assert set(twins) <= set(queries) and len(queries) > 280
     assert all(callable(q) for q in queries.values()) and all(isinstance(s, str) for s in twins.values())
-
-
-def test_windows_are_the_same_both_ways(spark, monkeypatch):
-    """A catalogue query that numbers, averages and joins, by ordinary windows and by ranges."""
-    from oreline.functions import ordered
-
-    run = lambda: sorted(map(tuple, entry_module.queries()["decompose"](spark, "/root/testdata/sf0.001").collect()))
-    plain = run()
-    monkeypatch.setattr(ordered, "PLAIN_ROWS", 0)
-    assert run() == plain and plain

@@ -1,9 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from oreline.functions import ordered
 from oreline.functions.core import bucket, number_in
-from oreline.functions.ordered import _fenced, element_at_rank, forward_filled, positions, running_sums, with_history
+from oreline.functions.ordered import RUN, _fenced, element_at_rank, in_ranges, forward_filled, positions, running_sums, with_history
 from oreline.operators import aggregates as ag, joins as jn, selection as sl, windows as wn
 
 
@@ -74,11 +73,8 @@ def test_distinct_and_duplicates(spark):
     assert jn.drop_duplicates(df).count() == 2
 
 
-@pytest.mark.parametrize("plain", [0, 10_000])
 @pytest.mark.parametrize("parts", [1, 7])
-def test_ordered_work_does_not_depend_on_partitions(spark, parts, plain, monkeypatch):
-    """Both ways: ranges with a carry table (any size) and ordinary windows (small groups)."""
-    monkeypatch.setattr(ordered, "PLAIN_ROWS", plain)
+def test_ordered_work_does_not_depend_on_partitions(spark, parts):
     data = [(i, "hot" if i % 3 else "cold", float(i * i % 17) if i % 4 else None) for i in range(500)]
     df = spark.createDataFrame(data, "i int, g string, v double").repartition(parts)
     want_pos, want_sum, want_fill, seen, acc, last = {}, {}, {}, {}, {}, {}
@@ -97,6 +93,44 @@ def test_ordered_work_does_not_depend_on_partitions(spark, parts, plain, monkeyp
     assert {r.i: r.v for r in forward_filled(df, "v", "i", "g").collect()} == want_fill
 
 
+@pytest.mark.parametrize("ranges", [2, 16])
+def test_ranges_with_a_hot_group_and_nulls(spark, ranges):
+    """A group of a third of the rows, small groups, a NULL group and NULL values, against Python, and ranges of like size."""
+    data = [((None if i % 11 == 0 else "hot" if i % 3 == 0 else f"g{i % 97}"), i * 7919 % 6007, None if i % 5 == 0 else i % 13) for i in range(3000)]
+    df = spark.createDataFrame(data, "g string, o int, v int").repartition(6)
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        out = running_sums(positions(df, "o", "g"), "o", {"s": "v"}, "g", {"t": "v"})
+        got = {(r.g, r.o): (r.position, r.s, r.t) for r in out.collect()}
+        filled = {(r.g, r.o): r.v for r in forward_filled(df, "v", "o", "g").collect()}
+        spread = [r["count"] for r in in_ranges(df, ["o"], ["g"])[0].groupBy(RUN).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    groups = {}
+    for g, o, v in data:
+        groups.setdefault(g, []).append((o, v))
+    want, fills = {}, {}
+    for g, rows in groups.items():
+        upto, last = 0, None
+        for at, (o, v) in enumerate(sorted(rows, key=lambda r: r[0])):
+            upto, last = upto + (v or 0), last if v is None else v
+            want[g, o], fills[g, o] = (at, upto), last
+        total = sum(v or 0 for _, v in rows)
+        want.update({(g, o): (*want[g, o], total) for o, _ in rows})
+    assert got == want and filled == fills
+    assert len(spread) == ranges and max(spread) < 2.5 * len(data) / ranges
+
+
+def test_running_sums_keep_decimals_and_empty_tables(spark):
+    df = spark.range(40).select("id", (F.col("id") / 8).cast("decimal(20,10)").alias("v"))
+    out = running_sums(df, "id", {"s": "v"})
+    assert out.schema["s"].dataType == df.agg(F.sum("v").alias("s")).schema["s"].dataType
+    assert float(out.filter("id = 39").first().s) == sum(i / 8 for i in range(40))
+    assert running_sums(df.filter("id < 0"), "id", {"s": "v"}, totals={"t": "v"}).collect() == []
+    assert positions(df.filter("id < 0"), "id").collect() == [] and forward_filled(df.filter("id < 0"), "v", "id").collect() == []
+
+
 def test_history_crosses_chunks(spark):
     df = spark.range(100).select(F.col("id").alias("position"), F.lit("s").alias("g"), (F.col("id") % 11).cast("double").alias("v"))
     out = with_history(df, "position", 3, {"m": lambda w: F.avg("v").over(w.rowsBetween(-3, 0)), "l": lambda w: F.lag("v", 3).over(w)}, "g", chunk=8)
@@ -107,9 +141,7 @@ def test_history_crosses_chunks(spark):
         assert got[i] == (round(sum(part) / len(part), 9), v[i - 3] if i >= 3 else None)
 
 
-@pytest.mark.parametrize("plain", [0, 10_000])
-def test_element_at_rank(spark, plain, monkeypatch):
-    monkeypatch.setattr(ordered, "PLAIN_ROWS", plain)
+def test_element_at_rank(spark):
     df = spark.createDataFrame([(float(x),) for x in [5, 1, 1, 1, 9, 7]], "v double")
     out = element_at_rank(df, "v", {"a": F.lit(2), "b": F.lit(3), "c": F.col("_n") - 1}).first()
     assert (out.a, out.b, out.c) == (1.0, 5.0, 9.0)
@@ -139,12 +171,12 @@ def test_class_balance(spark):
 
 @pytest.mark.parametrize("by", [None, "g"])
 def test_fenced_order_statistics(spark, by):
-    """The large-table way, forced on a small table with ties, against sorting in Python."""
+    """Fences on a table with ties, against sorting in Python."""
     data = [("a" if i % 3 else "b", float((i * 7919) % 5003) if i % 5 else 42.0) for i in range(30_000)]
     df = spark.createDataFrame(data, "g string, v double")
     near = {"q1": 0.25, "q2": 0.5, "last": 1.0}
     ranks = {"q1": F.floor(F.col("_n") / 4), "q2": F.floor(F.col("_n") / 2), "last": F.col("_n") - 1}
     assert _fenced(df, "v", ranks, [by] if by else [], near) is not None
-    for r in element_at_rank(df, "v", ranks, by, near, small=0).collect():
+    for r in element_at_rank(df, "v", ranks, by, near, few_groups=True).collect():
         v = sorted(x for g, x in data if by is None or g == r.g)
         assert (r.q1, r.q2, r.last) == (v[len(v) // 4], v[len(v) // 2], v[-1])
