@@ -1,28 +1,30 @@
 """Exact nearest-neighbour, range and distance-summary joins.
 
-No pair table of two groups is ever made. Points are assigned to the nearest of a few pivots; triangle
-inequalities tell which cells can hold a wanted neighbour of a query. A cell is cut into blocks of bounded
-size by hash, queries into chunks, and every (chunk, block) meeting is one NumPy product whose result is
-already reduced (k rows, or one row per cluster, for each query).
+No pair table of two groups is ever made. Points lie in a tree: those of a crowded node go to the nearest of
+pivots drawn from that node, until every leaf fits. Triangle inequalities tell which nodes can hold a wanted
+neighbour of a query. The tree is a table per level, so neither the driver nor a broadcast holds its pivots.
+Queries of a node are cut into chunks by hash, rows into blocks, and every (chunk, block) meeting is one NumPy
+product whose result is already reduced (k rows, or one row per cluster, for each query).
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
 
 from oreline.functions.core import as_list, dtype, number
 from oreline.operators.selection import top_k_per_group
 from oreline.session import stage
 
-MOST_PIVOTS = 512
+MOST_PIVOTS = 512  # of one node
 BLOCK = 2048
 
 
@@ -54,13 +56,113 @@ def _between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _split(rows: DataFrame, parts: DataFrame, own: str, other: str, by: Column) -> DataFrame:
+    """Rows of a node dealt to their own ``parts`` by hash, and given to each of the other side's."""
+    dealt = rows.join(parts, "node").withColumn(own, F.pmod(by, F.col(f"{own}s")))
+    return dealt.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}s") - 1))).drop(f"{own}s", f"{other}s")
+
+
+def _parts(rows: DataFrame, name: str, most: int) -> DataFrame:
+    return rows.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / most).alias(name))
+
+
+def _grown(t: DataFrame, pivots: int | None, leaf: int, block: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The leaf ``node`` of each row ``(id, v)``, and one table ``(node, child, pivot, radius, n, is_leaf)`` per level of the tree.
+
+    Rows of a node with more than ``leaf`` rows go to the nearest of pivots drawn from that node, until all nodes fit. A node
+    whose rows can't be told apart by their distances in doubles stays whole. Nodes are named by their path.
+    """
+    kind = dtype(t, "id")
+    schema = StructType([
+        StructField("node", StringType()), StructField("child", StringType()), StructField("id", kind),
+        StructField("v", ArrayType(DoubleType())), StructField("away", DoubleType()),
+    ])
+
+    def settle(rows: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"node": [], "child": [], "id": rows["id"], "v": rows["v"], "away": []})
+        d = np.sqrt(_between(_matrix(rows["v"]), _matrix(heads["pivot"])))
+        slot = np.where(np.isnan(d), np.inf, d).argmin(axis=1)
+        away = d[np.arange(len(d)), slot]
+        return pd.DataFrame({"node": rows["node"], "child": heads["child"].to_numpy()[slot], "id": rows["id"], "v": rows["v"], "away": away})
+
+    leaves, levels = [], []
+    open_rows = t.withColumn("node", F.lit("0"))
+    while True:
+        sizes = stage(open_rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "knn-sizes")
+        if not levels and sizes.filter(F.col("n") > leaf).limit(1).count() == 0:
+            return open_rows, []
+        fan = F.lit(pivots) if pivots else F.least(F.lit(MOST_PIVOTS), F.greatest(F.lit(16), F.sqrt("n").cast("int")))
+        drawn = top_k_per_group(open_rows.select("node", "v").distinct(), "node", [F.xxhash64("v"), F.col("v")], pivots or MOST_PIVOTS, "_slot")
+        heads = drawn.join(sizes, "node").filter(F.col("_slot") <= fan)
+        heads = stage(heads.select("node", F.concat_ws(".", "node", "_slot").alias("child"), F.col("v").alias("pivot")), "knn-pivots")
+        parts = sizes.select("node", F.ceil(F.col("n") / (4 * block)).alias("chunks"), F.lit(1).cast("bigint").alias("blocks"))
+        left = _split(open_rows, parts, "chunk", "block", F.xxhash64("id", "v"))
+        right = _split(heads, parts, "block", "chunk", F.lit(0))
+        homed = stage(left.groupBy("node", "chunk").cogroup(right.groupBy("node", "chunk")).applyInPandas(settle, schema), "knn-level")
+        children = homed.groupBy("node", "child").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius"))
+        whole = sizes.select("node", F.col("n").alias("_n"))
+        is_leaf = (F.col("n") <= leaf) | (F.col("n") >= F.col("_n"))
+        level = children.join(whole, "node").join(heads, ["node", "child"]).select("node", "child", "pivot", "radius", "n", is_leaf.alias("is_leaf"))
+        levels.append(stage(level, "knn-tree"))
+        marked = homed.join(levels[-1].select("child", "is_leaf"), "child").select("id", "v", F.col("child").alias("node"), "is_leaf")
+        leaves.append(marked.filter("is_leaf").drop("is_leaf"))
+        if levels[-1].filter("NOT is_leaf").limit(1).count() == 0:
+            return reduce(DataFrame.unionByName, leaves), levels
+        open_rows = stage(marked.filter("NOT is_leaf").drop("is_leaf"), "knn-open")
+
+
+def _visited(q: DataFrame, levels: list[DataFrame], wanted: int, block: int) -> DataFrame:
+    """``(query_id, v, node)``: the leaves that can hold one of the ``wanted`` nearest rows of a query.
+
+    A query goes down the tree level by level. Nodes that surely hold enough rows bound how far its neighbours can be; nodes
+    that lie farther away than the least bound found so far are left out, those of earlier levels too.
+    """
+    kind = dtype(q, "query_id")
+    schema = StructType([
+        StructField("query_id", kind), StructField("v", ArrayType(DoubleType())), StructField("node", StringType()),
+        StructField("is_leaf", BooleanType()), StructField("low", DoubleType()), StructField("bound", DoubleType()),
+    ])
+    slack = 1e-9
+
+    def descend(rows: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(heads):
+            return pd.DataFrame({"query_id": rows["query_id"][:0], "v": rows["v"][:0], "node": [], "is_leaf": np.zeros(0, bool), "low": [], "bound": []})
+        d = np.sqrt(_between(_matrix(rows["v"]), _matrix(heads["pivot"])))
+        radius, size = heads["radius"].to_numpy(), heads["n"].to_numpy()
+        far = np.nan_to_num(d + radius, nan=np.inf, posinf=np.inf)
+        low = np.nan_to_num(d - radius, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+        order = far.argsort(axis=1)
+        held = size[order].cumsum(axis=1)
+        every = np.arange(len(d))
+        bound = np.where(held[:, -1] >= wanted, far[every, order[every, (held >= wanted).argmax(axis=1)]], np.inf)
+        bound = np.minimum(bound, rows["bound"].to_numpy())
+        at, to = np.nonzero(low <= bound[:, None] * (1 + slack) + slack)
+        return pd.DataFrame({
+            "query_id": rows["query_id"].to_numpy()[at], "v": rows["v"].to_numpy()[at], "node": heads["child"].to_numpy()[to],
+            "is_leaf": heads["is_leaf"].to_numpy()[to], "low": low[at, to], "bound": bound[at],
+        })
+
+    front = q.select("query_id", "v", F.lit("0").alias("node"), F.lit(not levels).alias("is_leaf"), F.lit(0.0).alias("low"), F.lit(math.inf).alias("bound"))
+    per_query = Window.partitionBy("query_id")
+    for level in levels:
+        parts = _parts(front.filter("NOT is_leaf"), "chunks", block).withColumn("blocks", F.lit(1).cast("bigint"))
+        left = _split(front.filter("NOT is_leaf"), parts, "chunk", "block", F.xxhash64("query_id", "v"))
+        right = _split(level, parts, "block", "chunk", F.lit(0))
+        deeper = left.groupBy("node", "chunk").cogroup(right.groupBy("node", "chunk")).applyInPandas(descend, schema)
+        seen = front.filter("is_leaf").unionByName(deeper).withColumn("bound", F.min("bound").over(per_query))
+        front = stage(seen.filter(F.col("low") <= F.col("bound") * (1 + slack) + slack), "knn-visits")
+    return front.select("query_id", "v", "node")
+
+
 def knn_join(
     queries: DataFrame, train: DataFrame, key: str, columns, k: int = 5, skip_same_key: bool = False,
     pivots: int | None = None, block: int = BLOCK, train_key: str | None = None,
 ) -> DataFrame:
     """``(query_id, neighbour_id, squared_distance, rank)``: the k nearest training rows of each query.
 
-    Exact; equal distances go to the smaller id. Without training rows there are no neighbours.
+    Exact; equal distances go to the smaller id. Without training rows there are no neighbours. Training rows lie in a tree
+    whose leaves hold at most ``block`` rows; every node draws ``pivots`` pivots, by default the root of its rows.
     """
     train_key = train_key or key
     wanted = k + 1 if skip_same_key else k
@@ -71,53 +173,11 @@ def knn_join(
     # of identical points only the first few ids can ever be among the nearest
     t = stage(top_k_per_group(t, "v", [F.asc("id")], wanted, "_same").drop("_same"), "knn")
     q = stage(q, "knn-q")
-    # more rows, more and smaller cells; the pivots stay few enough to sit in every task
-    pivots = pivots or min(MOST_PIVOTS, max(16, math.isqrt(t.count())))
-    heads = t.orderBy(F.xxhash64("v"), "id").limit(pivots).select("v").collect()
-    if not heads:
-        return q.join(t, F.lit(False)).select("query_id", F.col("id").alias("neighbour_id"), F.lit(0.0).alias("squared_distance"), F.lit(0).alias("rank"))
-    centers = np.unique(np.array([r.v for r in heads]), axis=0)
-
-    home_type = StructType([StructField("cell", IntegerType()), StructField("away", DoubleType())])
-
-    @F.pandas_udf(home_type)
-    def home(v: pd.Series) -> pd.DataFrame:
-        d = np.sqrt(_between(_matrix(v), centers))
-        near = d.argmin(axis=1)
-        return pd.DataFrame({"cell": near.astype("int32"), "away": d[np.arange(len(near)), near]})
-
-    placed = t.withColumn("_h", home("v")).select("id", "v", "_h.cell", "_h.away")
-    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("r")).collect()
-    at = np.array([c.cell for c in cells])
-    size, radius = np.array([c.n for c in cells]), np.array([c.r for c in cells])
-    slack = 1e-9
-
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def reach(v: pd.Series) -> pd.Series:
-        d = np.sqrt(_between(_matrix(v), centers[at]))
-        far = d + radius
-        order = far.argsort(axis=1)
-        held = size[order].cumsum(axis=1)
-        enough = (held >= min(wanted, size.sum())).argmax(axis=1)
-        bound = far[np.arange(len(d)), order[np.arange(len(d)), enough]]
-        return pd.Series([at[row].tolist() for row in (d - radius <= bound[:, None] * (1 + slack) + slack)])
-
-    visits = q.withColumn("cell", F.explode(reach("v")))
-    visits = stage(visits, "knn-v")
-    load = {r.cell: r.n for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = {int(c.cell): max(1, math.ceil(c.n / block)) for c in cells}
-    chunks = {c: max(1, math.ceil(load.get(c, 0) / block)) for c in blocks}
-
-    def parts(of: dict[int, int]) -> Column:
-        return F.array(*[F.lit(of.get(c, 1)) for c in range(len(centers))])[F.col("cell")]
-
-    last = lambda c: F.sequence(F.lit(0), c - 1)
-    right = placed.withColumn("block", F.pmod(F.xxhash64("id"), parts(blocks)).cast("int")).withColumn(
-        "chunk", F.explode(last(parts(chunks)))
-    ).select("cell", "block", "chunk", "id", "v")
-    left = visits.withColumn("chunk", F.pmod(F.xxhash64("query_id"), parts(chunks)).cast("int")).withColumn(
-        "block", F.explode(last(parts(blocks)))
-    ).select("cell", "block", "chunk", "query_id", "v")
+    placed, levels = _grown(t, pivots, max(block, wanted), block)
+    visits = _visited(q, levels, wanted, block)
+    parts = stage(_parts(placed, "blocks", block).join(_parts(visits, "chunks", block), "node"), "knn-parts")
+    right = _split(placed, parts, "block", "chunk", F.xxhash64("id"))
+    left = _split(visits, parts, "chunk", "block", F.xxhash64("query_id"))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -135,7 +195,7 @@ def knn_join(
     schema = StructType(
         [StructField("query_id", dtype(q, "query_id")), StructField("neighbour_id", dtype(t, "id")), StructField("squared_distance", DoubleType())]
     )
-    keys = ["cell", "block", "chunk"]
+    keys = ["node", "block", "chunk"]
     near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
     if skip_same_key:
         near = near.filter(F.col("query_id") != F.col("neighbour_id"))

@@ -153,3 +153,25 @@ def test_anomalies(spark):
     for method in ("zscore", "iqr", "centre", "knn"):
         s = cl.anomaly_summary(cl.anomaly_scores(df, "id", cols, method, 0.1)).first()
         assert s["rows"] == len(x) and s.anomalies >= math.floor(0.1 * len(x))
+
+
+@pytest.mark.parametrize("dims,pivots", [(2, 4), (3, None)])
+def test_knn_in_a_deep_tree(spark, dims, pivots):
+    """Several levels, a crowd of near points and one of equal points, ids that are texts, queries that are no training rows."""
+    x, _, _ = points(spark, 1200, dims, 9, hot=70)
+    x = np.vstack([x, x[0] + np.random.default_rng(10).normal(0, 1e-3, (500, dims))])
+    cols = [f"x{i}" for i in range(dims)]
+    kind = "id string, " + ", ".join(f"{c} double" for c in cols)
+    df = spark.createDataFrame([(f"{i:05}", *map(float, p)) for i, p in enumerate(x)], kind)
+    asked = x[::17] + 0.05
+    q = spark.createDataFrame([(f"q{i}", *map(float, p)) for i, p in enumerate(asked)], kind)
+    placed, levels = nn._grown(df.select("id", F.array(*cols).alias("v")), pivots, 80, 40)
+    assert len(levels) > 1 and placed.count() == len(x) and placed.groupBy("node").count().agg(F.max("count")).first()[0] <= 80
+    got = {}
+    for r in nn.knn_join(q, df, "id", cols, 3, pivots=pivots, block=40).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = int(r.neighbour_id)
+    for i, p in enumerate(asked):
+        d = np.zeros(len(x))
+        for j in range(dims):
+            d += (x[:, j] - p[j]) ** 2
+        assert [got[f"q{i}"][n] for n in (1, 2, 3)] == list(np.lexsort((np.arange(len(x)), d))[:3])
