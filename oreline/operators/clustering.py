@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from oreline.functions.core import as_list, numeric_names, single
 from oreline.functions.ordered import positions
 from oreline.operators.aggregates import order_statistic
-from oreline.operators.neighbours import cluster_distances, knn_join, squared_distance, vector_of
+from oreline.operators.neighbours import BLOCK, cell_join, cluster_distances, crowded_cells, knn_join, squared_distance, vector_of
 from oreline.operators.windows import cumulative_share
 from oreline.session import stage
 
@@ -238,7 +238,7 @@ def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         labels = new.select("node", "root")
 
 
-def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, min_points: int = 5, salts: int = 8) -> DataFrame:
+def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, min_points: int = 5, block: int = BLOCK) -> DataFrame:
     """``(id, cluster)``; -1 is noise. A core row has at least ``min_points`` others within ``eps``;
     a border row joins the smallest cluster it touches. Meant for two or three dimensions.
 
@@ -259,21 +259,15 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, min_points:
     p = stage(p.join(sizes, "cell"), "dbscan-cells")
     dense = F.col("_n") > min_points
 
-    def visits(rows: DataFrame, prefix: str) -> DataFrame:
-        """Rows of thin cells at every neighbouring cell, once per salt."""
-        return rows.select(
-            F.col("id").alias(f"{prefix}id"), F.col("v").alias(f"{prefix}v"), F.col("cell").alias("_home"), F.explode(around).alias("_o"),
-        ).select(
-            f"{prefix}id", f"{prefix}v", F.zip_with("_home", "_o", lambda a, b: a + b).alias("cell"),
-            F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
-        )
-
-    def salted(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    def visiting(rows: DataFrame, held: DataFrame, label: str) -> DataFrame:
+        """Rows of thin cells beside the rows of the cells around them; crowded cells are cut by their counts."""
+        visits = rows.select(F.col("id").alias("tid"), F.col("v").alias("tv"), F.col("cell").alias("_home"), F.explode(around).alias("_o"))
+        visits = visits.select("tid", "tv", F.zip_with("_home", "_o", lambda a, b: a + b).alias("cell"))
+        return cell_join(visits, held, stage(crowded_cells(rows, held, around, block), label), "tid", "id")
 
     near = squared_distance(F.col("tv"), F.col("v")) <= eps * eps
     thin = p.filter(~dense)
-    counts = visits(thin, "t").join(salted(p.select("id", "v", "cell")), ["cell", "salt"]).filter(near & (F.col("tid") != F.col("id")))
+    counts = visiting(thin, p.select("id", "v", "cell"), "dbscan-crowded").filter(near & (F.col("tid") != F.col("id")))
     strong = counts.groupBy("tid").agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") >= min_points).select(F.col("tid").alias("id"))
     core = stage(
         p.filter(dense).select("id", "v", "cell").unionByName(thin.join(strong, "id", "left_semi").select("id", "v", "cell")), "dbscan-core"
@@ -296,9 +290,17 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, min_points:
     pairs = stage(met.filter("open").select("a", F.col("cell").alias("b"), "asub", F.col("_sub").alias("bsub"), "sure"), "dbscan-pairs")
     verdict = pairs.groupBy("a", "b").agg(F.max("sure").alias("sure"))
     undecided = pairs.join(verdict.filter("NOT sure").select("a", "b"), ["a", "b"])
-    left = core.select(F.col("cell").alias("a"), F.transform("v", lambda x: F.floor(x / fine)).alias("asub"), F.col("v").alias("tv"))
-    right = core.select(F.col("cell").alias("b"), F.transform("v", lambda x: F.floor(x / fine)).alias("bsub"), "v")
-    checked = undecided.join(left, ["a", "asub"]).join(right, ["b", "bsub"]).filter(near).select("a", "b").distinct()
+    # distinct places of a sub-cell in blocks by their number; an open pair of sub-cells meets block by block
+    places = core.withColumn("_sub", F.transform("v", lambda x: F.floor(x / fine))).select("cell", "_sub", "v").distinct()
+    cut = places.groupBy("cell", "_sub").agg(F.ceil(F.count(F.lit(1)) / block).alias("_parts")).filter("_parts > 1")
+    places = places.join(stage(cut, "dbscan-cut"), ["cell", "_sub"], "left").withColumn("_parts", F.coalesce("_parts", F.lit(1).cast("bigint")))
+    places = stage(places.withColumn("_part", F.pmod(F.xxhash64("v"), F.col("_parts"))), "dbscan-places")
+    dealt = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))
+    spots = places.select("cell", "_sub", "_parts").distinct().select("cell", "_sub", dealt.alias("_part"))
+    meetings = undecided.join(spots.toDF("a", "asub", "apart"), ["a", "asub"]).join(spots.toDF("b", "bsub", "bpart"), ["b", "bsub"])
+    left = places.select(F.col("cell").alias("a"), F.col("_sub").alias("asub"), F.col("_part").alias("apart"), F.col("v").alias("tv"))
+    right = places.select(F.col("cell").alias("b"), F.col("_sub").alias("bsub"), F.col("_part").alias("bpart"), "v")
+    checked = meetings.join(left, ["a", "asub", "apart"]).join(right, ["b", "bsub", "bpart"]).filter(near).select("a", "b").distinct()
     links = verdict.filter("sure").select("a", "b").unionByName(checked)
 
     named = positions(stage(core.select("cell").distinct(), "dbscan-core"), "cell", None, "node")
@@ -313,7 +315,7 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, min_points:
     numbers = positions(stage(first, "dbscan-first"), "_first", None, "cluster").select("root", "cluster")
     inner = stage(rooted.join(numbers, "root").select("id", "v", "cell", "cluster"), "dbscan-inner")
     rest = thin.join(inner.select("id"), "id", "left_anti")
-    touch = visits(rest, "t").join(salted(inner.select("id", "v", "cell", "cluster")), ["cell", "salt"]).filter(near)
+    touch = visiting(rest, inner, "dbscan-met").filter(near)
     border = touch.groupBy(F.col("tid").alias("id")).agg(F.min("cluster").alias("cluster"))
     outer = rest.select("id").join(border, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
     return inner.select("id", "cluster").unionByName(outer)

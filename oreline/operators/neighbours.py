@@ -234,17 +234,44 @@ def cluster_distances(df: DataFrame, key: str, columns, cluster: str, block: int
     return met.groupBy("id", "own", "cluster").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
-def eps_range_join(df: DataFrame, key: str, columns: list[str], eps: float, salts: int = 8) -> DataFrame:
+def crowded_cells(visitors: DataFrame, held: DataFrame, around: Column, most: int = BLOCK) -> DataFrame:
+    """``(cell, chunks, blocks)`` of the grid cells that more than ``most`` rows lie in or visit.
+
+    A cell's visits are the rows of the cells around it, so they are added up from counts per cell.
+    """
+    count = F.count(F.lit(1))
+    sent = visitors.groupBy("cell").agg(count.alias("_n")).withColumn("_o", F.explode(around))
+    sent = sent.groupBy(F.zip_with("cell", "_o", lambda a, b: a + b).alias("cell")).agg(F.ceil(F.sum("_n") / most).alias("chunks"))
+    kept = held.groupBy("cell").agg(F.ceil(count / most).alias("blocks"))
+    return sent.join(kept, "cell").filter("chunks > 1 OR blocks > 1")
+
+
+def cell_join(visits: DataFrame, held: DataFrame, crowded: DataFrame, visitor: str, row: str) -> DataFrame:
+    """Visits beside the rows of their ``cell``; rows of a crowded cell are dealt to its blocks, visits to its chunks, and
+    each chunk meets each block, so that no key has more than a block and a chunk. Other cells move each row once."""
+    one, nil = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+
+    def sides(rows: DataFrame, own: str, other: str, by: str) -> DataFrame:
+        beside = rows.join(crowded, "cell", "left").withColumn(own, F.pmod(F.xxhash64(by), F.coalesce(f"{own}s", one)))
+        return beside.withColumn(other, F.explode(F.sequence(nil, F.coalesce(f"{other}s", one) - 1))).drop("chunks", "blocks")
+
+    return sides(visits, "chunk", "block", visitor).join(sides(held, "block", "chunk", row), ["cell", "block", "chunk"])
+
+
+def eps_range_join(df: DataFrame, key: str, columns: list[str], eps: float, block: int = BLOCK) -> DataFrame:
     """``(a, b, distance)`` with ``a < b`` for all rows at most ``eps`` apart, by grid cells of side ``eps``.
 
-    One side visits the neighbouring cells; a crowded cell is split over salts.
+    One side visits its own cell and half of those around it, so each pair meets once; crowded cells are cut by their counts.
     """
     p = df.select(F.col(key).alias("id"), vector_of(df, columns).alias("v"))
-    cell = F.transform("v", lambda x: F.floor(x / eps))
-    offsets = F.array(*[F.array(*[F.lit(o).cast("bigint") for o in off]) for off in product((-1, 0, 1), repeat=len(columns))])
-    a = p.select(F.col("id").alias("a"), F.col("v").alias("va"), cell.alias("_c")).withColumn("_o", F.explode(offsets))
-    a = a.select("a", "va", F.zip_with("_c", "_o", lambda x, y: x + y).alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    b = p.select(F.col("id").alias("b"), F.col("v").alias("vb"), cell.alias("cell"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+    p = stage(p.withColumn("cell", F.transform("v", lambda x: F.floor(x / eps))), "range")
+    here = tuple([0] * len(columns))
+    forward = [o for o in product((-1, 0, 1), repeat=len(columns)) if o >= here]
+    around = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in o]) for o in forward])
+    visits = p.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("cell").alias("_home"), F.explode(around).alias("_o"))
+    visits = visits.select("a", "va", "_home", F.zip_with("_home", "_o", lambda x, y: x + y).alias("cell"))
+    held = p.select(F.col("id").alias("b"), F.col("v").alias("vb"), "cell")
     d = squared_distance(F.col("va"), F.col("vb"))
-    near = a.join(b, ["cell", "salt"]).filter((F.col("a") < F.col("b")) & (d <= eps * eps))
-    return near.select("a", "b", F.sqrt(d).alias("distance"))
+    near = cell_join(visits, held, stage(crowded_cells(p, p, around, block), "crowded"), "a", "b").filter(d <= eps * eps)
+    once = F.when(F.col("_home") == F.col("cell"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
+    return near.filter(once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.sqrt(d).alias("distance"))

@@ -120,11 +120,19 @@ def test_dbscan_against_brute_force(spark, dims, eps, least, seed):
     assert [got[i] for i in range(len(x))] == brute_dbscan(x, eps, least)
 
 
-def test_range_join(spark):
-    x, df, cols = points(spark, 90, 2, 5)
-    got = {(r.a, r.b) for r in nn.eps_range_join(df, "id", cols, 0.7).collect()}
+@pytest.mark.parametrize("block", [4, 2048])
+def test_range_join(spark, block):
+    """A cell that holds a third of the rows is cut; every pair comes once."""
+    x, df, cols = points(spark, 90, 2, 5, hot=40)
+    got = [(r.a, r.b) for r in nn.eps_range_join(df, "id", cols, 0.7, block).collect()]
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
-    assert got == {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if d[i, j] <= 0.7}
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if d[i, j] <= 0.7}
+
+
+def test_dbscan_in_small_blocks(spark):
+    x, df, cols = points(spark, 300, 2, 8, hot=150)
+    got = {r.id: r.cluster for r in cl.dbscan(df, "id", cols, 0.5, 5, block=3).collect()}
+    assert [got[i] for i in range(len(x))] == brute_dbscan(x, 0.5, 5)
 
 
 def test_clusters(reg_rows, spark):
