@@ -79,14 +79,16 @@ def mark_redundant(rules: DataFrame) -> DataFrame:
     ).drop("_r")
 
 
-def closed_itemsets(itemsets: DataFrame) -> DataFrame:
-    """Itemsets without a superset of equal frequency.
+def closed_itemsets(itemsets: DataFrame, longest: int | None = None) -> DataFrame:
+    """Itemsets without a superset of equal frequency, of at most ``longest`` items.
 
-    Support never grows with length, so supersets with one more item are enough to look at.
+    Support never grows with length, so supersets with one more item are enough to look at: ``itemsets`` must either be all
+    there are or reach one item beyond ``longest``, or the longest ones pass for closed.
     """
     larger = itemsets.filter(F.size("items") > 1).select(F.col("freq").alias("_f"), "items", F.explode("items").alias("_x"))
     subs = larger.select("_f", F.array_except("items", F.array("_x")).alias("_sub")).distinct()
-    return itemsets.join(subs, (F.col("items") == F.col("_sub")) & (F.col("freq") == F.col("_f")), "left_anti")
+    asked = itemsets if longest is None else itemsets.filter(F.size("items") <= longest)
+    return asked.join(subs, (F.col("items") == F.col("_sub")) & (F.col("freq") == F.col("_f")), "left_anti")
 
 
 def rule_filter(

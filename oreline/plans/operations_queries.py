@@ -567,6 +567,21 @@ def stream_feedback(t):
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "model", "n", F.round("accuracy", 4).alias("accuracy"))
 
 
+@query(
+    "stream_matched_feedback",
+    """WITH p AS (SELECT event_id AS k, event_type AS model, value >= 5 AS guess FROM events WHERE event_id % 3 = 0),
+       f AS (SELECT event_id - event_id % 3 AS k, arg_max(value >= 8, ts) AS truth FROM events WHERE event_id % 3 <> 0 GROUP BY 1)
+       SELECT model, count(*) AS n, round(avg((guess = truth)::INT), 4) AS accuracy FROM p JOIN f USING (k) GROUP BY 1""",
+)
+def stream_matched(t):
+    k = F.col("event_id") % 3
+    changes = jobs.matched_feedback(
+        arriving(t).filter(k == 0), arriving(t).filter(k != 0), "ts", F.col("event_id") - k, F.col("event_type"), F.col("value") >= 5, F.col("value") >= 8,
+    )
+    out = jobs.accuracy_of(jobs.run_available(changes))
+    return out.select("model", "n", F.round("accuracy", 4).alias("accuracy"))
+
+
 @query(
     "stream_sessions",
     """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events),

@@ -5,7 +5,11 @@ State is bounded by watermarks: rows later than the watermark are dropped, as Sp
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from oreline.functions.core import as_list
 from oreline.operators.learning import Fitted
@@ -46,6 +50,66 @@ def feedback_accuracy(stream: DataFrame, ts: str, model: Column, correct: Column
     ).select(F.col("w.start").alias("start"), "model", "n", "accuracy")
 
 
+MATCHES = "key string, model string, n long, correct long, corrected long"
+WAITING = "model string, predicted string, label string, label_at long, told long, until long"
+
+
+def matched_feedback(
+    predictions: DataFrame, feedback: DataFrame, ts: str, key: Column, model: Column, predicted: Column, label: Column,
+    late: str = "1 hour", keep_seconds: int = 30 * 86_400,
+) -> DataFrame:
+    """Changes ``(key, model, n, correct, corrected)`` of the accuracy per model as feedback meets its prediction.
+
+    Feedback may come before its prediction. Of several labels the one of latest ``ts`` counts (then the greatest); one that
+    replaces an earlier one takes that one's change back, so sums of the changes are right at any time (``accuracy_of``). Of
+    several predictions of a key the first to arrive counts. Each key waits ``keep_seconds`` of event time after its latest row
+    and is then forgotten. Rows without key, time, prediction or label are left out.
+    """
+    none = F.lit(None).cast("string")
+    sides = [
+        (predictions, model.cast("string"), predicted.cast("string"), none),
+        (feedback, none, none, label.cast("string")),
+    ]
+    rows = [
+        df.select(key.cast("string").alias("key"), F.col(ts).alias("ts"), m.alias("model"), p.alias("predicted"), y.alias("label"))
+        for df, m, p, y in sides
+    ]
+    both = rows[0].unionByName(rows[1]).filter("key IS NOT NULL AND ts IS NOT NULL AND (predicted IS NOT NULL OR label IS NOT NULL)")
+    timed = both.withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
+
+    def follow(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        name, guess, truth, truth_at, told, until = state.get if state.exists else (None, None, None, 0, -1, 0)
+        before = told
+        for rows in frames:
+            for r in rows.sort_values("at").itertuples(index=False):
+                if not pd.isna(r.predicted):
+                    if guess is None:
+                        name, guess = (None if pd.isna(r.model) else r.model), r.predicted
+                elif truth is None or (r.at, r.label) > (truth_at, truth):
+                    truth, truth_at = r.label, int(r.at)
+                until = max(until, int(r.at) // 1000 + keep_seconds * 1000)
+        if guess is not None and truth is not None:
+            told = int(guess == truth)
+        state.update((name, guess, truth, truth_at, told, until))
+        state.setTimeoutTimestamp(until)
+        if told != before:
+            first = before < 0
+            yield pd.DataFrame({
+                "key": [group[0]], "model": [name], "n": [int(first)], "correct": [told if first else told - before], "corrected": [int(not first)],
+            })
+
+    return timed.groupBy("key").applyInPandasWithState(follow, MATCHES, WAITING, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def accuracy_of(changes: DataFrame) -> DataFrame:
+    """``(model, n, accuracy, corrected)`` from the changes of ``matched_feedback``."""
+    n = F.sum("n")
+    return changes.groupBy("model").agg(n.alias("n"), F.try_divide(F.sum("correct"), n).alias("accuracy"), F.sum("corrected").alias("corrected"))
+
+
 def sessions(stream: DataFrame, ts: str, user: str, item: str, key: str, gap: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """The sequence of items per user, cut where nothing happened for ``gap``; a session is emitted once it is closed.
 

@@ -47,6 +47,8 @@ def test_rules(spark):
     assert r[(("a", "c"), "b")].is_redundant and not ab.is_redundant
     closed = {tuple(x["items"]) for x in ru.closed_itemsets(ru.frequent_itemsets(df, 0.1)).collect()}
     assert closed == {("c",), ("a", "b"), ("a", "b", "c")}
+    short = ru.closed_itemsets(ru.frequent_itemsets(df, 0.1, longest=3), 2)  # a,c and b,c have a superset of equal frequency
+    assert {tuple(x["items"]) for x in short.collect()} == {("c",), ("a", "b")}
 
 
 @pytest.fixture(scope="module")

@@ -109,3 +109,30 @@ def test_late_rows_are_dropped(spark, tmp_path):
         s = jobs.read_stream(spark, path, "*.parquet", part.schema, "ts")
         out = jobs.run_updates(jobs.ab_metrics(s, "ts", F.col("v"), F.col("v"), F.lit(False), "1 hour", "1 hour"), ["start", "variant"], sink, state)
     assert out.count() == 1
+
+
+def test_feedback_meets_its_prediction(spark, tmp_path):
+    """Feedback before its prediction, corrections in later batches, an older label that comes late, and keys that are forgotten."""
+    kind = "k int, s long, model string, p string, y string"
+    batches = [
+        [(1, 10, "a", "x", None), (2, 12, None, None, "x"), (3, 14, "b", "z", None)],
+        [(1, 20, None, None, "w"), (2, 16, "a", "x", None), (3, 22, None, None, "z"), (4, 23, None, None, "x")],
+        [(1, 40, None, None, "x"), (3, 18, None, None, "q"), (2, 41, None, None, None), (2, 42, "b", "w", None)],
+        [(9, 100_000, "a", "x", None)],
+        [(3, 100_001, None, None, "q"), (9, 100_002, None, None, "x")],  # 3 is forgotten by now
+    ]
+    folder, sink, state = (str(tmp_path / n) for n in ("rows", "out", "state"))
+    seen = []
+    for rows in batches:
+        part = spark.createDataFrame(rows, kind).withColumn("ts", F.timestamp_seconds("s")).drop("s")
+        part.write.mode("append").parquet(folder)
+        stream = jobs.read_stream(spark, folder, "*.parquet", part.schema, "ts")
+        changes = jobs.matched_feedback(
+            stream.filter("p is not null"), stream.filter("p is null"), "ts", F.col("k"), F.col("model"), F.col("p"), F.col("y"), "1 hour", 3600,
+        )
+        out = jobs.accuracy_of(jobs.run_available(changes, sink, state))
+        seen.append({r.model: (r.n, r.accuracy, r.corrected) for r in out.collect()})
+    assert seen[0] == {}
+    assert seen[1] == {"a": (2, 0.5, 0), "b": (1, 1.0, 0)}
+    assert seen[2] == seen[3] == {"a": (2, 1.0, 1), "b": (1, 1.0, 0)}
+    assert seen[4] == {"a": (3, 1.0, 1), "b": (1, 1.0, 0)}
