@@ -121,11 +121,17 @@ def psi(baseline: DataFrame, batch: DataFrame, columns: list[str], bins: int = 1
 
 @dataclass
 class BaselineSummary:
-    """What batches are compared with: counts per distinct value, bins of the stability index, and means."""
+    """What batches are compared with: running counts per distinct value in buckets, bins of the stability index, and means.
+
+    ``running`` is ``(name, bucket, value, a, ca)``; ``cuts`` has the sorted first values of a column's buckets beyond bucket 0,
+    ``before`` the rows below each bucket.
+    """
 
     numbers: list[str]
     texts: list[str]
-    values: DataFrame | None
+    running: DataFrame | None
+    cuts: DataFrame | None
+    before: DataFrame | None
     edges: dict[str, tuple[float, float]]
     bins: DataFrame | None
     moments: DataFrame | None
@@ -136,19 +142,51 @@ def summarize_baseline(baseline: DataFrame, columns: list[str], psi_bins: int =
     """Read the baseline once for its distinct values; all else comes from those."""
     numbers = [c for c in columns if is_numeric(baseline, c)]
     texts = [c for c in columns if c not in numbers]
-    values = binned = moments = words = None
+    running = cuts = before = binned = moments = words = None
     edges: dict[str, tuple[float, float]] = {}
     if numbers:
         values = stage(long_numbers(baseline, numbers).groupBy("name", "value").agg(F.count(F.lit(1)).alias("a")), "baseline")
         ends = values.groupBy("name").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).collect()  # a row per column
         edges = {r["name"]: (r.lo, ((r.hi - r.lo) / psi_bins) or 1.0) for r in ends}
+        buckets = max(2, int(baseline.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        at = F.percentile_approx("value", [i / buckets for i in range(1, buckets)], 100 * buckets)
+        cuts = stage(values.groupBy("name").agg(F.array_distinct(at).alias("_cuts")), "baseline-cuts")
+        summed = running_sums(values, ["value"], {"ca": "a"}, ["name"])
+        running = stage(_bucketed(summed, cuts).select("name", "bucket", "value", "a", "ca"), "baseline-running")
+        before = stage(running.groupBy("name", "bucket").agg(F.min(F.col("ca") - F.col("a")).alias("_before")), "baseline-before")
         mean = F.sum(F.col("value") * F.col("a")) / F.sum("a")
         moments = stage(values.groupBy("name").agg(mean.alias("original_mean"), F.sum("a").alias("na")), "moments")
         if edges:
             binned = stage(values.withColumn("bin", _bin(edges, psi_bins)).groupBy("name", "bin").agg(F.sum("a").alias("a")), "bins")
     if texts:
         words = stage(long_texts(baseline, texts).filter("value IS NOT NULL").groupBy("name", "value").agg(F.count(F.lit(1)).alias("a")), "texts")
-    return BaselineSummary(numbers, texts, values, edges, binned, moments, words)
+    return BaselineSummary(numbers, texts, running, cuts, before, edges, binned, moments, words)
+
+
+def _bucketed(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The bucket of each value, by binary search among its column's cuts (under 2^20); ``cuts`` has a row per column."""
+    bits = F.array(*[F.lit(1 << b) for b in reversed(range(20))])
+    found = F.aggregate(bits, F.lit(0), lambda s, b: F.when(F.get("_cuts", s + b - 1) <= F.col("value"), s + b).otherwise(s))
+    return rows.join(F.broadcast(cuts), "name", "left").withColumn("bucket", found).drop("_cuts")
+
+
+def _baseline_at(summary: BaselineSummary, asked: DataFrame) -> DataFrame:
+    """``(name, value, a, ca, na)``: the baseline's rows at and up to each of the values ``(name, value)``.
+
+    Only the buckets that hold a value asked for are read and merged with it; the rest of the baseline counts by its carry.
+    """
+    asked = stage(_bucketed(asked, summary.cuts), "asked")
+    touched = asked.select("name", "bucket").distinct()
+    none = F.lit(None).cast("bigint")
+    held = summary.running.join(F.broadcast(touched), ["name", "bucket"], "left_semi").withColumn("_seen", F.lit(0))  # a row per bucket
+    both = held.unionByName(asked.select("name", "bucket", "value", none.alias("a"), none.alias("ca"), F.lit(1).alias("_seen")))
+    upto = Window.partitionBy("name", "bucket").orderBy("value", "_seen").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("_seen") == 0, F.struct("value", "a", "ca")), ignorenulls=True).over(upto)
+    met = both.withColumn("_last", last).filter("_seen = 1").join(F.broadcast(summary.before), ["name", "bucket"], "left")
+    return met.join(F.broadcast(summary.moments.select("name", "na")), "name", "left").select(
+        "name", "value", F.when(F.col("_last.value") == F.col("value"), F.col("_last.a")).otherwise(0).alias("a"),
+        F.coalesce("_last.ca", "_before", F.lit(0)).alias("ca"), "na",
+    )
 
 
 def _bin(edges: dict, bins: int) -> Column:
@@ -162,9 +200,7 @@ def _number_drift(summary: BaselineSummary, rows: DataFrame, psi_bins: int) -> D
     """The gap between two distribution functions is largest just before or at one of the batch's values: between these
     the batch's function stands still, while the baseline's only grows."""
     b = stage(long_numbers(rows, summary.numbers, ["period"]).groupBy("period", "name", "value").agg(F.count(F.lit(1)).alias("b")), "batch")
-    both = summary.values.select("name", "value", "a", F.lit(0).alias("_seen")).union(b.select("name", "value", F.lit(0).cast("bigint"), F.lit(1)).distinct())
-    both = both.groupBy("name", "value").agg(F.sum("a").alias("a"), F.max("_seen").alias("_seen"))
-    base = running_sums(stage(both, "both"), ["value"], {"ca": "a"}, ["name"], {"na": "a"}).filter("_seen = 1").select("name", "value", "a", "ca", "na")
+    base = _baseline_at(summary, b.select("name", "value").distinct())
     upto = running_sums(b, ["value"], {"cb": "b"}, ["period", "name"], {"nb": "b"}).join(base, ["name", "value"])
     share = lambda c, n: F.try_divide(F.col(c), F.col(n))
     gap = F.greatest(F.abs(share("ca", "na") - share("cb", "nb")), F.abs(F.try_divide(F.col("ca") - F.col("a"), F.col("na")) - F.try_divide(F.col("cb") - F.col("b"), F.col("nb"))))

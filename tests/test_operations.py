@@ -136,3 +136,17 @@ def test_feedback_meets_its_prediction(spark, tmp_path):
     assert seen[1] == {"a": (2, 0.5, 0), "b": (1, 1.0, 0)}
     assert seen[2] == seen[3] == {"a": (2, 1.0, 1), "b": (1, 1.0, 0)}
     assert seen[4] == {"a": (3, 1.0, 1), "b": (1, 1.0, 0)}
+
+
+def test_baseline_in_buckets(spark):
+    """Counts at and up to any value, between, below and above those of the baseline, in every bucket."""
+    r = np.random.default_rng(4)
+    x = np.concatenate([np.round(r.normal(0, 30, 900)), np.full(450, 7.0)])
+    asked = np.concatenate([np.arange(-150, 150, 3.5), [7.0, x.min(), x.max(), -1e9, 1e9]])
+    base = spark.createDataFrame([(float(v), 1.0) for v in x], "x double, one double")
+    summary = mo.summarize_baseline(base, ["x", "one"])
+    assert summary.running.filter("name = 'x'").select("bucket").distinct().count() > 2
+    q = spark.createDataFrame([("x", float(v)) for v in asked] + [("one", 0.0), ("one", 1.0), ("one", 2.0)], "name string, value double").distinct()
+    got = {(r.name, r.value): (r.a, r.ca, r.na) for r in mo._baseline_at(summary, q).collect()}
+    assert got == {("x", float(v)): ((x == v).sum(), (x <= v).sum(), len(x)) for v in asked} | {
+        ("one", 0.0): (0, 0, len(x)), ("one", 1.0): (len(x), len(x), len(x)), ("one", 2.0): (0, len(x), len(x))}
