@@ -123,8 +123,8 @@ def psi(baseline: DataFrame, batch: DataFrame, columns: list[str], bins: int = 1
 class BaselineSummary:
     """What batches are compared with: running counts per distinct value in buckets, bins of the stability index, and means.
 
-    ``running`` is ``(name, bucket, value, a, ca)``; ``cuts`` has the sorted first values of a column's buckets beyond bucket 0,
-    ``before`` the rows below each bucket.
+    ``running`` is ``(name, value, a, bucket, ca)`` with ``ca`` counted within the bucket; ``cuts`` has the sorted first values of a
+    column's buckets beyond bucket 0, ``before`` the rows below each bucket.
     """
 
     numbers: list[str]
@@ -146,16 +146,20 @@ def summarize_baseline(baseline: DataFrame, columns: list[str], psi_bins: int =
     edges: dict[str, tuple[float, float]] = {}
     if numbers:
         values = stage(long_numbers(baseline, numbers).groupBy("name", "value").agg(F.count(F.lit(1)).alias("a")), "baseline")
-        ends = values.groupBy("name").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).collect()  # a row per column
-        edges = {r["name"]: (r.lo, ((r.hi - r.lo) / psi_bins) or 1.0) for r in ends}
         buckets = max(2, int(baseline.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         at = F.percentile_approx("value", [i / buckets for i in range(1, buckets)], 100 * buckets)
-        cuts = stage(values.groupBy("name").agg(F.array_distinct(at).alias("_cuts")), "baseline-cuts")
-        summed = running_sums(values, ["value"], {"ca": "a"}, ["name"])
-        running = stage(_bucketed(summed, cuts).select("name", "bucket", "value", "a", "ca"), "baseline-running")
-        before = stage(running.groupBy("name", "bucket").agg(F.min(F.col("ca") - F.col("a")).alias("_before")), "baseline-before")
         mean = F.sum(F.col("value") * F.col("a")) / F.sum("a")
-        moments = stage(values.groupBy("name").agg(mean.alias("original_mean"), F.sum("a").alias("na")), "moments")
+        moments = stage(values.groupBy("name").agg(
+            F.array_distinct(at).alias("_cuts"), F.min("value").alias("lo"), F.max("value").alias("hi"), mean.alias("original_mean"), F.sum("a").alias("na"),
+        ), "moments")
+        cuts = moments.select("name", "_cuts")
+        edges = {r["name"]: (r.lo, ((r.hi - r.lo) / psi_bins) or 1.0) for r in moments.select("name", "lo", "hi").collect()}  # a row per column
+        moments = moments.select("name", "original_mean", "na")
+        inside = Window.partitionBy("name", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        running = stage(_bucketed(values, cuts).withColumn("ca", F.sum("a").over(inside)), "baseline-running")
+        below = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+        sums = running.groupBy("name", "bucket").agg(F.sum("a").alias("_sum"))
+        before = stage(sums.select("name", "bucket", F.coalesce(F.sum("_sum").over(below), F.lit(0)).alias("_before")), "baseline-before")
         if edges:
             binned = stage(values.withColumn("bin", _bin(edges, psi_bins)).groupBy("name", "bin").agg(F.sum("a").alias("a")), "bins")
     if texts:
@@ -178,14 +182,15 @@ def _baseline_at(summary: BaselineSummary, asked: DataFrame) -> DataFrame:
     asked = stage(_bucketed(asked, summary.cuts), "asked")
     touched = asked.select("name", "bucket").distinct()
     none = F.lit(None).cast("bigint")
-    held = summary.running.join(F.broadcast(touched), ["name", "bucket"], "left_semi").withColumn("_seen", F.lit(0))  # a row per bucket
+    held = summary.running.join(F.broadcast(touched), ["name", "bucket"], "left_semi")  # at most a row per bucket
+    held = held.select("name", "bucket", "value", "a", "ca", F.lit(0).alias("_seen"))
     both = held.unionByName(asked.select("name", "bucket", "value", none.alias("a"), none.alias("ca"), F.lit(1).alias("_seen")))
     upto = Window.partitionBy("name", "bucket").orderBy("value", "_seen").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("_seen") == 0, F.struct("value", "a", "ca")), ignorenulls=True).over(upto)
     met = both.withColumn("_last", last).filter("_seen = 1").join(F.broadcast(summary.before), ["name", "bucket"], "left")
     return met.join(F.broadcast(summary.moments.select("name", "na")), "name", "left").select(
         "name", "value", F.when(F.col("_last.value") == F.col("value"), F.col("_last.a")).otherwise(0).alias("a"),
-        F.coalesce("_last.ca", "_before", F.lit(0)).alias("ca"), "na",
+        (F.coalesce("_before", F.lit(0)) + F.coalesce("_last.ca", F.lit(0))).alias("ca"), "na",
     )
 
 
