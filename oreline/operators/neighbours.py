@@ -120,14 +120,14 @@ def _visited(q: DataFrame, levels: list[DataFrame], wanted: int, block: int) ->
     """
     kind = dtype(q, "query_id")
     schema = StructType([
-        StructField("query_id", kind), StructField("v", ArrayType(DoubleType())), StructField("node", StringType()),
-        StructField("is_leaf", BooleanType()), StructField("low", DoubleType()), StructField("bound", DoubleType()),
-    ])
+        StructField("query_id", kind), StructField("v", ArrayType(DoubleType())), StructField("bound", DoubleType()),
+        StructField("node", ArrayType(StringType())), StructField("is_leaf", ArrayType(BooleanType())), StructField("low", ArrayType(DoubleType())),
+    ])  # a row per query, so that Python holds its coordinates once and not once per child
     slack = 1e-9
 
     def descend(rows: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(heads):
-            return pd.DataFrame({"query_id": rows["query_id"][:0], "v": rows["v"][:0], "node": [], "is_leaf": np.zeros(0, bool), "low": [], "bound": []})
+            return pd.DataFrame({"query_id": rows["query_id"][:0], "v": rows["v"][:0], "bound": [], "node": [], "is_leaf": [], "low": []})
         d = np.sqrt(_between(_matrix(rows["v"]), _matrix(heads["pivot"])))
         radius, size = heads["radius"].to_numpy(), heads["n"].to_numpy()
         far = np.nan_to_num(d + radius, nan=np.inf, posinf=np.inf)
@@ -137,10 +137,11 @@ def _visited(q: DataFrame, levels: list[DataFrame], wanted: int, block: int) ->
         every = np.arange(len(d))
         bound = np.where(held[:, -1] >= wanted, far[every, order[every, (held >= wanted).argmax(axis=1)]], np.inf)
         bound = np.minimum(bound, rows["bound"].to_numpy())
-        at, to = np.nonzero(low <= bound[:, None] * (1 + slack) + slack)
+        near = low <= bound[:, None] * (1 + slack) + slack
+        child, is_leaf = heads["child"].to_numpy(), heads["is_leaf"].to_numpy()
         return pd.DataFrame({
-            "query_id": rows["query_id"].to_numpy()[at], "v": rows["v"].to_numpy()[at], "node": heads["child"].to_numpy()[to],
-            "is_leaf": heads["is_leaf"].to_numpy()[to], "low": low[at, to], "bound": bound[at],
+            "query_id": rows["query_id"], "v": rows["v"], "bound": bound, "node": [child[x].tolist() for x in near],
+            "is_leaf": [is_leaf[x].tolist() for x in near], "low": [y[x].tolist() for x, y in zip(near, low)],
         })
 
     front = q.select("query_id", "v", F.lit("0").alias("node"), F.lit(not levels).alias("is_leaf"), F.lit(0.0).alias("low"), F.lit(math.inf).alias("bound"))
@@ -150,6 +151,7 @@ def _visited(q: DataFrame, levels: list[DataFrame], wanted: int, block: int) ->
         left = _split(front.filter("NOT is_leaf"), parts, "chunk", "block", F.xxhash64("query_id", "v"))
         right = _split(level, parts, "block", "chunk", F.lit(0))
         deeper = left.groupBy("node", "chunk").cogroup(right.groupBy("node", "chunk")).applyInPandas(descend, schema)
+        deeper = deeper.select("query_id", "v", "bound", F.inline(F.arrays_zip("node", "is_leaf", "low")))
         seen = front.filter("is_leaf").unionByName(deeper).withColumn("bound", F.min("bound").over(per_query))
         front = stage(seen.filter(F.col("low") <= F.col("bound") * (1 + slack) + slack), "knn-visits")
     return front.select("query_id", "v", "node")
