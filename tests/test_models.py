@@ -183,3 +183,48 @@ def test_knn_in_a_deep_tree(spark, dims, pivots):
         for j in range(dims):
             d += (x[:, j] - p[j]) ** 2
         assert [got[f"q{i}"][n] for n in (1, 2, 3)] == list(np.lexsort((np.arange(len(x)), d))[:3])
+
+
+def brute_knn(x, asked, k):
+    for p in asked:
+        d = np.zeros(len(x))
+        for j in range(x.shape[1]):
+            d += (x[:, j] - p[j]) ** 2
+        yield list(np.lexsort((np.arange(len(x)), d))[:k])
+
+
+@pytest.mark.parametrize("pivots", [8, None])
+def test_knn_with_ties_and_endless_numbers(spark, pivots):
+    """Many rows at the same distance, rows far from 0, and infinite coordinates, through the tree and without it."""
+    r = np.random.default_rng(11)
+    x = np.vstack([r.integers(0, 6, (900, 3)).astype(float), 1e7 + r.integers(0, 3, (300, 3)) / 8])
+    rows = [(i, [float(v) for v in p]) for i, p in enumerate(x)]
+    df = spark.createDataFrame(rows + [(5000, [math.inf, 0.0, 0.0])], "id bigint, v array<double>")
+    got = {}
+    for r in nn.knn_join(df.filter("id % 7 = 0 AND id < 5000"), df, "id", "v", 4, pivots=pivots, block=64).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.neighbour_id
+    for i, best in zip(range(0, len(x), 7), brute_knn(x, x[::7], 9)):
+        assert [got[i][n] for n in (1, 2, 3, 4)] == [b for b in best if b < 5000][:4]
+
+
+def test_knn_visits_few_leaves(spark):
+    """A query's own leaf says how near its neighbours are, so that in three columns few other leaves are visited."""
+    x = np.random.default_rng(12).random((4000, 3))
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id bigint, v array<double>")
+    q = df.select(F.col("id").alias("query_id"), "v")
+    assert nn._prunes(df, q, 5)
+    placed, levels = nn._grown(df, None, 100, 100)
+    visits = nn._visited(nn._bounded(q, placed, levels, 5, 100), levels, 5, 100)
+    assert visits.count() <= 6 * len(x)
+    wide = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(np.random.default_rng(13).normal(size=(2000, 40)))], "id bigint, v array<double>")
+    assert not nn._prunes(wide, wide.select(F.col("id").alias("query_id"), "v"), 5)
+
+
+def test_products_move_no_loop_over_rows():
+    """A block of 64 numbers a row meets its queries in a moment."""
+    r = np.random.default_rng(15)
+    a, b = r.normal(size=(1500, 64)), r.normal(size=(6000, 64))
+    i, j, d = nn._nearest(a, b, 5, np.full(len(a), np.inf))
+    assert len(i) == 5 * len(a)
+    for n in (0, 700, 1499):
+        assert list(j[i == n]) == next(brute_knn(b, a[n : n + 1], 5))
