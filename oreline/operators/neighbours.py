@@ -349,29 +349,44 @@ def knn_join(
     return top_k_per_group(near, "query_id", [F.asc("squared_distance"), F.asc("neighbour_id")], k)
 
 
-def cluster_distances(df: DataFrame, key: str, columns, cluster: str, block: int = BLOCK) -> DataFrame:
+def cluster_distances(df: DataFrame, key: str, columns, cluster: str, block: int | None = None) -> DataFrame:
     """``(id, own, cluster, total, n)``: the sum of Euclidean distances of each row to each cluster.
 
     Work grows with the square of the rows, as the exact Euclidean silhouette does; it is spread over
-    (chunk, block) meetings and every meeting leaves one row per query and cluster.
+    (chunk, block) meetings, each a row of matrix products that leaves one row per query and cluster.
     """
     rows = df.select(F.col(key).alias("id"), F.col(cluster).cast("long").alias("own"), vector_of(df, columns).alias("v"))
     rows = stage(rows, "distances")
-    parts = max(1, math.ceil(rows.count() / block))
-    cut = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = rows.withColumn("chunk", cut).withColumn("block", every)
-    right = rows.withColumn("block", cut).withColumn("chunk", every)
+    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    blocks = max(1, math.ceil(n / (block or max(1, WIDE // (width or 1)))))
+    chunks = max(1, math.ceil(n / (block or 8192)), min(12, n // 512))
+    part = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = rows.withColumn("chunk", part(chunks)).withColumn("block", every(blocks))
+    right = rows.withColumn("block", part(blocks)).withColumn("chunk", every(chunks))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"id": a["id"][:0], "own": a["own"][:0], "cluster": b["own"][:0], "total": np.zeros(0), "n": np.zeros(0, "int64")})
-        d = np.sqrt(_between(_matrix(a["v"]), _matrix(b["v"])))
-        found = []
-        for c in np.unique(b["own"]):
-            mine = b["own"].to_numpy() == c
-            found.append(pd.DataFrame({"id": a["id"], "own": a["own"], "cluster": c, "total": d[:, mine].sum(axis=1), "n": int(mine.sum())}))
-        return pd.concat(found)
+        b = b.sort_values("own")
+        x, y, own = _matrix(a["v"]), _matrix(b["v"]), b["own"].to_numpy()
+        clusters, place = np.unique(own, return_inverse=True)
+        total = np.zeros((len(x), len(clusters)))
+        with np.errstate(invalid="ignore", over="ignore"):
+            finite = np.isfinite((x * x).sum() + (y * y).sum())
+            plain = ((i, j, _between(x[i : i + ROWS], y[j : j + COLUMNS]), None) for i in range(0, len(x), ROWS) for j in range(0, len(y), COLUMNS))
+            for i, j, d, error in _products(x, y) if finite else plain:
+                if finite:  # where little is left of the lengths, coordinates are measured
+                    r, c = np.nonzero(d <= 1e6 * error[:, None])
+                    d[r, c] = _beside(x, y, r + i, c + j)
+                here = place[j : j + d.shape[1]]
+                starts = np.flatnonzero(np.diff(here, prepend=-1))
+                total[i : i + len(d), here[starts]] += np.add.reduceat(np.sqrt(d, out=d), starts, axis=1)
+        k = len(clusters)
+        return pd.DataFrame({
+            "id": np.repeat(a["id"].to_numpy(), k), "own": np.repeat(a["own"].to_numpy(), k), "cluster": np.tile(clusters, len(x)),
+            "total": total.ravel(), "n": np.tile(np.bincount(place, minlength=k), len(x)),
+        })
 
     schema = StructType(
         [StructField("id", dtype(rows, "id")), StructField("own", dtype(rows, "own")), StructField("cluster", dtype(rows, "own")),

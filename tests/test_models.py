@@ -220,6 +220,20 @@ def test_knn_visits_few_leaves(spark):
     assert not nn._prunes(wide, wide.select(F.col("id").alias("query_id"), "v"), 5)
 
 
+@pytest.mark.parametrize("block", [70, None])
+def test_distances_to_clusters(spark, block):
+    """Far from 0, with copies; every meeting is a matrix product and no loop over coordinates."""
+    r = np.random.default_rng(14)
+    x = 1000 + np.vstack([r.normal(0, 1, (250, 5)), np.repeat(r.normal(3, 1, (10, 5)), 5, axis=0)])
+    own = np.arange(len(x)) % 3
+    df = spark.createDataFrame([(i, int(c), [float(v) for v in p]) for i, (c, p) in enumerate(zip(own, x))], "id bigint, c int, v array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    seen = {(r.id, r.cluster): (r.total, r.n, r.own) for r in nn.cluster_distances(df, "id", "v", "c", block).collect()}
+    assert len(seen) == 3 * len(x)
+    for (i, c), (total, n, mine) in seen.items():
+        assert total == pytest.approx(d[i, own == c].sum(), abs=1e-9) and n == (own == c).sum() and mine == own[i]
+
+
 def test_products_move_no_loop_over_rows():
     """A block of 64 numbers a row meets its queries in a moment."""
     r = np.random.default_rng(15)
