@@ -51,12 +51,15 @@ def feedback_accuracy(stream: DataFrame, ts: str, model: Column, correct: Column
 
 
 MATCHES = "key string, model string, n long, correct long, corrected long"
-WAITING = "model string, predicted string, label string, label_at long, told long, until long"
+#: What waits in a bucket of keys, a place in each array per key.
+WAITING = ", ".join(f"{n} array<{t}>" for n, t in (
+    ("key", "string"), ("model", "string"), ("predicted", "string"), ("label", "string"), ("label_at", "long"), ("told", "long"), ("until", "long"),
+))
 
 
 def matched_feedback(
     predictions: DataFrame, feedback: DataFrame, ts: str, key: Column, model: Column, predicted: Column, label: Column,
-    late: str = "1 hour", keep_seconds: int = 30 * 86_400,
+    late: str = "1 hour", keep_seconds: int = 30 * 86_400, buckets: int = 4096,
 ) -> DataFrame:
     """Changes ``(key, model, n, correct, corrected)`` of the accuracy per model as feedback meets its prediction.
 
@@ -64,6 +67,9 @@ def matched_feedback(
     replaces an earlier one takes that one's change back, so sums of the changes are right at any time (``accuracy_of``). Of
     several predictions of a key the first to arrive counts. Each key waits ``keep_seconds`` of event time after its latest row
     and is then forgotten. Rows without key, time, prediction or label are left out.
+
+    Keys lie in ``buckets`` by hash, and the state is one row per bucket: a call costs more than what it does for one key. The
+    keys that wait in a bucket must fit in a task, and those of a touched bucket are written again.
     """
     none = F.lit(None).cast("string")
     sides = [
@@ -78,30 +84,38 @@ def matched_feedback(
     timed = both.withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
 
     def follow(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        name, guess, truth, truth_at, told, until = state.get if state.exists else (None, None, None, 0, -1, 0)
-        before = told
+        waiting = {key: list(rest) for key, *rest in zip(*state.get)} if state.exists else {}
+        before: dict[str, int] = {}
         for rows in frames:
-            for r in rows.sort_values("at").itertuples(index=False):
-                if not pd.isna(r.predicted):
-                    if guess is None:
-                        name, guess = (None if pd.isna(r.model) else r.model), r.predicted
-                elif truth is None or (r.at, r.label) > (truth_at, truth):
-                    truth, truth_at = r.label, int(r.at)
-                until = max(until, int(r.at) // 1000 + keep_seconds * 1000)
-        if guess is not None and truth is not None:
-            told = int(guess == truth)
-        state.update((name, guess, truth, truth_at, told, until))
-        state.setTimeoutTimestamp(until)
-        if told != before:
-            first = before < 0
-            yield pd.DataFrame({
-                "key": [group[0]], "model": [name], "n": [int(first)], "correct": [told if first else told - before], "corrected": [int(not first)],
-            })
-
-    return timed.groupBy("key").applyInPandasWithState(follow, MATCHES, WAITING, "append", GroupStateTimeout.EventTimeTimeout)
+            rows = rows.sort_values("at", kind="stable")
+            for key, at, name, guess, truth in zip(*(rows[c].tolist() for c in ("key", "at", "model", "predicted", "label"))):
+                seen = waiting.setdefault(key, [None, None, None, 0, -1, 0])
+                before.setdefault(key, seen[4])
+                if isinstance(guess, str):
+                    if seen[1] is None:
+                        seen[:2] = (name if isinstance(name, str) else None), guess
+                elif seen[2] is None or (at, truth) > (seen[3], seen[2]):
+                    seen[2:4] = truth, int(at)
+                seen[5] = max(seen[5], int(at) // 1000 + keep_seconds * 1000)
+        now = state.getCurrentWatermarkMs()
+        changes = []
+        for key, was in before.items():
+            seen = waiting[key]
+            if seen[1] is not None and seen[2] is not None:
+                seen[4] = int(seen[1] == seen[2])
+            if seen[4] != was:
+                changes.append((key, seen[0], int(was < 0), seen[4] if was < 0 else seen[4] - was, int(was >= 0)))
+        kept = [(key, *seen) for key, seen in waiting.items() if key in before or seen[5] >= now]
+        if kept:
+            state.update(tuple(map(list, zip(*kept))))
+            state.setTimeoutTimestamp(max(min(x[6] for x in kept), now + 1))
+        else:
+            state.remove()
+        if changes:
+            yield pd.DataFrame(changes, columns=["key", "model", "n", "correct", "corrected"])
+
+    dealt = timed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInPandasWithState(follow, MATCHES, WAITING, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def accuracy_of(changes: DataFrame) -> DataFrame:

@@ -138,6 +138,31 @@ def test_feedback_meets_its_prediction(spark, tmp_path):
     assert seen[4] == {"a": (3, 1.0, 1), "b": (1, 1.0, 0)}
 
 
+def test_keys_wait_in_buckets(spark, tmp_path):
+    """Keys of one bucket keep to themselves: their labels, corrections and times to be forgotten; the state has a row per bucket."""
+    kind = "k int, s long, p string, y string"
+    batches = [
+        [(k, 10 + k, "x", None) for k in range(60)] + [(k, 200, None, "x" if k % 3 else "w") for k in range(0, 60, 2)],
+        [(k, 300, None, "x") for k in range(60)],
+        [(100, 100_000, "x", None)],
+        [(k, 100_001, None, "w") for k in range(60)] + [(100, 100_002, None, "x")],
+    ]
+    folder, sink, state = (str(tmp_path / n) for n in ("rows", "out", "state"))
+    seen = []
+    for rows in batches:
+        part = spark.createDataFrame(rows, kind).withColumn("ts", F.timestamp_seconds("s")).drop("s")
+        part.write.mode("append").parquet(folder)
+        stream = jobs.read_stream(spark, folder, "*.parquet", part.schema, "ts")
+        changes = jobs.matched_feedback(
+            stream.filter("p is not null"), stream.filter("p is null"), "ts", F.col("k"), F.lit("m"), F.col("p"), F.col("y"), "1 hour", 3600, buckets=4,
+        )
+        rows = jobs.run_available(changes, sink, state)
+        seen.append(jobs.accuracy_of(rows).select("n", "accuracy", "corrected").first())
+        assert rows.groupBy("key").agg(F.sum("n").alias("n")).filter("n <> 1").count() == 0
+    assert seen[0] == (30, 20 / 30, 0) and seen[1] == (60, 1.0, 10)
+    assert seen[2] == seen[1] and seen[3] == (61, 1.0, 10)
+
+
 def test_baseline_in_buckets(spark):
     """Counts at and up to any value, between, below and above those of the baseline, in every bucket."""
     r = np.random.default_rng(4)
