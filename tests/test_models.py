@@ -129,6 +129,12 @@ def test_range_join(spark, block):
     assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if d[i, j] <= 0.7}
 
 
+def test_range_join_keeps_its_partitions(spark):
+    """Few bytes make many pairs: the join is not put together into one task."""
+    x, df, cols = points(spark, 90, 2, 5)
+    assert nn.eps_range_join(df, "id", cols, 0.7).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_dbscan_in_small_blocks(spark):
     x, df, cols = points(spark, 300, 2, 8, hot=150)
     got = {r.id: r.cluster for r in cl.dbscan(df, "id", cols, 0.5, 5, block=3).collect()}
