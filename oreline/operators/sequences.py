@@ -75,16 +75,17 @@ def _triples(events: DataFrame, spans: DataFrame, min_support: float) -> DataFra
     least = _least_count(spans, min_support)
     kept = _frequent(spans, least)
     pairs = stage(_pairs(spans, min_support).select("a", "b"), "pairs")
-    firsts = kept.select("grp", F.col("item").alias("a"), "first").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
+    # a sequence's first places in their order: a row per sequence, as long as there are frequent items in it
+    firsts = kept.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct(F.col("first").alias("at"), F.col("item").alias("a")))).alias("firsts"))
+    salted = firsts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spots = events.select("grp", F.col("item").alias("b"), "at").withColumn(
         "_salt", F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int")
     )
-    after = (
-        spots.join(firsts, ["grp", "_salt"]).filter(F.col("at") > F.col("first"))
-        .groupBy("grp", "a", "b").agg(F.min("at").alias("at")).join(pairs, ["a", "b"])
-    )
+    behind = F.size(F.filter("firsts", lambda f: f["at"] < F.col("at")))
+    spots = spots.join(salted, ["grp", "_salt"]).select("grp", "b", "at", behind.alias("behind")).filter("behind > 0")
+    earliest = spots.groupBy("grp", "b", "behind").agg(F.min("at").alias("at"))
+    after = earliest.join(firsts, "grp").select("grp", "b", "at", F.explode(F.slice("firsts", 1, F.col("behind"))).alias("_f"))
+    after = after.groupBy("grp", F.col("_f.a").alias("a"), "b").agg(F.min("at").alias("at")).join(pairs, ["a", "b"])
     lasts = kept.select("grp", F.col("item").alias("c"), "last")
     grown = after.join(lasts, "grp").filter(F.col("at") < F.col("last"))
     tails = pairs.select(F.col("a").alias("b"), F.col("b").alias("c"))
@@ -100,7 +101,8 @@ def sequence_triples(df: DataFrame, group: str, item: str, order, min_support: f
     """``a``, then ``b``, then ``c``: the first ``b`` after the first ``a`` lies before the last ``c``.
 
     Only frequent pairs are extended. The occurrences of a long sequence are spread over salts, each met by
-    a copy of that sequence's (few) first places, and reduced to one place per (sequence, a, b).
+    a copy of that sequence's (few) first places. An occurrence stays one row, with how many of the first places lie before it;
+    only the earliest ones per item and that number are spread over the items before them.
     """
     events = _events(df, group, item, order)
     return _triples(events, _spans(events), min_support)

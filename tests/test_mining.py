@@ -89,3 +89,22 @@ def test_holt_in_chunks_equals_one_run(spark):
     assert len(got) == 3000
     assert max(abs(got[i].fitted - fit[i]) for i in range(3000)) < 1e-9
     assert got[2999].level == pytest.approx(level, abs=1e-9) and got[2999].slope == pytest.approx(tr, abs=1e-9)
+
+
+def test_triples_do_not_multiply_events(spark):
+    """An event stays one row however many items its sequence began with; times that are alike, and items before any other."""
+    import itertools
+    import random
+
+    draw = random.Random(5)
+    rows = [(g, draw.choice("abcdef"), draw.randrange(40), n) for g in range(12) for n in range(60)]
+    df = spark.createDataFrame(rows, "g int, i string, t int, n int")
+    want = {}
+    for g in range(12):
+        line = [r[1] for r in sorted((r for r in rows if r[0] == g), key=lambda r: (r[2], r[3]))]
+        for p in set(itertools.combinations(line, 3)):
+            want[p] = want.get(p, 0) + 1
+    found = sq.sequence_triples(df, "g", "i", ["t", "n"], 0.5)
+    assert {(r.a, r.b, r.c): r["count"] for r in found.collect()} == {p: c for p, c in want.items() if c >= 6}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(firsts" in plan
