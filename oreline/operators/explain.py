@@ -1,16 +1,19 @@
 """Explaining fitted models: importance, dependence, contributions, Shapley values.
 
-Every method builds one table of changed rows and scores it with a single ``transform``.
+Methods build one table of changed rows and score it with a single ``transform``; importance and dependence of a regression
+tree change blocks of encoded rows in the tasks instead.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from oreline.functions.core import bucket, dtype, is_numeric, number, single
-from oreline.functions.ordered import positions
+from oreline.functions.core import bucket, dtype, is_numeric, number
 from oreline.operators import evaluation as ev
 from oreline.operators.features import feature_spec
 from oreline.operators.learning import Fitted
@@ -18,39 +21,107 @@ from oreline.session import stage
 from oreline.sources.tables import random_sample
 
 
+#: Hex digits of a key's md5 that name its bucket: 65,536 counts of buckets come to the driver.
+DIGITS = 4
+
+
+def _ring_chunks(counts: list[tuple[str, int]], reach: int) -> list[tuple[str, int, int]]:
+    """Chunks of consecutive buckets as rows ``(bucket, chunk, turn)``: 0 for a chunk's own rows, 1 for the ``reach`` rows or more that follow them.
+
+    Behind the last bucket follows the first, with turn 2.
+    """
+    size, start, chunk_of = max(8192, 8 * reach), 0, []
+    for _, n in counts:
+        chunk_of.append(start // size)
+        start += n
+    out = [(b, c, 0) for (b, _), c in zip(counts, chunk_of)]
+    for i, c in enumerate(chunk_of):
+        if i + 1 < len(counts) and chunk_of[i + 1] == c:
+            continue
+        seen, j = 0, i + 1
+        while seen < reach:
+            b, n = counts[j % len(counts)]
+            out.append((b, c, 1 + j // len(counts)))
+            seen, j = seen + n, j + 1
+    return out
+
+
 def permutation_importance(fitted: Fitted, df: DataFrame, key: str, repeats: int = 3) -> DataFrame:
     """Mean drop of accuracy or R² when a column takes the values of other rows.
 
-    A shuffle is a cyclic shift in hash order, found by an equi-join on the (unique) place in that order.
+    A shuffle is a cyclic shift in hash order: chunks of that order, each with the rows that follow it, look ahead. ``key`` is unique;
+    ``df`` is read twice. Regression trees score blocks of encoded rows, other models a row per changed copy.
     """
     cols = fitted.encoding.columns
-    base = df.withColumn("_y", fitted.encoding.label(df)).filter("_y IS NOT NULL").select(key, "_y", *cols)
-    hashed = base.withColumn("_h", F.md5(F.col(key).cast("string")))
-    placed = stage(positions(hashed, ["_h", key], None, "_p").drop("_h"), "shuffle")
-    n = placed.count()
-    shifts = F.array(*[F.struct(F.lit(r).alias("r"), F.lit((1 + r * 7919) % max(n, 1) or 1).alias("s")) for r in range(repeats)])
-    asks = placed.withColumn("_s", F.explode(shifts)).withColumn("_from", F.pmod(F.col("_p") + F.col("_s.s"), F.lit(n)))
-    other = placed.select(F.col("_p").alias("_from"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(cols)])
-    pairs = asks.join(other, "_from")
-    whole = F.lit("").alias("feature")
-    variants = F.array(whole, *[F.lit(c) for c in cols])
-    rows = pairs.withColumn("feature", F.explode(variants)).select(
-        "_y", F.col("_s.r").alias("repeat"), "feature",
-        *[F.when(F.col("feature") == c, F.col(f"_o{i}")).otherwise(F.col(c)).alias(c) for i, c in enumerate(cols)],
+    digest = F.coalesce(F.md5(F.col(key).cast("string")), F.lit("0" * 32))
+    base = df.withColumn("_y", fitted.encoding.label(df)).filter("_y IS NOT NULL").select(
+        "_y", F.struct(*cols).alias("_own"), F.col(key).alias("_key"), F.unhex(digest).alias("_h"), F.substring(digest, 1, DIGITS).alias("_b"),
     )
-    scored = fitted.score(rows)
-    by = ["feature", "repeat"]
-    if fitted.task == "classification":
-        out = ev.class_metrics(scored, "_y", "prediction", by).withColumn("_m", F.col("accuracy"))
+    moments = F.count(F.lit(1)).alias("n"), F.avg("_y").alias("m"), F.coalesce(F.var_pop("_y"), F.lit(0.0)).alias("v")
+    buckets = base.groupBy("_b").agg(*moments).orderBy("_b").collect()  # at most 16 ** DIGITS
+    n = sum(r.n for r in buckets)
+    steps = [(1 + r * 7919) % max(n, 1) or 1 for r in range(repeats)]
+    homes = df.sparkSession.createDataFrame(_ring_chunks([(r["_b"], r.n) for r in buckets], max(steps)), "_b string, _chunk int, _turn int")
+    order = Window.partitionBy("_chunk").orderBy("_turn", "_h", "_key")
+    others = [F.lead("_own", step).over(order).alias(f"_o{r}") for r, step in enumerate(steps)]
+    pairs = base.join(F.broadcast(homes), "_b").select("_y", "_own", "_turn", *others).filter("_turn = 0")
+    variants = [("", 0), *[(c, r) for c in cols for r in range(repeats)]]
+    predict = fitted.on_blocks()
+    if predict is not None:
+        mean = sum(r.n * r.m for r in buckets) / max(n, 1)
+        total = sum(r.n * (r.v + (r.m - mean) ** 2) for r in buckets)
+        changes = [(r, fitted.slots(c)) for c, r in variants]
+        lost = _encoded_beside(fitted, pairs, ["_own", *[f"_o{r}" for r in range(repeats)]]).mapInArrow(
+            partial(_squared_errors, predict, changes, len(fitted.encoding.names)), "variant int, e double"
+        )
+        named = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(r).alias("repeat")) for c, r in variants])
+        out = lost.groupBy("variant").agg(F.sum("e").alias("_e")).select(
+            named[F.col("variant")]["feature"].alias("feature"), F.round(1 - F.col("_e") / (total or 1.0), 4).alias("_m")
+        )
     else:
-        out = ev.reg_metrics(scored, "_y", "prediction", by).withColumn("_m", F.col("r2"))
-    means = out.groupBy("feature").agg(F.avg("_m").alias("_m"))
+        marks = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(r).alias("repeat")) for c, r in variants])
+        other = F.array(*[F.col(f"_o{r}") for r in range(repeats)])[F.col("repeat")]
+        scored = fitted.score(pairs.select("*", F.inline(marks)).select(
+            "_y", "repeat", "feature", *[F.when(F.col("feature") == c, other[c]).otherwise(F.col("_own")[c]).alias(c) for c in cols]
+        ))
+        by = ["feature", "repeat"]
+        if fitted.task == "classification":
+            out = ev.class_metrics(scored, "_y", "prediction", by).withColumn("_m", F.col("accuracy"))
+        else:
+            out = ev.reg_metrics(scored, "_y", "prediction", by).withColumn("_m", F.col("r2"))
+    means = stage(out.groupBy("feature").agg(F.avg("_m").alias("_m")), "importance")
     base_score = means.filter("feature = ''").agg(F.max("_m")).scalar()
     return means.filter("feature <> ''").select(
         "feature", F.round(base_score - F.col("_m"), 4).alias("importance"), F.round(base_score, 4).alias("baseline")
     )
 
 
+def _matrix(batch: pa.RecordBatch, first: int, width: int) -> np.ndarray:
+    return np.column_stack([batch.column(first + i).to_numpy(zero_copy_only=False) for i in range(width)])
+
+
+def _encoded_beside(fitted: Fitted, pairs: DataFrame, structs: list[str]) -> DataFrame:
+    """``_y`` and the encoded numbers of each struct of raw columns, all as plain columns."""
+    for s in structs:
+        raw = [F.col(s)[c].alias(c) for c in fitted.encoding.columns]
+        kept = [c for c in pairs.columns if c not in fitted.encoding.columns]
+        pairs = fitted.encoding.numbers(pairs.select(*kept, *raw), f"{s}_")
+    return pairs.select("_y", *[f"{s}_{i}" for s in structs for i in range(len(fitted.encoding.names))])
+
+
+def _squared_errors(predict, changes: list[tuple[int, list[int]]], width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of squared errors after each change, which names another row and the places taken from it."""
+    lost = np.zeros(len(changes))
+    for batch in batches:
+        y, own = _matrix(batch, 0, 1)[:, 0], _matrix(batch, 1, width)
+        rest = [_matrix(batch, at, width) for at in range(1 + width, batch.num_columns, width)]
+        for i, (r, slots) in enumerate(changes):
+            changed = own.copy()
+            changed[:, slots] = rest[r][:, slots]
+            lost[i] += np.square(y - predict(changed)).sum()
+    yield pa.RecordBatch.from_pydict({"variant": pa.array(range(len(changes)), pa.int32()), "e": pa.array(lost)})
+
+
 def tree_importance(fitted: Fitted, spark, top: int = 15) -> DataFrame:
     """Share of impurity gain per encoded feature."""
     values = fitted.model.featureImportances.toArray().tolist()

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import partial, reduce
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
@@ -18,7 +20,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import PolynomialExpansion, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
@@ -62,6 +64,11 @@ class Encoding:
     def apply(self, df: DataFrame) -> DataFrame:
         return self.stages.transform(df)
 
+    def numbers(self, df: DataFrame, prefix: str) -> DataFrame:
+        """``df`` with the encoded features as plain columns ``<prefix>0``, ``<prefix>1``, …"""
+        plain = self.stages.stages[0].transform(df)  # the projection in front of the assembler
+        return plain.withColumnsRenamed({f"_x{i}": f"{prefix}{i}" for i in range(len(self.names))})
+
     def labelled(self, df: DataFrame) -> DataFrame:
         return self.apply(df).withColumn("label", self.label(df)).filter("label IS NOT NULL")
 
@@ -86,8 +93,6 @@ def named_like_id(column: str) -> bool:
 
 def id_like(df: DataFrame, columns: list[str]) -> list[str]:
     """Columns named like an identifier whose values are at least half distinct."""
-    import re
-
     named = [c for c in columns if named_like_id(c)]
     if not named:
         return []
@@ -226,10 +231,55 @@ class Fitted:
             return out.withColumn("score", F.element_at(vector_to_array("probability"), -1))
         return out.withColumn("score", (F.col("prediction") == len(self.encoding.classes) - 1).cast("double"))
 
+    def on_blocks(self) -> Callable[[np.ndarray], np.ndarray] | None:
+        """The predictions of a block of encoded rows as a NumPy function, for models that have one: regression trees."""
+        return tree_on_blocks(self.model.toDebugString) if isinstance(self.model, DecisionTreeRegressionModel) else None
+
+    def slots(self, column: str) -> list[int]:
+        """The places of a column in the encoded vector."""
+        return [i for i, owner in enumerate(self.encoding.owners) if owner == column]
+
     def as_pipeline(self) -> PipelineModel:
         return PipelineModel([*self.encoding.stages.stages, self.model])
 
 
+def tree_on_blocks(text: str) -> Callable[[np.ndarray], np.ndarray] | None:
+    """A printed regression tree as a function of a block of rows, which go down one level at a time; None if it has other splits than ``<=``."""
+    feature, threshold, left, right, value, depths = [], [], [], [], [], [0]
+    lines = iter(line.strip() for line in text.splitlines()[1:] if line.strip())
+
+    def node(depth: int) -> int | None:
+        line, me = next(lines), len(feature)
+        for a, v in ((feature, 0), (threshold, np.inf), (left, me), (right, me), (value, 0.0)):
+            a.append(v)  # a leaf leads to itself
+        depths.append(depth)
+        if line.startswith("Predict: "):
+            value[me] = float(line[len("Predict: "):])
+            return me
+        split = re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", line)
+        if split is None:
+            return None
+        feature[me], threshold[me] = int(split[1]), float(split[2])
+        left[me] = node(depth + 1)
+        if left[me] is None or not next(lines).startswith("Else"):
+            return None
+        right[me] = node(depth + 1)
+        return None if right[me] is None else me
+
+    if node(0) is None:
+        return None
+    features, thresholds, values = np.array(feature), np.array(threshold), np.array(value)
+    lefts, rights, levels = np.array(left), np.array(right), max(depths)
+
+    def predict(x: np.ndarray) -> np.ndarray:
+        flat, start, at = x.ravel(), np.arange(len(x)) * x.shape[1], np.zeros(len(x), dtype=np.int64)
+        for _ in range(levels):
+            at = np.where(flat.take(start + features.take(at)) <= thresholds.take(at), lefts.take(at), rights.take(at))
+        return values.take(at)
+
+    return predict
+
+
 def fit(df: DataFrame, target: str, task: str, name: str = "", columns=None, **params) -> Fitted:
     enc = encode(df, target, task, columns)
     kind = model_kind(name, task)

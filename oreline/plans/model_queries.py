@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from oreline.operators import clustering as cl, evaluation as ev, explain as ex, features as fe, learning as ml, neighbours as nn
 from oreline.plans.catalog import query
-from oreline.session import scratch_path
+from oreline.session import scratch_path, stage
 from oreline.sources.models import load_model, save_model
 
 # --- measures of a prediction table: returned lines scored by quantity -------------------------------
@@ -350,7 +350,7 @@ def smoteenn(t):
 
 
 def price_model(t):
-    rows = priced(t)
+    rows = stage(priced(t), "priced")
     return ml.fit(rows, "l_extendedprice", "regression", "tree", NUMBERS), rows
 
 
