@@ -139,12 +139,39 @@ def _grid(df: DataFrame, feature: str, points: int) -> Column:
 
 
 def partial_dependence(fitted: Fitted, df: DataFrame, feature: str, points: int = 20) -> DataFrame:
-    """Mean score over all rows with the feature set to each grid value."""
-    rows = df.select(*fitted.encoding.columns).withColumn("_x", F.explode(_grid(df, feature, points)))
-    rows = rows.withColumn(feature, F.col("_x").cast(dtype(df, feature)) if not is_numeric(df, feature) else F.col("_x"))
+    """Mean score over all rows with the feature set to each grid value; a regression tree scores blocks of encoded rows."""
+    grid = _grid(df, feature, points)
+    value = F.col("_x").cast(dtype(df, feature)) if not is_numeric(df, feature) else F.col("_x")
+    predict, width = fitted.on_blocks(), len(fitted.encoding.names)
+    if predict is not None and feature in fitted.encoding.columns:
+        swept = df.sparkSession.range(1).select(*[F.lit(None).cast(dtype(df, c)).alias(c) for c in fitted.encoding.columns if c != feature], F.posexplode(grid).alias("_i", "_x"))
+        places = [f"_e{i}" for i in range(width)]
+        cells = [(r["_x"], *r[1:]) for r in fitted.encoding.numbers(swept.withColumn(feature, value), "_e").orderBy("_i").select("_x", *places).collect()]
+        changed = np.array([c[1:] for c in cells], dtype=float).reshape(len(cells), width)
+        rows = fitted.encoding.numbers(df.select(*fitted.encoding.columns), "_e").select(*places)
+        sums = rows.mapInArrow(partial(_sums_over_grid, predict, changed, fitted.slots(feature)), "at int, s double, n bigint")
+        xs = F.array(*[F.lit(c[0]) for c in cells])
+        return sums.groupBy("at").agg(F.sum("s").alias("_s"), F.sum("n").alias("_n")).filter("_n > 0").select(
+            xs[F.col("at")].alias("x"), F.round(F.col("_s") / F.col("_n"), 4).alias("y")
+        )
+    rows = df.select(*fitted.encoding.columns).withColumn("_x", F.explode(grid)).withColumn(feature, value)
     return fitted.scalar(rows).groupBy(F.col("_x").alias("x")).agg(F.round(F.avg("score"), 4).alias("y"))
 
 
+def _sums_over_grid(predict, changed: np.ndarray, slots: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the scores with the places of one feature set to each row of ``changed``."""
+    sums, rows = np.zeros(len(changed)), 0
+    for batch in batches:
+        x = _matrix(batch, 0, changed.shape[1])
+        rows += len(x)
+        for i, cells in enumerate(changed):
+            x[:, slots] = cells[slots]
+            sums[i] += predict(x).sum()
+    yield pa.RecordBatch.from_pydict(
+        {"at": pa.array(range(len(changed)), pa.int32()), "s": pa.array(sums), "n": pa.array([rows] * len(changed), pa.int64())}
+    )
+
+
 def ice_curves(fitted: Fitted, df: DataFrame, feature: str, key: str, curves: int = 12, points: int = 20) -> DataFrame:
     few = random_sample(df.select(key, *[c for c in fitted.encoding.columns if c != key]), curves, key)
     rows = few.withColumn("_x", F.explode(_grid(df, feature, points)))

@@ -78,3 +78,15 @@ def test_chunks_of_a_ring():
             at = [where[b] for _, b in rows]
             assert all((p + n) % start == q for (p, n), (q, _) in zip(at, at[1:]))  # nothing is left out between
             assert sum(where[b][1] for t, b in rows if t) >= reach
+
+
+@pytest.mark.parametrize("feature", ["a", "c"])
+def test_dependence_by_one_scoring_per_grid_value(priced, tree, monkeypatch, feature):
+    df = priced[1]
+    ends = df.agg(F.min("a").alias("lo"), F.max("a").alias("hi")).first()
+    grid = "xyz" if feature == "c" else [round(ends.lo + (ends.hi - ends.lo) * i / 4, 4) for i in range(5)]
+    wanted = {x: tree.score(df.withColumn(feature, F.lit(x))).agg(F.avg("prediction")).first()[0] for x in grid}
+    monkeypatch.setattr(ml.Fitted, "score", no_copies)
+    found = {r.x: r.y for r in ex.partial_dependence(tree, df, feature, 5).collect()}
+    assert found.keys() == wanted.keys() and all(found[x] == pytest.approx(wanted[x], abs=6e-5) for x in grid)
+    assert ex.partial_dependence(tree, df.withColumn("a", F.col("a").cast("float")), "a", 5).count() == 5
