@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType
 
 from oreline.functions.core import single
 from oreline.operators.aggregates import histogram
+from oreline.session import stage
 
 # Words left out of every count, in Portuguese and English.
 STOPWORDS_PT = (
@@ -124,6 +125,14 @@ def sentiment(docs: DataFrame, tokens: str = "tokens", positive=None, negative=N
     )
 
 
+def _runs(words: str) -> Column:
+    """Distinct words of a sorted list as structs ``(_term, _n)``."""
+    places = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+    ends = F.concat(F.slice(starts, 2, F.size(words)), F.array(F.size(words)))
+    return F.zip_with(starts, ends, lambda i, j: F.struct(F.get(words, i).alias("_term"), (j - i).alias("_n")))
+
+
 #: The most bytes of a lexicon that is sent to every task.
 LEXICON_BYTES = 32 << 20
 
@@ -135,10 +144,16 @@ def lexicon_sentiment(docs: DataFrame, lexicon: DataFrame, key: str, tokens: str
     the lexicon, which is broadcast only if its measured size allows it. ``key`` names a document; rows that share it are one.
     """
     terms = lexicon.filter(F.col("term").isNotNull()).groupBy(F.lower(F.trim("term")).alias("_term")).agg(F.sum(F.col("polarity").cast("double")).alias("_p"))
-    terms = terms.filter("_p != 0").select("_term", (F.col("_p") > 0).alias("_good"))
+    terms = stage(terms.filter("_p != 0").select("_term", (F.col("_p") > 0).alias("_good")), "lexicon")
     size = terms.agg(F.sum(F.octet_length("_term") + 32)).first()[0] or 0
-    met = docs.select(F.col(key).alias("_key"), F.explode(tokens).alias("_term")).groupBy("_key", "_term").agg(F.count(F.lit(1)).alias("_n"))
-    met = met.join(F.broadcast(terms) if size <= LEXICON_BYTES else terms.hint("shuffle_merge"), "_term")
+    # the outer form of explode keeps the optimizer from adding a filter that splits every text twice
+    if size <= LEXICON_BYTES:  # words meet the lexicon where they are, and a document leaves its task as one row
+        words = docs.select(F.col(key).alias("_key"), F.explode_outer(tokens).alias("_term"), F.lit(1).alias("_n"))
+        met = words.join(F.broadcast(terms), "_term")
+    else:  # the words of a row are counted in place, so that only its distinct ones move to the lexicon
+        sorted_words = docs.select(F.col(key).alias("_key"), F.sort_array(F.array_compact(tokens)).alias("_w"))
+        words = sorted_words.select("_key", F.explode_outer(_runs("_w")).alias("_r")).select("_key", "_r.*").filter("_term IS NOT NULL")
+        met = words.join(terms.hint("shuffle_merge"), "_term")
     found = met.groupBy("_key").agg(F.sum(F.when(F.col("_good"), F.col("_n"))).alias("_g"), F.sum(F.when(~F.col("_good"), F.col("_n"))).alias("_b"))
     good, bad = F.coalesce("_g", F.lit(0)).cast("int"), F.coalesce("_b", F.lit(0)).cast("int")
     mood = F.when(good > bad, "positive").when(bad > good, "negative").otherwise("neutral")

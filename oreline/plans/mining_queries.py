@@ -157,7 +157,7 @@ def lexicon_sentiment(t):
 )
 def lexicon_table(t):
     words = t.documents.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("tokens"))
-    each = words.select(F.explode("tokens").alias("term")).filter("length(term) > 3").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    each = words.select(F.explode_outer("tokens").alias("term")).filter("length(term) > 3").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     lexicon = each.select("term", F.when(F.col("n") % 2 == 0, 1).otherwise(-1).alias("polarity"))
     return tx.lexicon_sentiment(words, lexicon, "doc_id").drop("tokens")
 

@@ -1,6 +1,7 @@
 """Profiles from merged sketches, and sentiment with a lexicon of one's own."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,3 +57,16 @@ def test_same_rows_as_with_the_words_at_hand(spark):
     lexicon = spark.createDataFrame([(w, 1) for w in tx.POSITIVE] + [(w, -1) for w in tx.NEGATIVE], "term string, polarity int")
     rows = lambda df: sorted(tuple(r) for r in df.drop("tokens").collect())
     assert rows(tx.lexicon_sentiment(docs, lexicon, "id")) == rows(tx.sentiment(docs))
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_words_move_at_most_once_to_the_lexicon(spark, monkeypatch, capsys, limit):
+    """Words never move by document and term; beside a broadcast lexicon they don't move at all."""
+    monkeypatch.setattr(tx, "LEXICON_BYTES", limit)
+    docs = spark.createDataFrame([(1, ["a", "b", "a", None]), (1, ["a"]), (2, None), (3, [])], "id int, tokens array<string>")
+    out = tx.lexicon_sentiment(docs, spark.createDataFrame([("a", 1), ("b", -1)], "term string, polarity int"), "id")
+    assert sorted((r.id, r.n_positive, r.n_negative) for r in out.collect()) == [(1, 3, 1), (1, 3, 1), (2, 0, 0), (3, 0, 0)]
+    out.explain()
+    plan = capsys.readouterr().out
+    moves = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert not any("_key" in m and "_term" in m for m in moves) and any("_term" in m for m in moves) == (limit == 0)
