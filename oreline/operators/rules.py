@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from oreline.functions.core import is_missing, ladder, present, single, text_names
 from oreline.operators.quality import analyze_quality
+from oreline.session import stage
 
 
 def to_transactions(df: DataFrame, columns=None, most: int | None = None) -> DataFrame:
@@ -24,11 +25,12 @@ def baskets(df: DataFrame, basket: str, item: str, min_support: float) -> DataFr
     """
     rows = df.select(F.col(basket).alias("basket"), present(df, item).cast("string").alias("item")).filter(
         "basket IS NOT NULL"
-    ).distinct()
+    )
+    rows = stage(rows.distinct(), "basket-items")
     n = rows.agg(F.countDistinct("basket")).scalar()
     often = rows.filter("item IS NOT NULL").groupBy("item").agg(F.count(F.lit(1)).alias("c"))
     often = often.filter(F.col("c") >= F.ceil(F.lit(min_support) * n)).select("item", F.col("item").alias("kept"))
-    return rows.join(often, "item", "left").groupBy("basket").agg(F.collect_list("kept").alias("items"))
+    return stage(rows.join(often, "item", "left").groupBy("basket").agg(F.collect_list("kept").alias("items")), "baskets")
 
 
 def _mined(transactions: DataFrame, min_support: float, min_confidence: float = 0.0):

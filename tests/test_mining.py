@@ -108,3 +108,18 @@ def test_triples_do_not_multiply_events(spark):
     assert {(r.a, r.b, r.c): r["count"] for r in found.collect()} == {p: c for p, c in want.items() if c >= 6}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "slice(firsts" in plan
+
+
+def test_baskets_read_their_rows_once(spark):
+    """What feeds the baskets is made once and written, however often the mining reads them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return x
+
+    rows = spark.createDataFrame([(i, "abc"[j]) for i in range(40) for j in range(1 + i % 3)], "k int, i string")
+    counted = rows.withColumn("i", F.udf(seen, "string")("i"))
+    found = ru.frequent_itemsets(ru.baskets(counted, "k", "i", 0.05), 0.05, 2)
+    assert {tuple(r["items"]): r.freq for r in found.collect()} == {("a",): 40, ("b",): 26, ("c",): 13, ("a", "b"): 26, ("a", "c"): 13, ("b", "c"): 13}
+    assert made.value <= rows.count() * 2  # the filter on items may look at a row once more
