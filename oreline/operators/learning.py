@@ -224,7 +224,10 @@ class Fitted:
 
     def scalar(self, df: DataFrame) -> DataFrame:
         """Add ``score``: the predicted number, or the probability of the last class."""
-        out = self.score(df)
+        return self.scalar_encoded(self.encoding.apply(df)).drop("features")
+
+    def scalar_encoded(self, df: DataFrame) -> DataFrame:
+        out = self.score_encoded(df)
         if self.task == "regression":
             return out.withColumn("score", F.col("prediction"))
         if "probability" in out.columns:
@@ -465,12 +468,20 @@ def evaluate_holdout(df: DataFrame, target: str, task: str, key: str, name: str
 
 
 def compare_models(df: DataFrame, target: str, task: str, key: str, names: list[str], train_percent: int = 75, columns=None) -> DataFrame:
-    """The same held-out rows for all models: measures, and the area under the curve for two classes."""
+    """The same held-out rows for all models, encoded once: measures, and the area under the curve for two classes."""
     columns = as_list(columns) or [c for c in df.columns if c not in (target, key)]
-    held = reduce(
-        lambda a, b: a.unionByName(b),
-        [evaluate_holdout(df, target, task, key, n, train_percent, columns).withColumn("model", F.lit(n)) for n in names],
-    )
+    rows = stage(df.select(*dict.fromkeys([key, target, *columns])), "compare-rows")
+    split = bucket(F.col(key), 100) < train_percent
+    enc = encode(rows.filter(split), target, task, columns)
+    ready = stage(enc.labelled(rows).select(key, "label", "features", split.alias("is_train")), "compare-split")
+    train, test = ready.filter("is_train").select("features", "label"), ready.filter("NOT is_train").drop("is_train")
+
+    def held_out(name: str) -> DataFrame:
+        kind = model_kind(name, task)
+        model = Fitted(enc, estimator(kind, task, len(enc.classes), len(enc.names)).fit(train), kind)
+        return model.scalar_encoded(test).select(key, "label", "prediction", "score", F.lit(name).alias("model"))
+
+    held = reduce(lambda a, b: a.unionByName(b), together([partial(held_out, n) for n in names]))
     held = stage(held, "compare")
     if task == "regression":
         return ev.reg_metrics(held, "label", "prediction", "model")

@@ -248,3 +248,15 @@ def test_products_move_no_loop_over_rows():
     assert len(i) == 5 * len(a)
     for n in (0, 700, 1499):
         assert list(j[i == n]) == next(brute_knn(b, a[n : n + 1], 5))
+
+
+def test_compared_models_encode_once(class_rows, monkeypatch):
+    """The measures of models compared at once are those of each alone, from one encoding."""
+    names = ["logistic", "tree"]
+    alone = {n: ev.class_metrics(ml.evaluate_holdout(class_rows, "diagnostico", "classification", "id", n, 75, FEATURES), "label", "prediction").first() for n in names}
+    calls, encode = [], ml.encode
+    monkeypatch.setattr(ml, "encode", lambda *a, **k: (calls.append(1), encode(*a, **k))[1])
+    both = {r.model: r for r in ml.compare_models(class_rows, "diagnostico", "classification", "id", names, columns=FEATURES).collect()}
+    assert len(calls) == 1
+    for n in names:
+        assert both[n].n == alone[n].n and both[n].accuracy == pytest.approx(alone[n].accuracy, abs=0.02) and 0.5 < both[n].auc <= 1
