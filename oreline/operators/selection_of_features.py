@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.regression import LinearRegression
+from functools import reduce
+from operator import and_
+
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from oreline.functions.core import is_numeric, pearson
-from oreline.operators.clustering import vectors
+from oreline.functions.core import is_missing, is_numeric, pearson
 from oreline.operators.features import bin_width
 from oreline.operators.hypothesis import anova_oneway, chi2_independence
 from oreline.operators.aggregates import crosstab
@@ -24,6 +26,24 @@ def mutual_information(df: DataFrame, a: str, b: str) -> float:
     return cells.join(ra, "a").join(rb, "b").agg(F.sum(part)).first()[0] or 0.0
 
 
+def inflation(df: DataFrame, numbers: list[str]) -> dict[str, float]:
+    """Variance inflation of each number by the others: ``1 / (1 - R²)`` from one pass for all covariances of complete rows."""
+    if len(numbers) < 2:
+        return {}
+    whole = reduce(and_, [~is_missing(df, c) for c in numbers])
+    cells = {(i, j): F.covar_pop(f"_x{i}", f"_x{j}").alias(f"c{i}_{j}") for i in range(len(numbers)) for j in range(i + 1)}
+    one = df.filter(whole).select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(numbers)]).agg(*cells.values()).first()
+    cov = np.array([[one[f"c{max(i, j)}_{min(i, j)}"] for j in range(len(numbers))] for i in range(len(numbers))], dtype=float)
+    spread = np.sqrt(np.diag(cov))
+    r = cov / np.outer(np.where(spread > 0, spread, 1.0), np.where(spread > 0, spread, 1.0))
+    out = {}
+    for i, c in enumerate(numbers):
+        others = [j for j in range(len(numbers)) if j != i and spread[j] > 0]
+        explained = float(r[i, others] @ np.linalg.pinv(r[np.ix_(others, others)], hermitian=True) @ r[i, others]) if others else 0.0
+        out[c] = 1 / max(1 - explained, 1e-9)
+    return out
+
+
 def select_features(df: DataFrame, target: str, task: str, columns: list[str]) -> DataFrame:
     """Chi-square and mutual information (classes) or Pearson and F (numbers), forest importance and VIF.
 
@@ -31,18 +51,17 @@ def select_features(df: DataFrame, target: str, task: str, columns: list[str]) -
     """
     df = stage(df.select(*columns, target), "select")
     enc = encode(df, target, task, columns)
-    ready = enc.labelled(df).select("features", "label")
+    ready = stage(enc.labelled(df).select("features", "label"), "select-encoded")  # the forest reads it several times
     model = estimator("forest", task, len(enc.classes)).fit(ready)
     weight: dict[str, float] = {c: 0.0 for c in columns}
     for owner, v in zip(enc.owners, model.featureImportances.toArray()):
         weight[owner] = weight.get(owner, 0.0) + float(v)
     numbers = [c for c in columns if is_numeric(df, c)]
-    vif: dict[str, float] = {}
-    for c in numbers:
-        others = [o for o in numbers if o != c]
-        if others:
-            fitted = LinearRegression(labelCol=c).fit(vectors(df.withColumn(c, F.col(c).cast("double")), others))
-            vif[c] = 1 / max(1 - fitted.summary.r2, 1e-9)
+    vif = inflation(df, numbers)
+    against = {}
+    if task != "classification" and numbers:
+        y = F.col(target).cast("double")
+        against = df.agg(F.count(F.lit(1)).alias("_n"), *[pearson(F.col(c).cast("double"), y).alias(f"r{i}") for i, c in enumerate(numbers)]).first()
     rows = []
     for c in columns:
         if task == "classification":
@@ -50,8 +69,7 @@ def select_features(df: DataFrame, target: str, task: str, columns: list[str]) -
             test = chi2_independence(binned.withColumn("_t", F.col(target)), "_bin", "_t").first()
             first, second = (test.statistic if test else 0.0), mutual_information(binned, "_bin", target)
         elif c in numbers:
-            r = df.agg(pearson(F.col(c).cast("double"), F.col(target).cast("double"))).first()[0]
-            n = df.count()
+            r, n = against[f"r{numbers.index(c)}"], against["_n"]
             first, second = abs(r), (r * r * (n - 2) / (1 - r * r) if abs(r) < 1 else float("inf"))
         else:
             test = anova_oneway(df, target, c).first()

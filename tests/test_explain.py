@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from oreline.operators import explain as ex, learning as ml
+from oreline.operators import explain as ex, learning as ml, selection_of_features as sf
 
 COLUMNS = ["a", "b", "c"]
 
@@ -90,3 +90,19 @@ def test_dependence_by_one_scoring_per_grid_value(priced, tree, monkeypatch, fea
     found = {r.x: r.y for r in ex.partial_dependence(tree, df, feature, 5).collect()}
     assert found.keys() == wanted.keys() and all(found[x] == pytest.approx(wanted[x], abs=6e-5) for x in grid)
     assert ex.partial_dependence(tree, df.withColumn("a", F.col("a").cast("float")), "a", 5).count() == 5
+
+
+def test_selection_measures_inflation_in_one_pass(spark, monkeypatch):
+    """As R² of a least-squares fit on the others, beside a number without spread and one that repeats another; an incomplete row is left out."""
+    draw = np.random.default_rng(5)
+    a, b = draw.normal(0, 1, 500), draw.normal(4, 2, 500)
+    c = a + 0.3 * b + draw.normal(0, 0.5, 500)
+    rows = [(*map(float, r), 7.0, float(2 * r[0] + r[1])) for r in zip(a, b, c)]
+    df = spark.createDataFrame([*rows, (None, 1.0, 1.0, 7.0, 1.0)], "a double, b double, c double, d double, y double")
+    found = {r.feature: r.vif for r in sf.select_features(df, "y", "regression", ["a", "b", "c", "d"]).collect()}
+    x = np.column_stack([a, b, c])
+    for i, name in enumerate("abc"):
+        others = np.column_stack([np.delete(x, i, 1), np.ones(500)])
+        lost = x[:, i] - others @ np.linalg.lstsq(others, x[:, i], rcond=None)[0]
+        assert found[name] == pytest.approx(x[:, i].var() / lost.var(), abs=1e-3)
+    assert sf.inflation(df.withColumn("e", F.col("a") * 3), ["a", "e"])["a"] > 1e6
