@@ -15,6 +15,8 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -30,6 +32,7 @@ ROWS, COLUMNS = 512, 2048  # of one matrix product
 ROUNDING = 1e-12  # what a product can be wrong by, as a share of the lengths
 FEW_PAIRS = 1 << 28  # so many are measured sooner than a tree is made
 WIDE = 1 << 21  # numbers of a block of rows that meet all queries
+SLICE = 1 << 15  # numbers that stay near a core while they are worked on
 
 
 def vector_of(df: DataFrame, columns) -> Column:
@@ -52,14 +55,57 @@ def _matrix(v: pd.Series) -> np.ndarray:
     return np.concatenate(v.to_numpy()).astype("float64", copy=False).reshape(len(v), len(v.iloc[0]))
 
 
+def _rows(v: pa.ChunkedArray) -> np.ndarray:
+    """An Arrow column of arrays, all of one length, as a matrix, without an object per row."""
+    whole = v.combine_chunks()
+    whole = pa.concat_arrays(whole.chunks) if isinstance(whole, pa.ChunkedArray) else whole
+    return whole.flatten().to_numpy(zero_copy_only=False).astype("float64", copy=False).reshape(len(v), -1)
+
+
 def _between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances of all rows of ``a`` to all rows of ``b``, summed coordinate by coordinate."""
-    out = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        out += (a[:, j, None] - b[None, :, j]) ** 2
+    out, step = np.zeros((len(a), len(b))), _step(b)
+    columns, room = np.ascontiguousarray(b.T), np.empty((step, len(b)))
+    for i in range(0, len(a), step):
+        part = out[i : i + step]
+        for j in range(a.shape[1]):
+            d = np.subtract(a[i : i + step, j, None], columns[j], out=room[: len(part)])
+            d *= d
+            part += d
     return out
 
 
+def _step(b: np.ndarray) -> int:
+    """How many rows meet all rows of ``b`` in one slice."""
+    return max(1, SLICE // max(1, len(b)))
+
+
+def _closest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``a`` its closest row of ``b``, the first of equal ones, and how far that is.
+
+    Products tell which it is where no other row of ``b`` is nearly as close; else coordinates are measured.
+    """
+    slot, step = np.zeros(len(a), "int64"), _step(b)
+    with np.errstate(invalid="ignore", over="ignore"):
+        mid = b.mean(axis=0)
+        x, y = a - mid, b - mid
+        xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+        finite = np.isfinite(xx.sum() + yy.sum())
+        for i in range(0, len(a), step):
+            doubt = np.arange(i, min(i + step, len(a)))
+            if finite:
+                d = x[i : i + step] @ y.T
+                d *= -2
+                d += yy
+                slot[i : i + step] = here = d.argmin(axis=1)
+                least = d[np.arange(len(d)), here] + 2 * ROUNDING * (xx[i : i + step] + yy.max())
+                doubt = i + np.flatnonzero(np.count_nonzero(d <= least[:, None], axis=1) > 1)
+            if len(doubt):
+                d = np.sqrt(_between(a[doubt], b))
+                slot[doubt] = np.where(np.isnan(d), np.inf, d).argmin(axis=1)
+        return slot, np.sqrt(_beside(a, b, np.arange(len(a)), slot))
+
+
 def _beside(a: np.ndarray, b: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
     """The same of row ``r`` of ``a`` and row ``c`` of ``b``, pair by pair."""
     out = np.zeros(len(r))
@@ -146,13 +192,11 @@ def _grown(t: DataFrame, pivots: int | None, leaf: int, block: int) -> tuple[Dat
         StructField("v", ArrayType(DoubleType())), StructField("away", DoubleType()),
     ])
 
-    def settle(rows: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame({"node": [], "child": [], "id": rows["id"], "v": rows["v"], "away": []})
-        d = np.sqrt(_between(_matrix(rows["v"]), _matrix(heads["pivot"])))
-        slot = np.where(np.isnan(d), np.inf, d).argmin(axis=1)
-        away = d[np.arange(len(d)), slot]
-        return pd.DataFrame({"node": rows["node"], "child": heads["child"].to_numpy()[slot], "id": rows["id"], "v": rows["v"], "away": away})
+    def settle(rows: pa.Table, heads: pa.Table) -> pa.Table:
+        slot, away = np.zeros(0, "int64"), np.zeros(0)
+        if len(rows):
+            slot, away = _closest(_rows(rows["v"]), _rows(heads["pivot"]))
+        return pa.table({"node": rows["node"], "child": heads["child"].take(pa.array(slot)), "id": rows["id"], "v": rows["v"], "away": away})
 
     leaves, levels = [], []
     open_rows = t.withColumn("node", F.lit("0"))
@@ -160,14 +204,16 @@ def _grown(t: DataFrame, pivots: int | None, leaf: int, block: int) -> tuple[Dat
         sizes = stage(open_rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "knn-sizes")
         if not levels and sizes.filter(F.col("n") > leaf).limit(1).count() == 0:
             return open_rows, []
-        fan = F.lit(pivots) if pivots else F.least(F.lit(MOST_PIVOTS), F.greatest(F.lit(16), F.sqrt("n").cast("int")))
+        # so many that children come near the size of a leaf: tiny leaves cost more than they let be skipped
+        few = F.greatest(F.lit(4), F.least(F.sqrt("n").cast("int"), F.ceil(4 * F.col("n") / leaf).cast("int")))
+        fan = F.lit(pivots) if pivots else F.least(F.lit(MOST_PIVOTS), few)
         drawn = top_k_per_group(open_rows.select("node", "v").distinct(), "node", [F.xxhash64("v"), F.col("v")], pivots or MOST_PIVOTS, "_slot")
         heads = drawn.join(sizes, "node").filter(F.col("_slot") <= fan)
         heads = stage(heads.select("node", F.concat_ws(".", "node", "_slot").alias("child"), F.col("v").alias("pivot")), "knn-pivots")
         parts = sizes.select("node", F.ceil(F.col("n") / (4 * block)).alias("chunks"), F.lit(1).cast("bigint").alias("blocks"))
         left = _split(open_rows, parts, "chunk", "block", F.xxhash64("id", "v"))
         right = _split(heads, parts, "block", "chunk", F.lit(0))
-        homed = stage(left.groupBy("node", "chunk").cogroup(right.groupBy("node", "chunk")).applyInPandas(settle, schema), "knn-level")
+        homed = stage(left.groupBy("node", "chunk").cogroup(right.groupBy("node", "chunk")).applyInArrow(settle, schema), "knn-level")
         children = homed.groupBy("node", "child").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius"))
         whole = sizes.select("node", F.col("n").alias("_n"))
         is_leaf = (F.col("n") <= leaf) | (F.col("n") >= F.col("_n"))
@@ -180,13 +226,15 @@ def _grown(t: DataFrame, pivots: int | None, leaf: int, block: int) -> tuple[Dat
         open_rows = stage(marked.filter("NOT is_leaf").drop("is_leaf"), "knn-open")
 
 
-def _least_distance(d: np.ndarray, pivots: np.ndarray, radius: np.ndarray) -> np.ndarray:
-    """How far the rows of each pivot are from a query at least, by the pivot's radius and by its border with the query's own pivot."""
+def _least_distance(d: np.ndarray, between: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """How far the rows of each pivot are from a query at least, by the pivot's radius and by its border with the query's own pivot.
+
+    ``d`` is how far the pivots are from the query, ``between`` how far they are from each other.
+    """
     with np.errstate(all="ignore"):
         own = np.where(np.isnan(d), np.inf, d).argmin(axis=1)
         nearest = d[np.arange(len(d)), own][:, None]
-        between = np.sqrt(_between(pivots, pivots))[own]
-        border = (d**2 - nearest**2 - ROUNDING * (d**2 + nearest**2 + radius**2)) / (2 * between)
+        border = (d**2 - nearest**2 - ROUNDING * (d**2 + nearest**2 + radius**2)) / (2 * between[own])
         return np.fmax(*(np.nan_to_num(x, nan=-np.inf, posinf=np.inf, neginf=-np.inf) for x in (d - radius, border)))
 
 
@@ -206,7 +254,8 @@ def _prunes(t: DataFrame, q: DataFrame, wanted: int, pivots: int = 64, rows: int
         size = np.bincount(cell, minlength=len(x[:pivots]))
         radius = np.array([d[cell == i, i].max(initial=0) for i in range(len(size))])
         reach = np.sqrt(np.sort(_between(y, x), axis=1)[:, wanted - 1])
-        seen = _least_distance(np.sqrt(_between(y, x[:pivots])), x[:pivots], radius) <= reach[:, None]
+        heads = x[:pivots]
+        seen = _least_distance(np.sqrt(_between(y, heads)), np.sqrt(_between(heads, heads)), radius) <= reach[:, None]
     return (seen * size).sum() <= len(x) * len(y) / 2
 
 
@@ -216,12 +265,12 @@ def _bounded(q: DataFrame, placed: DataFrame, levels: list[DataFrame], wanted: i
     fields = [StructField("query_id", kind), StructField("v", ArrayType(DoubleType()))]
     schema = StructType([*fields, StructField("node", StringType()), StructField("is_leaf", BooleanType())])
 
-    def settle(rows: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(heads):
-            return pd.DataFrame({"query_id": rows["query_id"][:0], "v": rows["v"][:0], "node": [], "is_leaf": []})
-        d = np.sqrt(_between(_matrix(rows["v"]), _matrix(heads["pivot"])))
-        slot = np.where(np.isnan(d), np.inf, d).argmin(axis=1)
-        return pd.DataFrame({"query_id": rows["query_id"], "v": rows["v"], "node": heads["child"].to_numpy()[slot], "is_leaf": heads["is_leaf"].to_numpy()[slot]})
+    def settle(rows: pa.Table, heads: pa.Table) -> pa.Table:
+        slot = np.zeros(0, "int64")
+        if len(rows) and len(heads):
+            slot, _ = _closest(_rows(rows["v"]), _rows(heads["pivot"]))
+        rows, home = rows.slice(0, len(slot)), heads.take(pa.array(slot))
+        return pa.table({"query_id": rows["query_id"], "v": rows["v"], "node": home["child"], "is_leaf": home["is_leaf"]})
 
     one = F.lit(1).cast("bigint")
     front, homes = q.select("query_id", "v", F.lit("0").alias("node"), F.lit(not levels).alias("is_leaf")), []
@@ -231,24 +280,22 @@ def _bounded(q: DataFrame, placed: DataFrame, levels: list[DataFrame], wanted: i
         left = _split(inner, parts, "chunk", "block", F.xxhash64("query_id", "v"))
         right = _split(level, parts, "block", "chunk", F.lit(0))
         homes.append(front.filter("is_leaf"))
-        front = stage(left.groupBy("node", "chunk").cogroup(right.groupBy("node", "chunk")).applyInPandas(settle, schema), "knn-home")
+        front = stage(left.groupBy("node", "chunk").cogroup(right.groupBy("node", "chunk")).applyInArrow(settle, schema), "knn-home")
     home = reduce(DataFrame.unionByName, [*homes, front]).drop("is_leaf")
     # of a leaf that could not be split, one block is enough for a bound
     parts = _parts(home, "chunks", block).join(_parts(placed, "blocks", block), "node")
     left = _split(home, parts.withColumn("blocks", one), "chunk", "block", F.xxhash64("query_id", "v"))
     right = _split(placed, parts, "block", "chunk", F.xxhash64("id")).filter("block = 0")
 
-    def measure(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a):
-            return pd.DataFrame({"query_id": a["query_id"], "v": a["v"], "bound": np.zeros(0)})
+    def measure(a: pa.Table, b: pa.Table) -> pa.Table:
         bound = np.full(len(a), np.inf)
-        if len(b) >= wanted:
-            d = _nearest(_matrix(a["v"]), _matrix(b["v"]), wanted, bound)[2]
+        if len(a) and len(b) >= wanted:
+            d = _nearest(_rows(a["v"]), _rows(b["v"]), wanted, bound)[2]
             bound = np.nan_to_num(np.sqrt(d.reshape(len(a), wanted)[:, -1]), nan=np.inf, posinf=np.inf)
-        return pd.DataFrame({"query_id": a["query_id"], "v": a["v"], "bound": bound})
+        return pa.table({"query_id": a["query_id"], "v": a["v"], "bound": bound})
 
     schema = StructType([*fields, StructField("bound", DoubleType())])
-    return stage(left.groupBy("node", "chunk").cogroup(right.groupBy("node", "chunk")).applyInPandas(measure, schema), "knn-bound")
+    return stage(left.groupBy("node", "chunk").cogroup(right.groupBy("node", "chunk")).applyInArrow(measure, schema), "knn-bound")
 
 
 def _visited(q: DataFrame, levels: list[DataFrame], wanted: int, block: int) -> DataFrame:
@@ -264,24 +311,31 @@ def _visited(q: DataFrame, levels: list[DataFrame], wanted: int, block: int) ->
     ])  # a row per query, so that Python holds its coordinates once and not once per child
     slack = 1e-9
 
-    def descend(rows: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(heads):
-            return pd.DataFrame({"query_id": rows["query_id"][:0], "v": rows["v"][:0], "bound": [], "node": [], "is_leaf": [], "low": []})
-        d = np.sqrt(_between(_matrix(rows["v"]), _matrix(heads["pivot"])))
-        radius, size = heads["radius"].to_numpy(), heads["n"].to_numpy()
-        far = np.nan_to_num(d + radius, nan=np.inf, posinf=np.inf)
-        low = _least_distance(d, _matrix(heads["pivot"]), radius)
-        order = far.argsort(axis=1)
-        held = size[order].cumsum(axis=1)
-        every = np.arange(len(d))
-        bound = np.where(held[:, -1] >= wanted, far[every, order[every, (held >= wanted).argmax(axis=1)]], np.inf)
-        bound = np.minimum(bound, rows["bound"].to_numpy())
-        near = low <= bound[:, None] * (1 + slack) + slack
-        child, is_leaf = heads["child"].to_numpy(), heads["is_leaf"].to_numpy()
-        return pd.DataFrame({
-            "query_id": rows["query_id"], "v": rows["v"], "bound": bound, "node": [child[x].tolist() for x in near],
-            "is_leaf": [is_leaf[x].tolist() for x in near], "low": [y[x].tolist() for x, y in zip(near, low)],
-        })
+    def descend(rows: pa.Table, heads: pa.Table) -> pa.Table:
+        rows = rows if len(heads) else rows.slice(0, 0)
+        bounds, picked, lows, many = rows["bound"].to_numpy().copy(), [np.zeros(0, "int64")], [np.zeros(0)], [np.zeros(1, "int64")]
+        if len(rows):
+            asked, pivots = _rows(rows["v"]), _rows(heads["pivot"])
+            radius, size = heads["radius"].to_numpy(), heads["n"].to_numpy()
+            between, step = np.sqrt(_between(pivots, pivots)), _step(pivots)
+        for i in range(0, len(rows), step if len(rows) else 1):
+            d, bound = np.sqrt(_between(asked[i : i + step], pivots)), bounds[i : i + step]
+            loose = np.flatnonzero(np.isinf(bound))  # their own leaves hold too few rows
+            if len(loose):
+                far = np.nan_to_num(d[loose] + radius, nan=np.inf, posinf=np.inf)
+                order = far.argsort(axis=1)
+                held = size[order].cumsum(axis=1)
+                every = np.arange(len(loose))
+                bound[loose] = np.where(held[:, -1] >= wanted, far[every, order[every, (held >= wanted).argmax(axis=1)]], np.inf)
+            low = _least_distance(d, between, radius)
+            near = low <= bound[:, None] * (1 + slack) + slack
+            picked.append(np.nonzero(near)[1])
+            lows.append(low[near])
+            many.append(np.count_nonzero(near, axis=1))
+        ends, seen = pa.array(np.concatenate(many).cumsum(), pa.int32()), heads.take(pa.array(np.concatenate(picked)))
+        lists = {"node": seen["child"], "is_leaf": seen["is_leaf"], "low": pa.chunked_array([np.concatenate(lows)])}
+        lists = {n: pa.ListArray.from_arrays(ends, pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type)) for n, c in lists.items()}
+        return pa.table({"query_id": rows["query_id"], "v": rows["v"], "bound": bounds, **lists})
 
     front = q.select("query_id", "v", F.lit("0").alias("node"), F.lit(not levels).alias("is_leaf"), F.lit(0.0).alias("low"), "bound")
     per_query = Window.partitionBy("query_id")
@@ -289,7 +343,7 @@ def _visited(q: DataFrame, levels: list[DataFrame], wanted: int, block: int) ->
         parts = _parts(front.filter("NOT is_leaf"), "chunks", block).withColumn("blocks", F.lit(1).cast("bigint"))
         left = _split(front.filter("NOT is_leaf"), parts, "chunk", "block", F.xxhash64("query_id", "v"))
         right = _split(level, parts, "block", "chunk", F.lit(0))
-        deeper = left.groupBy("node", "chunk").cogroup(right.groupBy("node", "chunk")).applyInPandas(descend, schema)
+        deeper = left.groupBy("node", "chunk").cogroup(right.groupBy("node", "chunk")).applyInArrow(descend, schema)
         deeper = deeper.select("query_id", "v", "bound", F.inline(F.arrays_zip("node", "is_leaf", "low")))
         seen = front.filter("is_leaf").unionByName(deeper).withColumn("bound", F.min("bound").over(per_query))
         front = stage(seen.filter(F.col("low") <= F.col("bound") * (1 + slack) + slack), "knn-visits")
@@ -313,9 +367,17 @@ def knn_join(
     q = queries.select(F.col(key).alias("query_id"), vector_of(queries, columns).alias("v"))
     q = q.filter("v IS NOT NULL AND forall(v, x -> x IS NOT NULL AND NOT isnan(x))")  # no coordinates, no neighbours
     # of identical points only the first few ids can ever be among the nearest
-    t = stage(top_k_per_group(t, "v", [F.asc("id")], wanted, "_same").drop("_same"), "knn")
+    t = t.withColumn("_h", F.xxhash64("v"))  # numbers sort faster than arrays
+    t = stage(top_k_per_group(t, ["_h", "v"], [F.asc("id")], wanted, "_same").drop("_same", "_h"), "knn")
     q = stage(q, "knn-q")
     asked, held = q.count(), t.count()
+    every = None
+    if asked * held > FEW_PAIRS:
+        # queries at the same place have the same neighbours, so each place asks once
+        places = stage(q.withColumn("_h", F.xxhash64("v")).groupBy("_h", "v").agg(F.count(F.lit(1)).alias("n")).select("v"), "knn-places")
+        distinct = places.count()
+        if 2 * distinct <= asked:
+            every, q, asked = q, stage(places.select(F.monotonically_increasing_id().alias("query_id"), "v"), "knn-once"), distinct
     if pivots is None and (asked * held <= FEW_PAIRS or not _prunes(t, q, wanted)):
         placed, visits = t.withColumn("node", F.lit("0")), q.select("query_id", "v", F.lit(math.inf).alias("bound"), F.lit("0").alias("node"))
         width = t.agg(F.max(F.size("v"))).first()[0] or 1
@@ -331,19 +393,24 @@ def knn_join(
     right = _split(placed, parts, "block", "chunk", F.xxhash64("id"))
     left = _split(visits, parts, "chunk", "block", F.xxhash64("query_id"))
 
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": a["query_id"][:0], "neighbour_id": b["id"][:0], "squared_distance": np.zeros(0)})
-        b = b.sort_values("id")
-        reach = (a["bound"].to_numpy() * (1 + 1e-9) + 1e-9) ** 2
-        rows, pick, d = _nearest(_matrix(a["v"]), _matrix(b["v"]), wanted, reach)
-        return pd.DataFrame({"query_id": a["query_id"].to_numpy()[rows], "neighbour_id": b["id"].to_numpy()[pick], "squared_distance": d})
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        rows, pick, d = *(np.zeros(0, "int64"),) * 2, np.zeros(0)
+        if len(a) and len(b):
+            b = b.take(pc.sort_indices(b["id"]))
+            reach = (a["bound"].to_numpy() * (1 + 1e-9) + 1e-9) ** 2
+            rows, pick, d = _nearest(_rows(a["v"]), _rows(b["v"]), wanted, reach)
+        return pa.table({"query_id": a["query_id"].take(pa.array(rows)), "neighbour_id": b["id"].take(pa.array(pick)), "squared_distance": d})
 
     schema = StructType(
         [StructField("query_id", dtype(q, "query_id")), StructField("neighbour_id", dtype(t, "id")), StructField("squared_distance", DoubleType())]
     )
     keys = ["node", "block", "chunk"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema)
+    if every is not None:
+        best = top_k_per_group(near, "query_id", [F.asc("squared_distance"), F.asc("neighbour_id")], wanted)
+        best = best.groupBy("query_id").agg(F.collect_list(F.struct("neighbour_id", "squared_distance")).alias("_best"))
+        best = best.join(q, "query_id").select(F.xxhash64("v").alias("_h"), "v", "_best")
+        near = every.withColumn("_h", F.xxhash64("v")).join(best, ["_h", "v"]).select("query_id", F.inline("_best"))
     if skip_same_key:
         near = near.filter(F.col("query_id") != F.col("neighbour_id"))
     return top_k_per_group(near, "query_id", [F.asc("squared_distance"), F.asc("neighbour_id")], k)

@@ -260,3 +260,55 @@ def test_compared_models_encode_once(class_rows, monkeypatch):
     assert len(calls) == 1
     for n in names:
         assert both[n].n == alone[n].n and both[n].accuracy == pytest.approx(alone[n].accuracy, abs=0.02) and 0.5 < both[n].auc <= 1
+
+
+def test_knn_asks_once_per_place(spark, monkeypatch):
+    """Many queries at few places: a place goes through the tree once, and every query gets its neighbours, repeated ids too."""
+    x = np.random.default_rng(16).integers(0, 7, (900, 3)).astype(float)
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id bigint, v array<double>")
+    q = df.filter("id < 400").unionByName(df.filter("id = 3")).unionByName(df.filter("id = 5").withColumn("id", F.lit(None).cast("bigint")))
+    seen, bounded = [], nn._bounded
+    monkeypatch.setattr(nn, "FEW_PAIRS", 0)
+    monkeypatch.setattr(nn, "_prunes", lambda *a: True)
+    monkeypatch.setattr(nn, "_bounded", lambda q, *a: (seen.append(q.count()), bounded(q, *a))[1])
+    some = q.filter("id IS NULL OR id < 40")
+    rows = nn.knn_join(some, df, "id", "v", 4, skip_same_key=True, block=64).collect()
+    monkeypatch.setattr(nn, "FEW_PAIRS", 1 << 28)
+    few = nn.knn_join(some, df, "id", "v", 4, skip_same_key=True).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, few))
+    monkeypatch.setattr(nn, "FEW_PAIRS", 0)
+    seen.clear()
+    got = {}
+    for r in nn.knn_join(df.unionByName(df.withColumn("id", F.col("id") + 1000)), df, "id", "v", 4, block=64).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.neighbour_id
+    assert seen == [len(np.unique(x, axis=0))] and len(got) == 2 * len(x)
+    for i, best in enumerate(brute_knn(x, x, 4)):
+        assert [got[i][n] for n in (1, 2, 3, 4)] == best == [got[i + 1000][n] for n in (1, 2, 3, 4)]
+
+
+def test_leaves_are_not_tiny(spark):
+    """A node a little larger than a leaf gets a few children and not the root of its rows."""
+    x = np.random.default_rng(17).random((3000, 3))
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id bigint, v array<double>")
+    placed, _ = nn._grown(df, None, 2000, 2000)
+    assert placed.count() == len(x) and placed.select("node").distinct().count() <= 12
+
+
+def test_closest_pivots_are_exact():
+    """Also far from 0, between equal pivots (the first counts), and with endless numbers, where products tell nothing."""
+    r = np.random.default_rng(18)
+    a, b = r.normal(size=(500, 9)), r.normal(size=(60, 9))
+    for x, y in ((a, b), (a + 1e7, b + 1e7), (a, np.vstack([b, b])), (a.round(), b.round()), (np.where(a > 2, np.inf, a), b)):
+        with np.errstate(invalid="ignore"):
+            d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+        slot, away = nn._closest(x, y)
+        plain = np.sqrt(nn._between(x, y))
+        assert list(slot) == list(np.where(np.isnan(plain), np.inf, plain).argmin(axis=1)) and np.allclose(away, d[np.arange(len(x)), slot], equal_nan=True)
+
+
+def test_leaderboard_makes_its_rows_once(reg_rows, spark, monkeypatch):
+    """A costly input is computed for one written table, not again for every pass over it."""
+    read, encode = [], ml.encode
+    monkeypatch.setattr(ml, "encode", lambda df, *a, **k: (read.append(df.inputFiles()), encode(df, *a, **k))[1])
+    board = ml.train_leaderboard(reg_rows, "zona", "regression", "id", ["linear", "knn"], columns=["x1", "x2"]).collect()
+    assert read[0] and "leaderboard" in read[0][0] and [r["rank"] for r in board] == [1, 2]
