@@ -312,3 +312,12 @@ def test_leaderboard_makes_its_rows_once(reg_rows, spark, monkeypatch):
     monkeypatch.setattr(ml, "encode", lambda df, *a, **k: (read.append(df.inputFiles()), encode(df, *a, **k))[1])
     board = ml.train_leaderboard(reg_rows, "zona", "regression", "id", ["linear", "knn"], columns=["x1", "x2"]).collect()
     assert read[0] and "leaderboard" in read[0][0] and [r["rank"] for r in board] == [1, 2]
+
+
+def test_range_join_moves_few_copies(spark, monkeypatch):
+    """Cells of a few thousand rows are not cut, as every cut moves more copies; the written result has every pair once."""
+    moved, join = [], nn.cell_join
+    monkeypatch.setattr(nn, "cell_join", lambda visits, held, crowded, *a: (moved.append(crowded.count()), join(visits, held, crowded, *a))[1])
+    df = spark.range(3000).select(F.col("id"), (F.col("id") % 100 / 1000).alias("x"), (F.col("id") * 10 / 1000).alias("y"))
+    near = nn.eps_range_join(df, "id", ["x", "y"], 40.0)
+    assert near.count() == near.select("a", "b").distinct().count() == 3000 * 2999 // 2 and moved == [0]
